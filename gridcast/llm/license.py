@@ -63,11 +63,10 @@ class Matcher:
         sizes = [len(s) for s in self.sets if s]
         self.least = min(sizes, default=1) * threshold / (2 - threshold)
         self.most = max(sizes, default=0) * (2 - threshold) / threshold
-        self.firsts = {w for s in self.sets for b in s for w in b}
 
     def match(self, unit: bytes) -> tuple[int, float] | None:
         """The best template at or above the threshold, and its Dice coefficient."""
-        if unit.count(b" ") + unit.count(b"-") + 1 < self.least and len(unit) < 4 * self.least:
+        if len(unit) < 2 * self.least + 1:  # n bigrams need n + 1 words and n separators
             return None
         own = bigrams(unit)
         if not self.least <= len(own) <= self.most:
