@@ -162,22 +162,28 @@ def decode(tokens: DataFrame, path: str | None = None, ids: str = "ids") -> Data
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Encodes and decodes every text in one pass; ids and texts leave the worker as digests only."""
+def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Encodes and decodes every text in one pass; ids (unless asked for) and texts leave the worker as digests only."""
     path = _path(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            n, ids, texts = [], [], []
+            raws, ids, texts = [], [], []
             for x in batch.column(1):
                 raw = c.encode(x.as_py() or "")
-                n.append(len(raw) // 4)
+                raws.append(raw)
                 ids.append(hashlib.sha256(raw).hexdigest())
                 texts.append(hashlib.sha256(c.decode(np.frombuffer(raw, "<u4").tolist()).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, DIGESTS)
+            n = np.array([len(x) // 4 for x in raws], np.int64)
+            columns = [batch.column(0), pa.array(n), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(np.frombuffer(b"".join(raws), "<i4"))))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, DIGESTS + ", ids array<int>" * with_ids)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

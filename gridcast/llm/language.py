@@ -189,6 +189,26 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PREDICTED)
 
 
+def accept(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents whose language is told (not `und`), all columns as they are, except that a null lang is filled in."""
+    names = docs.columns
+    at, lang = names.index("text"), names.index("lang") if "lang" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            has = lettered(batch.column(at)) if model.languages else np.zeros(batch.num_rows, bool)
+            columns = list(batch.columns)
+            if lang is not None and columns[lang].null_count:
+                known = columns[lang].to_pylist()
+                for i in [i for i, x in enumerate(known) if x is None and has[i]]:
+                    data, offsets = tx.buffer(batch.column(at).slice(i, 1))
+                    known[i] = model.languages[decode(means(data, offsets, model.weights) * model.slope + model.bias, model.code)[0][0]]
+                columns[lang] = pa.array(known, pa.string())
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(has)) for c in columns], names=names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(n: int):
     """crc32 of doc_id as text, modulo n."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
