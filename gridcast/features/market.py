@@ -52,7 +52,7 @@ def target_calendar(df: DataFrame, horizons: int, minutes: int, ts: str = "ts")
 
 def system(s: Series, dispatched: bool = True) -> Family:
     ag, dm, ic, dc, dg = (F.col(c) for c in ("avail_gen", "demand", "interchange", "demand_forecast", "dispatch_gen"))
-    margin = clip((ag - dm) / (dm + 1), -2, 10)
+    margin = clip(ratio(ag - dm, dm), -2, 10)
     out = {"reserve_margin": margin, "reserve_margin_pct": clip(ratio(ag, dm), 0, 5), "demand_fcst_error": dc - dm}
     out |= {f"avail_gen_lag_{k}": s.lag(ag, k) for k in LAGS} | {f"interchange_lag_{k}": s.lag(ic, k) for k in LAGS}
     out |= {f"demand_forecast_lag_{k}": s.lag(dc, k) for k in (1, 2, 48)} | {f"interchange_rmean_{w}": s.roll("mean", ic, w) for w in (48, 336)}
@@ -79,7 +79,7 @@ def stress(s: Series, padded: str = "avail_gen_filled") -> Family:
     out |= {f"tight_count_{w}": s.count_if(load > 0.92, w) for w in (48, 336)} | {"avail_gen_change_48": s.pct_change(padded, 48)}
     out |= {f"avail_gen_rmin_{w}": s.roll("min", ag, w) for w in (48, 96)}
     out |= {"demand_surprise": dm - dc, "demand_surprise_abs": F.abs(dm - dc), "demand_surprise_rmean_48": s.roll("mean", dm - dc, 48)}
-    return out | {"supply_headroom_pct": clip((ag - dm) / (dm + 1), -0.5, 1), "fwd_tight_proxy": forward, "fwd_tight_proxy_lag_48": s.lag(forward, 48)}
+    return out | {"supply_headroom_pct": clip(ratio(ag - dm, dm), -0.5, 1), "fwd_tight_proxy": forward, "fwd_tight_proxy_lag_48": s.lag(forward, 48)}
 
 
 def coal(s: Series, most: float, x: str = "coal_mw", drop: float = 600.0) -> Family:
@@ -94,7 +94,7 @@ def gas(s: Series, x: str = "gas_price", day: int = 48, regime: int = 8640) -> F
     g, week, month = F.col(x), 7 * day, 30 * day
     out = {"gas_srmc": g * 10} | {f"gas_lag_{k}": s.lag(g, k) for k in (day, 2 * day, week, month)}
     out |= {f"gas_rmean_{w}": s.roll("mean", g, w, 1) for w in (week, month)}
-    out |= {f"gas_roc_{k}": clip(s.diff(g, k) / (s.lag(g, k) + 0.01), -2, 2) for k in (week, month)}
+    out |= {f"gas_roc_{k}": clip(ratio(s.diff(g, k), s.lag(g, k), 0.01), -2, 2) for k in (week, month)}
     out |= {"gas_spread": g - s.roll("mean", g, month, 1), f"gas_pct_rank_{week}": s.pct_rank(g, week, day // 2), f"gas_pct_rank_{month}": s.pct_rank(g, month, week)}
     return out | {"gas_regime_high": flag(g > s.quantile(g, 0.75, regime, week))}
 
@@ -152,7 +152,7 @@ def day_ahead(s: Series, low: float = 8000.0) -> Family:
     a, d, ag, dm = (F.col(c) for c in ("pasa_avail", "pasa_demand50", "avail_gen", "demand"))
     error, zero = clip(dm - d, -3000, 3000), (lambda x: F.coalesce(x, F.lit(0.0)))
     code = zero(F.col("reserve_code").cast("double"))
-    out = {"pasa_margin": clip(a - d, -5000, 10000), "pasa_util": clip(ratio(d, a), 0, 2), "pasa_vs_now": clip(a - ag, -8000, 8000), "pasa_vs_now_pct": clip((a - ag) / (ag + 1), -1, 1)}
+    out = {"pasa_margin": clip(a - d, -5000, 10000), "pasa_util": clip(ratio(d, a), 0, 2), "pasa_vs_now": clip(a - ag, -8000, 8000), "pasa_vs_now_pct": clip(ratio(a - ag, ag), -1, 1)}
     out |= {"demand_vs_p50": error, "demand_vs_p50_abs": F.abs(error), "demand_vs_p50_rmean_48": s.roll("mean", error, 48, 1), "demand_p50_ratio": clip(ratio(dm, d), 0.5, 2)}
     out |= {f"pasa_rmean_{w}": s.roll("mean", a, w, 1) for w in (4, 48)} | {"pasa_rmin_48": s.roll("min", a, 48, 1), "pasa_trend_48": s.diff(a, 48)}
     out = {n: zero(x) if n not in ("pasa_rmean_4",) else x for n, x in out.items()}

@@ -38,7 +38,8 @@ def sinh100(x: Column | str) -> Column:
 
 
 def ratio(a: Column | str, b: Column | str, guard: float = 1.0) -> Column:
-    return col(a) / (col(b) + guard)
+    """a / (b + guard); null where that denominator is zero."""
+    return F.try_divide(col(a), col(b) + guard)
 
 
 def row_sum(*xs: Column | str) -> Column:

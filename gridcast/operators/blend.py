@@ -116,8 +116,8 @@ def metrics(df: DataFrame, per: Sequence[str] = (), spike: float = 150.0) -> Dat
     part = lambda c: F.avg(F.when(c, F.abs(e)))
     share = lambda c: F.avg(flag(c)) * 100
     return rows.groupBy(*per).agg(
-        F.count("*").alias("n"), mae.alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.sum(e * e) / (F.var_pop(y) * F.count("*"))).alias("r2"), F.avg(e).alias("mbe"),
-        (F.sum(F.abs(e)) / (F.sum(F.abs(y)) + 1e-8) * 100).alias("wmape"), naive.alias("mae_naive"), ((1 - mae / naive) * 100).alias("skill"),
+        F.count("*").alias("n"), mae.alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.try_divide(F.sum(e * e), F.var_pop(y) * F.count("*"))).alias("r2"), F.avg(e).alias("mbe"),
+        (F.sum(F.abs(e)) / (F.sum(F.abs(y)) + 1e-8) * 100).alias("wmape"), naive.alias("mae_naive"), ((1 - F.try_divide(mae, naive)) * 100).alias("skill"),
         part(y > spike).alias("mae_spike"), part(y <= spike).alias("mae_calm"), part(y < 0).alias("mae_dip"), share(y > spike).alias("spike_share"), share(y < 0).alias("dip_share"),
     )
 

@@ -67,7 +67,7 @@ class Series:
 
     def pct_change(self, padded: Column | str, k: int, limit: float = 1.0) -> Column:
         """Relative change over k rows of a series that has been filled forward."""
-        return clip(col(padded) / self.lag(padded, k) - 1, -limit, limit)
+        return clip(F.try_divide(col(padded), self.lag(padded, k)) - 1, -limit, limit)
 
     def row(self) -> Column:
         return F.row_number().over(self.order)
@@ -93,7 +93,7 @@ def wide_mean(df: DataFrame, x: str, w: int, least: int, name: str, keys: Sequen
     centre = F.avg(x).over(Window.partitionBy(*keys))
     out = df.withColumn("__c", centre).withColumn("__n", F.count(x).over(running)).withColumn("__s", F.sum(F.coalesce(F.col(x) - F.col("__c"), F.lit(0.0))).over(running))
     n, total = (F.col(c) - F.coalesce(s.lag(c, w), F.lit(0)) for c in ("__n", "__s"))
-    value = total / n + F.col("__c") if agg == "mean" else total + n * F.col("__c")
+    value = F.try_divide(total, n) + F.col("__c") if agg == "mean" else total + n * F.col("__c")
     return out.withColumn(name, F.when(n >= least, value)).drop("__c", "__n", "__s")
 
 

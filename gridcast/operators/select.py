@@ -16,12 +16,18 @@ def correlations(df: DataFrame, names: Sequence[str], method: str = "pearson") -
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     if method == "spearman":
         return _spearman(df, pairs)
-    agg = df.agg(*(F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs))
+    agg = df.agg(*(pearson(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs))
     return _pairs(agg, pairs)
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation over complete pairs; null where a side is constant (Spark's corr fails on it under ANSI rules)."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+
+
 def _pairs(one: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(F.nanvl(F.col(f"`{a}|{b}`"), F.lit(0.0)), F.lit(0.0)).alias("r")) for a, b in pairs))
+    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(F.col(f"`{a}|{b}`"), F.lit(0.0)).alias("r")) for a, b in pairs))
     return one.select(F.explode(rows).alias("p")).select("p.a", "p.b", "p.r")
 
 
@@ -36,7 +42,7 @@ def _spearman(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
         return n.select("a", "b", v, (F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2).alias(f"r{v}"))
 
     ranked = long.join(ranks("x"), ["a", "b", "x"]).join(ranks("y"), ["a", "b", "y"])
-    return ranked.groupBy("a", "b").agg(F.coalesce(F.nanvl(F.corr("rx", "ry"), F.lit(0.0)), F.lit(0.0)).alias("r"))
+    return ranked.groupBy("a", "b").agg(F.coalesce(pearson(F.col("rx"), F.col("ry")), F.lit(0.0)).alias("r"))
 
 
 def mutual_information(df: DataFrame, features: Sequence[str], targets: Sequence[str], bins: int = 8) -> DataFrame:

@@ -466,12 +466,14 @@ add(
     f"with {staging.BARS}, g as (select ts from bars where price is not null and region = 'sa'), a as (select unnest(generate_series(min(ts), max(ts), interval 1 hour)) as ts from g) select {TS} from a where a.ts not in (select ts from g)",
 )
 FEATURES = ["price", "lag_1", "lag_2", "lag_24", "mean_24", "mean_48", "demand", "avail_gen"]
-CANDIDATES = f"{staging.SYSTEM}, cand as (select ts, region, price, demand, avail_gen, {', '.join(f'{sql.lag(chr(112) + chr(114) + chr(105) + chr(99) + chr(101), k)} as lag_{k}' for k in (1, 2, 24))}, {sql.roll('mean', 'price', 24, 12)} as mean_24, {sql.roll('mean', 'price', 48, 24)} as mean_48, {sql.lag('price', -1)} as y1, {sql.lag('price', -6)} as y6 from system)"
+CANDIDATES = f"{staging.SYSTEM}, cand as (select ts, region, price, demand, avail_gen, {', '.join(f'{sql.lag(chr(112) + chr(114) + chr(105) + chr(99) + chr(101), k)} as lag_{k}' for k in (1, 2, 24))}, round(({sql.roll('mean', 'price', 24, 12)}) + 1e-9, 6) as mean_24, round(({sql.roll('mean', 'price', 48, 24)}) + 1e-9, 6) as mean_48, {sql.lag('price', -1)} as y1, {sql.lag('price', -6)} as y6 from system)"
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Features and targets of the selection queries; means are rounded, so that equal ones tie in ranks."""
     s = Series()
-    return staging.system(spark, d).select("ts", "region", "price", "demand", "avail_gen", *(s.lag("price", k).alias(f"lag_{k}") for k in (1, 2, 24)), s.roll("mean", "price", 24, 12).alias("mean_24"), s.roll("mean", "price", 48, 24).alias("mean_48"), s.lead("price", 1).alias("y1"), s.lead("price", 6).alias("y6"))
+    mean = lambda w: F.round(s.roll("mean", "price", w, w // 2) + F.lit(1e-9), 6).alias(f"mean_{w}")
+    return staging.system(spark, d).select("ts", "region", "price", "demand", "avail_gen", *(s.lag("price", k).alias(f"lag_{k}") for k in (1, 2, 24)), mean(24), mean(48), s.lead("price", 1).alias("y1"), s.lead("price", 6).alias("y6"))
 
 
 _fpairs = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]]

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 def spark(tmp_path_factory):
     os.environ.setdefault("TZ", "UTC")
     session = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[4]"))
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
