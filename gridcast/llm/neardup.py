@@ -2,26 +2,31 @@
 
 A document's set holds its distinct shingles of k words. Register i is the truncated, exponentially spaced minimum
 clip(floor(1 - log_b(min h_i)), 0, q + 1), where h_i maps a shingle to an exponential variate of rate a. Registers merge by
-maximum and agree with a probability near the Jaccard similarity, so bands of `ROWS` registers find candidates. A
-candidate's similarity is estimated jointly by maximum likelihood from the counts of larger, smaller and equal registers
-and the two known set sizes; candidates far below the threshold (six standard deviations at 128 registers) go, and the
-rest are confirmed on their full sets, read again from the texts.
-
-Scale: documents with equal sets are one class from the start (a hash aggregation), so a thousand copies cost one. In each
-band bucket every class is first held against the bucket's smallest class only, and of those candidates each class
-confirms its best one: a bucket of n costs n, not n squared. Then every bucket that still holds several components has its
-remaining classes (those outside the component of the bucket's smallest class) held against the classes of other
-components, so no link between components is lost. Tables in between are written to spark.checkpoint.dir.
-
-With 32 bands of 4 registers a pair at similarity 0.85 is missed with probability 6e-11, at 0.80 with 5e-8.
+maximum and agree with a probability near the Jaccard similarity, so `BANDS` bands of a few registers find candidates. A
+candidate pair's similarity is estimated jointly by maximum likelihood from the counts of larger, smaller and equal
+registers and the two known set sizes; pairs six standard deviations below the threshold go, and the rest are confirmed
+on their full sets, best estimates first, unless they are connected already.
+
+Scale. Documents with equal sets are one class from the start (a hash aggregation), so a thousand copies cost one. Classes
+that share a band bucket, directly or through others, are a candidate group; it is found by joining each class to its
+bucket's smallest class, which costs n for a bucket of n. Texts of groups are read again, and a group is worked on in
+blocks of at most about `BLOCK` classes, each one task's work, with a few classes of the group (`BRIDGES`) in all of its blocks
+to connect them. In groups of several blocks, classes outside the group's largest component then meet all blocks, in
+chunks, so no link between components is lost; pairs inside a component are never looked at. Pairs exist only inside a
+task; rows are classes and links of a spanning forest. Tables in between are written to spark.checkpoint.dir.
+
+The registers of a band are the most for which a pair at the threshold is missed with a probability below one in a
+million: eight for 0.85 (2e-7), six for 0.80 (5e-7).
 
 Defined cases: a null or wordless text has an empty set, is linked with nothing and is its own component; with fewer than
-k words the whole sequence is the one shingle; repeated rows give repeated rows (where texts differ under
-one doc_id, its links are confirmed on the smallest text); null doc_ids are left out; further columns are ignored by `groups` and kept by `deduplicate`.
+k words the whole sequence is the one shingle; repeated rows give repeated rows (where texts differ under one doc_id, its
+links are confirmed on the smallest text); null doc_ids are left out; further columns are ignored by `groups` and
+kept by `deduplicate`.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,28 +38,37 @@ from gridcast.llm import scratch
 from gridcast.llm import text as tx
 from gridcast.llm.components import components
 
-BANDS, ROWS = 32, 4
-REGISTERS = BANDS * ROWS
+BANDS, MOST_ROWS = 48, 8
 # SetSketch parameters: base, rate and largest register value (two bytes).
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
-#: How far below the threshold an estimate may be; six standard deviations of 128 registers at a similarity of 0.85.
-SLACK = 0.2
+BLOCK, BRIDGES = 400, 40
 
 _rng = np.random.default_rng(20)
-_FACTOR = _rng.integers(0, 1 << 63, REGISTERS, np.uint64) * tx.U(2) + tx.U(1)
-_SHIFT = _rng.integers(0, 1 << 63, REGISTERS, np.uint64)
+_FACTOR = _rng.integers(0, 1 << 63, BANDS * MOST_ROWS, np.uint64) * tx.U(2) + tx.U(1)
+_SHIFT = _rng.integers(0, 1 << 63, BANDS * MOST_ROWS, np.uint64)
+
+SKETCHED = "doc_id long, n_shingles long, set_1 long, set_2 long, bands binary"
+
+
+def band_rows(percent: int) -> int:
+    """Registers of a band: the most for which a pair at the threshold is missed less than once in a million."""
+    fits = [r for r in range(1, MOST_ROWS + 1) if (1 - (percent / 100) ** r) ** BANDS <= 1e-6]
+    return max(fits, default=1)
 
-SKETCHES = "doc_id long, n_shingles long, set_1 long, set_2 long, registers binary"
 
+def floor_of(percent: int, registers: int) -> float:
+    t = percent / 100
+    return max(0.0, t - 6 * math.sqrt(t * (1 - t) / registers) - 0.01)
 
-def sketch(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
+
+def sketch(doc: np.ndarray, h: np.ndarray, n_docs: int, registers: int) -> np.ndarray:
     """Registers (document x register, uint16) of sets given as (document, shingle hash), sorted by document."""
-    out = np.zeros((n_docs, REGISTERS), np.uint16)
+    out = np.zeros((n_docs, registers), np.uint16)
     full, begin = np.unique(doc, return_index=True)
     if not len(full):
         return out
-    least = np.empty((REGISTERS, len(full)), np.uint64)
-    for i in range(REGISTERS):
+    least = np.empty((registers, len(full)), np.uint64)
+    for i in range(registers):
         least[i] = np.minimum.reduceat(h * _FACTOR[i] + _SHIFT[i], begin)
     u = (least.astype(np.float64) + 0.5) / 2.0**64
     value = np.floor(1 - np.log(-np.log1p(-u) / RATE) / np.log(BASE))
@@ -86,146 +100,178 @@ def estimate(one: np.ndarray, two: np.ndarray, n_one: np.ndarray, n_two: np.ndar
     return (low + high) / 2
 
 
-def _sketches(k: int):
+def _sketches(k: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Set size, a 128-bit digest of the set and the keys of its bands for every document."""
         for batch in batches:
             parts = []
             for i, j, w in tx.words(batch.column(1), tx.SPACED):
                 doc, h = tx.shingles(w, k)
                 n = np.bincount(doc, minlength=j - i)
+                full, begin = np.unique(doc, return_index=True)
                 sums = []
                 for salt in (0x51, 0xA7):
                     total = np.zeros(j - i, tx.U)
-                    full, begin = np.unique(doc, return_index=True)
                     if len(full):
                         total[full] = np.add.reduceat(tx.mix(h, salt), begin)
                     sums.append(tx.signed(total))
-                parts.append((n, *sums, sketch(doc, h, j - i)))
-            n, one, two, regs = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3 + (np.zeros((0, REGISTERS), np.uint16),)
-            width = REGISTERS * 2
-            binary = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.arange(len(n) + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(regs))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), binary], names=["doc_id", "n_shingles", "set_1", "set_2", "registers"])
+                parts.append((n, *sums, band_keys(sketch(doc, h, j - i, BANDS * rows), rows)))
+            n, one, two, keys = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (*(np.zeros(0, np.int64),) * 3, np.zeros((0, BANDS), tx.U))
+            binary = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.arange(len(n) + 1) * BANDS * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(keys))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(one), pa.array(two), binary], names=["doc_id", "n_shingles", "set_1", "set_2", "bands"])
 
     return run
 
 
-def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set, and the sketch of every document."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sketches(k), SKETCHES)
+def band_keys(registers: np.ndarray, rows: int) -> np.ndarray:
+    """64 bits for each band, of its registers and its number."""
+    part = registers.reshape(len(registers), BANDS, rows).astype(tx.U)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=tx.U), (len(registers), BANDS))
+    for r in range(rows):
+        key = tx.mix(key ^ part[:, :, r], 0xA24BAED4963EE407)
+    return key
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, key, class) for each class and band; the key has 64 bits of the band's registers."""
     for batch in batches:
-        n = batch.num_rows
-        regs = _registers(batch.column(1)).reshape(n, BANDS, ROWS).astype(tx.U)
-        key = np.zeros((n, BANDS), tx.U)
-        for r in range(ROWS):
-            key |= regs[:, :, r] << tx.U(16 * r)
-        key = tx.mix(key) ^ (np.arange(BANDS, dtype=tx.U) * tx.U(0xA24BAED4963EE407))
-        yield pa.RecordBatch.from_arrays([pa.array(tx.mix(key.ravel()).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["key", "class"])
-
-
-def _registers(column: pa.Array) -> np.ndarray:
-    n = len(column)
-    if not n:
-        return np.zeros((0, REGISTERS), np.uint16)
-    _, offsets, data = column.buffers()
-    first = np.frombuffer(offsets, np.int32)[column.offset]
-    return np.frombuffer(data, np.uint16, n * REGISTERS, first).reshape(n, REGISTERS)
-
-
-def _estimates(floor: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, na, nb, ra, rb = batch.columns
-            j = estimate(_registers(ra), _registers(rb), na.to_numpy().astype(float), nb.to_numpy().astype(float)) if batch.num_rows else np.zeros(0)
-            keep = pa.array(j >= floor)
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep), pa.array(j[j >= floor])], names=["a", "b", "estimate"])
-
-    return run
-
+        _, offsets, data = batch.column(1).buffers()
+        first = np.frombuffer(offsets, np.int32)[batch.column(1).offset] if batch.num_rows else 0
+        keys = np.frombuffer(data, np.int64, batch.num_rows * BANDS, first) if batch.num_rows else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["key", "class"])
+
+
+class Forest:
+    """Links found so far among a task's classes."""
+
+    def __init__(self, labels: list[int]):
+        first: dict[int, int] = {}
+        self.parent = [first.setdefault(x, i) for i, x in enumerate(labels)]
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = i = self.parent[self.parent[i]]
+        return i
+
+
+def linked(doc: np.ndarray, h: np.ndarray, n: int, labels: list[int], asks: np.ndarray, percent: int, rows: int) -> list[tuple[int, int]]:
+    """Links that connect components: pairs of which at least one side asks, by estimate and then on the full sets."""
+    registers = sketch(doc, h, n, BANDS * rows)
+    floor, size = floor_of(percent, BANDS * rows), np.bincount(doc, minlength=n)
+    edge = np.searchsorted(doc, np.arange(n + 1))
+    forest, mark = Forest(labels), np.array(labels)
+    found: list[tuple[np.ndarray, ...]] = []
+    for i in np.flatnonzero(asks):
+        # each pair of asking classes once, and sizes that allow the similarity
+        other = np.flatnonzero((mark != mark[i]) & (~asks | (np.arange(n) > i)) & (np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * percent))
+        equal = (registers[other] == registers[i]).mean(1)
+        other = other[equal >= floor - 0.1]
+        if len(other):
+            e = estimate(registers[other], np.broadcast_to(registers[i], (len(other), registers.shape[1])), size[other].astype(float), np.full(len(other), float(size[i])))
+            keep = e >= floor
+            found.append((np.full(int(keep.sum()), i), other[keep], e[keep]))
+    if not found:
+        return []
+    one, two, e = (np.concatenate(x) for x in zip(*found, strict=True))
+    links = []
+    for at in np.argsort(-e, kind="stable").tolist():
+        a, b = int(one[at]), int(two[at])
+        x, y = forest.root(a), forest.root(b)
+        if x != y:
+            common = len(np.intersect1d(h[edge[a] : edge[a + 1]], h[edge[b] : edge[b + 1]], assume_unique=True))
+            if 100 * common >= percent * (size[a] + size[b] - common):
+                forest.parent[y] = x
+                links.append((a, b))
+    return links
+
+
+WORK = ["task", "class", "label", "asks", "text"]
+
+
+def _confirm(k: int, percent: int, rows: int):
+    def solve(part: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(part).combine_chunks()
+        ids, texts = t["class"].to_pylist(), t["text"].combine_chunks()
+        docs, hashes = [], []
+        for i, _, w in tx.words(texts, tx.SPACED):
+            doc, h = tx.shingles(w, k)
+            docs.append(doc + i)
+            hashes.append(h)
+        links = linked(np.concatenate(docs), np.concatenate(hashes), len(ids), t["label"].to_pylist(), t["asks"].to_numpy(), percent, rows)
+        return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in links], pa.int64()), pa.array([ids[b] for _, b in links], pa.int64())], names=["a", "b"])
 
-def plausible(pairs: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
-    """Pairs (a, b) of classes whose estimated similarity is at least `floor`, with the estimate."""
-    side = lambda x: classes.select(F.col("class").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b")
-    return joined.mapInArrow(_estimates(floor), "a long, b long, estimate double")
-
-
-def _confirm(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by task; a task's rows may begin in one batch and end in another."""
+        waiting: list[pa.RecordBatch] = []
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            data, at = tx.buffer(batch.column(2))
-            other, other_at = tx.buffer(batch.column(3))
-            for i, j in tx.ranges(at + other_at):
-                doc, h = tx.shingles(tx.split(data[at[i] : at[j]], at[i : j + 1] - at[i], tx.SPACED, True), k)
-                doc2, h2 = tx.shingles(tx.split(other[other_at[i] : other_at[j]], other_at[i : j + 1] - other_at[i], tx.SPACED, True), k)
-                both, hash_ = np.concatenate((doc, doc2)), np.concatenate((h, h2))
-                order = np.lexsort((hash_, both))
-                both, hash_ = both[order], hash_[order]
-                twice = (both[1:] == both[:-1]) & (hash_[1:] == hash_[:-1])
-                common = np.bincount(both[1:][twice], minlength=j - i)
-                union = np.bincount(both, minlength=j - i) - common
-                keep[i:j] = (100 * common >= percent * union) & (union > 0)
-            chosen = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(chosen), batch.column(1).filter(chosen)], names=["a", "b"])
+            if not batch.num_rows:
+                continue
+            task = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
+            if waiting and waiting[0].column(0)[0].as_py() != task[0]:
+                yield solve(waiting)
+                waiting = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                waiting.append(batch.slice(a, b - a))
+                if b < len(task):
+                    yield solve(waiting)
+                    waiting = []
+        if waiting:
+            yield solve(waiting)
 
     return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * |intersection| >= percent * |union| on the full sets. texts: class, text."""
-    a = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long")
+def confirmed(work: DataFrame, k: int, percent: int, rows: int) -> DataFrame:
+    """Links (a, b) of all tasks. work: task (hash), class, label (its component so far), asks, text."""
+    ordered = work.select(*WORK).repartition("task").sortWithinPartitions("task", "class")
+    return ordered.mapInArrow(_confirm(k, percent, rows), "a long, b long")
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id for every document. Documents with equal sets have one class_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    floor = max(0.0, percent / 100 - SLACK)
-    every = scratch.keep(sketches(docs.where("doc_id is not null"), k), "sketches")
-    # n_shingles is part of the key; registers of equal sets are equal, so any copy's will do
-    classes = every.where("n_shingles > 0").groupBy("set_1", "set_2", "n_shingles").agg(F.min("doc_id").alias("class"), F.first("registers").alias("registers"))
-    classes = scratch.keep(classes.select("class", "set_1", "set_2", "n_shingles", "registers"), "classes")
-    bands = scratch.keep(classes.select("class", "registers").mapInArrow(_bands, "key long, class long"), "bands")
+    rows = band_rows(percent)
+    every = scratch.keep(docs.where("doc_id is not null").mapInArrow(_sketches(k, rows), SKETCHED), "sketches")
+    sets = ["set_1", "set_2", "n_shingles"]
+    classes = every.where("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("class"))
+    first = every.select(F.col("doc_id").alias("class"), *sets, "bands").join(classes, ["class", *sets], "left_semi").dropDuplicates(["class", *sets])
+    bands = scratch.keep(first.select("class", "bands").mapInArrow(_bands, "key long, class long"), "bands")
     buckets = bands.groupBy("key").agg(F.min("class").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    members = scratch.keep(bands.join(buckets, "key"), "members")
-
-    pairs = members.where("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
-    likely = scratch.keep(plausible(pairs, classes, floor), "likely")
-    texts = scratch.keep(_texts(docs, likely.select(F.col("a").alias("class")).unionByName(likely.select(F.col("b").alias("class"))).distinct()), "texts")
-    best = likely.groupBy("b").agg(F.max_by("a", F.struct(F.col("estimate"), -F.col("a"))).alias("a")).select("a", "b")
-    links = scratch.keep(confirmed(best, texts, k, percent), "confirmed")
+    stars = bands.join(buckets, "key").where("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b"))
+    grouped = components(stars).select(F.col("id").alias("class"), F.col("component").alias("group"))
+
+    sizes = grouped.groupBy("group").agg(F.count("*").alias("n"))
+    placed = grouped.join(sizes, "group").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
+    texts = docs.withColumnRenamed("doc_id", "class").join(placed, "class").groupBy("class", "group", "blocks").agg(F.min("text").alias("text"))
+    texts = scratch.keep(texts.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "texts")
+    # a group's bridges: about BRIDGES classes by hash, in all of its blocks
+    bridge = F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks") * F.lit(BLOCK)) < BRIDGES
+    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+    spread = texts.withColumn("at", F.explode(F.when(bridge, everywhere).otherwise(F.array("block"))))
+    work = spread.select(F.xxhash64("group", "at").alias("task"), "class", F.col("class").alias("label"), F.lit(True).alias("asks"), "text")
+    links = scratch.keep(confirmed(work, k, percent, rows), "links")
     label = scratch.keep(components(links), "label")
 
-    # what the stars left apart: in each bucket, classes outside the first one's component against other components
-    placed = members.join(label.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    placed = scratch.keep(placed.join(mixed, "key", "left_semi"), "placed")
-    home = placed.where("class = first").select("key", F.col("component").alias("home"))
-    strays = placed.join(home, "key").where("component <> home").select("key", F.col("class").alias("x"), F.col("component").alias("of"))
-    cross = strays.join(placed.select("key", F.col("class").alias("y"), "component"), "key").where("of <> component")
-    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    likely2 = scratch.keep(plausible(rest, classes, floor), "likely")
-    more = _texts(docs, likely2.select(F.col("a").alias("class")).unionByName(likely2.select(F.col("b").alias("class"))).distinct().join(texts.select("class"), "class", "left_anti"))
-    links2 = scratch.keep(confirmed(likely2, texts.unionByName(scratch.keep(more, "texts")), k, percent), "confirmed")
-    if links2.limit(1).count():
-        label = scratch.keep(components(links.unionByName(links2)), "label")
-
-    found = classes.join(label.select(F.col("id").alias("class"), "component"), "class", "left").select("set_1", "set_2", "n_shingles", F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component"))
-    joined = every.drop("registers").join(found, ["set_1", "set_2", "n_shingles"], "left")
+    large = texts.where("blocks > 1").join(label.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
+    weight = large.groupBy("group", "label").agg(F.count("*").alias("n"))
+    home = weight.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("home"), F.sum("n").alias("all"), F.max("n").alias("most")).where("most < all")
+    open_ = scratch.keep(large.join(home, "group").withColumn("stray", F.col("label") != F.col("home")).withColumn("chunks", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")), "open")
+    chunk = F.pmod(F.xxhash64("class", F.lit(2)), F.col("chunks")).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    task = F.xxhash64("group", "at", "chunk", F.lit(3)).alias("task")
+    # strays of a chunk meet the classes of a block: those that don't ask are the block's, those that ask the chunk's
+    asking = open_.where("stray").withColumn("chunk", chunk).withColumn("at", each("blocks")).select(task, "class", "label", F.lit(True).alias("asks"), "text")
+    asked = open_.withColumn("at", F.col("block")).withColumn("chunk", each("chunks")).select(task, "class", "label", F.lit(False).alias("asks"), "text")
+    more = scratch.keep(confirmed(asking.unionByName(asked), k, percent, rows), "links")
+    if more.limit(1).count():
+        label = scratch.keep(components(links.unionByName(more)), "label")
+
+    found = classes.join(label.select(F.col("id").alias("class"), "component"), "class", "left").select(*sets, F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component"))
+    joined = every.drop("bands").join(found, sets, "left")
     full = joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
     return full.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "class_id")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    return docs.withColumnRenamed("doc_id", "class").join(wanted, "class", "left_semi").groupBy("class").agg(F.min("text").alias("text"))
-
-
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents of which one of each group stays: the one with the smallest doc_id (one row of it). Columns stay as they are; rows without a doc_id stay."""
     gone = groups(docs, k, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()

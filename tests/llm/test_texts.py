@@ -92,6 +92,22 @@ def test_chain_of_near_copies_is_one_component(spark):
     assert got == {i: c for i, (_, c) in brute_components(rows, 3, 85).items()}
 
 
+def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
+    """Near copies of unlike distance, more than a block of them: half of them are strays."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "BRIDGES", 2)
+    rng = random.Random(5)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.groups(make(spark, rows), 3, 85).collect()}
+    want = {i: c for i, (_, c) in brute_components(rows, 3, 85).items()}
+    assert got == want and 1 < len(set(want.values())) < 60
+
+
 def test_deduplicate_keeps_one_row_of_each_group_and_all_columns(spark):
     rows = corpus(5)
     out = neardup.deduplicate(make(spark, rows))
@@ -115,7 +131,7 @@ def test_sketches_estimate_and_merge():
     h = rng.integers(0, 1 << 63, 1500, np.uint64) * tx.U(2)
     one, two = h[:1000], h[200:1200]
     doc = lambda x: np.zeros(len(x), np.int64)
-    a, b, both = (neardup.sketch(doc(x), x, 1) for x in (one, two, np.unique(h[:1200])))
+    a, b, both = (neardup.sketch(doc(x), x, 1, 384) for x in (one, two, np.unique(h[:1200])))
     assert (np.maximum(a, b) == both).all()
     j = neardup.estimate(a, b, np.array([1000.0]), np.array([1000.0]))[0]
     assert abs(j - 800 / 1200) < 0.15
