@@ -165,6 +165,7 @@ class FingerprintIndex:
         self.spark, self.window = spark, window
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
+        self.merged: list[str] = []
         self.texts: list[DataFrame] = []
 
     def _write(self, rows: DataFrame, name: str) -> str:
@@ -185,12 +186,17 @@ class FingerprintIndex:
         return found
 
     def compact(self) -> None:
-        """Merges all runs into one; runs share no span, so nothing else changes."""
+        """Merges all runs into one; runs share no span, so nothing else changes. The old tables stay until `forget`."""
         if len(self.runs) > 1:
             whole = self.history().repartition(self.buckets, "gram").withColumn("kind", F.lit("first"))
-            old, self.runs = self.runs, [self._write(whole, "compacted")]
-            for table in old:
-                self.spark.sql(f"drop table {table}")
+            self.merged += self.runs
+            self.runs = [self._write(whole, "compacted")]
+
+    def forget(self) -> None:
+        """Drops runs that have been merged; results of earlier batches that aren't computed yet may still read them."""
+        for table in self.merged:
+            self.spark.sql(f"drop table {table}")
+        self.merged = []
 
     def add(self, docs: DataFrame, remember: bool = True) -> DataFrame:
         """Intervals of windows (doc_id, start, n) of the batch that repeat; then the batch belongs to the index.
