@@ -195,16 +195,18 @@ def accept(docs: DataFrame, model: Model) -> DataFrame:
     at, lang = names.index("text"), names.index("lang") if "lang" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            has = lettered(batch.column(at)) if model.languages else np.zeros(batch.num_rows, bool)
-            columns = list(batch.columns)
-            if lang is not None and columns[lang].null_count:
-                known = columns[lang].to_pylist()
-                for i in [i for i, x in enumerate(known) if x is None and has[i]]:
-                    data, offsets = tx.buffer(batch.column(at).slice(i, 1))
-                    known[i] = model.languages[decode(means(data, offsets, model.weights) * model.slope + model.bias, model.code)[0][0]]
-                columns[lang] = pa.array(known, pa.string())
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(has)) for c in columns], names=names)
+        for whole in batches:
+            for i, j in tx.ranges(tx.buffer(whole.column(at))[1], tx.CHUNK_BYTES):
+                batch = whole.slice(i, j - i)
+                has = lettered(batch.column(at)) if model.languages else np.zeros(j - i, bool)
+                columns = list(batch.columns)
+                if lang is not None and columns[lang].null_count:
+                    known = columns[lang].to_pylist()
+                    for k in [k for k, x in enumerate(known) if x is None and has[k]]:
+                        data, offsets = tx.buffer(batch.column(at).slice(k, 1))
+                        known[k] = model.languages[decode(means(data, offsets, model.weights) * model.slope + model.bias, model.code)[0][0]]
+                    columns[lang] = pa.array(known, pa.string())
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(has)) for c in columns], names=names)
 
     return docs.mapInArrow(run, docs.schema)
 
