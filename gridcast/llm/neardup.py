@@ -223,7 +223,8 @@ def _confirm(k: int, percent: int, rows: int):
 
 def confirmed(work: DataFrame, k: int, percent: int, rows: int) -> DataFrame:
     """Links (a, b) of all tasks. work: task (hash), class, label (its component so far), asks, text."""
-    ordered = work.select(*WORK).repartition("task").sortWithinPartitions("task", "class")
+    parts = 2 * int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work of a row is large against its bytes
+    ordered = work.select(*WORK).repartition(parts, "task").sortWithinPartitions("task", "class")
     return ordered.mapInArrow(_confirm(k, percent, rows), "a long, b long")
 
 
@@ -242,7 +243,8 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     sizes = grouped.groupBy("group").agg(F.count("*").alias("n"))
     placed = grouped.join(sizes, "group").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
-    texts = docs.withColumnRenamed("doc_id", "class").join(placed, "class").groupBy("class", "group", "blocks").agg(F.min("text").alias("text"))
+    # both sides grow with the input, so the join is the same at every size
+    texts = docs.withColumnRenamed("doc_id", "class").join(placed.hint("merge"), "class").groupBy("class", "group", "blocks").agg(F.min("text").alias("text"))
     texts = scratch.keep(texts.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "texts")
     # a group's bridges: about BRIDGES classes by hash, in all of its blocks
     bridge = F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks") * F.lit(BLOCK)) < BRIDGES
