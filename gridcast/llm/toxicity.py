@@ -1,11 +1,13 @@
 """Toxicity: a lexicon trie intersected with Levenshtein automata, and context windows around each hit.
 
-The lexicon is learned: words much likelier in toxic than in other texts, counted once for each text of a bounded labelled
-sample (at most about `rows_per_label` of either label, by a hash of doc_id); near copies count once, by their smallest
-shingle hash. A word that isn't in the lexicon runs the automaton for edit distance 1 (2 from ten letters on) against
-the trie; a hit is a misspelled term with a lower weight. Each hit has a window of `CONTEXT` words to either side: quotation
-marks around it, words of reporting and the density of further hits separate quotation from abuse. A logistic model, fitted
-on the sample, turns a text's sums over its hits into a score.
+The lexicon is learned on a bounded labelled sample (at most about `rows_per_label` rows of either label, by a hash of
+doc_id; near copies count once, by their smallest shingle hash): words and stems (beginnings of `STEMS` letters) that are
+much likelier in toxic than in other texts. A word that holds none of them runs the automata for edit distance 1 (2 for terms
+of ten letters or more; neighbouring letters that changed places are one edit) of the trie of the commoner of these words; a match is a
+misspelled term of lower weight, unless the sample shows it to be an ordinary word. Each hit has a window of `CONTEXT` words
+to either side: quotation marks around it, words of reporting and the density of further hits separate quotation from abuse.
+A logistic model, fitted on the sample, turns a text's sums over its hits into a score. Misspellings are rare in a sample,
+so each toxic text with hits is also learned as if its terms were misspelled.
 
 Defined cases: null and empty texts and texts without hits get the model's score for no hits; an empty or one-sided
 training set gives the share of label 1 (0.0 if there are no labels); repeated labels of a doc_id count once by the
@@ -24,13 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridcast.llm import scratch
 from gridcast.llm import text as tx
 
 CONTEXT = 6
-SAMPLE_ROWS = 6000
-LEXICON = 300
-CACHE_WORDS = 300_000
-LEAST_LETTERS = 4
+SAMPLE_ROWS = 3000
+LEXICON, EXCEPTIONS = 300, 5000
+CACHE_WORDS = 200_000
+LEAST_LETTERS, LEAST_FUZZY = 4, 5
+#: Share of toxic texts that a word must stand in to be looked for in misspelled form.
+FUZZY_SHARE = 0.05
+STEMS = range(4, 9)
 # Words of reporting speech in the four languages of the tables, and quotation marks.
 REPORTING = frozenset("said says wrote quoted quote called reported according sagte schrieb zitat dit disait cita dijo".split())
 QUOTES = ('"', "“", "”", "«", "»", "„")
@@ -40,55 +46,123 @@ FEATURES = 7
 
 
 class Trie:
-    """Terms by letter; a node is a dict of children, with the term's weight under the empty string."""
+    """Levenshtein automata of all terms at once, as a trie of the terms that is read letter by letter of a word.
 
-    def __init__(self, terms: dict[str, float]):
-        self.root: dict = {}
-        self.lengths = {len(t) for t in terms}
-        for term, weight in terms.items():
-            node = self.root
-            for c in term:
-                node = node.setdefault(c, {})
-            node[""] = (term, weight)
+    A configuration is (node, edits so far, letter awaited after a swap); the configurations after a prefix of a word are one
+    state. States and their transitions are made when first met, so a word costs a lookup for each letter until its
+    state is dead, which is after a few letters for most words.
+    """
 
-    def near(self, word: str, most: int) -> tuple[str, float, int] | None:
-        """The term within `most` edits that is nearest (then weightiest): trie nodes and automaton states walked together.
+    MOST_STATES = 50_000
 
-        A state of the Levenshtein automaton is the row of edit distances of the word's prefixes, cut off above `most`;
-        a branch ends when its state is dead.
-        """
-        if not any(abs(len(word) - n) <= most for n in self.lengths):
+    def __init__(self, terms: dict[str, float], edits):
+        """edits(term): how many a term may have."""
+        self.children: list[dict[str, int]] = [{}]
+        self.ends: list[tuple[str, float] | None] = [None]
+        self.most = [0]
+        self.allowed = {t: edits(t) for t in terms}
+        for term, weight in terms.items():
+            node = 0
+            self.most[0] = max(self.most[0], self.allowed[term])
+            for c in term:
+                if c not in self.children[node]:
+                    self.children[node][c] = len(self.children)
+                    self.children.append({})
+                    self.ends.append(None)
+                    self.most.append(0)
+                node = self.children[node][c]
+                self.most[node] = max(self.most[node], self.allowed[term])
+            self.ends[node] = (term, weight)
+        self._reset()
+
+    def _reset(self) -> None:
+        self.ids: dict[frozenset, int] = {}
+        self.states: list[frozenset] = []
+        self.next: list[dict[str, int]] = []
+        self.start = self._state({(0, 0, "")} if self.allowed else set())
+
+    def _state(self, found: set) -> int:
+        """The number of a state, closed under letters that the word leaves out; -1 if it is dead."""
+        todo = list(found)
+        while todo:
+            node, e, awaited = todo.pop()
+            if not awaited:
+                for child in self.children[node].values():
+                    if e < self.most[child] and (child, e + 1, "") not in found:
+                        found.add((child, e + 1, ""))
+                        todo.append((child, e + 1, ""))
+        if not found:
+            return -1
+        key = frozenset(found)
+        if key not in self.ids:
+            self.ids[key] = len(self.states)
+            self.states.append(key)
+            self.next.append({})
+        return self.ids[key]
+
+    def _step(self, state: int, c: str) -> int:
+        found = set()
+        for node, e, awaited in self.states[state]:
+            if awaited:
+                if c == awaited:
+                    found.add((node, e, ""))
+                continue
+            for x, child in self.children[node].items():
+                if x == c:
+                    found.add((child, e, ""))
+                elif e < self.most[child]:
+                    found.add((child, e + 1, ""))
+                    if c in self.children[child] and e < self.most[self.children[child][c]]:
+                        found.add((self.children[child][c], e + 1, x))
+            if e < self.most[node]:
+                found.add((node, e + 1, ""))
+        made = self._state(found)
+        self.next[state][c] = made
+        return made
+
+    def near(self, word: str) -> tuple[str, float, int] | None:
+        """(term, weight, edits) of the nearest term within its edits, then the weightiest; or None."""
+        if len(self.states) > self.MOST_STATES:
+            self._reset()
+        state = self.start
+        for c in word:
+            if state < 0:
+                return None
+            state = self.next[state].get(c, -2)
+            if state == -2:
+                state = self._walk(word)
+                break
+        if state < 0:
             return None
-        best = None
-        stack = [(self.root, tuple(range(len(word) + 1)), "", None)]
-        while stack:
-            node, row, last, before = stack.pop()
-            if (term := node.get("")) and row[-1] <= most and (best is None or (row[-1], -term[1], term[0]) < (best[2], -best[1], best[0])):
-                best = (*term, row[-1])
-            for c, child in node.items():
-                if c == "":
-                    continue
-                new = [row[0] + 1]
-                for i, letter in enumerate(word):
-                    d = min(new[i] + 1, row[i + 1] + 1, row[i] + (letter != c))
-                    if before is not None and i and letter == last and word[i - 1] == c:
-                        d = min(d, before[i - 1] + 1)
-                    new.append(d)
-                if min(new) <= most:
-                    stack.append((child, tuple(new), c, row))
-        return best
+        ends = [(e, -self.ends[node][1], self.ends[node][0]) for node, e, awaited in self.states[state] if not awaited and self.ends[node] and e <= self.allowed[self.ends[node][0]]]
+        if not ends:
+            return None
+        e, weight, term = min(ends)
+        return term, -weight, e
+
+    def _walk(self, word: str) -> int:
+        state = self.start
+        for c in word:
+            if state < 0:
+                break
+            known = self.next[state].get(c, -2)
+            state = self._step(state, c) if known == -2 else known
+        return state
 
 
 @dataclass
 class Model:
     terms: dict[str, float] = field(default_factory=dict)
+    stems: dict[str, float] = field(default_factory=dict)
+    fuzzy: frozenset[str] = frozenset()
+    ordinary: frozenset[str] = frozenset()
     weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
     bias: float = -30.0
     trie: Trie | None = None
     cache: dict = field(default_factory=dict)
 
     def __getstate__(self):
-        return {"terms": self.terms, "weights": self.weights, "bias": self.bias}
+        return {"terms": self.terms, "stems": self.stems, "fuzzy": self.fuzzy, "ordinary": self.ordinary, "weights": self.weights, "bias": self.bias}
 
     def __setstate__(self, state):
         self.__dict__.update(state, trie=None, cache={})
@@ -100,21 +174,29 @@ class Model:
             return found
         if word in self.terms:
             found = (self.terms[word], True)
-        elif len(word) < LEAST_LETTERS or len(word) > 40:
-            found = None
+        elif stem := next((x for n in STEMS if (x := word[:n]) in self.stems), None):
+            found = (self.stems[stem], True)
         else:
-            self.trie = self.trie or Trie(self.terms)
-            near = self.trie.near(word, 2 if len(word) >= 10 else 1)
+            near = self.near(word) if word not in self.ordinary else None
             found = (near[1] / (1 + near[2]), False) if near else None
         if len(self.cache) >= CACHE_WORDS:
             self.cache.clear()
         self.cache[word] = found
         return found
 
-    def features(self, text: str) -> np.ndarray:
-        """Sums over hits: any, exact, misspelled, weight of abuse, quoted, reported, and hits in each other's window."""
+    def near(self, word: str) -> tuple[str, float, int] | None:
+        if not LEAST_FUZZY - 1 <= len(word):
+            return None
+        self.trie = self.trie or Trie({t: self.terms[t] for t in self.fuzzy if len(t) >= LEAST_FUZZY}, lambda t: 2 if len(t) >= 10 else 1)
+        return self.trie.near(word)
+
+    def features(self, text: str, misspelled: bool = False) -> np.ndarray:
+        """Sums over hits: any exact, exact, misspelled abuse, weight of exact abuse, quoted, reported, and hits in each other's window.
+
+        misspelled: as if every term were.
+        """
         out = np.zeros(FEATURES)
-        if not self.terms:
+        if not self.terms and not self.stems:
             return out
         low = text.lower()
         spans = None
@@ -125,6 +207,7 @@ class Model:
         marked = any(q in low for q in QUOTES)
         places = np.array([i for i, _ in hits])
         for i, (weight, exact) in hits:
+            exact = exact and not misspelled
             reported = not REPORTING.isdisjoint(words[max(0, i - CONTEXT) : i + CONTEXT + 1])
             quoted = False
             if marked:
@@ -132,9 +215,10 @@ class Model:
                 a, b = spans[max(0, i - CONTEXT)][0], spans[min(len(words) - 1, i + CONTEXT)][1]
                 left, right = low[a : spans[i][0]], low[spans[i][1] : b + 1]
                 quoted = any(q in left for q in QUOTES) and any(q in right for q in QUOTES)
-            near = int(((places >= i - CONTEXT) & (places <= i + CONTEXT)).sum()) - 1 if len(places) <= 512 else 1
-            out += (0, exact, not exact, weight * (0.3 if quoted or reported else 1.0), quoted, reported, min(near, 3))
-        out[0] = 1
+            near = int(np.searchsorted(places, i + CONTEXT, "right") - np.searchsorted(places, i - CONTEXT)) - 1
+            told = 0.3 if quoted or reported else 1.0
+            out += (0, exact, 0.0 if exact else told, weight * told if exact else 0.0, quoted, reported, min(near, 3))
+        out[0] = out[1] > 0
         out[1:] = np.log1p(out[1:])
         return out
 
@@ -152,11 +236,12 @@ def sample(docs: DataFrame, labels: DataFrame, rows_per_label: int) -> DataFrame
     size = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     least = lambda k: min(1 << 20, int(rows_per_label / max(1, size.get(k, 0)) * (1 << 20)) + 1)
     chosen = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.when(F.col("toxic") == 1, least(1)).otherwise(least(0)))
-    return docs.select("doc_id", "text").join(chosen, "doc_id")
+    # at most about 2 * rows_per_label rows of two numbers, so documents needn't be shuffled
+    return scratch.keep(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "sample")
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each sampled text's distinct words and a hash that near copies mostly share."""
+    """Each sampled text's distinct words and stems (with a star), and a hash that near copies mostly share."""
     for batch in batches:
         keys, words = [], []
         for i, j, w in tx.words(batch.column(0)):
@@ -166,7 +251,8 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             least[full] = h[first]
             keys += least.view(np.int64).tolist()
         for text in batch.column(0).to_pylist():
-            words.append(sorted({w for w in WORD.findall((text or "").lower()) if len(w) >= LEAST_LETTERS}))
+            found = {w for w in WORD.findall((text or "").lower()) if len(w) >= LEAST_LETTERS}
+            words.append([*found, *{w[:n] + "*" for w in found for n in STEMS if n < len(w)}])
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(1), pa.array(words, pa.list_(pa.string()))], names=["key", "toxic", "words"])
 
 
@@ -182,27 +268,58 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = SAMPLE_ROWS, t
         return model
     n = once.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     ratio = F.log(((F.col("a") + 0.5) / (pos + 1)) / ((F.col("b") + 0.5) / (neg + 1)))
-    found = n.where(F.col("a") >= max(3, math.ceil(0.01 * pos))).withColumn("ratio", ratio).where("ratio >= 2.5").orderBy(F.desc(F.col("ratio") * F.sqrt("a")), "word").limit(terms).collect()
-    model.terms = {r["word"]: r["ratio"] for r in found}
+    n = scratch.keep(n.withColumn("ratio", ratio), "words")
+    found = n.where((F.col("a") >= max(3, math.ceil(0.01 * pos))) & (F.col("ratio") >= 3.5)).orderBy(F.desc(F.col("ratio") * F.sqrt("a")), "word").limit(8 * terms).collect()
+    words = {r["word"]: r for r in found if not r["word"].endswith("*")}
+    model.stems = _stems({r["word"][:-1]: r for r in found if r["word"].endswith("*")}, words)
+    model.terms = {w: r["ratio"] for w, r in list(words.items())[:terms]}
+    model.fuzzy = frozenset(w for w in model.terms if words[w]["a"] >= FUZZY_SHARE * pos)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-    def measure(batches):
+    def fuzzy(batches):
         own = shipped.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([own.features(t or "").tobytes() for t in batch.column(0).to_pylist()], pa.binary())], names=["toxic", "features"])
+            yield batch.filter(pa.array([w not in own.terms and own.near(w) is not None for w in batch.column(0).to_pylist()], pa.bool_()))
 
-    got = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(measure, "toxic int, features binary").collect()
-    y = np.array([r["toxic"] for r in got], float)
+    close = n.where("word not like '%*' and ratio < 1").select("word", "b").mapInArrow(fuzzy, "word string, b long")
+    model.ordinary = frozenset(r["word"] for r in close.orderBy(F.desc("b"), "word").limit(EXCEPTIONS).collect())
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches):
+        own = shipped.value
+        for batch in batches:
+            kinds, out = [], []
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = own.features(text or "")
+                kinds.append(toxic)
+                out.append(x.tobytes())
+                if toxic and x[1]:
+                    kinds.append(2)
+                    out.append(own.features(text, misspelled=True).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(out, pa.binary())], names=["kind", "features"])
+
+    got = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(measure, "kind int, features binary").collect()
+    kind = np.array([r["kind"] for r in got])
     x = np.stack([np.frombuffer(r["features"]) for r in got])
     # the sample holds either label at its own rate; weights give the labels back their shares of the training rows
-    share = {k: 1.0 for k in (0, 1)}
     total = {r["toxic"]: r["n"] for r in labels.where("toxic in (0, 1)").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    for k in (0, 1):
-        share[k] = total.get(k, 0) / max(1, (y == k).sum())
-    model.weights, model.bias = _logistic(x, y, np.where(y == 1, share[1], share[0]))
+    share = [total.get(k, 0) / max(1, (kind == k).sum()) for k in (0, 1)]
+    weight = np.choose(kind, [share[0], share[1], 0.5 * share[1]])
+    model.weights, model.bias = _logistic(x, (kind > 0).astype(float), weight)
     return model
 
 
+def _stems(stems: dict, words: dict) -> dict[str, float]:
+    """Stems that say more than one word does: half as many texts again as any single word with it; of nested ones the shortest whose ratio is nearly the best."""
+    out: dict[str, float] = {}
+    for stem in sorted(stems, key=lambda x: (len(x), x)):
+        r = stems[stem]
+        single = max((w["a"] for t, w in words.items() if t.startswith(stem)), default=0)
+        if r["ratio"] >= 5 and r["a"] >= 1.5 * single and not any(stem.startswith(x) and w >= r["ratio"] - 0.7 for x, w in out.items()):
+            out[stem] = r["ratio"]
+    return out
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray, float]:
     """Weighted logistic regression by Newton steps with a small penalty."""
     a = np.hstack((x, np.ones((len(x), 1))))

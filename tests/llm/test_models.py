@@ -60,7 +60,7 @@ def test_top_k_equals_brute_force(spark, pivots, monkeypatch):
     monkeypatch.setattr(knn, "QUERY_BLOCK", 4)
     rng = random.Random(2)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(120)]
-    rows += [(200 + i, rows[3][1]) for i in range(40)] + [(300, None), (301, [1.0, None, 0, 0, 0, 0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (304, [0.5, 0.5]), (305, [])]
+    rows += [(200 + i, rows[3][1]) for i in range(40)] + [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (304, [0.5, 0.5]), (305, [])]
     df = spark.createDataFrame([(i, v, 9) for i, v in rows], "vec_id long, embedding array<double>, cell int")
     queries = {i for i, _ in rows if i % 10 == 0}
     got = knn.top_k(df, df.where("vec_id % 10 = 0"), 5, pivots=pivots)
@@ -120,16 +120,17 @@ def edits(a, b):
 @settings(max_examples=200, deadline=None)
 @given(st.text("abc", min_size=1, max_size=7), st.lists(st.text("abc", min_size=1, max_size=7), min_size=1, max_size=6, unique=True), st.integers(0, 2))
 def test_automaton_finds_the_nearest_term(word, terms, most):
-    found = toxicity.Trie(dict.fromkeys(terms, 1.0)).near(word, most)
+    found = toxicity.Trie(dict.fromkeys(terms, 1.0), lambda t: most).near(word)
     near = min(edits(word, t) for t in terms)
     assert (found is None) == (near > most) and (found is None or found[2] == near)
 
 
 def test_quotation_weighs_less_than_abuse():
-    m = toxicity.Model({"idiot": 5.0}, np.array([0.0, 0, 0, 1, 0, 0, 0]), -1.0)
+    m = toxicity.Model({"idiot": 5.0}, {"foul": 4.0}, frozenset({"idiot"}), frozenset({"idiom"}), np.array([0.0, 0, 1, 1, 0, 0, 0]), -1.0)
     score = lambda t: m.scores(m.features(t)[None])[0]
     assert score("you idiot") > score('he said "you idiot" to us') > score("a kind word")
-    assert score("you idoit") > score("a kind word") and score("") == score("a kind word")
+    assert score("you idoit") > score("a kind word") and score("") == score("a kind word") == score("an idiom")
+    assert score("fouling") > score("a kind word")
 
 
 @tables
