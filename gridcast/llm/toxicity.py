@@ -2,9 +2,11 @@
 
 The lexicon is learned on a bounded labelled sample (at most about `rows_per_label` rows of either label, by a hash of
 doc_id; near copies count once, by their smallest shingle hash): words and stems (beginnings of `STEMS` letters) that are
-much likelier in toxic than in other texts. A word that holds none of them runs the automata for edit distance 1 (2 for terms
-of ten letters or more; neighbouring letters that changed places are one edit) of the trie of the commoner of these words; a match is a
-misspelled term of lower weight, unless the sample shows it to be an ordinary word. Each hit has a window of `CONTEXT` words
+much likelier in toxic than in other texts, beyond what chance gives among so many words. A word that holds none of them runs the automata for edit distance 1 (2 for terms
+of ten letters or more; neighbouring letters that changed places are one edit) of the trie of all these words of `LEAST_FUZZY` letters
+or more and of all stems, which match a word's beginning. A match is a misspelled term, unless the sample shows it to be an ordinary
+word, and counts by its term's trust: how far the sampled words that come near the term, and stand in one text only (as words
+do that the sample just missed), stand in toxic texts. Each hit has a window of `CONTEXT` words
 to either side: quotation marks around it, words of reporting and the density of further hits separate quotation from abuse.
 A logistic model, fitted on the sample, turns a text's sums over its hits into a score. Misspellings are rare in a sample,
 so each toxic text with hits is also learned as if its terms were misspelled.
@@ -31,11 +33,9 @@ from gridcast.llm import text as tx
 
 CONTEXT = 6
 SAMPLE_ROWS = 3000
-LEXICON, EXCEPTIONS = 300, 5000
+LEXICON, EXCEPTIONS = 300, 100_000
 CACHE_WORDS = 200_000
-LEAST_LETTERS, LEAST_FUZZY = 4, 5
-#: Share of toxic texts that a word must stand in to be looked for in misspelled form.
-FUZZY_SHARE = 0.05
+LEAST_LETTERS, LEAST_FUZZY = 2, 4
 STEMS = range(4, 9)
 # Words of reporting speech in the four languages of the tables, and quotation marks.
 REPORTING = frozenset("said says wrote quoted quote called reported according sagte schrieb zitat dit disait cita dijo".split())
@@ -56,7 +56,8 @@ class Trie:
     MOST_STATES = 50_000
 
     def __init__(self, terms: dict[str, float], edits):
-        """edits(term): how many a term may have."""
+        """edits(term): how many a term may have. A term that ends in a star matches the beginning of a word."""
+        self.open: set[int] = set()
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[tuple[str, float] | None] = [None]
         self.most = [0]
@@ -64,7 +65,7 @@ class Trie:
         for term, weight in terms.items():
             node = 0
             self.most[0] = max(self.most[0], self.allowed[term])
-            for c in term:
+            for c in term.removesuffix("*"):
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
@@ -72,7 +73,10 @@ class Trie:
                     self.most.append(0)
                 node = self.children[node][c]
                 self.most[node] = max(self.most[node], self.allowed[term])
-            self.ends[node] = (term, weight)
+            if term.endswith("*"):
+                self.open.add(node)
+            if not self.ends[node] or weight > self.ends[node][1]:
+                self.ends[node] = (term, weight)
         self._reset()
 
     def _reset(self) -> None:
@@ -107,6 +111,8 @@ class Trie:
                 if c == awaited:
                     found.add((node, e, ""))
                 continue
+            if node in self.open:
+                found.add((node, e, ""))
             for x, child in self.children[node].items():
                 if x == c:
                     found.add((child, e, ""))
@@ -158,36 +164,43 @@ class Model:
     ordinary: frozenset[str] = frozenset()
     weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
     bias: float = -30.0
+    trust: dict[str, float] = field(default_factory=dict)
     trie: Trie | None = None
     cache: dict = field(default_factory=dict)
 
     def __getstate__(self):
-        return {"terms": self.terms, "stems": self.stems, "fuzzy": self.fuzzy, "ordinary": self.ordinary, "weights": self.weights, "bias": self.bias}
+        return {"terms": self.terms, "stems": self.stems, "fuzzy": self.fuzzy, "ordinary": self.ordinary, "weights": self.weights, "bias": self.bias, "trust": self.trust}
 
     def __setstate__(self, state):
         self.__dict__.update(state, trie=None, cache={})
 
-    def hit(self, word: str) -> tuple[float, bool] | None:
-        """(weight, spelled as in the lexicon) of a lower-case word."""
+    def hit(self, word: str) -> tuple[float, bool, float] | None:
+        """(weight, spelled as in the lexicon, trust in its misspelled forms) of a lower-case word."""
         found = self.cache.get(word, self)
         if found is not self:
             return found
         if word in self.terms:
-            found = (self.terms[word], True)
-        elif stem := next((x for n in STEMS if (x := word[:n]) in self.stems), None):
-            found = (self.stems[stem], True)
+            found = (self.terms[word], True, self.trust.get(word, 1.0))
+        elif stem := self.stem(word):
+            found = (self.stems[stem], True, self.trust.get(stem + "*", 1.0))
         else:
             near = self.near(word) if word not in self.ordinary else None
-            found = (near[1] / (1 + near[2]), False) if near else None
+            found = (near[1] / (1 + near[2]), False, self.trust.get(near[0], 1.0)) if near else None
         if len(self.cache) >= CACHE_WORDS:
             self.cache.clear()
         self.cache[word] = found
         return found
 
+    def stem(self, word: str) -> str | None:
+        return next((x for n in STEMS if (x := word[:n]) in self.stems), None)
+
     def near(self, word: str) -> tuple[str, float, int] | None:
+        """The term (a stem with a star), weight and edits of the nearest term in misspelled form."""
         if not LEAST_FUZZY - 1 <= len(word):
             return None
-        self.trie = self.trie or Trie({t: self.terms[t] for t in self.fuzzy if len(t) >= LEAST_FUZZY}, lambda t: 2 if len(t) >= 10 else 1)
+        if self.trie is None:
+            looked = {t: self.terms[t] for t in self.fuzzy if len(t) >= LEAST_FUZZY} | {t + "*": w for t, w in self.stems.items()}
+            self.trie = Trie(looked, lambda t: 2 if len(t) >= 10 else 1)
         return self.trie.near(word)
 
     def features(self, text: str, misspelled: bool = False) -> np.ndarray:
@@ -206,7 +219,7 @@ class Model:
             return out
         marked = any(q in low for q in QUOTES)
         places = np.array([i for i, _ in hits])
-        for i, (weight, exact) in hits:
+        for i, (weight, exact, trust) in hits:
             exact = exact and not misspelled
             reported = not REPORTING.isdisjoint(words[max(0, i - CONTEXT) : i + CONTEXT + 1])
             quoted = False
@@ -217,7 +230,8 @@ class Model:
                 quoted = any(q in left for q in QUOTES) and any(q in right for q in QUOTES)
             near = int(np.searchsorted(places, i + CONTEXT, "right") - np.searchsorted(places, i - CONTEXT)) - 1
             told = 0.3 if quoted or reported else 1.0
-            out += (0, exact, 0.0 if exact else told, weight * told if exact else 0.0, quoted, reported, min(near, 3))
+            found = (0, exact, 0.0 if exact else told, weight * told if exact else 0.0, quoted, reported, min(near, 3))
+            out += found if exact else np.multiply(trust, found)
         out[0] = out[1] > 0
         out[1:] = np.log1p(out[1:])
         return out
@@ -269,20 +283,27 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = SAMPLE_ROWS, t
     n = once.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     ratio = F.log(((F.col("a") + 0.5) / (pos + 1)) / ((F.col("b") + 0.5) / (neg + 1)))
     n = scratch.keep(n.withColumn("ratio", ratio), "words")
-    found = n.where((F.col("a") >= max(3, math.ceil(0.01 * pos))) & (F.col("ratio") >= 3.5)).orderBy(F.desc(F.col("ratio") * F.sqrt("a")), "word").limit(8 * terms).collect()
+    # Chernoff's bound of the chance that toxic texts make up so many of a word's: below 1 % for all words of the sample together
+    size, rate = F.col("a") + F.col("b"), pos / (pos + neg)
+    chance = F.col("a") * F.log(F.col("a") / size / F.lit(rate)) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / size / F.lit(1 - rate))).otherwise(0.0)
+    found = n.where((F.col("a") >= 3) & (F.col("ratio") >= 3.5) & (chance >= math.log(100 * max(1, n.count())))).orderBy(F.desc(F.col("ratio") * F.sqrt("a")), "word").limit(8 * terms).collect()
     words = {r["word"]: r for r in found if not r["word"].endswith("*")}
     model.stems = _stems({r["word"][:-1]: r for r in found if r["word"].endswith("*")}, words)
     model.terms = {w: r["ratio"] for w, r in list(words.items())[:terms]}
-    model.fuzzy = frozenset(w for w in model.terms if words[w]["a"] >= FUZZY_SHARE * pos)
+    model.fuzzy = frozenset(w for w in model.terms if len(w) >= LEAST_FUZZY)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def fuzzy(batches):
         own = shipped.value
         for batch in batches:
-            yield batch.filter(pa.array([w not in own.terms and own.near(w) is not None for w in batch.column(0).to_pylist()], pa.bool_()))
-
-    close = n.where("word not like '%*' and ratio < 1").select("word", "b").mapInArrow(fuzzy, "word string, b long")
-    model.ordinary = frozenset(r["word"] for r in close.orderBy(F.desc("b"), "word").limit(EXCEPTIONS).collect())
+            near = [None if w in own.terms or own.stem(w) else own.near(w) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x and x[0] for x in near], pa.string())], names=["word", "a", "b", "ratio", "term"]).filter(pa.array([x is not None for x in near], pa.bool_()))
+
+    close = n.where("word not like '%*'").select("word", "a", "b", "ratio").mapInArrow(fuzzy, "word string, a long, b long, ratio double, term string")
+    close = scratch.keep(close, "close")
+    model.ordinary = frozenset(r["word"] for r in close.where("ratio < 1").orderBy(F.desc("b"), "word").limit(EXCEPTIONS).collect())
+    alone = close.where("a + b = 1").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
+    model.trust = {r["term"]: _trust(r["a"] / pos, r["b"] / neg, 1 / neg) for r in alone}
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches):
@@ -309,6 +330,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = SAMPLE_ROWS, t
     return model
 
 
+def _trust(toxic: float, other: float, least: float) -> float:
+    """The share of toxic texts among those with a near match of a term, by label's rates; 1 where nothing speaks against the term."""
+    return (toxic + least) / (toxic + other + least)
+
+
 def _stems(stems: dict, words: dict) -> dict[str, float]:
     """Stems that say more than one word does: half as many texts again as any single word with it; of nested ones the shortest whose ratio is nearly the best."""
     out: dict[str, float] = {}

@@ -152,6 +152,27 @@ def test_toxicity_without_labels_and_odd_texts(spark):
     assert toxicity.score(docs, toxicity.fit(docs, some)).count() == 4
 
 
+def test_automaton_reads_stems_as_beginnings():
+    trie = toxicity.Trie({"stupid*": 2.0, "scum": 1.0}, lambda t: 1)
+    assert trie.near("stuipdities")[::2] == ("stupid*", 1) and trie.near("stupidities")[::2] == ("stupid*", 0)
+    assert trie.near("scumm")[0] == "scum" and trie.near("scumbag") is None and trie.near("stapeds") is None
+
+
+def test_misspelled_terms_of_a_spread_lexicon_are_found(spark):
+    """Forty terms, each in under 5% of the toxic texts, one of four letters; an ordinary word one edit away stays ordinary."""
+    rng = random.Random(3)
+    make = lambda n: "".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(n))
+    terms, plain = ["scum", *(make(4) for _ in range(39))], [make(3) for _ in range(300)]
+    texts = [" ".join([*rng.sample(plain, 12), *([terms[i // 2 % 40]] if i % 2 else ["slum"] if i % 10 == 0 else [])]) for i in range(1600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1600)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert set(terms) <= set(model.terms)
+    score = lambda t: model.scores(model.features(t)[None])[0]
+    assert all(model.hit(t[:-2] + t[-1] + t[-2]) for t in terms) and score("you scmu") > score("you there")
+    assert score("a slum") == score("a town") and not any(map(model.hit, plain))
+
+
 def lm_corpus():
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["a b", "c d", "Rare%d" % rng.randrange(300)]) for _ in range(rng.randrange(1, 60))) for _ in range(120)]
