@@ -5,9 +5,11 @@ word, task and batch), so what the model gathers grows with the corpus. The most
 network, in classes of about equal size; all other words share one output, `rare`, and within it a word has its share
 (c + 0.1) of the counts, an unseen one the share 0.1. So the model is a distribution over the same events as the unigram base.
 
-Network. A GRU over token embeddings, trained on the driver in numpy by truncated backpropagation through time on a bounded
-sample (about `SAMPLE_ROWS` training documents by a hash of doc_id, at most `SAMPLE_TOKENS` tokens of them); output biases start
-at the unigram model. Scoring runs documents of similar length in lock-step, `STEPS` tokens at a time, and carries the state
+Network. A GRU over token embeddings, trained in numpy by truncated backpropagation through time; output biases start at the
+unigram model. It starts on the driver from a bounded sample (about `SAMPLE_ROWS` training documents in the order of a hash of
+doc_id, at most `SAMPLE_TOKENS` tokens of them; longer texts are passed over) and then learns from all training documents in
+`len(RATES)` rounds: each round takes the documents of one hash class, every task learns from its own ones, and the tasks' weights are
+averaged by their tokens. So the last digits of a score depend on how the input is partitioned. Scoring runs documents of similar length in lock-step, `STEPS` tokens at a time, and carries the state
 from window to window, so the likelihood is that of the complete text.
 
 Lookup. The words with the highest counts (all words of a count or above, at most `FREQUENT` of them) are shipped to the
@@ -35,6 +37,7 @@ EMBEDDED, HIDDEN = 16, 24
 FREQUENT = 200_000
 SAMPLE_ROWS, SAMPLE_TOKENS = 1200, 500_000
 STEPS, TOGETHER = 32, 1024
+STREAMS, RATES = 512, (0.002, 0.001)
 SLICE_BYTES = 12 << 20
 END = tx.U(0x1B873593CC9E2D51)  # stands for the end token among the hashes of words
 LOG10 = np.log(10.0)
@@ -81,6 +84,7 @@ class Network:
     total: int
     distinct: int
     rare: float  # the sum of (c + 0.1) over all words that aren't outputs, and 0.1
+    learnt: int = 0  # tokens that the network learnt from in tasks
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
@@ -111,74 +115,133 @@ def _step(px: np.ndarray, h: np.ndarray, wh: np.ndarray) -> tuple[np.ndarray, ..
     return new + z * (h - new), z, r, new, ph
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    np.subtract(x, x.max(1, keepdims=True), out=x)
+    np.exp(x, out=x)
+    return np.divide(x, x.sum(1, keepdims=True), out=x)
 
 
 def train(streams: np.ndarray, n_outputs: int, frequency: np.ndarray, end: int, epochs: int = 3, rate: float = 0.01) -> tuple[int, dict[str, np.ndarray]]:
     """streams: outputs, one row for each parallel stream of documents. The state is cleared after each end token."""
-    rng = np.random.default_rng(4)
-    classes, p = start(n_outputs, frequency, rng)
-    begin = n_outputs
-    first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    steps = 0
-    n_streams, length = streams.shape
+    classes, p = start(n_outputs, frequency, np.random.default_rng(4))
+    own, windows = Learner(p, n_outputs, end), -(-streams.shape[1] // (STEPS // 2))
     for epoch in range(epochs):
-        h = np.zeros((n_streams, HIDDEN), np.float32)
-        before = np.full(n_streams, begin)
-        for a in range(0, length, STEPS // 2):
-            y = streams[:, a : a + STEPS // 2]
-            x = np.concatenate((before[:, None], y[:, :-1]), 1)
-            x = np.where(x == end, begin, x)
-            before = y[:, -1]
-            table = p["e"] @ p["wx"] + p["b"]
-            kept, hs = [], []
-            for t in range(y.shape[1]):
-                h = h * (x[:, t] != begin)[:, None]
-                new, *rest = _step(table[x[:, t]], h, p["wh"])
-                kept.append((h, *rest))
-                h = new
-                hs.append(h)
-            flat, target = np.concatenate(hs), y.T.ravel()
-            m = len(target)
-            grad = {k: np.zeros_like(v) for k, v in p.items()}
-            cls, unit = target // CLASS_SIZE, target % CLASS_SIZE
-            dc = np.exp(_log_softmax(flat @ p["c"] + p["cb"]))
-            dc[np.arange(m), cls] -= 1
-            dh = dc @ p["c"].T
-            grad["c"], grad["cb"] = flat.T @ dc, dc.sum(0)
-            order = np.argsort(cls, kind="stable")
-            for k, at in zip(*_groups(cls[order], order), strict=True):
-                d = np.exp(_log_softmax(flat[at] @ p["o"][k] + p["ob"][k]))
-                d[np.arange(len(at)), unit[at]] -= 1
-                grad["o"][k], grad["ob"][k] = flat[at].T @ d, d.sum(0)
-                dh[at] += d @ p["o"][k].T
-            dh = dh.reshape(y.shape[1], n_streams, HIDDEN)
-            carry = np.zeros_like(h)
-            dtable = np.zeros_like(table)
-            for t in range(y.shape[1] - 1, -1, -1):
-                h0, z, r, new, ph = kept[t]
-                d = dh[t] + carry
-                dn = d * (1 - z) * (1 - new**2)
-                dz = d * (h0 - new) * z * (1 - z)
-                dr = dn * ph[:, 2 * HIDDEN :] * r * (1 - r)
-                dph = np.concatenate((dz, dr, dn * r), 1)
-                carry = (d * z + dph @ p["wh"].T) * (x[:, t] != begin)[:, None]
-                grad["wh"] += h0.T @ dph
-                np.add.at(dtable, x[:, t], np.concatenate((dz, dr, dn), 1))
-            grad["e"], grad["wx"], grad["b"] = dtable @ p["wx"].T, p["e"].T @ dtable, dtable.sum(0)
-            steps += 1
-            scale = 1 / m
-            lr = rate * (1 - 0.9 * (epoch * length + a) / (epochs * length)) * np.sqrt(1 - 0.999**steps) / (1 - 0.9**steps)
-            norm = np.sqrt(sum(float((g * scale).ravel() @ (g * scale).ravel()) for g in grad.values()))
-            scale *= min(1.0, 1.0 / (norm + 1e-9))
-            for k, g in grad.items():
-                g = g * scale
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.999 * second[k] + 0.001 * g * g
-                p[k] = (p[k] - lr * first[k] / (np.sqrt(second[k]) + 1e-8)).astype(np.float32)
-    return classes, p
+        own.run(streams, np.ones(streams.shape, bool), lambda k: rate * (1 - 0.9 * (epoch * windows + k) / (epochs * windows)))  # noqa: B023
+    return classes, own.p
+
+
+class Learner:
+    """Weights under training with the Adam moments of their gradients."""
+
+    def __init__(self, p: dict[str, np.ndarray], begin: int, end: int):
+        self.p, self.begin, self.end, self.steps = dict(p), begin, end, 0
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+
+    def run(self, streams: np.ndarray, live: np.ndarray, rate) -> None:
+        """One pass; entries that aren't live are padding. rate(k): that of the k-th window."""
+        h = np.zeros((len(streams), HIDDEN), np.float32)
+        before = np.full(len(streams), self.begin)
+        for k, a in enumerate(range(0, streams.shape[1], STEPS // 2)):
+            h, before = self._window(h, before, streams[:, a : a + STEPS // 2], live[:, a : a + STEPS // 2], rate(k))
+
+    def _window(self, h: np.ndarray, before: np.ndarray, y: np.ndarray, live: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+        p, begin = self.p, self.begin
+        x = np.concatenate((before[:, None], y[:, :-1]), 1)
+        x = np.where(x == self.end, begin, x)
+        table = p["e"] @ p["wx"] + p["b"]
+        kept, hs = [], []
+        for t in range(y.shape[1]):
+            h = h * (x[:, t] != begin)[:, None]
+            new, *rest = _step(table[x[:, t]], h, p["wh"])
+            kept.append((h, *rest))
+            h = new
+            hs.append(h)
+        flat, target, live = np.concatenate(hs), y.T.ravel(), live.T.ravel()
+        m = len(target)
+        grad = {k: np.zeros_like(v) for k, v in p.items()}
+        cls, unit = target // CLASS_SIZE, target % CLASS_SIZE
+        dc = _softmax(flat @ p["c"] + p["cb"])
+        dc[np.arange(m), cls] -= 1
+        dc *= live[:, None]
+        dh = dc @ p["c"].T
+        grad["c"], grad["cb"] = flat.T @ dc, dc.sum(0)
+        order = np.argsort(cls, kind="stable")
+        for k, at in zip(*_groups(cls[order], order), strict=True):
+            d = _softmax(flat[at] @ p["o"][k] + p["ob"][k])
+            d[np.arange(len(at)), unit[at]] -= 1
+            d *= live[at, None]
+            grad["o"][k], grad["ob"][k] = flat[at].T @ d, d.sum(0)
+            dh[at] += d @ p["o"][k].T
+        dh = dh.reshape(y.shape[1], len(y), HIDDEN)
+        carry, inner = np.zeros_like(h), []
+        for t in range(y.shape[1] - 1, -1, -1):
+            h0, z, r, new, ph = kept[t]
+            d = dh[t] + carry
+            dn = d * (1 - z) * (1 - new**2)
+            dz = d * (h0 - new) * z * (1 - z)
+            dr = dn * ph[:, 2 * HIDDEN :] * r * (1 - r)
+            dph = np.concatenate((dz, dr, dn * r), 1)
+            carry = (d * z + dph @ p["wh"].T) * (x[:, t] != begin)[:, None]
+            grad["wh"] += h0.T @ dph
+            inner.append(np.concatenate((dz, dr, dn), 1))
+        dtable, met = np.zeros_like(table), x.T[::-1].ravel()
+        order = np.argsort(met, kind="stable")
+        keys, at = np.unique(met[order], return_index=True)
+        dtable[keys] = np.add.reduceat(np.concatenate(inner)[order], at, axis=0)
+        grad["e"], grad["wx"], grad["b"] = dtable @ p["wx"].T, p["e"].T @ dtable, dtable.sum(0)
+        self._descend(grad, max(1, int(live.sum())), rate)
+        return h, y[:, -1]
+
+    def _descend(self, grad: dict[str, np.ndarray], m: int, rate: float) -> None:
+        self.steps += 1
+        rate *= np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
+        scale = 1 / m
+        norm = np.sqrt(sum(float((g * scale).ravel() @ (g * scale).ravel()) for g in grad.values()))
+        scale *= min(1.0, 1.0 / (norm + 1e-9))
+        for k, g in grad.items():
+            g = g * scale
+            self.first[k] = 0.9 * self.first[k] + 0.1 * g
+            self.second[k] = 0.999 * self.second[k] + 0.001 * g * g
+            self.p[k] = (self.p[k] - rate * self.first[k] / (np.sqrt(self.second[k]) + 1e-8)).astype(np.float32)
+
+
+def _streams(flat: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens as parallel streams, filled up at the end, and which entries are tokens."""
+    n = max(1, min(most, len(flat) // 64))
+    length = -(-len(flat) // n)
+    out, live = np.zeros(n * length, np.int64), np.arange(n * length) < len(flat)
+    out[: len(flat)] = flat
+    return out.reshape(n, length), live.reshape(n, length)
+
+
+def rounds(docs: DataFrame, p: dict[str, np.ndarray], known: np.ndarray, unit: np.ndarray, n_outputs: int, end: int) -> tuple[dict[str, np.ndarray], int]:
+    """The weights after learning from every document once, and the tokens that they learnt from."""
+    spark, learnt = docs.sparkSession, 0
+    for i, rate in enumerate(RATES):
+        shipped = spark.sparkContext.broadcast((p, known, unit))
+
+        def learn(batches: Iterator[pa.RecordBatch], shipped=shipped, rate=rate) -> Iterator[pa.RecordBatch]:
+            p, known, unit = shipped.value
+            own, n = Learner(p, n_outputs, end), 0
+            for batch in _slices(batches, 0):
+                flat = _units(tokens(batch.column(0))[0], known, unit, n_outputs - 1)
+                if len(flat):
+                    own.run(*_streams(flat, STREAMS), lambda k: rate)
+                n += len(flat)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([b"".join(own.p[k].astype(np.float32).tobytes() for k in p)], pa.binary())], names=["n", "weights"])
+
+        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(len(RATES))) == i).select(F.col("text").cast("string"))
+        # the driver reads one file after another and keeps a sum
+        total, seen = None, 0
+        for r in scratch.keep(part.mapInArrow(learn, "n long, weights binary"), "weights").toLocalIterator():
+            got = np.frombuffer(r["weights"], np.float32).astype(float) * r["n"]
+            total, seen = got if total is None else total + got, seen + r["n"]
+        if seen:
+            cut = np.cumsum([v.size for v in p.values()])[:-1]
+            p = {k: x.reshape(v.shape).astype(np.float32) for (k, v), x in zip(p.items(), np.split(total / seen, cut), strict=True)}
+        learnt += seen
+    return p, learnt
 
 
 def _groups(sorted_keys: np.ndarray, order: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
@@ -212,11 +275,12 @@ def fit(docs: DataFrame, frequent: int = FREQUENT) -> tuple[Network, DataFrame]:
 
     share = min(1 << 20, int(SAMPLE_ROWS / max(1, docs.select("doc_id").count()) * (1 << 20)) + 1)
     texts, size = [], 0
-    for x in docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select("doc_id", "text").orderBy("doc_id").toLocalIterator():
+    chosen = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share) & (F.coalesce(F.length("text"), F.lit(0)) <= 2 * SAMPLE_TOKENS))
+    for x in chosen.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text").select("text").toLocalIterator():
         ids = tokens(pa.array([x["text"]], pa.string()))[0]
+        if size + len(ids) > SAMPLE_TOKENS:
+            continue
         size += len(ids)
-        if size > SAMPLE_TOKENS and texts:
-            break
         texts.append(_units(ids, known, unit, len(outputs)))
     n_outputs = len(outputs) + 1
     flat = np.concatenate(texts) if texts else np.zeros(0, np.int64)
@@ -224,7 +288,8 @@ def fit(docs: DataFrame, frequent: int = FREQUENT) -> tuple[Network, DataFrame]:
     flat = flat[: len(flat) // n_streams * n_streams].reshape(n_streams, -1)
     end = int(unit[np.searchsorted(known, END)]) if END in known else n_outputs
     classes, p = train(flat, n_outputs, frequency, end)
-    return Network(known, c, unit, classes, p, total, distinct, rare), counts
+    p, learnt = rounds(docs, p, known, unit, n_outputs, end)
+    return Network(known, c, unit, classes, p, total, distinct, rare, learnt), counts
 
 
 def _units(ids: np.ndarray, known: np.ndarray, unit: np.ndarray, rare: int) -> np.ndarray:

@@ -230,6 +230,17 @@ def test_lm_gradient_is_right():
     assert per_token < 0.1
 
 
+def test_lm_learns_from_all_training_documents(spark, monkeypatch):
+    """What stands only in texts past the driver's sample is learnt too, and a huge first text doesn't end the sample."""
+    monkeypatch.setattr(lm, "SAMPLE_TOKENS", 400)
+    rows = [(0, "z " * 5000), *((i, "a b c d e " * 40) for i in range(1, 400)), (400, None), (401, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    net, counts = lm.fit(docs)
+    assert net.learnt == net.total == sum(len((t or "").split()) + 1 for _, t in rows)
+    got = lm.score(spark.createDataFrame([(1, "a b c d e " * 40)], "doc_id long, text string"), net, counts).first()
+    assert got["score"] > 0.85 * got["base_score"]
+
+
 def test_lm_without_training_documents(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     net, counts = lm.fit(docs.where("false"))
