@@ -1,10 +1,15 @@
-"""Licence scans: lines and whole texts compared with licence templates by the Dice coefficient of their word bigrams.
+"""Licence scans: lines, whole texts and word windows compared with licence templates by the Dice coefficient of their word bigrams.
 
 A unit is a line of a document, or the whole document if it has several lines. A unit and a template are normalised
 to lower-case words and compared as sets of word bigrams: Dice = 2 * common / (unit + template). For Dice >= t a
 template of s bigrams can only match a unit of between s * t / (2 - t) and s * (2 - t) / t bigrams; these bounds prune
 most units before their bigrams are built, and a unit counts common bigrams through an index from bigram to templates.
 
+Notices that are wrapped over lines or lie inside a longer line are found in word windows: where neither the whole text nor a line has
+matched, every run of at most s * (2 - t) / t bigrams that begins and ends with a bigram of the template is compared (any other
+run scores less than the one inside it). Of overlapping windows the one with the most common bigrams counts. `SQL` has the
+lines and whole texts only, so it gives these rows where no notice is wrapped or embedded.
+
 Defined cases: null and empty texts have no matches (null: no units; a text has one unit for each line); a unit of fewer
 than two words never matches; equal scores go to the template listed first; repeated rows give repeated rows; further
 columns are left out.
@@ -12,6 +17,8 @@ columns are left out.
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -82,6 +89,62 @@ class Matcher:
         return best
 
 
+    def windows(self, lines: list[tuple[list[bytes], bool]]) -> list[tuple[int, float]]:
+        """The best template and its Dice coefficient for each notice in runs of words outside matched lines; lines: words, matched."""
+        found: list[tuple[int, float, int, int, int]] = []
+        base, words, runs = 0, [], []
+        for own, matched in lines:
+            if matched:
+                runs.append((base, words))
+                base, words = base + len(words) + 1, []
+            else:
+                words.extend(own)
+        runs.append((base, words))
+        for base, words in runs:
+            met: dict[int, list[tuple[int, tuple]]] = {}
+            for j, b in enumerate(zip(words, words[1:], strict=False)):
+                if b in self.index:
+                    for i in self.index[b]:
+                        met.setdefault(i, []).append((j, b))
+            for i, places in met.items():
+                size = len(self.sets[i])
+                need, most = max(1, math.ceil(size * self.threshold / (2 - self.threshold) - 1e-9)), int(size * (2 - self.threshold) / self.threshold + 1e-9)
+                for k in range(len(places) - need + 1):
+                    a = places[k][0]
+                    if places[k + need - 1][0] - a >= most:
+                        continue
+                    common, seen, at, best = set(), set(), a, None
+                    for j, b in (places[x] for x in range(k, len(places))):
+                        if j - a >= most:
+                            break
+                        seen.update(zip(words[at : j + 1], words[at + 1 : j + 2], strict=False))
+                        common.add(b)
+                        at = j + 1
+                        dice = 2 * len(common) / (size + len(seen))
+                        if dice >= self.threshold and (best is None or dice > best[1]):
+                            best = (len(common), dice, j)
+                    if best:
+                        found.append((best[0], best[1], i, base + a, base + best[2] + 1))
+        taken: list[tuple[int, int]] = []
+        out = []
+        for _, dice, i, a, b in sorted(found, key=lambda m: (-m[0], -m[1], m[2], m[3])):
+            at = bisect.bisect(taken, (a, b))
+            if (at == 0 or taken[at - 1][1] < a) and (at == len(taken) or taken[at][0] > b):
+                taken.insert(at, (a, b))
+                out.append((i, dice))
+        return out
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, float]]]:
+        """The number of units, and all matches of units and of windows."""
+        own = units(text)
+        got = [self.match(u) for u in own]
+        hits = [m for m in got if m]
+        if own and not got[-1]:  # the last unit is the whole text
+            n = max(1, len(own) - 1)
+            hits += self.windows([(WORD.findall(u.lower()), bool(m)) for u, m in zip(own[:n], got[:n], strict=True)])
+        return len(own), hits
+
+
 SCANNED = "doc_id long, n_units long, n_matches long, license string, dice double, licenses string"
 
 
@@ -100,10 +163,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
         for batch in batches:
             rows: list[tuple] = []
             for text in batch.column(1):
-                own = units(text.as_py())
-                hits = [m for m in map(matcher.match, own) if m]
+                n, hits = matcher.scan(text.as_py())
                 best = min(hits, key=lambda m: (-m[1], m[0]), default=None)
-                rows.append((len(own), len(hits), best and matcher.names[best[0]], best and round(best[1], 6), ",".join(sorted({matcher.names[i] for i, _ in hits}))))
+                rows.append((n, len(hits), best and matcher.names[best[0]], best and round(best[1], 6), ",".join(sorted({matcher.names[i] for i, _ in hits}))))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_units", "n_matches", "license", "dice", "licenses"])

@@ -296,6 +296,19 @@ def test_license_scan(spark):
     assert license.scan(df.where("false")).count() == 0
 
 
+def test_wrapped_and_embedded_notices_are_found():
+    m = license.Matcher()
+    names = lambda t: sorted(m.names[i] for i, _ in m.scan(t)[1])
+    prose = "Some words of prose that say nothing at all. " * 30
+    for name, text in ((n, t) for n, t in license.TEMPLATES if len(t) > 120):
+        words = text.split()
+        wrapped = "\n".join(" * " + " ".join(words[i : i + 7]) for i in range(0, len(words), 7))
+        assert names(f"{prose}\n{wrapped}\n{prose}") == [name] and names(prose + text + " " + prose) == [name]
+    assert names("Copyright 2020 Foo. Licensed under the MIT License.") == ["MIT"]
+    assert names(prose + "licensed under CC BY 4.0. " + prose + "Released under the MIT License. " + prose) == ["CC-BY-4.0", "MIT"]
+    assert names(prose + "\nReleased under the MIT License.\n" + prose) == ["MIT"] and names(prose) == [] and m.scan(None) == (0, [])
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("licensed under the apache license version 2 0 mit released cc by nc 4".split()), max_size=12))
 def test_size_bounds_never_drop_a_match(found):
