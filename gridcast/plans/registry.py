@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -217,6 +218,12 @@ add(
     select line.day::varchar as day, line.duid, last_value(prices ignore nulls) over (partition by line.duid order by line.day rows between unbounded preceding and current row) as prices from line left join once using (duid, day)""",
 )
 
+# All units and days; bid_price_ffill and its SQL hold a twentieth of the units from June 2000 on. No SQL: a test has brute force.
+add(
+    "bid_price_ffill_all",
+    lambda spark, d: ingest.offer_prices((p := staging.bids(spark, d)[1]), p.select("day")).select("day", "duid", F.concat_ws(",", F.col("prices").cast("array<string>")).alias("prices")),
+)
+
 
 def _tier_sql(low, high) -> str:
     bound = lambda i: " and ".join([f"price{i} is not null", *([f"price{i} > {low}"] if low is not None else []), *([f"price{i} <= {high}"] if high is not None else [])])
@@ -465,6 +472,24 @@ add(
     lambda spark, d: quality.missing_times(staging.bars(spark, d).where("price is not null and region = 'sa'").select("ts"), HOUR),
     f"with {staging.BARS}, g as (select ts from bars where price is not null and region = 'sa'), a as (select unnest(generate_series(min(ts), max(ts), interval 1 hour)) as ts from g) select {TS} from a where a.ts not in (select ts from g)",
 )
+
+
+def _by_region(rows: DataFrame, query) -> DataFrame:
+    """The rows of a query on one region's rows, for every region in turn."""
+    return reduce(DataFrame.unionByName, (query(rows.where(F.col("region") == r)).withColumn("region", F.lit(r)) for r in staging.REGIONS))
+
+
+# All regions; the queries of the same name without _all, and their SQL, hold one.
+add(
+    "missing_times_all",
+    lambda spark, d: _by_region(staging.bars(spark, d).where("price is not null"), lambda x: quality.missing_times(x.select("ts"), HOUR)),
+    f"with {staging.BARS}, g as (select region, ts from bars where price is not null), a as (select region, unnest(generate_series(min(ts), max(ts), interval 1 hour)) as ts from g group by region) select {TS}, region from a where (region, ts) not in (select (region, ts) from g)",
+)
+add(
+    "fill_by_day_all",
+    lambda spark, d: _by_region(staging.bars(spark, d), lambda x: rolling.rolling_by_day(x.select("ts", "price"), "price").select("ts", "price_filled")),
+    f"with {staging.BARS} select {TS}, region, {number('last_value(price ignore nulls) over (partition by region order by bars.ts rows between unbounded preceding and current row)')} as price_filled from bars",
+)
 FEATURES = ["price", "lag_1", "lag_2", "lag_24", "mean_24", "mean_48", "demand", "avail_gen"]
 CANDIDATES = f"{staging.SYSTEM}, cand as (select ts, region, price, demand, avail_gen, {', '.join(f'{sql.lag(chr(112) + chr(114) + chr(105) + chr(99) + chr(101), k)} as lag_{k}' for k in (1, 2, 24))}, round(({sql.roll('mean', 'price', 24, 12)}) + 1e-9, 6) as mean_24, round(({sql.roll('mean', 'price', 48, 24)}) + 1e-9, 6) as mean_48, {sql.lag('price', -1)} as y1, {sql.lag('price', -6)} as y6 from system)"
 
@@ -597,6 +622,15 @@ add(
     lambda spark, d: grid.wide(blend.complete(blend.targets(staging.bars(spark, d), 3), 3, ["ts", "region"]).withColumn("h", F.concat(F.lit("h"), F.col("h").cast("string"))).where("region = 'sa'"), "h", ["h1", "h2", "h3"], ["y"]),
     f"with {TARGETS} select {TS}, " + ", ".join(f"{number(f'max(y) filter (where h = {k})')} as y_h{k}" for k in (1, 2, 3)) + " from targets where h <= 3 and region = 'sa' group by targets.ts having count(y) = 3",
 )
+_all_h = range(1, N_H + 1)
+add(
+    "valid_rows_all",
+    lambda spark, d: _by_region(
+        blend.complete(blend.targets(staging.bars(spark, d), N_H), N_H, ["ts", "region"]).withColumn("h", F.concat(F.lit("h"), F.col("h").cast("string"))),
+        lambda x: grid.wide(x, "h", [f"h{k}" for k in _all_h], ["y"]),
+    ),
+    f"with {TARGETS} select {TS}, region, " + ", ".join(f"{number(f'max(y) filter (where h = {k})')} as y_h{k}" for k in _all_h) + f" from targets group by targets.ts, region having count(y) = {N_H}",
+)
 
 # ---- model fits (rows only) -----------------------------------------------------------------------------------------
 

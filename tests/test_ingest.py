@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from gridcast.plans import registry
 from gridcast.sources import ingest
 
 T0 = dt.datetime(2024, 1, 1)
@@ -78,3 +79,19 @@ def test_daily_value_is_filled_both_ways(spark):
     times = spark.createDataFrame([(T0 + dt.timedelta(hours=12 * i),) for i in range(8)], "ts timestamp")
     daily = spark.createDataFrame([((T0 + dt.timedelta(days=1)).date(), 5.0)], "day date, gas double")
     assert [r["gas"] for r in ingest.daily_to_grid(daily, times, "gas").collect()] == [5.0] * 8
+
+
+def test_registered_offer_prices_cover_all_units_and_days(spark, monkeypatch):
+    """Brute force over units outside the twentieth, and days before June 2000."""
+    given = {1: {0: 5, 3: 7}, 2: {1: 4}, 22: {2: 9, 5: None}}
+    at = lambda k: dt.date(1999, 12, 28) + dt.timedelta(k)
+    rows = [(at(k), u, *([None if v is None else float(v * i) for i in range(1, 11)])) for u, days in given.items() for k, v in days.items()]
+    price = spark.createDataFrame(rows, "day date, duid long, " + ", ".join(f"price{i} double" for i in range(1, 11)))
+    monkeypatch.setattr(registry.staging, "bids", lambda spark, d: (None, price))
+    got = {(r["duid"], str(r["day"])): r["prices"] for r in registry.QUERIES["bid_price_ffill_all"](spark, "").collect()}
+    want = {}
+    for u, days in given.items():
+        for k in range(min(days), 6):
+            last = max(x for x in days if x <= k)
+            want[u, str(at(k))] = "" if days[last] is None else ",".join(str(days[last] * i) for i in range(1, 11))
+    assert got == want
