@@ -1,13 +1,21 @@
 """Exact top-k inner products by a Voronoi kNN join.
 
 Vectors are turned into integers, floor(256 * x), and every vector belongs to the cell of its nearest pivot (a fixed
-number of pivots, taken by a hash of vec_id). A cell's summary holds its size and radius. For a query q and a vector v of
-a cell with pivot p and radius r, q.v = q.p + q.(v - p) <= q.p + |q| r; the k-th best of q with the pivots themselves, which are
-rows too, bounds its k-th best from below. So a query goes only to the cells whose upper bound reaches its lower bound.
-Cells are cut into blocks of bounded size by a hash of vec_id, and queries of a cell likewise; a block of data and a block
-of queries meet in one task, where one matrix product solves them, and the k best of all blocks are merged for each query.
+number of pivots, taken by a hash of vec_id). Split along the direction of pivot p, a vector is (along, across): its part on
+p's line and the length of the rest. So for a query with parts (c, e) and a vector with parts (a, b), q.v <= c a + e b. A cell is
+cut into `RINGS` rings by b; a ring's summary is its size, the least and greatest a and the greatest b.
 
-Both the pivots and the summaries are bounded (`PIVOTS` rows each). Equal vectors spread over the blocks of their cell.
+  1. Each query meets its own cell, which is solved. The k-th score there, or among the pivots (which are rows too), is the
+     query's lower bound.
+  2. Cells of queries are put together, nearest pivots first, to groups of about `QUERY_BLOCK` queries. A ring is replicated
+     to a group only if its upper bound reaches the lower bound of one of the group's queries.
+  3. A group's rings are cut into blocks by a hash of vec_id, its queries likewise; a block of data and a block of queries meet in one
+     task. There every (query, ring) pair is bounded once more by the block's own summary, and only pairs that can matter
+     are multiplied, ring by ring. The k best of all blocks are merged for each query.
+
+Pivots, summaries and the table of (group, ring) pairs are bounded by `PIVOTS` and `RINGS`, whatever the input. Equal
+vectors spread over the blocks of their ring. What is replicated depends on the data: on clustered vectors a small part,
+on directions without any structure everything, as no bound of this kind can exclude a ring there. `shares` measures it.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; shorter vectors count as padded
 with zeros; a query with fewer than k partners gets what there is, with none no rows; equal scores go to the smaller
@@ -18,6 +26,7 @@ answer once; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +35,11 @@ from pyspark.sql import functions as F
 
 from gridcast.llm import scratch
 
-PIVOTS = 48
+PIVOTS, RINGS = 48, 8
 #: Most vectors of a data block and of a query block, on average.
 DATA_BLOCK, QUERY_BLOCK = 16_384, 2_048
 SCALE = 256
+FOUND = "query_id long, vec_id long, score long"
 
 
 def integers(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -58,89 +68,251 @@ def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (q @ v.T).astype(np.int64)
 
 
-def _cells(pivots: np.ndarray):
-    half = (pivots**2).sum(1) / 2
+class Centres:
+    """The pivots, their directions, and the parts of vectors along and across them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = matrix(batch.column(1), pivots.shape[1])
-            cell = (v @ pivots.T - half).argmax(1) if len(v) else np.zeros(0, np.int64)
-            far = np.sqrt(((v - pivots[cell]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far)], names=["vec_id", "v", "cell", "far"])
+    def __init__(self, rows: np.ndarray, ids: np.ndarray):
+        self.rows, self.ids = rows, ids
+        length = np.sqrt((rows**2).sum(1))
+        self.directions = rows / np.where(length > 0, length, 1.0)[:, None]
+
+    @property
+    def width(self) -> int:
+        return self.rows.shape[1]
+
+    def cell(self, v: np.ndarray) -> np.ndarray:
+        return (v @ self.rows.T - (self.rows**2).sum(1) / 2).argmax(1) if len(v) else np.zeros(0, np.int64)
+
+    def parts(self, v: np.ndarray, cells: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(along, across) for the given cell of each vector, or for all pivots."""
+        along = v @ self.directions.T if cells is None else (v * self.directions[cells]).sum(1)
+        square = (v**2).sum(1)
+        return along, np.sqrt(np.maximum((square[:, None] if cells is None else square) - along**2, 0.0))
 
-    return run
 
+def upper(c: np.ndarray, e: np.ndarray, low: np.ndarray, high: np.ndarray, across: np.ndarray) -> np.ndarray:
+    """The greatest inner product of queries with parts (c, e) and vectors whose parts lie in [low, high] and up to across."""
+    a, b = np.maximum(c * low, c * high), e * across
+    return a + b + 1e-9 * (np.abs(a) + b) + 1e-3
 
-def _routes(pivots: np.ndarray, pivot_ids: np.ndarray, radius: np.ndarray, k: int):
-    """Cells that can hold one of a query's k best."""
 
+def _cells(centres: Centres):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q, ids = matrix(batch.column(1), pivots.shape[1]), batch.column(0).to_numpy()
-            own = q @ pivots.T
-            upper = own + np.sqrt((q**2).sum(1))[:, None] * radius * (1 + 1e-9) + 1e-6
-            seen = np.where(pivot_ids[None] == ids[:, None], -np.inf, own)
-            lower = np.sort(seen, 1)[:, -k] if seen.shape[1] >= k else np.full(len(ids), -np.inf)
-            row, cell = np.nonzero((upper >= lower[:, None]) & np.isfinite(radius))
-            rows = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(cell.astype(np.int32))], names=["vec_id", "v", "cell"])
+            v = matrix(batch.column(1), centres.width)
+            cell = centres.cell(v)
+            along, across = centres.parts(v, cell)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(along), pa.array(across)], names=["vec_id", "v", "cell", "along", "across"])
 
     return run
 
 
-def _solve(k: int, width: int):
+def _best(ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row of s, column) of each row's k highest scores; columns are in order of id, which decides ties. Scores at the minimum don't count."""
+    least = np.iinfo(np.int64).min
+    cut = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), least)
+    rows, columns = [], []
+    for i in range(len(s)):
+        at = np.flatnonzero((s[i] >= cut[i]) & (s[i] > least))
+        at = at[np.lexsort((at, -s[i][at]))][:k]
+        rows.append(np.full(len(at), i))
+        columns.append(at)
+    return np.concatenate(rows), np.concatenate(columns)
+
+
+def _table(queries: list[np.ndarray], ids: list[np.ndarray], found: list[np.ndarray]) -> pa.Table:
+    flat = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (queries, ids, found)]
+    return pa.table(flat, names=["query_id", "vec_id", "score"])
+
+
+def _own(k: int, width: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A block of a cell and a block of the queries of that cell."""
         ids, v = left["vec_id"].to_numpy(), matrix(left["v"].combine_chunks(), width)
         queries, q = right["vec_id"].to_numpy(), matrix(right["v"].combine_chunks(), width)
+        out: tuple[list, list, list] = ([], [], [])
         order = np.argsort(ids, kind="stable")
         ids, v = ids[order], v[order]
-        out: list[list[np.ndarray]] = [[], [], []]
         for a in range(0, len(q), 256):
-            s = scores(q[a : a + 256], v)
-            least = np.iinfo(np.int64).min
-            s = np.where(ids[None] == queries[a : a + 256, None], least, s)
-            # the k best, ties by position, which is by vec_id
-            cut = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), least)
-            for i in range(len(s)):
-                at = np.flatnonzero((s[i] >= cut[i]) & (ids != queries[a + i]))
-                at = at[np.lexsort((at, -s[i][at]))][:k]
-                out[0].append(np.full(len(at), queries[a + i]))
-                out[1].append(ids[at])
-                out[2].append(s[i][at])
-        flat = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in out]
-        return pa.table(flat, names=["query_id", "vec_id", "score"])
+            s = np.where(ids[None] == queries[a : a + 256, None], np.iinfo(np.int64).min, scores(q[a : a + 256], v))
+            row, at = _best(ids, s, k)
+            for column, x in zip(out, (queries[a + row], ids[at], s[row, at]), strict=True):
+                column.append(x)
+        return _table(*out)
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k highest inner products of every query with all other rows."""
+def _rest(k: int, centres: Centres):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A block of rings and a block of queries of a group; a query's own cell is done."""
+        cell, across = left["cell"].to_numpy(), left["across"].to_numpy()
+        ids, along, v = left["vec_id"].to_numpy(), left["along"].to_numpy(), matrix(left["v"].combine_chunks(), centres.width)
+        queries, q = right["vec_id"].to_numpy(), matrix(right["v"].combine_chunks(), centres.width)
+        own, bound = right["cell"].to_numpy(), right["bound"].to_numpy()
+        out: tuple[list, list, list] = ([], [], [])
+        order = np.argsort(ids, kind="stable")
+        ids, cell, ring, along, across, v = ids[order], cell[order], left["ring"].to_numpy()[order], along[order], across[order], v[order]
+        parts = np.unique(cell.astype(np.int64) * RINGS + ring, return_inverse=True)
+        rows = [np.flatnonzero(parts[1] == i) for i in range(len(parts[0]))]
+        for a in range(0, len(q), 256):
+            some = slice(a, a + 256)
+            c, e = centres.parts(q[some])
+            s = np.full((len(c), len(ids)), np.iinfo(np.int64).min)
+            for key, at in zip((parts[0] // RINGS).tolist(), rows, strict=True):
+                use = np.flatnonzero((own[some] != key) & (upper(c[:, key], e[:, key], along[at].min(), along[at].max(), across[at].max()) >= bound[some]))
+                if len(use):
+                    s[use[:, None], at[None]] = scores(q[some][use], v[at])
+            s[ids[None] == queries[some, None]] = np.iinfo(np.int64).min
+            row, at = _best(ids, s, k)
+            for column, x in zip(out, (queries[a + row], ids[at], s[row, at]), strict=True):
+                column.append(x)
+        return _table(*out)
+
+    return run
+
+
+def gathered(counts: dict[int, int], centres: Centres, limit: int) -> dict[int, int]:
+    """Cell of queries to group: from the fullest cell on, the nearest ones that are left, as long as a group stays within `limit`."""
+    left, group, out = dict(counts), 0, {}
+    while left:
+        seed = max(left, key=lambda i: (left[i], -i))
+        near = sorted(left, key=lambda i: (i != seed, ((centres.rows[i] - centres.rows[seed]) ** 2).sum(), i))
+        size = 0
+        for i in near:
+            if i == seed or size + left[i] <= limit:
+                size += left.pop(i)
+                out[i] = group
+        group += 1
+    return out
+
+
+class Plan(NamedTuple):
+    """What the summaries say: data and queries laid out, and which rings go to which groups."""
+
+    centres: Centres
+    data: DataFrame  # vec_id, v, cell, along, across, ring
+    asked: DataFrame  # vec_id, v, cell, bound, grp
+    first: DataFrame  # results of the queries' own cells
+    rings: dict[tuple[int, int], int]  # (cell, ring): rows
+    needs: dict[tuple[int, int, int], int]  # (group, cell, ring): queries that may need it
+    queries: dict[int, int]  # group: queries
+
+
+def plan(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, pivots: int) -> Plan | None:
+    """None if no vector takes part."""
     spark = vectors.sparkSession
     data, asked = integers(vectors, id_col, vector), integers(queries, id_col, vector).dropDuplicates(["vec_id"])
     chosen = data.dropDuplicates(["v"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
-    schema = "query_id long, rank int, vec_id long, score long"
     if not chosen:
-        return spark.createDataFrame([], schema)
-    width = data.agg(F.max(F.size("v"))).first()[0] or 1
-    centres = np.zeros((len(chosen), max(width, 1)))
+        return None
+    rows = np.zeros((len(chosen), max(1, data.agg(F.max(F.size("v"))).first()[0] or 1)))
     for i, r in enumerate(chosen):
-        centres[i, : len(r["v"])] = r["v"]
-    pivot_ids = np.array([r["vec_id"] for r in chosen])
-    cells = scratch.keep(data.mapInArrow(_cells(centres), "vec_id long, v array<double>, cell int, far double"), "cells")
-    summary = {r["cell"]: (r["n"], r["far"]) for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
-    radius = np.array([summary.get(i, (0, -np.inf))[1] for i in range(len(chosen))])
-    routed = scratch.keep(asked.mapInArrow(_routes(centres, pivot_ids, radius, k), "vec_id long, v array<double>, cell int"), "routed")
-    n_queries = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    blocks = spark.createDataFrame([(i, -(-n // DATA_BLOCK), -(-n_queries.get(i, 0) // QUERY_BLOCK)) for i, (n, _) in summary.items()], "cell int, d int, q int")
-    blocks = F.broadcast(blocks)  # one row for each pivot
-    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    slot = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
-    left = cells.join(blocks, "cell").where("q > 0").select("cell", slot(F.col("d")).alias("db"), spread(F.col("q")).alias("qb"), "vec_id", "v")
-    right = routed.join(blocks, "cell").select("cell", spread(F.col("d")).alias("db"), slot(F.col("q")).alias("qb"), "vec_id", "v")
+        rows[i, : len(r["v"])] = r["v"]
+    centres = Centres(rows, np.array([r["vec_id"] for r in chosen]))
+    laid = "vec_id long, v array<double>, cell int, along double, across double"
+    cells = scratch.keep(data.mapInArrow(_cells(centres), laid), "cells")
+    asked = scratch.keep(asked.mapInArrow(_cells(centres), laid).select("vec_id", "v", "cell"), "asked")
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("across").alias("across")).collect()
+    wide = F.create_map(*(F.lit(x) for r in sizes for x in (r["cell"], r["across"])))
+    ring = F.when(wide[F.col("cell")] > 0, F.least(F.lit(RINGS - 1), F.floor(F.col("across") / wide[F.col("cell")] * RINGS))).otherwise(0)
+    data = cells.withColumn("ring", ring.cast("int"))
+    summary = data.groupBy("cell", "ring").agg(F.count("*").alias("n"), F.min("along").alias("low"), F.max("along").alias("high"), F.max("across").alias("across")).collect()
+    n_queries = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    groups = gathered(n_queries, centres, QUERY_BLOCK)
+
+    rows_of = {r["cell"]: r["n"] for r in sizes}
+    blocks = [(i, -(-rows_of.get(i, 0) // DATA_BLOCK), -(-n_queries.get(i, 0) // QUERY_BLOCK), groups.get(i, -1)) for i in range(len(chosen))]
+    blocks = F.broadcast(spark.createDataFrame(blocks, "cell int, d int, q int, grp int"))  # one row for each pivot
+    left = cells.join(blocks, "cell").where("q > 0").select("cell", _slot("d").alias("db"), _spread("q").alias("qb"), "vec_id", "v")
+    asked = asked.join(blocks, "cell")
+    right = asked.where("d > 0").select("cell", _spread("d").alias("db"), _slot("q").alias("qb"), "vec_id", "v")
     keys = ["cell", "db", "qb"]
-    solved = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_solve(k, max(width, 1)), "query_id long, vec_id long, score long")
+    own = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_own(k, centres.width), FOUND)
+    first = scratch.keep(_merged(own, k), "own")
+    bound = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).cast("double").alias("bound"))
+    asked = asked.join(bound, asked["vec_id"] == bound["query_id"], "left").select("vec_id", "v", "cell", "grp", "bound")
+    asked = scratch.keep(asked.mapInArrow(_bounds(centres, k), "vec_id long, v array<double>, cell int, grp int, bound double"), "bounds")
+    needed = asked.mapInArrow(_needs(centres, summary), "grp int, cell int, ring int, n long").groupBy("grp", "cell", "ring").agg(F.sum("n").alias("n")).collect()
+    per_group: dict[int, int] = {}
+    for cell, n in n_queries.items():
+        per_group[groups[cell]] = per_group.get(groups[cell], 0) + n
+    return Plan(centres, data, asked, first, {(r["cell"], r["ring"]): r["n"] for r in summary}, {(r["grp"], r["cell"], r["ring"]): r["n"] for r in needed}, per_group)
+
+
+def _slot(n: str):
+    return F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+
+
+def _spread(n: str):
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def _bounds(centres: Centres, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Raises each bound to the k-th score among the pivots."""
+        for batch in batches:
+            ids, q = batch.column(0).to_numpy(), matrix(batch.column(1), centres.width)
+            bound = batch.column(4).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            if len(centres.ids) >= k:
+                seen = np.where(centres.ids[None] == ids[:, None], -np.inf, q @ centres.rows.T)
+                bound = np.maximum(bound, np.sort(seen, 1)[:, -k])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(bound)], names=["vec_id", "v", "cell", "grp", "bound"])
+
+    return run
+
+
+def _needs(centres: Centres, summary: list):
+    cell, ring = (np.array([r[c] for r in summary], np.int64) for c in ("cell", "ring"))
+    low, high, across = (np.array([r[c] for r in summary]) for c in ("low", "high", "across"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many queries of a batch may need each ring of another cell, by group."""
+        for batch in batches:
+            q, own = matrix(batch.column(1), centres.width), batch.column(2).to_numpy()
+            group, bound = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            c, e = centres.parts(q)
+            use = (upper(c[:, cell], e[:, cell], low, high, across) >= bound[:, None]) & (own[:, None] != cell)
+            which = np.unique(group)
+            n = np.stack([use[group == g].sum(0) for g in which]) if len(which) else np.zeros((0, len(cell)), np.int64)
+            row, at = np.nonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(which[row].astype(np.int32)), pa.array(cell[at].astype(np.int32)), pa.array(ring[at].astype(np.int32)), pa.array(n[row, at].astype(np.int64))], names=["grp", "cell", "ring", "n"])
+
+    return run
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return solved.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def shares(p: Plan) -> tuple[float, float]:
+    """(share of all (query, vector) pairs that are multiplied or bounded one by one, rows replicated for each data row)."""
+    rows, asked = sum(p.rings.values()), sum(p.queries.values())
+    pairs = sum(n * p.rings[cell, ring] for (_, cell, ring), n in p.needs.items())
+    return pairs / max(1, rows * asked), sum(p.rings[cell, ring] for _, cell, ring in p.needs) / max(1, rows)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k highest inner products of every query with all other rows."""
+    spark = vectors.sparkSession
+    p = plan(vectors, queries, k, id_col, vector, pivots)
+    if p is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    found = p.first.select("query_id", "vec_id", "score")
+    if p.needs:
+        rows: dict[int, int] = {}
+        for g, cell, ring in p.needs:
+            rows[g] = rows.get(g, 0) + p.rings[cell, ring]
+        size = {g: (-(-n // DATA_BLOCK), -(-p.queries[g] // QUERY_BLOCK)) for g, n in rows.items()}
+        # at most PIVOTS groups times PIVOTS * RINGS rings
+        needs = F.broadcast(spark.createDataFrame([(g, cell, ring, *size[g]) for g, cell, ring in p.needs], "grp int, cell int, ring int, d int, q int"))
+        blocks = F.broadcast(spark.createDataFrame([(g, *x) for g, x in size.items()], "grp int, d int, q int"))
+        left = p.data.join(needs, ["cell", "ring"]).select("grp", _slot("d").alias("db"), _spread("q").alias("qb"), "vec_id", "v", "cell", "ring", "along", "across")
+        right = p.asked.join(blocks, "grp").select("grp", _spread("d").alias("db"), _slot("q").alias("qb"), "vec_id", "v", "cell", "bound")
+        keys = ["grp", "db", "qb"]
+        found = found.unionByName(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_rest(k, p.centres), FOUND))
+    return _merged(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

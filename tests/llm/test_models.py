@@ -74,6 +74,26 @@ def test_top_k_of_few_and_huge_and_no_vectors(spark):
     assert knn.top_k(df.where("false"), df).count() == 0
 
 
+def test_top_k_replicates_only_what_clusters_need(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 1, (12, 16))
+    rows = [(i, (centres[i % 12] + rng.normal(0, 0.02, 16)).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 50 = 0")
+    pairs, copies = knn.shares(knn.plan(df, asked, 5, "vec_id", "embedding", 24))
+    assert pairs < 0.1 and copies < 0.6
+    assert sorted(map(tuple, knn.top_k(df, asked, 5, pivots=24).collect())) == brute_top(rows, {i for i, _ in rows if i % 50 == 0}, 5)
+    loose = spark.createDataFrame([(i, rng.normal(0, 1, 16).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    assert 0.0 <= knn.shares(knn.plan(loose, loose.where("vec_id % 50 = 0"), 5, "vec_id", "embedding", 24))[0] <= 1.0
+
+
+def test_groups_of_queries_hold_near_cells():
+    centres = knn.Centres(np.array([[0.0, 1], [9, 9], [0, 2], [9, 8]]), np.arange(4))
+    groups = knn.gathered({0: 5, 1: 4, 2: 4, 3: 3}, centres, 9)
+    assert groups[0] == groups[2] != groups[1] == groups[3]
+    assert set(knn.gathered({0: 50, 1: 1}, centres, 9).values()) == {0, 1}
+
+
 def test_codewords_are_apart():
     for n in (2, 4, 6, 12):
         code = language.codewords(n)
