@@ -11,7 +11,8 @@ every whole text in one pass without a shuffle.
 
 Defined cases: a null text, or one without any letter (Unicode L), gets `und` with score 0; null languages aren't
 learned; with one language every text with letters gets it; with none every text gets `und`; repeated rows and ties
-(lower language name first) are predicted alike; further columns are left out.
+(lower language name first) are predicted alike; a null doc_id counts as held out; further columns are left out by
+`predict` and kept by `accept`.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,47 +168,65 @@ def lettered(texts: pa.Array) -> np.ndarray:
     return has
 
 
+class Reader:
+    """Predictions for the texts of Arrow columns."""
+
+    def __init__(self, model: Model):
+        self.model = model
+
+    def read(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, score, ambiguous) of each text."""
+        model, data, at = self.model, *tx.buffer(texts)
+        lang, score, unsure = [], [np.zeros(0)], [np.zeros(0, bool)]
+        for i, j in tx.ranges(at, tx.CHUNK_BYTES // 4):
+            if not model.languages:
+                lang += ["und"] * (j - i)
+                score.append(np.zeros(j - i))
+                unsure.append(np.ones(j - i, bool))
+                continue
+            has = lettered(texts.slice(i, j - i))
+            x = means(data[at[i] : at[j]], at[i : j + 1] - at[i], model.weights)
+            best, s, near = decode(x * model.slope + model.bias, model.code)
+            lang += [model.languages[b] if h else "und" for b, h in zip(best, has, strict=True)]
+            score.append(np.where(has, s, 0.0))
+            unsure.append(near | ~has)
+        return lang, np.concatenate(score), np.concatenate(unsure)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1), ambiguous for every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(model)
         for batch in batches:
-            texts = batch.column(1)
-            data, at = tx.buffer(texts)
-            lang, score, unsure = [], [], []
-            for i, j in tx.ranges(at, tx.CHUNK_BYTES // 4):
-                has = lettered(texts.slice(i, j - i)) if model.languages else np.zeros(j - i, bool)
-                if model.languages:
-                    x = means(data[at[i] : at[j]], at[i : j + 1] - at[i], model.weights)
-                    best, s, near = decode(x * model.slope + model.bias, model.code)
-                else:
-                    best, s, near = np.zeros(j - i, int), np.zeros(j - i), np.ones(j - i, bool)
-                lang += [model.languages[b] if h else "und" for b, h in zip(best, has, strict=True)]
-                score += np.where(has, s, 0.0).tolist()
-                unsure += (near | ~has).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], names=["doc_id", "lang_pred", "score", "ambiguous"])
+            lang, score, unsure = reader.read(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PREDICTED)
 
 
 def accept(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents whose language is told (not `und`), all columns as they are, except that a null lang is filled in."""
+    """The documents whose predicted language isn't `und`, all columns as they are, except that a null lang becomes the predicted one.
+
+    Every row is predicted, those with a lang too. Where there was no language to learn, documents with a letter are accepted.
+    """
     names = docs.columns
     at, lang = names.index("text"), names.index("lang") if "lang" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(model)
         for whole in batches:
             for i, j in tx.ranges(tx.buffer(whole.column(at))[1], tx.CHUNK_BYTES):
                 batch = whole.slice(i, j - i)
-                has = lettered(batch.column(at)) if model.languages else np.zeros(j - i, bool)
                 columns = list(batch.columns)
-                if lang is not None and columns[lang].null_count:
-                    known = columns[lang].to_pylist()
-                    for k in [k for k, x in enumerate(known) if x is None and has[k]]:
-                        data, offsets = tx.buffer(batch.column(at).slice(k, 1))
-                        known[k] = model.languages[decode(means(data, offsets, model.weights) * model.slope + model.bias, model.code)[0][0]]
-                    columns[lang] = pa.array(known, pa.string())
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(has)) for c in columns], names=names)
+                if model.languages:
+                    found = pa.array(reader.read(batch.column(at))[0], pa.string())
+                    good = pc.not_equal(found, "und")
+                    if lang is not None:
+                        columns[lang] = pc.coalesce(columns[lang], found)
+                else:
+                    good = pa.array(lettered(batch.column(at)))
+                yield pa.RecordBatch.from_arrays([c.filter(good) for c in columns], names=names)
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -222,4 +242,4 @@ def learned(docs: DataFrame) -> Model:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return predict(docs, learned(docs)).withColumn("held_out", fold(3) == 1).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+    return predict(docs, learned(docs)).withColumn("held_out", F.coalesce(fold(3) == 1, F.lit(True))).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")

@@ -112,13 +112,70 @@ def test_language_of_odd_texts(spark):
     assert got[5]["lang_pred"] != "und" and got[6]["lang_pred"] != "und" and all(0 <= r["score"] <= 1 for r in got.values())
     kept = language.accept(odd.withColumn("lang", F.lit(None).cast("string")), model)
     assert sorted(r["doc_id"] for r in kept.collect()) == [4, 5, 5, 6, 7] and kept.where("lang is null").count() == 0
+    told = odd.withColumn("lang", F.lit("xx"))
+    assert {r["lang"] for r in language.accept(told, model).collect()} == {"xx"} and language.accept(told, model).count() == 5
     none = language.fit(docs.where("false"))
+    assert sorted(r["doc_id"] for r in language.accept(odd, none).collect()) == [4, 5, 5, 6, 7]
     assert {r["lang_pred"] for r in language.predict(odd, none).collect()} == {"und"}
     one = language.fit(docs.where("lang = 'en'"))
     assert {r["lang_pred"] for r in language.predict(odd, one).collect()} == {"und", "en"}
     assert language.predict(odd.where("false"), model).count() == 0
 
 
+def brute_trigrams(text):
+    raw = [b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()]
+    return [((a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % 2**32) >> 17 for a, b, c in zip(raw, raw[1:], raw[2:], strict=False)]
+
+
+def brute_languages(rows):
+    """(doc_id, lang_pred, score) of (doc_id, text, lang), one text and one trigram after another; for up to six languages and no sampling."""
+    learn = [(t, k) for i, t, k in rows if k is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+    names = sorted({k for _, k in learn})
+    counts = {k: {} for k in names}
+    for t, k in learn:
+        for g in brute_trigrams(t):
+            counts[k][g] = counts[k].get(g, 0) + 1
+    total = {k: sum(c.values()) + 0.05 * language.BUCKETS for k, c in counts.items()}
+    share = lambda k, g: (counts[k].get(g, 0) + 0.05) / total[k]
+    code = language.codewords(len(names)).tolist()
+    bits = range(len(code[0]))
+    known = {}
+
+    def weights(g):
+        if g not in known:
+            side = lambda b, s: [share(k, g) for k, c in zip(names, code, strict=True) if c[b] == s]
+            known[g] = [np.log(sum(side(b, 1)) / len(side(b, 1))) - np.log(sum(side(b, -1)) / len(side(b, -1))) for b in bits]
+        return known[g]
+
+    def mean(t):
+        all_ = [weights(g) for g in brute_trigrams(t)]
+        return [sum(w[b] for w in all_) / len(all_) if all_ else 0.0 for b in bits]
+
+    x = np.array([mean(t) for t, _ in learn])
+    fits = [language._logistic(x[:, b], np.array([code[names.index(k)][b] > 0 for _, k in learn])) for b in bits]
+    out = []
+    for i, t, _ in rows:
+        if not any(map(str.isalpha, t or "")):
+            out.append((i, "und", 0.0))
+            continue
+        margin = [a * m + c for m, (a, c) in zip(mean(t), fits, strict=True)]
+        loss = [sum(np.log1p(np.exp(-np.clip(m * s, -40, 40))) for m, s in zip(margin, word, strict=True)) / len(bits) for word in code]
+        likely = [np.exp(-(v - min(loss)) * len(bits)) for v in loss]
+        out.append((i, names[loss.index(min(loss))], max(likely) / sum(likely)))
+    return out
+
+
+@tables
+def test_language_equals_brute_force(spark):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    got = {r["doc_id"]: r for r in language.query(spark, DATA).collect()}
+    want = brute_languages(rows)
+    assert len(got) == len(want)
+    for i, lang, score in want:
+        assert got[i]["lang_pred"] == lang and got[i]["score"] == pytest.approx(score, abs=1e-4)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+
+
 @tables
 def test_language_held_out(spark):
     truth = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang")

@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from gridcast.llm import bpe
+from tests.llm.test_models import brute_languages
 from tests.llm.test_texts import brute_components, brute_hits, words
 
 DATA = "/root/testdata/sf0.001"
@@ -28,9 +29,10 @@ def cut(rows, n=20):
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_pipeline_equals_brute_force(spark):
-    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
-    rows = [(i, t) for i, t in docs if t and any(map(str.isalpha, t))]
+    told = {i: lang for i, lang, _ in brute_languages(docs)}
+    rows = [(i, t) for i, t, _ in docs if told[i] != "und"]
     groups = brute_components(rows, 5, 80)
     rows = cut([(i, t) for i, t in rows if groups[i][1] == i])
     hit = brute_hits(rows, bench)
