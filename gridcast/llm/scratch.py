@@ -2,27 +2,54 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_scopes: list[str] = []
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; only where that is unset, in a temporary folder of this machine (tests)."""
+    """A new path under spark.checkpoint.dir, which all executors must share; a local master (tests, one machine) may go without the setting."""
+    if _scopes:
+        return f"{_scopes[-1]}/{name}-{uuid.uuid4().hex[:12]}"
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gridcast-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession, name: str):
+    """What is kept inside lies in one folder, which goes at the end: a result must be written elsewhere before."""
+    _scopes.append(folder(spark, name))
+    try:
+        yield
+    finally:
+        remove(spark, _scopes.pop())
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows as Parquet in the shared folder and reads them again, which cuts the lineage."""
-    spark = df.sparkSession
-    path = folder(spark, name)
+    return store(df, folder(df.sparkSession, name))
+
+
+def store(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,28 +8,39 @@ anchor are a span. Equal windows have equal anchors, so a window repeats only if
 n words has about n / 7 spans, each one row: anchor hash and span hash (128 bits together), doc_id, first window, windows.
 
 Index. The distinct spans seen so far are kept in immutable runs, each a table bucketed and sorted by anchor hash. A new
-batch is merged with them in anchor order:
+batch is dealt by anchor hash into as many buckets once and then merge-joined with every run; the runs are read as they lie, without
+an exchange:
   * a span that occurred before is a repeat with all its windows;
   * of the first occurrences, those whose anchor also occurs in another span are uncertain, in the batch and in the runs:
     their windows are verified one by one on the words of the texts (128 bits a window);
   * all other windows are new.
-The batch's first occurrences become a new run; when there are more than `FANOUT` runs they are compacted into one.
+The batch's first occurrences become a run of level 0. More than `FANOUT` runs of a level are compacted into one of the next level and
+dropped, so a span is rewritten once a level. The texts of a batch are a table bucketed by doc_id, so that
+verification and removal meet them without an exchange as well. A manifest in the index's folder names all tables; another session
+opens the index by its path, and a version of the manifest is there as a whole or not at all.
 
 Scale. Repeats within one Arrow batch of documents are settled before the shuffle, so a passage that a third of all
 documents share sends one row for each batch of documents, not one for each document. Texts are shuffled by doc_id once.
+What one task still meets as a whole are the distinct spans of one anchor: a common line of eight words in ever other
+surroundings gives a row for each document. They are sorted and merged, not held in memory.
 
 Defined cases: null texts have no words; documents of fewer than 20 words keep all of them; equal rows count as one document,
 and each is returned (a doc_id with several texts is not defined, but doesn't fail); null doc_ids keep their text and take no part; ties can't occur (a place in a document is unique); further
-columns are ignored by `removals` and kept by `clean`.
+columns are ignored by `digests` and kept by `clean`.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import uuid
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,8 +49,8 @@ from gridcast.llm import scratch
 from gridcast.llm import text as tx
 
 WINDOW, ANCHOR = 20, 8
-#: Runs that may stand side by side before they are compacted.
-FANOUT = 4
+#: Runs of a level that may stand side by side before they are compacted, and batches of one application.
+FANOUT, BATCHES = 2, 4
 SPANS = "gram long, span long, doc_id long, start int, n int"
 
 
@@ -158,89 +169,191 @@ def _windows(window: int):
     return run
 
 
+class Run(NamedTuple):
+    """One immutable table of the index."""
+
+    kind: str  # spans, or texts of a batch
+    table: str
+    path: str
+    level: int  # of texts: the part of the table that is the batch
+
+
 class FingerprintIndex:
-    """Runs of spans of all batches so far. `texts` are the documents of those batches, read again where spans are uncertain."""
+    """Runs of spans of all batches so far and the texts of these batches, with a manifest that another session can open.
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, buckets: int | None = None):
+    path: the index's folder, below the shared one; None makes a new one. An existing index there is opened.
+    """
+
+    def __init__(self, spark: SparkSession, window: int = WINDOW, buckets: int | None = None, path: str | None = None):
         self.spark, self.window = spark, window
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[str] = []
-        self.merged: list[str] = []
-        self.texts: list[DataFrame] = []
-
-    def _write(self, rows: DataFrame, name: str) -> str:
-        """An immutable table, bucketed and sorted by anchor hash, with one folder for each kind of row."""
-        path = scratch.folder(self.spark, name)
-        table = path.rpartition("/")[2].replace("-", "_")
-        rows.write.bucketBy(self.buckets, "gram").sortBy("gram", "span").partitionBy("kind").option("path", path).saveAsTable(table)
-        return table
-
-    def _read(self, table: str, *kinds: str) -> DataFrame:
-        return self.spark.table(table).where(F.col("kind").isin(*kinds))
-
-    def history(self) -> DataFrame | None:
-        found = None
-        for table in self.runs:
-            run = self._read(table, "first", "uncertain").select("gram", "span", "doc_id", "start", "n")
-            found = run if found is None else found.unionByName(run)
-        return found
-
-    def compact(self) -> None:
-        """Merges all runs into one; runs share no span, so nothing else changes. The old tables stay until `forget`."""
-        if len(self.runs) > 1:
-            whole = self.history().repartition(self.buckets, "gram").withColumn("kind", F.lit("first"))
-            self.merged += self.runs
-            self.runs = [self._write(whole, "compacted")]
-
-    def forget(self) -> None:
-        """Drops runs that have been merged; results of earlier batches that aren't computed yet may still read them."""
-        for table in self.merged:
-            self.spark.sql(f"drop table {table}")
-        self.merged = []
-
-    def add(self, docs: DataFrame, remember: bool = True) -> DataFrame:
+        self.path, self.version, self.runs = path or scratch.folder(spark, "index"), 0, []
+        if path:
+            self._open()
+
+    # ---- manifest ----
+
+    def _open(self) -> None:
+        try:
+            state = self.spark.read.parquet(f"{self.path}/manifest")
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            return
+        rows = state.where(F.col("version") == state.agg(F.max("version")).first()[0]).collect()  # one row for each run
+        self.version, self.buckets, self.window = rows[0]["version"], rows[0]["buckets"], rows[0]["window"]
+        for r in rows:
+            run = Run(r["kind"], r["table"], r["path"], r["level"])
+            if not self.spark.catalog.tableExists(run.table):
+                by, part = ("doc_id", "__part") if run.kind == "texts" else ("gram", "kind")
+                columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.read.parquet(run.path).schema)
+                self.spark.sql(f"create table {run.table} ({columns}) using parquet partitioned by ({part}) clustered by ({by}) into {self.buckets} buckets location '{run.path}'")
+                self.spark.catalog.recoverPartitions(run.table)
+            self.runs.append(run)
+
+    def _commit(self) -> None:
+        """The state as a new version: there as a whole once its job is committed, and not before."""
+        self.version += 1
+        rows = [(self.version, self.buckets, self.window, *r) for r in self.runs]
+        self.spark.createDataFrame(rows, "version int, buckets int, window int, kind string, table string, path string, level int").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def _write(self, rows: DataFrame, kind: str, level: int = 0) -> Run:
+        """An immutable table: spans bucketed and sorted by anchor hash with one folder for each kind of row, texts bucketed by doc_id."""
+        name = f"{kind}_{uuid.uuid4().hex[:12]}"
+        run = Run(kind, name, f"{self.path}/{name}", level)
+        out = rows.write.option("path", run.path)
+        if kind == "texts":
+            out.bucketBy(self.buckets, "doc_id").partitionBy("__part").saveAsTable(name)
+        else:
+            out.bucketBy(self.buckets, "gram").sortBy("gram", "span").partitionBy("kind").saveAsTable(name)
+        return run
+
+    def _read(self, run: Run, *kinds: str) -> DataFrame:
+        return self.spark.table(run.table).where(F.col("kind").isin(*kinds))
+
+    def _spans_of(self, run: Run) -> DataFrame:
+        return self._read(run, "first", "uncertain").select("gram", "span", "doc_id", "start", "n")
+
+    def history(self) -> list[DataFrame]:
+        return [self._spans_of(r) for r in self.runs if r.kind == "spans"]
+
+    def compact(self, level: int) -> None:
+        """Merges a level's runs into one of the next level and drops them; runs share no span, so nothing else changes."""
+        old = [r for r in self.runs if r.kind == "spans" and r.level == level]
+        whole = reduce(DataFrame.unionByName, map(self._spans_of, old)).repartition(self.buckets, "gram").withColumn("kind", F.lit("first"))
+        made = self._write(whole, "spans", level + 1)
+        self.runs = [r for r in self.runs if r not in old] + [made]
+        self._commit()
+        for r in old:
+            self._drop(r)
+
+    def _drop(self, run: Run) -> None:
+        self.spark.sql(f"drop table {run.table}")
+        scratch.remove(self.spark, run.path)
+
+    # ---- a batch ----
+
+    def store(self, docs: DataFrame, part=None) -> list[Run]:
+        """Writes documents (all their columns, doc_id as long) bucketed by doc_id, as one batch or as those that the column `part` numbers."""
+        parts = [0] if part is None else list(range(part[1]))
+        rows = docs.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("__part", F.lit(0) if part is None else part[0])
+        made = self._write(rows.repartition(self.buckets, "doc_id"), "texts")
+        return [made._replace(level=i) for i in parts]
+
+    def batch(self, run: Run) -> DataFrame:
+        """The stored documents of a batch."""
+        return self.spark.table(run.table).where(F.col("__part") == run.level).drop("__part")
+
+    def add(self, batch: DataFrame | Run, remember: bool = True) -> DataFrame:
         """Intervals of windows (doc_id, start, n) of the batch that repeat; then the batch belongs to the index.
 
-        remember=False is for the last batch: its first occurrences aren't written.
+        batch: documents, or what `store` made of them. remember=False is for the last batch: its first occurrences aren't written.
         """
-        docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        rows = docs.mapInArrow(_spans(self.window), SPANS).withColumn("past", F.lit(False))
-        past = self.history()
-        if past is not None:
-            rows = rows.unionByName(past.withColumn("past", F.lit(True)))
-        rows = rows.repartition(self.buckets, "gram")
-        inside = Window.partitionBy("gram").orderBy("span", F.desc("past"), "doc_id", "start")
-        before = lambda c: F.lag(c).over(inside)
-        anchors = Window.partitionBy("gram")
-        flagged = rows.select(
-            "*",
-            F.coalesce(before("span") == F.col("span"), F.lit(False)).alias("again"),
-            F.coalesce((before("doc_id") == F.col("doc_id")) & (before("start") == F.col("start")) & (before("past") == F.col("past")), F.lit(False)).alias("same"),
-            (F.min("span").over(anchors) < F.max("span").over(anchors)).alias("varied"),
-        )
-        kind = F.when(F.col("n") < 0, "repeat").when(F.col("again"), F.when(F.col("past") | F.col("same"), "gone").otherwise("repeat")).when(F.col("varied"), F.when(F.col("past"), "old").otherwise("uncertain")).when(F.col("past"), "gone").otherwise("first")
-        wanted = F.col("kind") != "gone" if remember else ~F.col("kind").isin("gone", "first")
-        table = self._write(flagged.withColumn("kind", kind).where(wanted).select("gram", "span", "doc_id", "start", "n", "kind"), "spans")
-
-        def uncertain(texts: DataFrame, of: str, is_past: bool) -> DataFrame:
-            places = self._read(table, of).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("places"))
-            return texts.join(places, "doc_id").select("doc_id", "text", F.lit(is_past).alias("past"), "places")
-
-        asked = uncertain(docs, "uncertain", False)
-        for texts in self.texts:
-            asked = asked.unionByName(uncertain(texts, "old", True))
+        made = batch if isinstance(batch, Run) else self.store(batch)[0]
+        text = lambda run: self.batch(run).select("doc_id", F.col("text").cast("string").alias("text"))
+        texts = text(made)
+        own = self._settled(texts)
+        marked = self._merged(own, remember)
+        asked = _places(self._read(marked, "uncertain")).join(texts, "doc_id").select("doc_id", "text", F.lit(False).alias("past"), "places")
+        past = self._old(marked)
+        for run in self.runs if past is not None else ():
+            if run.kind == "texts":
+                asked = asked.unionByName(_places(past).join(text(run), "doc_id").select("doc_id", "text", F.lit(True).alias("past"), "places"))
         found = asked.mapInArrow(_windows(self.window), "one long, two long, doc_id long, start int, n int, past boolean")
         order = Window.partitionBy("one", "two").orderBy(F.desc("past"), "doc_id", "start")
         first = F.first(F.struct("past", "doc_id", "start")).over(order)
         later = found.withColumn("f", first).where("n < 0 or (not past and (f.past or f.doc_id <> doc_id or f.start <> start))")
-        repeats = self._read(table, "repeat").select("doc_id", "start", F.abs("n").alias("n")).unionByName(later.select("doc_id", "start", F.abs("n").alias("n")))
-        if remember:
-            self.runs.append(table)
-            self.texts.append(docs)
-            if len(self.runs) > FANOUT:
-                self.compact()
+        repeats = self._read(marked, "repeat").select("doc_id", "start", F.abs("n").alias("n")).unionByName(later.select("doc_id", "start", F.abs("n").alias("n")))
+        repeats = scratch.keep(repeats, "repeats")
+        self._drop(own)
+        if not remember:
+            self._drop(marked)
+            return repeats
+        self.runs += [marked, made]
+        self._commit()
+        level = 0
+        while sum(r.kind == "spans" and r.level == level for r in self.runs) > FANOUT:
+            self.compact(level)
+            level += 1
         return repeats
 
+    def forget(self) -> None:
+        """Drops all runs of spans; the stored documents stay."""
+        for run in self.runs:
+            if run.kind == "spans":
+                self._drop(run)
+        self.runs = []
+
+    def _settled(self, texts: DataFrame) -> Run:
+        """The batch's spans, dealt by anchor hash once: first occurrences within the batch, and repeats within it."""
+        rows = texts.mapInArrow(_spans(self.window), SPANS).repartition(self.buckets, "gram")
+        inside = Window.partitionBy("gram", "span").orderBy("doc_id", "start")
+        before = lambda c: F.lag(c).over(inside)
+        same = (before("doc_id") == F.col("doc_id")) & (before("start") == F.col("start"))
+        kind = F.when(F.col("n") < 0, "repeat").when(F.row_number().over(inside) == 1, "first").when(same, "gone").otherwise("repeat")
+        return self._write(rows.withColumn("kind", kind).where("kind <> 'gone'").select("gram", "span", "doc_id", "start", "n", "kind"), "spans")
+
+    def _merged(self, batch: Run, remember: bool) -> Run:
+        """The batch after a merge with all runs: repeats, uncertain and first spans. All sides are bucketed by anchor hash, so none is exchanged."""
+        rows = self.spark.table(batch.table)
+        first = rows.where("kind = 'first'").drop("kind")
+        bounds = lambda df, i: df.groupBy("gram").agg(F.min("span").alias(f"low{i}"), F.max("span").alias(f"high{i}"))
+        runs = self.history()
+        out = first.join(bounds(first, 0), "gram")
+        for i, run in enumerate(runs, 1):
+            out = out.join(bounds(run, i), "gram", "left").join(run.select("gram", "span", F.lit(True).alias(f"met{i}")), ["gram", "span"], "left")
+        numbers = range(1, len(runs) + 1)
+        met = reduce(lambda a, b: a | b, (F.col(f"met{i}").isNotNull() for i in numbers), F.lit(False))
+        least = F.least(F.col("low0"), F.col("low0"), *(F.col(f"low{i}") for i in numbers))
+        most = F.greatest(F.col("high0"), F.col("high0"), *(F.col(f"high{i}") for i in numbers))
+        out = out.withColumn("kind", F.when(met, "repeat").when(least < most, "uncertain").otherwise("first"))
+        columns = ["gram", "span", "doc_id", "start", "n", "kind"]
+        wanted = out.select(*columns).unionByName(rows.where("kind = 'repeat'").select(*columns))
+        with _cluster_keys(self.spark):
+            return self._write(wanted if remember else wanted.where("kind <> 'first'"), "spans")
+
+    def _old(self, marked: Run) -> DataFrame | None:
+        """Spans of earlier batches whose anchor is uncertain in this one."""
+        grams = self._read(marked, "uncertain").select("gram").distinct()
+        found = [run.join(grams, "gram", "left_semi") for run in self.history()]
+        return scratch.keep(reduce(DataFrame.unionByName, found), "old") if found else None
+
+
+def _places(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("places"))
+
+
+@contextlib.contextmanager
+def _cluster_keys(spark: SparkSession):
+    """Lets tables that are bucketed by one join key meet on two keys as they lie."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
 
 def _removed(n_words: int, places: list[dict] | None, window: int) -> np.ndarray:
     """Which words lie in a repeated window."""
@@ -260,22 +373,21 @@ def keep(text: str, places: list[dict] | None, window: int = WINDOW) -> tuple[in
     return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
 
 
-def batches(docs: DataFrame, n: int) -> list[DataFrame]:
-    """Documents in n batches of ascending doc_id, about equal in number (null doc_ids are in none)."""
+def numbered(docs: DataFrame, n: int):
+    """(number of a document's batch, batches): n batches of ascending doc_id, about equal in number."""
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)])).first()[0] if n > 1 else []
     cuts = sorted(set(cuts or []))
-    low = [None, *cuts]
-    return [docs.where((F.col("doc_id") > a if a is not None else F.lit(True)) & (F.col("doc_id") <= b if b is not None else F.lit(True)) & F.col("doc_id").isNotNull()) for a, b in zip(low, [*cuts, None], strict=True)]
+    return sum((F.when(F.col("doc_id") > c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int"), len(cuts) + 1
 
 
-def removals(docs: DataFrame, n_batches: int = 2, window: int = WINDOW) -> list[tuple[DataFrame, DataFrame]]:
-    """(documents of a batch, intervals to remove in them: doc_id, places) for each batch in turn."""
+def removals(docs: DataFrame, n_batches: int = BATCHES, window: int = WINDOW) -> list[tuple[DataFrame, DataFrame]]:
+    """(documents of a batch as stored, intervals to remove in them: doc_id, places) for each batch in turn. Null doc_ids are in none."""
     index = FingerprintIndex(docs.sparkSession, window)
     out = []
-    parts = batches(docs, n_batches)
-    for i, part in enumerate(parts):
-        repeats = index.add(part, remember=i + 1 < len(parts))
-        out.append((part, repeats.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("places"))))
+    runs = index.store(docs, numbered(docs, n_batches))
+    for i, run in enumerate(runs):
+        out.append((index.batch(run), _places(index.add(run, remember=i + 1 < len(runs)))))
+    index.forget()
     return out
 
 
@@ -288,7 +400,7 @@ def _digests(window: int):
     return run
 
 
-def digests(docs: DataFrame, n_batches: int = 2, window: int = WINDOW) -> DataFrame:
+def digests(docs: DataFrame, n_batches: int = BATCHES, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = docs.where("doc_id is null").withColumn("places", F.lit(None).cast("array<struct<start:int,n:int>>"))
@@ -297,13 +409,14 @@ def digests(docs: DataFrame, n_batches: int = 2, window: int = WINDOW) -> DataFr
     return out.mapInArrow(_digests(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def clean(docs: DataFrame, n_batches: int = 2, window: int = WINDOW) -> DataFrame:
+def clean(docs: DataFrame, n_batches: int = BATCHES, window: int = WINDOW) -> DataFrame:
     """The documents with repeated passages taken out of text; a text that loses nothing stays as it is, a changed one has its words joined by one space. An integer column n_chars follows the text."""
     schema = docs.schema
     names = schema.names
     out = docs.where("doc_id is null").withColumn("__places", F.lit(None).cast("array<struct<start:int,n:int>>"))
     for part, places in removals(docs, n_batches, window):
-        out = out.unionByName(part.join(places.withColumnRenamed("places", "__places"), "doc_id", "left").select(*names, "__places"))
+        back = part.join(places.withColumnRenamed("places", "__places"), "doc_id", "left").withColumn("doc_id", F.col("doc_id").cast(schema["doc_id"].dataType))
+        out = out.unionByName(back.select(*(F.col(f"`{n}`") for n in names), "__places"))
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names and isinstance(schema["n_chars"].dataType, T.LongType) else None
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +427,7 @@ def clean(docs: DataFrame, n_batches: int = 2, window: int = WINDOW) -> DataFram
             if hit:
                 values = texts.to_pylist()
                 for i in hit:
-                    values[i] = keep(values[i], places[i], window)[2].decode()
+                    values[i] = keep(values[i] or "", places[i], window)[2].decode()
                 columns[at] = pa.array(values, texts.type)
                 if chars is not None:
                     n = columns[chars].to_pylist()

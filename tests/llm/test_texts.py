@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 
@@ -171,22 +172,72 @@ def test_partial_overlaps_and_periodic_texts(spark):
         assert got == brute_removal(rows)
 
 
-def test_index_compacts_and_goes_on(spark):
-    rows = corpus(4)
-    docs = make(spark, rows).select("doc_id", "text")
+def removed_words(part, repeats):
+    places = {}
+    for r in repeats.collect():
+        places.setdefault(r["doc_id"], []).append({"start": r["start"], "n": r["n"]})
+    return {r["doc_id"]: substring.keep(r["text"] or "", places.get(r["doc_id"]))[1] for r in part.distinct().collect()}
+
+
+def batches(docs, n):
+    number, parts = substring.numbered(docs, n)
+    docs = docs.where("doc_id is not null").withColumn("b", number)
+    return [docs.where(f"b = {i}").select("doc_id", "text") for i in range(parts)]
+
+
+def test_index_compacts_drops_and_goes_on(spark):
+    docs = make(spark, corpus(4)).select("doc_id", "text")
+    index = substring.FingerprintIndex(spark, buckets=3)
+    parts, got = batches(docs, 8), {}
+    for p in parts:
+        got |= removed_words(p, index.add(p))
+    want = brute_removal(corpus(4))
+    assert got == {i: r[1] for i, r in want.items()}
+    spans = [r for r in index.runs if r.kind == "spans"]
+    assert all(sum(r.level == k for r in spans) <= substring.FANOUT for k in range(4)) and max(r.level for r in spans) > 0
+    alive = {t.name for t in spark.catalog.listTables() if t.name.startswith("spans_")}
+    assert {r.table for r in spans} <= alive and len(os.listdir(index.path.removeprefix("file://"))) == 1 + len(index.runs)
+    index.forget()
+    assert not {r.table for r in spans} & {t.name for t in spark.catalog.listTables()}
+
+
+def test_another_session_opens_the_index(spark):
+    docs = make(spark, corpus(6)).select("doc_id", "text")
+    parts = batches(docs, 4)
+    index = substring.FingerprintIndex(spark, buckets=3)
+    got = {}
+    for p in parts[:3]:
+        got |= removed_words(p, index.add(p))
+    for run in index.runs:
+        spark.sql(f"drop table {run.table}")  # a new session's catalog knows nothing
+    again = substring.FingerprintIndex(spark, path=index.path)
+    assert (again.runs, again.buckets, again.version) == (index.runs, 3, index.version)
+    got |= removed_words(parts[3], again.add(parts[3]))
+    assert got == {i: r[1] for i, r in brute_removal(corpus(6)).items()}
+    assert substring.FingerprintIndex(spark, path=scratch.folder(spark, "none")).runs == []
+
+
+def test_history_is_merged_without_an_exchange(spark, monkeypatch):
+    docs = make(spark, corpus(4)).select("doc_id", "text")
     index = substring.FingerprintIndex(spark, buckets=3)
-    parts = substring.batches(docs, 8)
-    found = [(p, index.add(p)) for p in parts]
-    assert len(index.runs) <= substring.FANOUT
-    want, n = brute_removal(rows), 0
-    for part, repeats in found:
-        places = {}
-        for r in repeats.collect():
-            places.setdefault(r["doc_id"], []).append({"start": r["start"], "n": r["n"]})
-        for r in part.distinct().collect():
-            assert substring.keep(r["text"] or "", places.get(r["doc_id"]))[1] == want[r["doc_id"]][1]
-            n += 1
-    assert n == len(want)
+    parts = batches(docs, 3)
+    for p in parts[:2]:
+        index.add(p)
+    plans = []
+
+    def seen(self, rows, kind, level=0, write=substring.FingerprintIndex._write):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return write(self, rows, kind, level)
+
+    monkeypatch.setattr(substring.FingerprintIndex, "_write", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index.add(parts[2])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    merged = plans[2]  # after the texts and the batch's own spans
+    assert merged.count("SortMergeJoin") >= 4 and "Exchange" not in merged
+    assert plans[1].count("Exchange") == 1
 
 
 def test_clean_leaves_other_texts_and_columns_alone(spark):
