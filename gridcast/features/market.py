@@ -1,18 +1,19 @@
 """Calendar, system, generation, gas, weather, forecast, offer and interaction features.
 
-All but the calendar are families over one dense series per region: they take a Series and return names and columns. A
-family whose input columns are absent is left out by `available`. Features that look ahead (the weather of the target time
-stands in for its forecast) are listed in LEAKY.
+All but the calendar are families over one dense series per region: they take a Series and return names and columns. Each
+feature named _ahead, and solar_ramp, solar_stress and solar_through_cloud, read later rows (the weather of the target time
+stands in for its forecast).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.functions.scalar import asinh100, clip, cos_turn, flag, ratio, row_max, sin_turn
+from gridcast.operators import windows
 from gridcast.operators.rolling import Series
 
 Family = dict[str, Column]
@@ -89,14 +90,22 @@ def coal(s: Series, most: float, x: str = "coal_mw", drop: float = 600.0) -> Fam
     return out | {"coal_low_flag": flag(c < 0.55 * most)} | {f"coal_low_count_{w}": s.count_if(c < 0.55 * most, w) for w in (48, 336)}
 
 
-def gas(s: Series, x: str = "gas_price", day: int = 48, regime: int = 8640) -> Family:
-    """day: rows of a day; the lags and windows are 1, 2, 7 and 30 days."""
+def gas(s: Series, x: str = "gas_price", day: int = 48, regime: int = 8640, ranks: Sequence[Column] | None = None) -> Family:
+    """day: rows of a day; the lags and windows are 1, 2, 7 and 30 days. ranks: the week's rank, the month's rank and the regime's quantile, if they are columns already."""
     g, week, month = F.col(x), 7 * day, 30 * day
+    one, two, high = ranks or (s.pct_rank(g, week, day // 2), s.pct_rank(g, month, week), s.quantile(g, 0.75, regime, week))
     out = {"gas_srmc": g * 10} | {f"gas_lag_{k}": s.lag(g, k) for k in (day, 2 * day, week, month)}
     out |= {f"gas_rmean_{w}": s.roll("mean", g, w, 1) for w in (week, month)}
     out |= {f"gas_roc_{k}": clip(ratio(s.diff(g, k), s.lag(g, k), 0.01), -2, 2) for k in (week, month)}
-    out |= {"gas_spread": g - s.roll("mean", g, month, 1), f"gas_pct_rank_{week}": s.pct_rank(g, week, day // 2), f"gas_pct_rank_{month}": s.pct_rank(g, month, week)}
-    return out | {"gas_regime_high": flag(g > s.quantile(g, 0.75, regime, week))}
+    out |= {"gas_spread": g - s.roll("mean", g, month, 1), f"gas_pct_rank_{week}": one, f"gas_pct_rank_{month}": two}
+    return out | {"gas_regime_high": flag(g > high)}
+
+
+def with_ranks(df: DataFrame, step: int, x: str = "gas_price", day: int = 48, regime: int = 8640, keys: Sequence[str] = ("region",)) -> tuple[DataFrame, list[Column]]:
+    """Adds the long ranks and the quantile that `gas` needs, by sorted windows; returns their columns as well."""
+    week, month = 7 * day, 30 * day
+    made = [windows.Rolled("__week", x, week, day // 2), windows.Rolled("__month", x, month, week), windows.Rolled("__high", x, regime, week, 0.75)]
+    return windows.rolled(df, made, step, keys), [F.col(m.name) for m in made]
 
 
 def temperature(s: Series, ahead: int = 48, second: str = "temp_2", feels: str = "feelslike", humidity: str = "humidity", dew: str = "dew", near: Sequence[str] = ("temp_a", "temp_b", "temp_c")) -> Family:
@@ -137,10 +146,6 @@ def wind_cloud(s: Series, wind: str = "wind", second: str = "wind_2", cloud: str
     return out | {"solar_through_cloud": s.lead(sun, ahead) * (1 - clip(s.lead(c, ahead) / 100, 0, 1))}
 
 
-#: Names of features that read later rows.
-LEAKY = ("_ahead", "solar_ramp", "solar_stress", "solar_through_cloud")
-
-
 def forecast_steps(df: DataFrame, gap: int = 1, horizon: int = 48) -> DataFrame:
     """Forecast price, availability and median demand by horizon (columns h, rrp, avail, demand50), as features in long form."""
     h = df.where(F.col("h").between(gap, gap + horizon - 1))
@@ -181,8 +186,3 @@ def interactions(df: DataFrame, median: DataFrame) -> DataFrame:
         (zero("spike_count") * F.log1p(clip(zero("rrp_1"), 0))).alias("spike_x_rrp"),
         (zero("rrp_1") - zero("lag_1")).alias("forward_squeeze"),
     )
-
-
-def available(df: DataFrame, needs: Sequence[str], family: Callable[[], Family]) -> Family:
-    """The family, or nothing where one of its inputs isn't there."""
-    return family() if set(needs) <= set(df.columns) else {}

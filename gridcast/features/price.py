@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.functions.scalar import asinh100, clip, cos_turn, flag, row_min, row_sum, sin_turn
-from gridcast.operators.grid import wide
-from gridcast.operators.rolling import Series
+from gridcast.operators.grid import blocks, wide
+from gridcast.operators.rolling import Series, wide_extreme, wide_mean
 
 # The lags and windows that define the families.
 ASINH_LAGS = (1, 2, 4, 12, 48, 96, 336, 335, 337)
@@ -57,6 +57,22 @@ def rolling(s: Series, x: str = "price", windows: Sequence[int] = WINDOWS) -> Fa
     return {f"r{agg}_{w}": s.roll(agg, x, w, max(1, w // 2)) for w in windows for agg in ("mean", "std", "max", "min")}
 
 
+def rolling_long(df: DataFrame, step: int, x: str = "price", windows: Sequence[int] = WINDOWS, wide: int = 672, keys: Sequence[str] = ("region",), rows: int = 8640) -> DataFrame:
+    """The rolling family as columns of ts, keys: short windows as sliding frames, those of `wide` rows or more in their linear forms; in blocks with a halo."""
+    cut = blocks(df.select("ts", *keys, x), step, rows, max(windows) - 1)
+    by = [*keys, "block"]
+    s = Series(by)
+    short = [w for w in windows if w < wide]
+    out = cut.select("*", *(c.alias(n) for n, c in rolling(s, x, short).items()))
+    for w in windows:
+        if w >= wide:
+            for agg in ("mean", "std"):
+                out = wide_mean(out, x, w, w // 2, f"r{agg}_{w}", by, agg=agg)
+            for agg in ("max", "min"):
+                out = wide_extreme(out, x, w, w // 2, f"r{agg}_{w}", step, by, agg=agg)
+    return out.where("own").select("ts", *keys, *(f"r{agg}_{w}" for w in windows for agg in ("mean", "std", "max", "min")))
+
+
 def regime(s: Series, x: str = "price", spike: float = 300.0) -> Family:
     return {
         "spike_flag_48": flag(s.roll("max", x, 48) > spike),
@@ -110,7 +126,3 @@ def cross_year(df: DataFrame, live: str = "sa", base: str = "nsw", x: str = "pri
     day = F.dayofyear("ts")
     spread = (F.coalesce(F.col(f"{x}_{live}"), F.lit(0.0)) - F.coalesce(F.col(f"{x}_{base}"), F.lit(0.0))) / 100
     return w.select("ts", sin_turn(day, 365.25).alias("doy_sin"), cos_turn(day, 365.25).alias("doy_cos"), clip(F.asinh(spread), -10, 10).alias(f"{live}_spread_live"))
-
-
-#: Rows a family looks back, for cutting a series into blocks with a halo.
-LOOKBACK = {"asinh_lags": 337, "lags": 673, "rolling": 2015, "regime": 335, "since_spike": 672, "predictors": 335}

@@ -38,17 +38,38 @@ def horizon(run: Column, interval: Column, seconds: int) -> Column:
     return F.ceil((F.unix_timestamp(interval) - F.unix_timestamp(run)) / seconds).cast("int")
 
 
-def latest_vintage(grid: DataFrame, vintages: DataFrame, by: Sequence[str], value: str, seconds: int, run: str = "run_ts", interval: str = "interval_ts", ts: str = "ts", most: int | None = None) -> DataFrame:
+def latest_vintage(grid: DataFrame, vintages: DataFrame, by: Sequence[str], value: str | Sequence[str], seconds: int, run: str = "run_ts", interval: str = "interval_ts", ts: str = "ts", most: int | None = None) -> DataFrame:
     """For each grid time the newest run at or before it, its intervals from one step ahead on, averaged by horizon.
 
-    grid: ts and the keys; vintages: run, interval, keys, value. Returns ts, keys, h, value. Only the distinct runs take
+    grid: ts and the keys; vintages: run, interval, keys, values. Returns ts, keys, h, values. Only the distinct runs take
     part in the as-of join; the vintages meet their run in an equi-join on (keys, run).
     """
+    values = [value] if isinstance(value, str) else list(value)
     runs = vintages.select(*by, F.col(run).alias("run_at")).distinct()
     matched = asof_backward(grid.select(ts, *by), runs.withColumn("one", F.lit(1)), by, ["one"], ts, "run_at").where("matched_ts is not null")
-    v = vintages.select(*by, F.col(run).alias("matched_ts"), F.col(interval).alias("__i"), F.col(value).alias("__v"))
+    v = vintages.select(*by, F.col(run).alias("matched_ts"), F.col(interval).alias("__i"), *values)
     h = horizon(F.col(ts), F.col("__i"), seconds)
     out = matched.join(v, [*by, "matched_ts"]).withColumn("h", h).where("h >= 1")
     if most is not None:
         out = out.where(F.col("h") <= most)
-    return out.groupBy(ts, *by, "h").agg(F.avg("__v").alias(value))
+    return out.groupBy(ts, *by, "h").agg(*(F.avg(c).alias(c) for c in values))
+
+
+def carried_vintage(grid: DataFrame, vintages: DataFrame, by: Sequence[str], values: Sequence[str], seconds: int, horizons: int, start: Column, ts: str = "ts", **names: str) -> DataFrame:
+    """The newest run's forecasts on every grid time from `start` on, for each key and horizon; a horizon that the newest run lacks keeps its last forecast.
+
+    grid begins a lookback before `start`, so that runs published there reach into the window. Returns ts, keys, h, values, dense in h. The fill's
+    windows are by (keys, h).
+    """
+    found = latest_vintage(grid, vintages, by, values, seconds, ts=ts, most=horizons, **names)
+    dense = grid.select(ts, *by).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizons)))).join(found, [ts, *by, "h"], "left")
+    w = Window.partitionBy(*by, "h").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    filled = dense.select(ts, *by, "h", *(F.last(v, ignorenulls=True).over(w).alias(v) for v in values))
+    return filled.where(F.col(ts) >= start)
+
+
+def vintage_columns(carried: DataFrame, key: str, names: Sequence[str], values: Sequence[str], horizons: int, ts: str = "ts") -> DataFrame:
+    """One row for each time with a column <value>_<key>_h<h> for each value, key and horizon; keys in lower case, dashes as underscores."""
+    clean = lambda n: n.lower().replace("-", "_")
+    picked = [F.max(F.when((F.col(key) == n) & (F.col("h") == h), F.col(v))).alias(f"{v}_{clean(n)}_h{h}") for v in values for n in names for h in range(1, horizons + 1)]
+    return carried.groupBy(ts).agg(*picked)

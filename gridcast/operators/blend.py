@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.functions.scalar import asinh100, clip, col, flag
+from gridcast.operators import grid, quantiles
 from gridcast.operators.rolling import Series
 
 # The grids that are searched.
@@ -15,15 +16,15 @@ ALPHAS = tuple(i / 20 for i in range(10))
 THRESHOLDS = (0.03, 0.05, 0.08, 0.10, 0.15, 0.20, 0.25, 0.30, 0.40, 0.50)
 POWERS = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0)
 MOST_WEIGHTS = (0.4, 0.6, 0.8, 1.0, 1.2)
-DIP_THRESHOLDS, DIP_POWERS, DIP_WEIGHTS = (0.05, 0.10, 0.15, 0.20, 0.30, 0.40, 0.50), (0.5, 1.0, 1.5, 2.0, 3.0), (0.4, 0.6, 0.8, 1.0)
 NAIVE_WEIGHTS = tuple(i / 40 for i in range(41))
 
 
-def targets(df: DataFrame, horizons: int, x: str = "price", step_rows: int = 1, first_offset: int = 0, keys: Sequence[str] = ("region",), ts: str = "ts") -> DataFrame:
-    """Long targets (ts, keys, h, y): y is the value (h - 1) * step_rows + first_offset rows later; null past the end."""
-    s = Series(keys, ts)
+def targets(df: DataFrame, horizons: int, x: str = "price", step_rows: int = 1, first_offset: int = 0, keys: Sequence[str] = ("region",), ts: str = "ts", step: int = 3600, rows: int = 2880) -> DataFrame:
+    """Long targets (ts, keys, h, y): y is the value (h - 1) * step_rows + first_offset rows later; null past the end. Blocks of `rows` rows of a dense grid of `step` seconds, with the rows behind them."""
+    cut = grid.blocks(df.select(ts, *keys, x), step, rows, 0, (horizons - 1) * step_rows + first_offset, ts)
+    s = Series([*keys, "block"], ts)
     ahead = [s.lead(x, (h - 1) * step_rows + first_offset) for h in range(1, horizons + 1)]
-    wide = df.select(ts, *keys, F.array(*ahead).alias("y"))
+    wide = cut.select(ts, *keys, "own", F.array(*ahead).alias("y")).where("own")
     return wide.select(ts, *keys, F.posexplode("y").alias("h", "y")).withColumn("h", F.col("h") + 1)
 
 
@@ -44,11 +45,24 @@ def weights(w: Column, y: Column, spike: float = 150.0, compat: bool = False) ->
 
 def capped(df: DataFrame, quantile: float = 0.97, per: Sequence[str] = ("h",)) -> DataFrame:
     """Caps y at its training quantile (by horizon) and transforms: y_capped, y_asinh. The caps are one row per horizon."""
-    caps = df.where("split = 'train'").groupBy(*per).agg(F.percentile("y", F.lit(quantile)).alias("cap"))
+    caps = quantiles.quantile(df.where("split = 'train'"), "y", quantile, "cap", per)
     out = df.join(F.broadcast(caps), list(per), "left")
     return out.withColumn("y_capped", asinh100(F.when(F.col("y").isNotNull(), F.least("y", "cap")))).withColumn("y_asinh", asinh100("y"))
 
 
+def derived(df: DataFrame, w: Column, spike: float = 150.0) -> DataFrame:
+    """The twelve derived targets of each (ts, keys, h) as one long table. df: split (train or valid), y, y_capped, y_asinh; w: the row's recency weight.
+
+    Columns of a split are null in the other's rows; weights exist for training rows only.
+    """
+    y, train = F.col("y"), F.col("split") == "train"
+    both = {"clipped": F.col("y_capped"), "unclipped": F.col("y_asinh"), "spike": F.when(y.isNotNull(), flag(y > spike)), "dip": F.when(y.isNotNull(), flag(y < 0))}
+    out = {f"{n}_{k}": F.when(c, x) for n, x in both.items() for k, c in (("train", train), ("valid", F.col("split") == "valid"))}
+    out |= {n: F.when(train, x) for n, x in weights(w, y, spike).items()}
+    drop = {"y", "y_capped", "y_asinh"}
+    return df.select(*(c for c in df.columns if c not in drop), *(c.alias(n) for n, c in out.items()))
+
+
 def labels(y: Column, spike: float = 150.0) -> dict[str, Column]:
     return {"is_spike": flag(y > spike), "is_dip": flag(y < 0)}
 
@@ -80,34 +94,6 @@ def dip_policy(base: Column, p: Column, source: Column, mode: Column, threshold:
     return F.when(mode == 0, (1 - p) * base + p * source).when(mode == 1, base - weight * ramp(p, threshold, power) * gap).otherwise(F.when(p >= threshold, base - weight * gap).otherwise(base))
 
 
-def spike_grid(spark, thresholds=THRESHOLDS, powers=POWERS, most=MOST_WEIGHTS) -> DataFrame:
-    """Only parameters that a mode uses vary; ordinals keep the order of the full grid."""
-    rows, i = [], 0
-    for source in ("p90", "max", "l1"):
-        for mode in (0, 1, 2):
-            for t in thresholds if mode else (thresholds[0],):
-                for w in powers if mode else (powers[0],):
-                    for m in most if mode == 1 else (most[0],):
-                        rows.append((i, source, mode, t, w, m))
-                        i += 1
-    return spark.createDataFrame(rows, "ordinal int, source string, mode int, threshold double, power double, most double")
-
-
-def policy_search(df: DataFrame, grid: DataFrame, per: Sequence[str], spike: float = 150.0, slack: float = 0.20) -> DataFrame:
-    """Best spike policy of each group by 2.2 * spike + 1.3 * dip + non-spike + 0.25 * all mean absolute errors; a setting
-    whose non-spike error is above the base's plus `slack` is out. df: y, base, p, p90, l1. An empty subset counts as 0."""
-    source = F.when(F.col("source") == "p90", F.col("p90")).when(F.col("source") == "l1", F.col("l1")).otherwise(F.greatest("p90", "l1"))
-    made = spike_policy(F.col("base"), F.col("p"), source, F.col("mode"), F.col("threshold"), F.col("power"), F.col("most"))
-    y, error = F.col("y"), F.abs(F.col("y") - made)
-    part = lambda c, e: F.coalesce(F.avg(F.when(c, e)), F.lit(0.0))
-    scored = df.where("y is not null and base is not null and p90 is not null and l1 is not null").crossJoin(F.broadcast(grid)).groupBy(*per, *grid.columns).agg(
-        (2.2 * part(y > spike, error) + 1.3 * part(y < 0, error) + part(y <= spike, error) + 0.25 * F.avg(error)).alias("score"),
-        part(y <= spike, error).alias("calm"), part(y <= spike, F.abs(y - F.col("base"))).alias("calm_base"),
-    )
-    best = F.struct(F.round("score", 9).alias("s"), F.col("ordinal"))
-    return scored.where(F.col("calm") <= F.col("calm_base") + slack).groupBy(*per).agg(*(F.min_by(c, best).alias(c) for c in grid.columns if c != "ordinal"), F.min("score").alias("score"))
-
-
 def metrics(df: DataFrame, per: Sequence[str] = (), spike: float = 150.0) -> DataFrame:
     """MAE, RMSE, R2, bias, wMAPE, skill against the naive column, and MAE and share of spikes, calm rows and dips. df: y, yhat, naive."""
     y, e = F.col("y"), F.col("yhat") - F.col("y")

@@ -15,9 +15,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.ml.classification import GBTClassifier
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridcast.operators import quantiles
+
 
 @dataclass(frozen=True)
 class Spec:
@@ -81,16 +83,21 @@ def fit_all(parts: dict[int, DataFrame], specs: Sequence[Spec], features: dict[i
         return dict(pool.map(one, [(h, s) for h in parts for s in specs]))
 
 
-def registry(spark, models: dict[tuple[int, str], PipelineModel], path: str) -> DataFrame:
+def registry(spark, models: Sequence[tuple[int, str]], path: str) -> DataFrame:
+    """Where the model of each (horizon, name) lies: a row for each fit."""
     return spark.createDataFrame([(h, n, f"{path}/h{h:02d}/{n}") for h, n in models], "h int, model string, path string")
 
 
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def residual_quantile(train: DataFrame, scored: DataFrame, prediction: str, label: str, q: float, name: str, buckets: int = 10) -> DataFrame:
     """The prediction plus the q-quantile of training residuals in the prediction's bucket; edges and offsets are a few rows."""
-    edges = train.agg(F.percentile(prediction, F.array(*(F.lit(i / buckets) for i in range(1, buckets)))).alias("edges"))
-    slot = lambda df: df.crossJoin(F.broadcast(edges)).withColumn("__b", F.size(F.filter("edges", lambda e: e < F.col(prediction)))).drop("edges")
-    offset = slot(train).groupBy("__b").agg(F.percentile(F.col(label) - F.col(prediction), F.lit(q)).alias("__o"))
-    return slot(scored).join(F.broadcast(offset), "__b", "left").withColumn(name, F.col(prediction) + F.coalesce("__o", F.lit(0.0))).drop("__b", "__o")
+    edges = train.agg(F.percentile_approx(prediction, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(quantiles.ACCURACY)).alias("edges"))
+    slot = lambda df: df.crossJoin(F.broadcast(edges)).withColumn("__slot", F.size(F.filter("edges", lambda e: e < F.col(prediction)))).drop("edges")
+    offset = quantiles.quantile(slot(train).withColumn("__e", F.col(label) - F.col(prediction)), "__e", q, "__o", ["__slot"])
+    return slot(scored).join(F.broadcast(offset), "__slot", "left").withColumn(name, F.col(prediction) + F.coalesce("__o", F.lit(0.0))).drop("__slot", "__o")
 
 
 def calibrate(train: DataFrame, scored: DataFrame, prediction: str, label: str, name: str, least: int = 500) -> DataFrame:
@@ -102,6 +109,23 @@ def calibrate(train: DataFrame, scored: DataFrame, prediction: str, label: str,
     return model.transform(scored)
 
 
+def calibrators(train: DataFrame, horizons: Sequence[int], prediction: str, label: str, least: int = 500, parallel: int = 4) -> DataFrame:
+    """(h, knots): an isotonic calibration for each horizon, a few fits at a time from driver threads; no row for a horizon of fewer than `least` complete rows.
+
+    A fit's knots are the ends of its constant pieces; between them it is linear.
+    """
+    rows = train.dropna(subset=[prediction, label]).select("h", prediction, label)
+    sizes = {r["h"]: r["n"] for r in rows.groupBy("h").agg(F.count("*").alias("n")).collect()}  # a row for each horizon
+
+    def one(h: int) -> tuple[int, list[tuple[float, float]]]:
+        model = IsotonicRegression(featuresCol=prediction, labelCol=label).fit(rows.where(F.col("h") == h))
+        return h, list(zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist(), strict=True))
+
+    with ThreadPoolExecutor(parallel) as pool:
+        found = list(pool.map(one, [h for h in horizons if sizes.get(h, 0) >= least]))
+    return train.sparkSession.createDataFrame(found, "h int, knots array<struct<x:double,y:double>>")
+
+
 def importance(model: PipelineModel, features: Sequence[str], h: int, spark) -> DataFrame:
     gains = model.stages[-1].featureImportances.toArray().tolist()
     return spark.createDataFrame([(f, h, g) for f, g in zip(features, gains, strict=True)], "feature string, h int, gain double")
@@ -124,10 +148,15 @@ def feature_counts(df: DataFrame, h: int, ranked: Sequence[str], counts: Sequenc
     return df.sparkSession.createDataFrame(rows, "h int, n int, mae double").groupBy("h", "n").agg(F.avg("mae").alias("mae"))
 
 
+def subset(df: DataFrame, selected: DataFrame, h: int, keys: Sequence[str] = ("ts", "region")) -> tuple[DataFrame, list[str]]:
+    """The columns of a horizon's feature set, and their names in the order of the selection. selected: feature, h, place, selected (a row for each feature and horizon)."""
+    names = [r["feature"] for r in selected.where((F.col("h") == h) & F.col("selected")).orderBy("place").select("feature").collect()]
+    present = [n for n in names if n in df.columns]
+    return df.select(*keys, *present), present
+
+
 def chronological(df: DataFrame, ts: str = "ts", share: float = 0.7) -> DataFrame:
     """Marks the first share of the times as training rows; the cut is one row."""
-    cut = df.agg(F.percentile(F.unix_timestamp(ts), F.lit(share)).alias("__cut"))
+    cut = quantiles.quantile(df.withColumn("__t", F.unix_timestamp(ts)), "__t", share, "__cut")
     return df.crossJoin(F.broadcast(cut)).withColumn("is_train", F.unix_timestamp(ts) <= F.col("__cut")).drop("__cut")
 
-
-__all__ = ["SPECS", "Spec", "Window", "calibrate", "chronological", "feature_counts", "fit", "fit_all", "importance", "predict", "registry", "residual_quantile"]

@@ -83,18 +83,23 @@ class Series:
 
 
 def wide_mean(df: DataFrame, x: str, w: int, least: int, name: str, keys: Sequence[str] = ("region",), ts: str = "ts", agg: str = "mean") -> DataFrame:
-    """Rolling mean or sum of a long window in two linear passes: running sums of the centred series, and their difference over w rows.
+    """Rolling mean, sum or standard deviation of a long window in two linear passes: running sums of the centred series, and their difference over w rows.
 
     A sliding frame is evaluated anew for each row; from about 300 rows on this form is faster. The centre (the series'
     mean, one row per key) keeps the sums small, so little is lost by cancellation.
     """
     s = Series(keys, ts)
     running = s.order.rowsBetween(Window.unboundedPreceding, 0)
-    centre = F.avg(x).over(Window.partitionBy(*keys))
-    out = df.withColumn("__c", centre).withColumn("__n", F.count(x).over(running)).withColumn("__s", F.sum(F.coalesce(F.col(x) - F.col("__c"), F.lit(0.0))).over(running))
-    n, total = (F.col(c) - F.coalesce(s.lag(c, w), F.lit(0)) for c in ("__n", "__s"))
-    value = F.try_divide(total, n) + F.col("__c") if agg == "mean" else total + n * F.col("__c")
-    return out.withColumn(name, F.when(n >= least, value)).drop("__c", "__n", "__s")
+    centred = F.coalesce(F.col(x) - F.col("__c"), F.lit(0.0))
+    out = df.withColumn("__c", F.avg(x).over(Window.partitionBy(*keys)))
+    out = out.withColumn("__n", F.count(x).over(running)).withColumn("__s", F.sum(centred).over(running)).withColumn("__q", F.sum(centred * centred).over(running))
+    n, total, square = (F.col(c) - F.coalesce(s.lag(c, w), F.lit(0)) for c in ("__n", "__s", "__q"))
+    value = {
+        "mean": F.try_divide(total, n) + F.col("__c"),
+        "sum": total + n * F.col("__c"),
+        "std": F.sqrt(F.greatest(F.try_divide(square - F.try_divide(total * total, n), n - 1), F.lit(0.0))),
+    }[agg]
+    return out.withColumn(name, F.when(n >= least, value)).drop("__c", "__n", "__s", "__q")
 
 
 def wide_extreme(df: DataFrame, x: str, w: int, least: int, name: str, step: int, keys: Sequence[str] = ("region",), ts: str = "ts", agg: str = "max") -> DataFrame:
@@ -115,14 +120,20 @@ def wide_extreme(df: DataFrame, x: str, w: int, least: int, name: str, step: int
     return out.withColumn(name, F.when(n >= least, pick(F.col("__p"), early))).drop("__b", "__p", "__r", "__n")
 
 
-def rolling_by_day(df: DataFrame, x: str, ts: str = "ts") -> DataFrame:
-    """Forward fill of one unkeyed series without one task for all of it: fill inside each day, then carry each day's last value on.
+def filled(df: DataFrame, x: str, name: str, step: int, keys: Sequence[str] = (), ts: str = "ts", rows: int = 2880, backward: bool = False) -> DataFrame:
+    """Forward (or backward) fill of each key's series without one task for all of it: fill inside blocks of `rows` grid rows, then carry each block's last value on.
 
-    The second step's window has one row for each day.
+    The second step's window has one row for each key and block.
     """
-    day = F.to_date(ts)
-    inside = Window.partitionBy("__day").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("__day", day).withColumn("__in", F.last(x, ignorenulls=True).over(inside))
-    last = out.groupBy("__day").agg(F.max_by(x, F.when(F.col(x).isNotNull(), F.col(ts))).alias("__last"))
-    carried = last.select("__day", F.last("__last", ignorenulls=True).over(Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"))
-    return out.join(carried, "__day").withColumn(f"{x}_filled", F.coalesce("__in", "__carry")).drop("__day", "__in", "__carry")
+    inside = Window.partitionBy(*keys, "__block").orderBy(F.desc(ts) if backward else F.col(ts)).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumn("__block", F.floor(position(ts, step) / rows)).withColumn("__in", F.last(x, ignorenulls=True).over(inside))
+    end = (F.min_by if backward else F.max_by)(x, F.when(F.col(x).isNotNull(), F.col(ts)))
+    ends = out.groupBy(*keys, "__block").agg(end.alias("__end"))
+    over = Window.partitionBy(*keys).orderBy(F.desc("__block") if backward else F.col("__block")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "__block", F.last("__end", ignorenulls=True).over(over).alias("__carry"))
+    return out.join(carried, [*keys, "__block"]).withColumn(name, F.coalesce("__in", "__carry")).drop("__block", "__in", "__carry")
+
+
+def rolling_by_day(df: DataFrame, x: str, ts: str = "ts") -> DataFrame:
+    """Forward fill of one unkeyed series by days; the second step's window has one row for each day."""
+    return filled(df, x, f"{x}_filled", 86400, (), ts, 1)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,13 +13,47 @@ from pyspark.sql import functions as F
 def correlations(df: DataFrame, names: Sequence[str], method: str = "pearson") -> DataFrame:
     """(a, b, r) for each pair of columns in the given order, missing values left out pairwise; undefined ones are 0.
 
-    All pairs are aggregates of one pass. Spearman takes average ranks first: one sort for each column.
+    Pearson: each task adds up the products of all pairs as matrices, and only these sums are shuffled. Spearman takes
+    average ranks within each pair's complete rows first.
     """
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    if method == "spearman":
-        return _spearman(df, pairs)
-    agg = df.agg(*(pearson(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs))
-    return _pairs(agg, pairs)
+    found = _spearman(df, pairs) if method == "spearman" else _pearson(df, names)
+    # a pair without complete rows has no sums
+    every = df.sparkSession.createDataFrame(pairs, "a string, b string")
+    return every.join(found, ["a", "b"], "left").select("a", "b", F.coalesce("r", F.lit(0.0)).alias("r"))
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """Columns as floating-point numbers, missing ones as NaN."""
+    return np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1) if batch.num_rows else np.zeros((0, batch.num_columns))
+
+
+def _pearson(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    x = df.select(*(F.col(n).cast("double").alias(n) for n in names))
+    centre = np.array([v or 0.0 for v in x.agg(*(F.avg(n) for n in names)).first()])  # near zero, so that little is lost by cancellation
+    k = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, k, k))
+        for batch in batches:
+            v = _matrix(batch) - centre
+            there = ~np.isnan(v)
+            v, m = np.where(there, v, 0.0), there.astype(float)
+            # for columns i and j: rows, sum of i, sum of i squared, sum of i times j, over the rows that have both
+            total += np.stack((m.T @ m, v.T @ m, (v * v).T @ m, v.T @ v))
+        i, j = np.triu_indices(k, 1)
+        n, s, q, c = total
+        columns = (i, j, n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], c[i, j])
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32) if at < 2 else x) for at, x in enumerate(columns)], names=["i", "j", "n", "sx", "sy", "qx", "qy", "c"])
+
+    sums = x.mapInArrow(run, "i int, j int, n double, sx double, sy double, qx double, qy double, c double").groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "sx", "sy", "qx", "qy", "c")))
+    col = F.col
+    spread = lambda q, s: F.greatest(col(q) - col(s) * col(s) / col("n"), F.lit(0.0))
+    # a spread within rounding of zero is that of a constant column
+    flat = lambda q, s: spread(q, s) <= col(q) * 1e-13
+    r = F.when((col("n") > 0) & ~flat("qx", "sx") & ~flat("qy", "sy"), (col("c") - col("sx") * col("sy") / col("n")) / F.sqrt(spread("qx", "sx") * spread("qy", "sy")))
+    name = F.array(*(F.lit(n) for n in names))
+    return sums.select(name[col("i")].alias("a"), name[col("j")].alias("b"), r.alias("r"))
 
 
 def pearson(a: Column, b: Column) -> Column:
@@ -26,11 +62,6 @@ def pearson(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(x) * F.var_pop(y)))
 
 
-def _pairs(one: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(F.col(f"`{a}|{b}`"), F.lit(0.0)).alias("r")) for a, b in pairs))
-    return one.select(F.explode(rows).alias("p")).select("p.a", "p.b", "p.r")
-
-
 def _spearman(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Ranks within each pair's complete rows, in long form: value counts are aggregated first, so that the running count has one row per distinct value and pair."""
     sides = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs))
@@ -42,20 +73,36 @@ def _spearman(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
         return n.select("a", "b", v, (F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2).alias(f"r{v}"))
 
     ranked = long.join(ranks("x"), ["a", "b", "x"]).join(ranks("y"), ["a", "b", "y"])
-    return ranked.groupBy("a", "b").agg(F.coalesce(pearson(F.col("rx"), F.col("ry")), F.lit(0.0)).alias("r"))
+    return ranked.groupBy("a", "b").agg(pearson(F.col("rx"), F.col("ry")).alias("r"))
 
 
 def mutual_information(df: DataFrame, features: Sequence[str], targets: Sequence[str], bins: int = 8) -> DataFrame:
-    """(feature, target, mi) in nats from equal-width bins of both, on complete pairs. Bin edges and counts are aggregates; a feature costs bins * bins rows."""
+    """(feature, target, mi) in nats from equal-width bins of both, on complete pairs; 0 for a pair without any, or with a constant side. Each task counts its cells; bins * bins rows of each pair are shuffled."""
     names = [*features, *targets]
-    edge = df.agg(*(f(c).alias(f"{k}_{c}") for c in names for k, f in (("lo", F.min), ("hi", F.max))))
-    binned = df.select(*names).crossJoin(F.broadcast(edge))
-    slot = lambda c: F.least(F.lit(bins - 1), F.floor((F.col(c) - F.col(f"lo_{c}")) / F.nullif(F.col(f"hi_{c}") - F.col(f"lo_{c}"), F.lit(0)) * bins))
-    cells = F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(t).alias("target"), slot(f).alias("x"), slot(t).alias("y")) for f in features for t in targets))
-    joint = binned.select(F.explode(cells).alias("c")).select("c.*").where("x is not null and y is not null").groupBy("feature", "target", "x", "y").agg(F.count("*").alias("n"))
-    w = lambda *k: F.sum("n").over(Window.partitionBy("feature", "target", *k))
-    terms = joint.select("feature", "target", (F.col("n") / w() * F.log(F.col("n") * w() / (w("x") * w("y")))).alias("t"))
-    return terms.groupBy("feature", "target").agg(F.sum("t").alias("mi"))
+    x = df.select(*(F.col(n).cast("double").alias(n) for n in names))
+    edge = x.agg(*(f(c).alias(f"{k}_{c}") for k, f in (("lo", F.min), ("hi", F.max)) for c in names)).first()
+    low, high = (np.array([np.nan if v is None else v for v in part]) for part in (edge[: len(names)], edge[len(names) :]))
+    wide = np.where(high > low, high - low, np.nan)
+    nf, nt, cells = len(features), len(targets), bins * bins
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros((nf, nt, cells), np.int64)
+        for batch in batches:
+            v = np.minimum(np.floor((_matrix(batch) - low) / wide * bins), bins - 1)
+            for t in range(nt):
+                for f in range(nf):
+                    both = v[:, f] * bins + v[:, nf + t]
+                    count[f, t] += np.bincount(both[~np.isnan(both)].astype(np.int64), minlength=cells)
+        f, t, cell = np.nonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (f, t, cell // bins, cell % bins)] + [pa.array(count[f, t, cell])], names=["f", "t", "x", "y", "n"])
+
+    joint = x.mapInArrow(run, "f int, t int, x int, y int, n long").groupBy("f", "t", "x", "y").agg(F.sum("n").alias("n"))
+    w = lambda *k: F.sum("n").over(Window.partitionBy("f", "t", *k))
+    terms = joint.select("f", "t", (F.col("n") / w() * F.log(F.col("n") * w() / (w("x") * w("y")))).alias("m"))
+    name = lambda of: F.array(*(F.lit(n) for n in of))
+    found = terms.groupBy("f", "t").agg(F.sum("m").alias("mi")).select(name(features)[F.col("f")].alias("feature"), name(targets)[F.col("t")].alias("target"), "mi")
+    every = df.sparkSession.createDataFrame([(f, t) for f in features for t in targets], "feature string, target string")
+    return every.join(found, ["feature", "target"], "left").select("feature", "target", F.coalesce("mi", F.lit(0.0)).alias("mi"))
 
 
 def rank_scores(scores: DataFrame) -> DataFrame:
@@ -63,7 +110,7 @@ def rank_scores(scores: DataFrame) -> DataFrame:
     mean = scores.groupBy("feature").agg(F.avg("mi").alias("mean_mi"))
     order = mean.withColumn("position", F.row_number().over(Window.orderBy(F.desc(F.round("mean_mi", 9)), "feature")))
     ranked = scores.withColumn("rank", F.rank().over(Window.partitionBy("h").orderBy(F.desc(F.round("mi", 9)))))
-    return ranked.join(F.broadcast(order), "feature").select("feature", "h", "mi", "rank", "mean_mi", "position")
+    return ranked.join(order, "feature").select("feature", "h", "mi", "rank", "mean_mi", "position")
 
 
 def strong_pairs(pearson: DataFrame, spearman: DataFrame, limit: float = 0.95) -> DataFrame:
@@ -105,8 +152,13 @@ def folds(df: DataFrame, n: int = 3, ts: str = "ts") -> DataFrame:
 
 
 def sample(df: DataFrame, n: int, seed: int, ts: str = "ts") -> DataFrame:
-    """n rows without replacement, the same for the same seed whatever the partitions."""
-    return df.orderBy(F.xxhash64(F.col(ts).cast("string"), F.lit(seed)), ts).limit(n)
+    """n rows without replacement, the same for the same seed whatever the partitions: those with the smallest hashes of time and seed."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit(seed))), ts).limit(n)
+
+
+def sampled_times(df: DataFrame, n: int, seed: int, ts: str = "ts") -> DataFrame:
+    """The rows of n sampled times."""
+    return df.join(sample(df.select(ts).distinct(), n, seed, ts), ts, "left_semi")
 
 
 def top_n(scores: DataFrame, n: int, per: Sequence[str], best: Column) -> DataFrame:
@@ -120,3 +172,33 @@ def normalised(mi: Column) -> Column:
 def best_count(scores: DataFrame) -> DataFrame:
     """scores: h, n, mae. The n with the smallest error of each horizon; the first of equals."""
     return scores.groupBy("h").agg(F.min_by("n", F.struct("mae", "n")).alias("n"), F.min("mae").alias("mae"))
+
+
+def selection_period(df: DataFrame, start: Column, end: Column, ts: str = "ts") -> DataFrame:
+    """Rows of the selection period, both ends included; the filter reaches the scan."""
+    return df.where(F.col(ts).between(start, end))
+
+
+def split_ranks(ranked: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of unique features, rows of duplicates). kept: feature, kept."""
+    unique = kept.where("kept").select("feature")
+    return ranked.join(unique, "feature", "left_semi"), ranked.join(unique, "feature", "left_anti")
+
+
+def selected(scores: DataFrame, best: DataFrame) -> DataFrame:
+    """(feature, h, place, selected): whether a feature is among the best n of its horizon. scores: feature, h, mi; best: h, n."""
+    placed = scores.withColumn("place", F.row_number().over(Window.partitionBy("h").orderBy(F.desc(F.round("mi", 9)), "feature")))
+    return placed.join(best.select("h", "n"), "h", "left").select("feature", "h", "place", F.coalesce(F.col("place") <= F.col("n"), F.lit(False)).alias("selected"))
+
+
+def feature_matrix(selection: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    """A row for each feature and a boolean column h<h> for each horizon."""
+    return selection.groupBy("feature").agg(*(F.coalesce(F.bool_or(F.when(F.col("h") == h, F.col("selected"))), F.lit(False)).alias(f"h{h}") for h in horizons))
+
+
+def top_matrix(scores: DataFrame, n: int) -> DataFrame:
+    """A row for each horizon with the n best features and their normalised scores: label_<place>, value_<place>. scores: feature, h, mi."""
+    top = top_n(scores, n, ["h"], F.desc(F.round("mi", 9)))
+    pick = lambda c, k: F.max(F.when(F.col("place") == k, c))
+    made = [x for k in range(1, n + 1) for x in (pick(F.col("feature"), k).alias(f"label_{k}"), pick(normalised(F.col("mi")), k).alias(f"value_{k}"))]
+    return top.groupBy("h").agg(*made)

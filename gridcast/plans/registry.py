@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridcast.features import market, price
 from gridcast.functions.scalar import asinh100, clip, row_max, row_min, row_sum, sinh100
-from gridcast.operators import blend, grid, models, quality, rolling, select
+from gridcast.operators import blend, grid, models, policy, quality, quantiles, rolling, select, windows
 from gridcast.operators.asof import asof_backward, interpolate_time, latest_vintage
 from gridcast.operators.rolling import Series
 from gridcast.plans import features_sql as fs
@@ -275,7 +275,7 @@ add(
 )
 add(
     "median_fill",
-    lambda spark, d: staging.bars(spark, d).crossJoin(F.broadcast(staging.bars(spark, d).agg(F.percentile("price", F.lit(0.5)).alias("mid")))).select("ts", "region", F.coalesce("price", "mid").alias("price")),
+    lambda spark, d: (b := staging.bars(spark, d)).crossJoin(F.broadcast(quantiles.quantile(b, "price", 0.5, "mid"))).select("ts", "region", F.coalesce("price", "mid").alias("price")),
     f"with {staging.BARS}, m as (select quantile_cont(price, 0.5) as mid from bars) select {TS}, region, {number('coalesce(price, mid)')} as price from bars, m",
 )
 
@@ -297,7 +297,7 @@ bars_query("event_flags", lambda s: {"seen_6": s.seen_in(F.col("price") > 100, 6
 })
 add(
     "fills",
-    lambda spark, d: staging.bars(spark, d).select("ts", "region", Series().ffill("price").alias("forward"), Series().bfill("price").alias("backward"), Series().row().alias("row")),
+    lambda spark, d: rolling.filled(rolling.filled(staging.bars(spark, d).withColumn("row", Series().row()), "price", "forward", HOUR, ["region"], rows=96), "price", "backward", HOUR, ["region"], rows=96, backward=True).select("ts", "region", "forward", "backward", "row"),
     f"with {staging.BARS} select {TS}, region, {number('last_value(price ignore nulls) over (partition by region order by ts rows between unbounded preceding and current row)')} as forward, {number('first_value(price ignore nulls) over (partition by region order by ts rows between current row and unbounded following)')} as backward, row_number() over (partition by region order by ts)::int as row from bars",
 )
 add(
@@ -313,18 +313,25 @@ add(
     f"with {staging.BARS} {sql.select({'mean_336': sql.roll('mean', 'price', 336, 168), 'sum_336': sql.roll('sum', 'price', 336, 168), 'max_336': sql.roll('max', 'price', 336, 168), 'min_100': sql.roll('min', 'price', 100, 50)}, 'bars')}",
 )
 
+add(
+    "roll_rank_long",
+    lambda spark, d: windows.rolled(staging.fine(spark, d).select("ts", "region", "price"), [windows.Rolled("r336", "price", 336, 1), windows.Rolled("r1440", "price", 1440, 720), windows.Rolled("q75_8640", "price", 8640, 336, 0.75), windows.Rolled("q10_2016", "price", 2016, 1008, 0.1)], staging.FINE),
+    f"with {staging.FINE_BARS} " + sql.select({"price": "price", "r336": sql.pct_rank("price", 336, 1), "r1440": sql.pct_rank("price", 1440, 720), "q75_8640": sql.quantile("price", 0.75, 8640, 336), "q10_2016": sql.quantile("price", 0.1, 2016, 1008)}, "fine"),
+)
+
 # ---- feature families -----------------------------------------------------------------------------------------------
 
 LEVELS = (staging.SPIKE, staging.HIGH_SPIKE, staging.TOP_SPIKE)
 bars_query("feat_price_asinh", price.asinh_lags, 337, fs.asinh_lags())
 bars_query("feat_price_lags", price.lags, 673, fs.lags())
 bars_query("feat_price_rolling", price.rolling, 2015, fs.rolling())
+add("feat_price_rolling_fine", lambda spark, d: price.rolling_long(staging.fine(spark, d), staging.FINE), f"with {staging.FINE_BARS} {sql.select(fs.rolling(), 'fine')}")
 bars_query("feat_price_regime", lambda s: price.regime(s, spike=staging.TOP_SPIKE), 335, fs.regime(staging.TOP_SPIKE))
 bars_query("feat_price_since_spike", lambda s: price.since_spike(s, levels=LEVELS, step=HOUR), 672, fs.since_spike(LEVELS, 2, 672))
 bars_query("feat_price_predictors", lambda s: price.predictors(s, spike=staging.TOP_SPIKE, intense=staging.HIGH_SPIKE), 335, fs.predictors(staging.TOP_SPIKE, staging.HIGH_SPIKE))
 add(
     "feat_price_year",
-    lambda spark, d: staging.daily(spark, d).select("ts", "region", *(c.cast("double").alias(n) for n, c in price.long_range(Series(), base=365, spike=200.0).items())),
+    lambda spark, d: family(staging.daily(spark, d), lambda s: price.long_range(s, base=365, spike=200.0), 365 + 96, 0, 2880, DAY),
     f"with {staging.DAILY} {sql.select(fs.long_range(365, 200.0), 'daily')}",
 )
 _pairs = [(a, b) for a in staging.REGIONS for b in staging.REGIONS if a != b]
@@ -372,7 +379,7 @@ STOOD = f"{staging.SYSTEM}, stood as (select *, " + ", ".join(f"({x})::double as
 
 def stood(spark: SparkSession, d: str) -> DataFrame:
     x = staging.system(spark, d).selectExpr("*", *(f"cast({v} as double) as {n}" for n, v in STANDINS.items()))
-    return x.withColumn("avail_gen_filled", Series().ffill("avail_gen"))
+    return rolling.filled(x, "avail_gen", "avail_gen_filled", HOUR, ["region"])
 
 
 def stood_query(name: str, build: Callable[[Series], dict], before: int, columns: dict[str, str], after: int = 0) -> None:
@@ -384,6 +391,19 @@ stood_query("feat_demand", lambda s: market.demand(s, 500, (48, 672)), 672, fs.d
 stood_query("feat_stress", market.stress, 336, fs.stress())
 stood_query("feat_coal", lambda s: market.coal(s, 2000.0, drop=60.0), 336, fs.coal(2000.0, 60.0))
 stood_query("feat_gas", lambda s: market.gas(s, day=6, regime=400), 400, fs.gas(6, 400))
+add(
+    "feat_demand_fine",
+    lambda spark, d: family(staging.fine(spark, d), lambda s: market.demand(s, 4032), 4032, 0, 8640, staging.FINE),
+    f"with {staging.FINE_BARS} {sql.select(fs.demand(4032, (672, 2016)), 'fine')}",
+)
+
+
+def _gas_fine(spark: SparkSession, d: str) -> DataFrame:
+    x, ranks = market.with_ranks(staging.fine(spark, d), staging.FINE)
+    return family(x, lambda s: market.gas(s, ranks=ranks), 1440, 0, 8640, staging.FINE)
+
+
+add("feat_gas_fine", _gas_fine, f"with {staging.FINE_BARS} {sql.select(fs.gas(48, 8640), 'fine')}")
 stood_query("feat_temperature", lambda s: market.temperature(s, 24), 336, fs.temperature(24), 24)
 stood_query("feat_solar", lambda s: market.solar(s, ahead=24), 336, fs.solar(24), 24)
 stood_query("feat_wind_cloud", lambda s: market.wind_cloud(s, ahead=24), 336, fs.wind_cloud(24), 24)
@@ -404,12 +424,12 @@ add(
 
 
 def _interactions(spark: SparkSession, d: str) -> DataFrame:
-    s = Series()
-    x = stood(spark, d).select(
-        "ts", "region", "supply_stress", "temp", s.lag("price", 1).alias("lag_1"), s.lag("demand", 1).alias("demand_lag_1"), s.lead("price", 1).alias("rrp_1"), s.count_if(F.col("price") > 200, 24).alias("spike_count"),
+    s = Series(("region", "block"))
+    x = grid.blocks(stood(spark, d), HOUR, 2880, 24, 1).select(
+        "ts", "region", "own", "supply_stress", "temp", s.lag("price", 1).alias("lag_1"), s.lag("demand", 1).alias("demand_lag_1"), s.lead("price", 1).alias("rrp_1"), s.count_if(F.col("price") > 200, 24).alias("spike_count"),
         market.coal(s, 2000.0, drop=60.0)["coal_outage_flag"].alias("coal_outage_flag"), market.calendar()["is_peak"].alias("is_peak"), clip(F.col("temp") - 18, 0).alias("cdd"),
-    )
-    one = x.agg(F.percentile("demand_lag_1", F.lit(0.75)).alias("q75_demand"), F.percentile("temp", F.lit(0.5)).alias("mid_temp"))
+    ).where("own").drop("own")
+    one = quantiles.quantile(x, "demand_lag_1", 0.75, "q75_demand").crossJoin(quantiles.quantile(x, "temp", 0.5, "mid_temp"))
     return market.interactions(x, one)
 
 
@@ -506,12 +526,12 @@ add("corr_pairs", lambda spark, d: select.correlations(candidates(spark, d), FEA
 _rank = lambda v: f"(rank() over (order by {v}) + (count(*) over (partition by {v}) - 1) / 2.0)"
 add(
     "spearman_pairs",
-    lambda spark, d: select.correlations(candidates(spark, d), FEATURES[:5], "spearman"),
-    f"with {CANDIDATES} " + " union all ".join(f"select '{a}' as a, '{b}' as b, {number('coalesce(corr(ra, rb), 0)')} as r from (select {_rank(a)} as ra, {_rank(b)} as rb from cand where {a} is not null and {b} is not null)" for a, b in _fpairs if a in FEATURES[:5] and b in FEATURES[:5]),
+    lambda spark, d: select.correlations(candidates(spark, d), FEATURES, "spearman"),
+    f"with {CANDIDATES} " + " union all ".join(f"select '{a}' as a, '{b}' as b, {number('coalesce(corr(ra, rb), 0)')} as r from (select {_rank(a)} as ra, {_rank(b)} as rb from cand where {a} is not null and {b} is not null)" for a, b in _fpairs),
 )
-_slot = lambda c: f"least(7, floor(({c} - min({c}) over ()) / nullif(max({c}) over () - min({c}) over (), 0) * 8))"
+_slot = lambda c: f"case when {c} is not null and max({c}) over () > min({c}) over () then least(7, floor(({c} - min({c}) over ()) / nullif(max({c}) over () - min({c}) over (), 0) * 8)) end"
 _MI = f"{CANDIDATES}, slots as (select " + ", ".join(f"{_slot(c)} as s_{c}" for c in (*FEATURES, "y1", "y6")) + " from cand), mi as (" + " union all ".join(
-    f"select '{f}' as feature, '{t}' as target, sum(n / n_all * ln(n * n_all / (n_x * n_y))) as mi from (select n, sum(n) over () as n_all, sum(n) over (partition by x) as n_x, sum(n) over (partition by y) as n_y from (select s_{f} as x, s_{t} as y, count(*)::double as n from slots where s_{f} is not null and s_{t} is not null group by all))"
+    f"select '{f}' as feature, '{t}' as target, coalesce(sum(n / n_all * ln(n * n_all / (n_x * n_y))), 0) as mi from (select n, sum(n) over () as n_all, sum(n) over (partition by x) as n_x, sum(n) over (partition by y) as n_y from (select s_{f} as x, s_{t} as y, count(*)::double as n from slots where s_{f} is not null and s_{t} is not null group by all))"
     for f in FEATURES for t in ("y1", "y6")
 ) + ")"
 
@@ -531,13 +551,18 @@ add(
     lambda spark, d: select.top_n(_mi(spark, d).withColumn("share", select.normalised(F.col("mi"))), 3, ["target"], F.desc(F.round("mi", 9))).select("target", "feature", "place", "share"),
     f"with {_MI} select target, feature, row_number() over (partition by target order by round(mi, 9) desc, feature)::int as place, {number('1 - exp(-mi)')} as share from mi qualify place <= 3",
 )
-add("dedup_features", lambda spark, d: select.deduplicate(candidates(spark, d), FEATURES))
+_strong = ", ".join(f"abs(coalesce(corr({a}, {b}), 0)) > 0.95 or abs(coalesce((select corr(ra, rb) from (select {_rank(a)} as ra, {_rank(b)} as rb from cand where {a} is not null and {b} is not null)), 0)) > 0.95 as s_{i}_{j}" for i, a in enumerate(FEATURES) for j, b in enumerate(FEATURES) if i < j)
+_kept = lambda j: " and ".join(["true", *(f"not (s_{i}_{j} and k_{i})" for i in range(j))])
+#: The greedy walk, one step a feature: kept_<j> has whether each of the first j + 1 features is kept.
+KEPT = f"strong as (select {_strong} from cand), kept_0 as (select *, true as k_0 from strong), " + ", ".join(f"kept_{j} as (select *, {_kept(j)} as k_{j} from kept_{j - 1})" for j in range(1, len(FEATURES)))
+_walked = f"kept as (" + " union all ".join(f"select '{f}' as feature, {j + 1} as position, k_{j} as kept from kept_{len(FEATURES) - 1}" for j, f in enumerate(FEATURES)) + ")"
+add("dedup_features", lambda spark, d: select.deduplicate(candidates(spark, d), FEATURES), f"with {CANDIDATES}, {KEPT}, {_walked} select * from kept")
 add(
     "cv_folds",
     lambda spark, d: select.folds(staging.hours(spark, d), 3).select("ts", "fold"),
     f"with {staging.BARS}, p as (select ts, row_number() over (order by ts) - 1 as i, count(*) over () as n from hours) select {TS}, case when i >= n - 3 * (n // 4) then ((i - (n - 3 * (n // 4))) // (n // 4) + 1)::int else 0 end as fold from p",
 )
-add("sample_seeded", lambda spark, d: select.sample(staging.hours(spark, d), 200, 42))
+add("sample_seeded", lambda spark, d: select.sample(staging.hours(spark, d), 200, 42), f"with {staging.BARS} select {TS} from hours order by md5(strftime(hours.ts, '%Y-%m-%d %H:%M:%S') || ':42'), hours.ts limit 200")
 
 # ---- blends, policies, evaluation -----------------------------------------------------------------------------------
 
@@ -578,25 +603,34 @@ add(
     "policies", _policies,
     f"with {PREDICTED} " + sql.select({"spike_0": "(1 - p) * base + p * p90", "spike_1": f"base + {_up} * 0.8 * {_r('p')}", "spike_2": f"case when p >= 0.3 then base + 2 * {_up} else base end", "dip_0": "p * base + (1 - p) * p10", "dip_1": f"base - 0.8 * {_r('(1 - p)')} * {_down}", "dip_2": f"case when 1 - p >= 0.3 then base - 0.8 * {_down} else base end"}, "pred where base is not null and p90 is not null and p10 is not null and p is not null"),
 )
-SMALL = ((0.1, 0.3, 0.5), (0.5, 1.0), (0.4, 1.0))
-_rows, _i = [], 0
-for _s in ("p90", "max", "l1"):
-    for _mode in (0, 1, 2):
-        for _t in SMALL[0] if _mode else SMALL[0][:1]:
-            for _p in SMALL[1] if _mode else SMALL[1][:1]:
-                for _q in SMALL[2] if _mode == 1 else SMALL[2][:1]:
-                    _rows.append(f"({_i}, '{_s}', {_mode}, {_t}::double, {_p}::double, {_q}::double)")
-                    _i += 1
+_values = lambda settings: ", ".join(f"({i}, '{s}', {m}, {t}::double, {p}::double, {w}::double)" for i, s, m, t, p, w in settings)
 add(
     "policy_grid",
-    lambda spark, d: blend.policy_search(predicted(spark, d).where("p is not null"), blend.spike_grid(spark, *SMALL), ["region"], slack=20.0),
-    f"""with {PREDICTED}, g(ordinal, source, mode, threshold, power, most) as (values {", ".join(_rows)}),
+    lambda spark, d: policy.spike_search(predicted(spark, d), ["region"]),
+    f"""with {PREDICTED}, g(ordinal, source, mode, threshold, power, weight) as (values {_values(policy.spike_settings())}),
     v as (select *, case source when 'p90' then p90 when 'l1' then l1 else greatest(p90, l1) end as s from pred, g where y is not null and base is not null and p90 is not null and l1 is not null and p is not null),
-    w as (select *, case mode when 0 then (1 - p) * base + p * s when 1 then base + greatest(s - base, 0) * most * power(greatest(least((p - threshold) / (1 - threshold + 1e-6), 1), 0), power) else case when p >= threshold then base + power * greatest(s - base, 0) else base end end as made from v),
-    e as (select region, ordinal, source, mode, threshold, power, most, 2.2 * coalesce(avg(abs(y - made)) filter (where y > 150), 0) + 1.3 * coalesce(avg(abs(y - made)) filter (where y < 0), 0) + coalesce(avg(abs(y - made)) filter (where y <= 150), 0) + 0.25 * avg(abs(y - made)) as score,
-      coalesce(avg(abs(y - made)) filter (where y <= 150), 0) as calm, coalesce(avg(abs(y - base)) filter (where y <= 150), 0) as calm_base from w group by all)
-    select region, source, mode, {number("threshold")} as threshold, {number("power")} as power, {number("most")} as most, {number("score")} as score from e where calm <= calm_base + 20.0 qualify row_number() over (partition by region order by round(score, 9), ordinal) = 1""",
+    w as (select *, case mode when 0 then (1 - p) * base + p * s when 1 then base + greatest(s - base, 0) * weight * power(greatest(least((p - threshold) / (1 - threshold + 1e-6), 1), 0), power) else case when p >= threshold then base + power * greatest(s - base, 0) else base end end as made from v),
+    e as (select region, ordinal, source, mode, threshold, power, weight, 2.2 * coalesce(avg(abs(y - made)) filter (where y > 150), 0) + 1.3 * coalesce(avg(abs(y - made)) filter (where y < 0), 0) + coalesce(avg(abs(y - made)) filter (where y <= 150), 0) + 0.25 * avg(abs(y - made)) as score,
+      coalesce(avg(abs(y - made)) filter (where y <= 150), 0) as calm from w group by all),
+    l as (select region, calm + 0.20 as most from e where mode = 0 and source = 'p90')
+    select region, source, mode, {number("threshold")} as threshold, {number("power")} as power, {number("weight")} as weight, {number("score")} as score from e join l using (region) where calm <= most qualify row_number() over (partition by region order by round(score, 9), ordinal) = 1""",
 )
+
+
+def _dip_sql(source: str, per: str) -> str:
+    """source: a table cand with y, base, p, dip and the group."""
+    return f"""{source}, g(ordinal, source, mode, threshold, power, weight) as (values {_values(policy.dip_settings())}),
+    ok as (select * from cand where y is not null and base is not null and p is not null and dip is not null),
+    w as (select ok.*, g.*, case mode when 0 then (1 - p) * base + p * dip when 1 then base - weight * power(greatest(least((p - threshold) / (1 - threshold + 1e-6), 1), 0), power) * greatest(base - dip, 0) else case when p >= threshold then base - weight * greatest(base - dip, 0) else base end end as made from ok, g
+      union all select ok.*, -1, 'dip', 9, 0, 0, 0, base from ok),
+    e as (select {per}, ordinal, mode, threshold, power, weight, round(2.2 * coalesce(avg(abs(y - made)) filter (where y > 150), 0) + 1.3 * coalesce(avg(abs(y - made)) filter (where y < 0), 0) + coalesce(avg(abs(y - made)) filter (where y <= 150), 0) + 0.25 * avg(abs(y - made)), 9) as score,
+      coalesce(avg(abs(y - made)) filter (where y between 0 and 150), avg(abs(y - made))) as mid from w group by all),
+    l as (select {per}, mid + 0.15 as most, score as base_score from e where ordinal = -1),
+    t as (select e.*, base_score, mid <= most and score < base_score as good from e join l using ({per}) where ordinal >= 0)
+    select {per}, mode, {number("threshold")} as threshold, {number("power")} as power, {number("weight")} as weight, {number("case when good then score else base_score end")} as score from t qualify row_number() over (partition by {per} order by not good, case when good then score end, ordinal) = 1"""
+
+
+add("dip_search", lambda spark, d: policy.dip_search(predicted(spark, d).select("region", "y", "base", (1 - F.col("p")).alias("p"), F.col("p10").alias("dip")), ["region"]), _dip_sql(f"with {PREDICTED}, cand as (select region, y, base, 1 - p as p, p10 as dip from pred)", "region"))
 _M = {
     "mae": "avg(abs(e))", "rmse": "sqrt(avg(e * e))", "r2": "1 - sum(e * e) / (var_pop(y) * count(*))", "mbe": "avg(e)", "wmape": "sum(abs(e)) / (sum(abs(y)) + 1e-8) * 100", "mae_naive": "avg(abs(naive - y))", "skill": "(1 - avg(abs(e)) / avg(abs(naive - y))) * 100",
     "mae_spike": "avg(abs(e)) filter (where y > 150)", "mae_calm": "avg(abs(e)) filter (where y <= 150)", "mae_dip": "avg(abs(e)) filter (where y < 0)", "spike_share": f"avg({sql.flag('y > 150')}) * 100", "dip_share": f"avg({sql.flag('y < 0')}) * 100",

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcast.operators import grid
-from gridcast.operators.rolling import Series
+from gridcast.operators.rolling import Series, filled
 
 REGIONS = ["nsw", "qld", "vic", "sa"]
 # Which event type stands for which region, and the thresholds that fit hourly means.
 REGION_OF = {"click": "nsw", "error": "qld", "view": "vic", "purchase": "sa"}
+FINE = 300
 SPIKE, HIGH_SPIKE, TOP_SPIKE = 50.0, 100.0, 200.0
 HOLIDAYS = ["2024-01-01", "2024-01-06", "2024-01-12", "2024-01-15", "2024-01-26", "2024-01-29"]
 
@@ -50,6 +51,16 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hours(spark, sf_dir).crossJoin(F.broadcast(regions(spark))).join(found, ["ts", "region"], "left")
 
 
+def fine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price of the regions on the grid of five minutes, gaps filled forward, and a demand and a gas price that follow it."""
+    e = events(spark, sf_dir).where("region is not null")
+    found = e.groupBy(grid.bucket("ts", FINE).alias("ts"), "region").agg((money("value") / F.count("value") - 30.0).alias("price"))
+    span = events(spark, sf_dir).agg(grid.bucket(F.min("ts"), FINE).alias("lo"), grid.bucket(F.max("ts"), FINE).alias("hi"))
+    dense = grid.densify(found, FINE, regions(spark), ["region"], span=span)
+    out = filled(dense, "price", "price", FINE, ["region"])
+    return out.select("ts", "region", "price", (F.col("price") * 3 + 100).alias("demand"), (F.abs("price") / 10).alias("gas_price"))
+
+
 def system(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     count = e.where("region is not null").groupBy(grid.bucket("ts", grid.HOUR).alias("ts"), "region").agg((F.count("*") * 10.0).alias("demand"))
@@ -113,6 +124,15 @@ regions as (select unnest([{_NAMES}]) as region),
 found as (select h, region, sum(value::decimal(18,2))::double / count(value) - 30.0 as price, count(*) * 10.0::double as demand from ev where region is not null group by all),
 bars as (select hours.ts, regions.region, price from hours cross join regions left join found on h = hours.ts and found.region = regions.region)
 """
+FINE_BARS = f"""
+ev as (select ts::timestamp as ts, case event_type {_CASE} end as region, value from events),
+at5 as (select to_timestamp(floor(epoch(ts) / 300) * 300)::timestamp as m5, region, value from ev),
+grid5 as (select unnest(generate_series(min(m5), max(m5), interval 5 minute)) as ts from at5),
+found5 as (select m5, region, sum(value::decimal(18,2))::double / count(value) - 30.0 as price from at5 where region is not null group by all),
+dense5 as (select grid5.ts, r.region, price from grid5 cross join (select unnest([{_NAMES}]) as region) r left join found5 on m5 = grid5.ts and found5.region = r.region),
+filled5 as (select ts, region, last_value(price ignore nulls) over (partition by region order by ts rows between unbounded preceding and current row) as price from dense5),
+fine as (select *, price * 3 + 100 as demand, abs(price) / 10 as gas_price from filled5)
+"""
 SYSTEM = f"""{BARS},
 extra as (select h, count(*) as extra from ev where event_type = 'signup' group by h),
 full0 as (

@@ -39,9 +39,10 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     return keep_one(both, keys, [F.desc("__load"), *values]).drop("__load")
 
 
-def write_months(df: DataFrame, path: str, ts: str = "ts") -> None:
-    """Replaces the months that df holds and leaves the others."""
-    df.withColumn("month", F.date_format(F.col(ts), "yyyy-MM")).repartition("month").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("month").parquet(path)
+def write_months(df: DataFrame, path: str, ts: str = "ts", files: int = 8) -> None:
+    """Replaces the months that df holds and leaves the others. Times are dealt into about `files` files a month, so that a month isn't one task."""
+    out = df.withColumn("month", F.date_format(F.col(ts), "yyyy-MM"))
+    out.repartition("month", F.pmod(F.xxhash64(ts), F.lit(files))).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("month").parquet(path)
 
 
 def by_priority(sources: Sequence[DataFrame], ts: str = "ts") -> DataFrame:
@@ -110,7 +111,7 @@ def readings_to_grid(readings: DataFrame, times: DataFrame, by: Sequence[str], v
     """An irregular reading carried forward to every time, the first one backward; of readings at one time the largest counts."""
     found = asof_backward(times, readings, by, [value], ts, ts)
     first = readings.groupBy(*by).agg(F.min_by(value, ts).alias("__first"))
-    return found.join(F.broadcast(first), list(by), "left").withColumn(value, F.coalesce(value, "__first")).drop("__first", "matched_ts")
+    return found.join(first, list(by), "left").withColumn(value, F.coalesce(value, "__first")).drop("__first", "matched_ts")
 
 
 def clean_weather(raw: DataFrame, city: str, ts: str = "ts") -> DataFrame:
@@ -135,8 +136,33 @@ def tagged_records(lines: DataFrame, table: str, columns: Sequence[str], line: s
     return data.select(file, number, *(at(c).alias(c.lower()) for c in columns))
 
 
-def half_hour(ts: Column) -> Column:
-    return grid.bucket(ts, 1800)
+def tagged_rows(lines: DataFrame, table: str, columns: Sequence[str], skip: int = 4, least: int = 5, intervention: str = "INTERVENTION", line: str = "line", file: str = "file", number: str = "n", most: int = 64) -> DataFrame:
+    """Rows of a tagged text with quoted fields (at most `most` of them): an `I` line names a table's columns, which holds for the `D` lines after it up to the next one.
+
+    The first `skip` fields are tags; tag, table and column names count in any case. Lines of fewer than `least` fields, data lines
+    before any header, those that lack a wanted column, and those with an intervention other than 0 are left out. A
+    file has a header line for each of its parts only, so data lines meet the headers of their file in an equi-join and keep the one whose range
+    holds them.
+    """
+    fields = F.from_csv(line, ", ".join(f"c{i} string" for i in range(most)), {"mode": "PERMISSIVE", "escape": '"'})
+    all_ = F.array(*(fields[f"c{i}"] for i in range(most)))
+    parts = lines.select(file, number, all_.alias("p"), (F.size(F.split(line, ",")) >= least).alias("ok")).where("ok")
+    parts = parts.where(F.upper(F.col("p")[1]) == table.upper())
+    tag = F.upper(F.col("p")[0])
+    names = F.transform(F.slice("p", skip + 1, most - skip), lambda c: F.upper(c))
+    heads = parts.where(tag == "I").select(file, F.col(number).alias("__from"), names.alias("__names"))
+    heads = heads.withColumn("__to", F.lead("__from").over(Window.partitionBy(file).orderBy("__from")))
+    data = parts.where(tag == "D").join(heads, file).where((F.col(number) > F.col("__from")) & (F.col("__to").isNull() | (F.col(number) < F.col("__to"))))
+    place = lambda c: F.array_position("__names", c.upper()).cast("int")
+    at = lambda c: F.try_element_at(F.col("p"), F.nullif(place(c), F.lit(0)) + skip)
+    meant = F.when(place(intervention) > 0, F.coalesce(F.trim(at(intervention)), F.lit("0"))).otherwise("0")
+    found = data.where(meant == "0").where(reduce(lambda a, b: a & b, (at(c).isNotNull() for c in columns)))
+    return found.select(file, number, *(at(c).alias(c.lower()) for c in columns))
+
+
+def run_time(x: Column, step: int = 1800) -> Column:
+    """The time of a run, from text, floored to the half hour in which it was published."""
+    return grid.bucket(to_time(x), step)
 
 
 def offers(raw: DataFrame, step: int, bands: int = 10) -> DataFrame:
@@ -147,6 +173,18 @@ def offers(raw: DataFrame, step: int, bands: int = 10) -> DataFrame:
     return out.withColumn("packed", F.concat_ws(",", F.col("bands").cast("array<string>")))
 
 
+def dense_offers(found: DataFrame, step: int, bands: int = 10) -> DataFrame:
+    """Offers of `offers` on every step of their whole span for each unit; a step without an offer has 0 everywhere."""
+    units = found.select("duid").distinct()
+    span = found.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    none = F.array(*[F.lit(0)] * bands)
+    # units grow with the input, so the grid of times is the side that is sent around
+    line = units.crossJoin(F.broadcast(span)).select("duid", F.explode(F.sequence("lo", "hi", F.make_interval(secs=F.lit(step)))).alias("ts"))
+    out = line.join(found.select("ts", "duid", "max_avail", "bands"), ["duid", "ts"], "left")
+    filled = out.select("ts", "duid", F.coalesce("max_avail", F.lit(0.0)).alias("max_avail"), F.coalesce("bands", none).alias("bands"))
+    return filled.withColumn("packed", F.concat_ws(",", F.col("bands").cast("array<string>")))
+
+
 def offer_prices(raw: DataFrame, days: DataFrame, bands: int = 10) -> DataFrame:
     """Day prices of each unit, carried forward over the given days, as integers in an array."""
     names = [f"price{i}" for i in range(1, bands + 1)]
