@@ -7,20 +7,24 @@ candidate pair's similarity is estimated jointly by maximum likelihood from the
 registers and the two known set sizes; pairs six standard deviations below the threshold go, and the rest are confirmed
 on their full sets, best estimates first, unless they are connected already.
 
-Scale. Documents with equal sets are one class from the start (a hash aggregation), so a thousand copies cost one. Classes
-that share a band bucket, directly or through others, are a candidate group; it is found by joining each class to its
-bucket's smallest class, which costs n for a bucket of n. Texts of groups are read again, and a group is worked on in
-blocks of at most about `BLOCK` classes, each one task's work, with a few classes of the group (`BRIDGES`) in all of its blocks
-to connect them. In groups of several blocks, classes outside the group's largest component then meet all blocks, in
-chunks, so no link between components is lost; pairs inside a component are never looked at. Pairs exist only inside a
-task; rows are classes and links of a spanning forest. Tables in between are written to spark.checkpoint.dir.
+Scale. Documents with equal sets are one class from the start (a hash aggregation), so a thousand copies cost one. A class is
+named by a 64-bit digest of its set. Classes that share a band bucket, directly or through others, are a candidate group; it is
+found by joining each class to its bucket's smallest class, which costs n for a bucket of n. Only the documents that
+stand for a grouped class are read again: a Bloom filter of bounded size goes along with the scan, and what
+leaves the scan are shingle digests, not texts. A group is worked on in blocks of at most about `BLOCK` classes and
+`BLOCK_SHINGLES` digests, each one task's work, with a few classes of the group (`BRIDGES`) in all of its blocks to connect them. In
+groups of several blocks, classes outside the group's largest component then meet all blocks, in chunks, so no link
+between components is lost; pairs inside a component are never looked at. Pairs exist only inside a task; rows are
+classes and links of a spanning forest. Each document gets its class's result in a join in which the few classes that hold
+many of the documents are sent around, so that no task meets all their copies. Tables in between are written to
+spark.checkpoint.dir.
 
 The registers of a band are the most for which a pair at the threshold is missed with a probability below one in a
 million: eight for 0.85 (2e-7), six for 0.80 (5e-7).
 
 Defined cases: a null or wordless text has an empty set, is linked with nothing and is its own component; with fewer than
-k words the whole sequence is the one shingle; repeated rows give repeated rows (where texts differ under one doc_id, its
-links are confirmed on the smallest text); null doc_ids are left out; further columns are ignored by `groups` and
+k words the whole sequence is the one shingle; repeated rows give repeated rows; a doc_id with several texts counts as a document for
+each of them; null doc_ids are left out by `groups` and stay in `deduplicate`; further columns are ignored by `groups` and
 kept by `deduplicate`.
 """
 
@@ -42,12 +46,16 @@ BANDS, MOST_ROWS = 48, 8
 # SetSketch parameters: base, rate and largest register value (two bytes).
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 BLOCK, BRIDGES = 400, 40
+#: Digests of a block (8 bytes each), and bits of the Bloom filter: some 16 for a grouped class, 32 MB at most.
+BLOCK_SHINGLES, MOST_BITS = 4 << 20, 1 << 28
+#: A class that holds more than one in SHARES of the documents is sent around: fewer than SHARES rows.
+SHARES = 256
 
 _rng = np.random.default_rng(20)
 _FACTOR = _rng.integers(0, 1 << 63, BANDS * MOST_ROWS, np.uint64) * tx.U(2) + tx.U(1)
 _SHIFT = _rng.integers(0, 1 << 63, BANDS * MOST_ROWS, np.uint64)
 
-SKETCHED = "doc_id long, n_shingles long, set_1 long, set_2 long, bands binary"
+SKETCHED = "doc_id long, mark long, n_shingles long, class long, bands binary"
 
 
 def band_rows(percent: int) -> int:
@@ -100,25 +108,27 @@ def estimate(one: np.ndarray, two: np.ndarray, n_one: np.ndarray, n_two: np.ndar
     return (low + high) / 2
 
 
+def set_digests(doc: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set size, digest) of each document's set; 128 bits of sums of mixed hashes, mixed into 64."""
+    n = np.bincount(doc, minlength=n_docs)
+    full, begin = np.unique(doc, return_index=True)
+    one, two = (np.zeros(n_docs, tx.U) for _ in range(2))
+    if len(full):
+        one[full], two[full] = (np.add.reduceat(tx.mix(h, salt), begin) for salt in (0x51, 0xA7))
+    return n, tx.mix(one ^ tx.mix(two + n.astype(tx.U), 0x3C), 0x77)
+
+
 def _sketches(k: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Set size, a 128-bit digest of the set and the keys of its bands for every document."""
+        """Set size, class (a digest of the set) and the keys of its bands for every document."""
         for batch in batches:
             parts = []
-            for i, j, w in tx.words(batch.column(1), tx.SPACED):
+            for i, j, w in tx.words(batch.column(2), tx.SPACED):
                 doc, h = tx.shingles(w, k)
-                n = np.bincount(doc, minlength=j - i)
-                full, begin = np.unique(doc, return_index=True)
-                sums = []
-                for salt in (0x51, 0xA7):
-                    total = np.zeros(j - i, tx.U)
-                    if len(full):
-                        total[full] = np.add.reduceat(tx.mix(h, salt), begin)
-                    sums.append(tx.signed(total))
-                parts.append((n, *sums, band_keys(sketch(doc, h, j - i, BANDS * rows), rows)))
-            n, one, two, keys = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (*(np.zeros(0, np.int64),) * 3, np.zeros((0, BANDS), tx.U))
+                parts.append((*set_digests(doc, h, j - i), band_keys(sketch(doc, h, j - i, BANDS * rows), rows)))
+            n, digest, keys = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, tx.U), np.zeros((0, BANDS), tx.U))
             binary = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.arange(len(n) + 1) * BANDS * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(keys))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(one), pa.array(two), binary], names=["doc_id", "n_shingles", "set_1", "set_2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(tx.signed(digest)), binary], names=["doc_id", "mark", "n_shingles", "class", "bands"])
 
     return run
 
@@ -184,19 +194,16 @@ def linked(doc: np.ndarray, h: np.ndarray, n: int, labels: list[int], asks: np.n
     return links
 
 
-WORK = ["task", "class", "label", "asks", "text"]
+WORK = ["task", "class", "label", "asks", "shingles"]
 
 
-def _confirm(k: int, percent: int, rows: int):
+def _confirm(percent: int, rows: int):
     def solve(part: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(part).combine_chunks()
-        ids, texts = t["class"].to_pylist(), t["text"].combine_chunks()
-        docs, hashes = [], []
-        for i, _, w in tx.words(texts, tx.SPACED):
-            doc, h = tx.shingles(w, k)
-            docs.append(doc + i)
-            hashes.append(h)
-        links = linked(np.concatenate(docs), np.concatenate(hashes), len(ids), t["label"].to_pylist(), t["asks"].to_numpy(), percent, rows)
+        ids, labels = ([x for batch in part for x in batch.column(c).to_pylist()] for c in (1, 2))
+        sets = [np.frombuffer(x.as_buffer(), tx.U) for batch in part for x in batch.column(4)]
+        doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        asks = np.concatenate([batch.column(3).to_numpy(zero_copy_only=False) for batch in part])
+        links = linked(doc, np.concatenate(sets), len(ids), labels, asks, percent, rows)
         return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in links], pa.int64()), pa.array([ids[b] for _, b in links], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,69 +228,139 @@ def _confirm(k: int, percent: int, rows: int):
     return run
 
 
-def confirmed(work: DataFrame, k: int, percent: int, rows: int) -> DataFrame:
-    """Links (a, b) of all tasks. work: task (hash), class, label (its component so far), asks, text."""
+def confirmed(work: DataFrame, percent: int, rows: int) -> DataFrame:
+    """Links (a, b) of all tasks. work: task (hash), class, label (its component so far), asks, shingles (sorted digests)."""
     parts = 2 * int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work of a row is large against its bytes
     ordered = work.select(*WORK).repartition(parts, "task").sortWithinPartitions("task", "class")
-    return ordered.mapInArrow(_confirm(k, percent, rows), "a long, b long")
+    return ordered.mapInArrow(_confirm(percent, rows), "a long, b long")
+
+
+def _probes(hash_, bits: int) -> list:
+    """Three bit numbers of a hash."""
+    return [F.shiftrightunsigned(hash_, 18 * i).bitwiseAND(F.lit(bits - 1)) for i in range(3)]
+
+
+def bloom(ids: DataFrame, n: int, column: str) -> np.ndarray:
+    """A Bloom filter of a column of long values as 64-bit words; its size is bounded by `MOST_BITS`, beyond which it only lets more through."""
+    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
+    at = ids.select(F.explode(F.array(*_probes(F.xxhash64(column), bits))).alias("at"))
+    one = F.expr("shiftleft(cast(1 as bigint), cast(at & 63 as int))")
+    words = at.select(F.shiftright("at", 6).alias("word"), one.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _digests(k: int, shipped):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Class and sorted shingle digests of the documents that the filter lets through; a class once for each batch."""
+        words = shipped.value
+        bits = np.uint64(len(words) * 64 - 1)
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            good = np.ones(len(h), bool)
+            for i in range(3):
+                at = (h >> np.uint64(18 * i)) & bits
+                good &= (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+            some = batch.filter(pa.array(good))
+            for i, j, w in tx.words(some.column(2), tx.SPACED):
+                doc, own = tx.shingles(w, k)
+                n, digest = set_digests(doc, own, j - i)
+                edge = np.searchsorted(doc, np.arange(j - i + 1))
+                _, first = np.unique(digest, return_index=True)
+                keep = [x for x in first.tolist() if n[x]]
+                sets = pa.array([own[edge[x] : edge[x + 1]].tobytes() for x in keep], pa.binary())
+                yield pa.RecordBatch.from_arrays([some.column(1).slice(i, j - i).take(pa.array(keep, pa.int64())), pa.array(tx.signed(digest[keep])), sets], names=["doc_id", "class", "shingles"])
+
+    return run
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, class_id for every document. Documents with equal sets have one class_id."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id, n_shingles, component_id, kept, class_id, mark (a hash of the text) for every document. Documents with equal sets have one class_id."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     rows = band_rows(percent)
-    every = scratch.keep(docs.where("doc_id is not null").mapInArrow(_sketches(k, rows), SKETCHED), "sketches")
-    sets = ["set_1", "set_2", "n_shingles"]
-    classes = every.where("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("class"))
-    first = every.select(F.col("doc_id").alias("class"), *sets, "bands").join(classes, ["class", *sets], "left_semi").dropDuplicates(["class", *sets])
-    bands = scratch.keep(first.select("class", "bands").mapInArrow(_bands, "key long, class long"), "bands")
+    every = scratch.keep(docs.select("doc_id", _mark(), "text").mapInArrow(_sketches(k, rows), SKETCHED), "sketches")
+    full = every.where("n_shingles > 0")
+    # equal sets have equal sizes and bands
+    classes = full.groupBy("class").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
+    classes = scratch.keep(classes, "classes")
+    bands = scratch.keep(classes.select("class", "bands").mapInArrow(_bands, "key long, class long"), "bands")
     buckets = bands.groupBy("key").agg(F.min("class").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
     stars = bands.join(buckets, "key").where("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b"))
     grouped = components(stars).select(F.col("id").alias("class"), F.col("component").alias("group"))
 
-    sizes = grouped.groupBy("group").agg(F.count("*").alias("n"))
-    placed = grouped.join(sizes, "group").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
-    # both sides grow with the input, so the join is the same at every size
-    texts = docs.withColumnRenamed("doc_id", "class").join(placed.hint("merge"), "class").groupBy("class", "group", "blocks").agg(F.min("text").alias("text"))
-    texts = scratch.keep(texts.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "texts")
+    placed = grouped.join(classes.select("class", "doc", "size"), "class")
+    sizes = placed.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = scratch.keep(placed.join(sizes, "group").select("class", "doc", "group", "blocks"), "placed")
+    shipped = docs.sparkSession.sparkContext.broadcast(bloom(placed, placed.count(), "doc"))
+    read = docs.select(F.xxhash64("doc_id").alias("h"), "doc_id", "text").mapInArrow(_digests(k, shipped), "doc_id long, class long, shingles binary")
+    met = read.join(placed, (read["class"] == placed["class"]) & (read["doc_id"] == placed["doc"]))
+    sets = met.groupBy(placed["class"], "group", "blocks").agg(F.first("shingles").alias("shingles"))
+    sets = scratch.keep(sets.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "sets")
     # a group's bridges: about BRIDGES classes by hash, in all of its blocks
     bridge = F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks") * F.lit(BLOCK)) < BRIDGES
     everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
-    spread = texts.withColumn("at", F.explode(F.when(bridge, everywhere).otherwise(F.array("block"))))
-    work = spread.select(F.xxhash64("group", "at").alias("task"), "class", F.col("class").alias("label"), F.lit(True).alias("asks"), "text")
-    links = scratch.keep(confirmed(work, k, percent, rows), "links")
+    spread = sets.withColumn("at", F.explode(F.when(bridge, everywhere).otherwise(F.array("block"))))
+    work = spread.select(F.xxhash64("group", "at").alias("task"), "class", F.col("class").alias("label"), F.lit(True).alias("asks"), "shingles")
+    links = scratch.keep(confirmed(work, percent, rows), "links")
     label = scratch.keep(components(links), "label")
 
-    large = texts.where("blocks > 1").join(label.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
+    large = sets.where("blocks > 1").join(label.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
     weight = large.groupBy("group", "label").agg(F.count("*").alias("n"))
     home = weight.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("home"), F.sum("n").alias("all"), F.max("n").alias("most")).where("most < all")
-    open_ = scratch.keep(large.join(home, "group").withColumn("stray", F.col("label") != F.col("home")).withColumn("chunks", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")), "open")
+    strays = F.greatest(F.ceil((F.col("all") - F.col("most")) / BLOCK), F.ceil(F.col("blocks") * (F.col("all") - F.col("most")) / F.col("all")))
+    open_ = scratch.keep(large.join(home, "group").withColumn("stray", F.col("label") != F.col("home")).withColumn("chunks", strays.cast("int")), "open")
     chunk = F.pmod(F.xxhash64("class", F.lit(2)), F.col("chunks")).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     task = F.xxhash64("group", "at", "chunk", F.lit(3)).alias("task")
     # strays of a chunk meet the classes of a block: those that don't ask are the block's, those that ask the chunk's
-    asking = open_.where("stray").withColumn("chunk", chunk).withColumn("at", each("blocks")).select(task, "class", "label", F.lit(True).alias("asks"), "text")
-    asked = open_.withColumn("at", F.col("block")).withColumn("chunk", each("chunks")).select(task, "class", "label", F.lit(False).alias("asks"), "text")
-    more = scratch.keep(confirmed(asking.unionByName(asked), k, percent, rows), "links")
+    asking = open_.where("stray").withColumn("chunk", chunk).withColumn("at", each("blocks")).select(task, "class", "label", F.lit(True).alias("asks"), "shingles")
+    asked = open_.withColumn("at", F.col("block")).withColumn("chunk", each("chunks")).select(task, "class", "label", F.lit(False).alias("asks"), "shingles")
+    more = scratch.keep(confirmed(asking.unionByName(asked), percent, rows), "links")
     if more.limit(1).count():
         label = scratch.keep(components(links.unionByName(more)), "label")
 
-    found = classes.join(label.select(F.col("id").alias("class"), "component"), "class", "left").select(*sets, F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component"))
-    joined = every.drop("bands").join(found, sets, "left")
-    full = joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
-    return full.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "class_id")
+    # a component's smallest document
+    names = classes.select("class", "doc", "copies").join(label.select(F.col("id").alias("class"), "component"), "class", "left")
+    least = names.where("component is not null").groupBy("component").agg(F.min("doc").alias("least"))
+    found = names.join(least, "component", "left").select("class", "copies", F.col("doc").alias("class_id"), F.coalesce("least", "doc").alias("component_id"))
+    return _given(every, found).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "class_id", "mark")
+
+
+def _mark():
+    return F.xxhash64("text").alias("mark")
+
+
+def _given(every: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents with their class's class_id and component_id. Classes with many copies are broadcast (fewer than `SHARES`), and their rows are dealt by doc_id."""
+    found = scratch.keep(found, "found")
+    most = found.agg(F.sum("copies")).first()[0] or 0
+    hot = found.where(F.col("copies") > F.lit(most / SHARES)).select("class", F.col("class_id").alias("hot_class"), F.col("component_id").alias("hot_component"))
+    rows = every.where("n_shingles > 0").drop("bands").join(F.broadcast(hot), "class", "left")
+    rows = rows.withColumn("key", F.when(F.col("hot_class").isNull(), F.col("class")).otherwise(F.xxhash64("doc_id", "class")))
+    rest = found.select(F.col("class").alias("key"), "class_id", "component_id")
+    full = rows.join(rest, "key", "left").select("doc_id", "mark", "n_shingles", F.coalesce("hot_class", "class_id").alias("class_id"), F.coalesce("hot_component", "component_id").alias("component_id"))
+    empty = every.where("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    return full.unionByName(empty)
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which one of each group stays: the one with the smallest doc_id (one row of it). Columns stay as they are; rows without a doc_id stay."""
-    gone = groups(docs, k, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    order = Window.partitionBy("doc_id").orderBy("text")
-    first = docs.withColumn("__row", F.row_number().over(order)).where("__row = 1 or doc_id is null").drop("__row")
-    return first.join(gone, first["doc_id"] == gone["__gone"], "left_anti")
+    """The documents of which one of each group stays: the one with the smallest doc_id (one row of equal rows). Columns stay as they are; rows without a doc_id stay.
+
+    A doc_id with several texts counts as a document for each of them.
+    """
+    told = groups(docs, k, percent).groupBy("doc_id", "mark").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
+    told = scratch.keep(told.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "kept"), "told")
+    rows = docs.where("doc_id is not null").withColumn("__text", F.xxhash64(F.col("text").cast("string")))
+    met = (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__text") == F.col("__mark"))
+    alone = rows.join(told, met, "left_anti").drop("__text")
+    order = Window.partitionBy("doc_id", "__text").orderBy("text")
+    once = rows.join(told.where("kept"), met, "left_semi").withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row", "__text")
+    return alone.unionByName(once).unionByName(docs.where("doc_id is null"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return groups(scratch.table(spark, sf_dir, "documents"), 3, 85)
+    return groups(scratch.table(spark, sf_dir, "documents"), 3, 85).drop("mark")
 
 
 SQL = r"""

@@ -117,6 +117,29 @@ def test_deduplicate_keeps_one_row_of_each_group_and_all_columns(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+def test_a_doc_id_with_several_texts_is_several_documents(spark):
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, one), (1, two), (1, two), (2, one), (3, two + " end"), (None, one), (None, one), (4, None), (4, None), (5, "")]
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in neardup.deduplicate(make(spark, rows)).collect())
+    assert got == sorted([(1, one), (1, two), (0, one), (0, one), (4, ""), (5, "")])
+
+
+def test_copies_of_common_sets_are_dealt_by_document(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SHARES", 3)
+    text = " ".join(f"a{i}" for i in range(40))
+    rows = [(i, text) for i in range(50, 90)] + [(i, text + f" tail{i}") for i in range(5)] + [(100, "x y z"), (101, "")]
+    got = {r["doc_id"]: (r["component_id"], r["class_id"]) for r in neardup.groups(make(spark, rows), 3, 85).collect()}
+    assert all(got[i] == (0, 50) for i in range(50, 90)) and all(got[i] == (0, i) for i in range(5)) and got[100] == (100, 100) and got[101] == (101, 101)
+
+
+def test_the_filter_lets_all_members_through(spark):
+    words = neardup.bloom(spark.range(5000), 5000, "id")
+    shipped = spark.sparkContext.broadcast(words)
+    docs = spark.range(9000).selectExpr("xxhash64(id) as h", "id as doc_id", "concat('w', id) as text")
+    got = {r["doc_id"] for r in docs.mapInArrow(neardup._digests(3, shipped), "doc_id long, class long, shingles binary").collect()}
+    assert set(range(5000)) <= got and len(got) < 5200
+
+
 def test_no_documents(spark):
     empty = make(spark, [(1, "x")]).where("false")
     assert neardup.groups(empty).count() == 0
