@@ -8,12 +8,14 @@ and the length bound (it must end there) prune, the hash of the words at the pla
 verified word by word.
 
 The benchmark side is small and is shipped to the tasks only behind a check of its size: at most `BLOCK_BYTES` bytes of text at a
-time. A larger benchmark is cut by item into blocks of that size and every block is held against all documents in a
-pass of its own; hits of one document are then merged by doc_id. Documents are never shuffled.
+time. A larger benchmark is cut by item into blocks of that size, and the documents go through one map for each block, one after another in
+the same pass; each map adds its hits to the row, the last one makes the result. After `CHAIN` blocks the rows are written, so that no
+task holds more than that. Documents are read once for the hits (and once for each block's word counts) and never shuffled.
 
 Defined cases: null texts and texts without words have n_words 0, no hits and are clean; an item without words has no
-window; equal windows of several items count for each of them; repeated rows of documents give one row each (rows are
-judged alone); an empty benchmark leaves every document clean; further columns are left out by `scan`, kept by `clean`.
+window; equal windows of several items count for each of them; a null item_id counts as an item but has no name in the digest; null
+doc_ids and repeated rows of documents give one row each (rows are judged alone); an empty benchmark leaves every document
+clean; further columns are left out by `scan`, kept by `clean`.
 """
 
 from __future__ import annotations
@@ -26,13 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridcast.llm import scratch
 from gridcast.llm import text as tx
 
 WINDOW = 10
 #: Bytes of benchmark text shipped to a task at once; its windows take about thirty times that.
 BLOCK_BYTES = 2_000_000
+#: Blocks that documents meet before they are written.
+CHAIN = 4
 SCANNED = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-HITS = "row string, doc_id long, n_words long, begin array<int>, length array<int>, items array<string>"
+HITS = "doc_id long, text string, begin array<int>, length array<int>, items array<string>"
 
 
 class Block:
@@ -142,94 +147,74 @@ def covered(begin: np.ndarray, length: np.ndarray) -> int:
     return int(np.maximum(end - np.maximum(begin, before), 0).sum())
 
 
-def _row(doc_id, n_words: int, begin: np.ndarray, length: np.ndarray, items: set[str]) -> tuple:
+def _row(doc_id, n_words: int, begin: np.ndarray, length: np.ndarray, items: set[str | None]) -> tuple:
     n = covered(begin, length)
-    return doc_id, n_words, n, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), n > 0
+    return doc_id, n_words, n, len(items), hashlib.sha256(",".join(sorted(x for x in items if x is not None)).encode()).hexdigest(), n > 0
 
 
 _KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
 _NAMES = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+_LISTS = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
 _CLEAN = hashlib.sha256(b"").hexdigest()
 
 
-def _pass(docs: DataFrame, block: Block) -> DataFrame:
-    """One block against all documents: final rows, if it is the only block."""
+def _meet(docs: DataFrame, block: Block, last: bool) -> DataFrame:
+    """A block against all documents: adds its hits to those of the blocks before (columns 2 to 4, if there are any), or makes the final rows of all."""
     shipped = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
+            past = list(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)) if batch.num_columns > 2 else None
             for i, j, w in tx.words(batch.column(1), tx.ALNUM):
                 begin, window = own.find(w, w.hashes())
                 doc = np.searchsorted(w.first, begin, side="right") - 1
                 order = np.argsort(doc, kind="stable")
                 edge = np.searchsorted(doc[order], np.arange(j - i + 1))
                 for d, n in enumerate(w.counts.tolist()):
-                    a, b = edge[d], edge[d + 1]
-                    if a == b:
-                        rows.append((ids[i + d], n, 0, 0, _CLEAN, False))
+                    hit = order[edge[d] : edge[d + 1]]
+                    at, size = begin[hit] - w.first[d], own.size[window[hit]]
+                    items = {x for k in window[hit].tolist() for x in own.items[k]}
+                    if past and past[i + d][0]:
+                        at, size = np.concatenate((past[i + d][0], at)).astype(np.int64), np.concatenate((past[i + d][1], size)).astype(np.int64)
+                        items |= set(past[i + d][2])
+                    if not last:
+                        rows.append((at.tolist(), size.tolist(), list(items)))
+                    elif len(at):
+                        rows.append(_row(ids[i + d], n, at, size, items))
                     else:
-                        hit = order[a:b]
-                        rows.append(_row(ids[i + d], n, begin[hit], own.size[window[hit]], {x for k in window[hit].tolist() for x in own.items[k]}))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 6, _KINDS, strict=True)], names=_NAMES)
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCANNED)
-
-
-def _hits(docs: DataFrame, block: Block) -> DataFrame:
-    """One of several blocks: for each row of documents that it hits, where and by which items; the row's own key joins them."""
-    shipped = docs.sparkSession.sparkContext.broadcast(block)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shipped.value
-        for batch in batches:
-            ids, keys, out = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
-            for i, j, w in tx.words(batch.column(1), tx.ALNUM):
-                begin, window = own.find(w, w.hashes())
-                doc = np.searchsorted(w.first, begin, side="right") - 1
-                for d in range(j - i):
-                    hit = np.flatnonzero(doc == d)
-                    n = int(w.counts[d])
-                    out.append((keys[i + d], ids[i + d], n, (begin[hit] - w.first[d]).tolist(), own.size[window[hit]].tolist(), sorted({x for k in window[hit].tolist() for x in own.items[k]})))
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 6, kinds, strict=True)], names=["row", "doc_id", "n_words", "begin", "length", "items"])
-
-    keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.concat_ws(":", "doc_id", F.sha2("text", 256)).alias("row"))
-    return keyed.mapInArrow(run, HITS)
-
+                        rows.append((ids[i + d], n, 0, 0, _CLEAN, False))
+            kinds = _KINDS if last else _LISTS
+            made = [pa.array(list(c), k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * len(kinds), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(made, names=_NAMES) if last else pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["doc_id", "text", "begin", "length", "items"])
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for doc_id, n, begin, length, items, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            flat = lambda x, t: np.array([v for part in x for v in part], t)
-            rows += [_row(doc_id, n, flat(begin, np.int64), flat(length, np.int64), {v for part in items for v in part})] * copies
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 6, _KINDS, strict=True)], names=_NAMES)
+    return docs.mapInArrow(run, SCANNED if last else HITS)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each document its words, the words hit, the items found, and whether it is contaminated."""
-    total = benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    passes = []
-    for block in blocks(benchmark, window, block_bytes):
+    docs = rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    coming = blocks(benchmark, window, block_bytes)
+    block, met = next(coming), 0
+    while block is not None:
         block.order(rarity(docs, block.vocabulary))
-        if total <= block_bytes:
-            return _pass(docs, block)
-        passes.append(_hits(docs, block))
-    union = passes[0]
-    for p in passes[1:]:
-        union = union.unionByName(p)
-    grouped = union.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *(F.collect_list(c).alias(c) for c in ("begin", "length", "items")), (F.count("*") / F.lit(len(passes))).cast("int").alias("copies"))
-    return grouped.select("doc_id", "n_words", "begin", "length", "items", "copies").mapInArrow(_merge, SCANNED)
+        following = next(coming, None)
+        rows, met = _meet(rows, block, following is None), met + 1
+        if following is not None and met % CHAIN == 0:
+            rows = scratch.keep(rows, "hits")
+        block = following
+    return rows
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without any benchmark window, all columns as they are; one filter for each block, no shuffle."""
     names, out = docs.columns, docs
     at = names.index("text")
-    for block in blocks(benchmark, window, block_bytes):
+    for met, block in enumerate(blocks(benchmark, window, block_bytes)):
         block.order(rarity(docs, block.vocabulary))
+        if met and met % CHAIN == 0:
+            out = scratch.keep(out, "clean")
         out = out.mapInArrow(_filter(docs.sparkSession.sparkContext.broadcast(block), at), docs.schema)
     return out
 

@@ -290,7 +290,14 @@ def brute_hits(docs, bench, n=10):
     return out
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 60])
+def test_null_items_and_null_documents(spark):
+    bench = spark.createDataFrame([(None, "a b c"), (3, "a b c"), (4, None)], "item_id long, text string")
+    got = sorted(map(tuple, decontaminate.scan(make(spark, [(None, "x a b c"), (None, "x a b c"), (1, None)]), bench).collect()), key=str)
+    digest = hashlib.sha256(b"3").hexdigest()
+    assert got == sorted([(None, 4, 3, 2, digest, True)] * 2 + [(1, 0, 0, 0, hashlib.sha256(b"").hexdigest(), False)], key=str)
+
+
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 60, 5])
 def test_decontamination_equals_brute_force(spark, block):
     rng = random.Random(7)
     vocabulary = ["a", "B", "c1", "dé", "e-f", "G.", "h"]
