@@ -6,7 +6,7 @@ so a worker keeps the ids of the latest ones, at most `CACHE_PIECES`.
 
 Defined cases: a null text is empty and gives no tokens and an empty decoded text; repeated rows give repeated rows; a
 piece of any length is encoded whole (the queue makes that n log n); further columns are kept by `encode` under their
-own names except `ids` and `n_tokens`, which are replaced.
+own names except `ids` and `n_tokens`, which are replaced, and by `decode` except `decoded`.
 """
 
 from __future__ import annotations
@@ -30,7 +30,19 @@ CACHE_CHARS = 48
 VOCABULARY = "byte_bpe_50k.json"
 #: White space as Unicode has it; the pattern's \s in the library doesn't hold the four separators U+001C to U+001F.
 WHITE = r"\p{White_Space}"
-PIECES = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^{WHITE}\p{{L}}\p{{N}}]").replace(r"\s+(?!\S)|\s+", rf"{WHITE}+(?!{WHITE.replace('p', 'P', 1)})|{WHITE}+")
+CHANGES = ((r"[^\s\p{L}\p{N}]", rf"[^{WHITE}\p{{L}}\p{{N}}]"), (r"\s+(?!\S)|\s+", rf"{WHITE}+(?!{WHITE.replace('p', 'P', 1)})|{WHITE}+"))
+
+
+def pieces(pattern: str) -> str:
+    """The published pattern with the library's white space."""
+    for old, new in CHANGES:
+        if pattern.count(old) != 1:
+            raise ValueError(f"the pattern has changed: {old} isn't in {pattern}")
+        pattern = pattern.replace(old, new)
+    return pattern
+
+
+PIECES = pieces(public_tokenizers.PATTERN)
 
 
 def byte_letters() -> dict[int, str]:
