@@ -13,7 +13,7 @@ so each toxic text with hits is also learned as if its terms were misspelled.
 
 Defined cases: null and empty texts and texts without hits get the model's score for no hits; an empty or one-sided
 training set gives the share of label 1 (0.0 if there are no labels); repeated labels of a doc_id count once by the
-larger label; repeated documents give repeated rows; further columns are left out. Whole texts are read at any length.
+larger label; repeated documents give repeated rows; a null doc_id is held out; further columns are left out. Whole texts are read at any length.
 """
 
 from __future__ import annotations
@@ -376,4 +376,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(docs, labels.where(fold(4) != 2))
-    return score(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_hits")
+    return score(docs, model).select("doc_id", F.coalesce(fold(4) == 2, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_hits")

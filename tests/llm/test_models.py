@@ -31,6 +31,11 @@ def test_bpe_equals_the_library(text):
     assert codec.decode(ids) == reference.decode(ids, skip_special_tokens=False) == text
 
 
+def test_a_changed_pattern_is_refused():
+    with pytest.raises(ValueError, match="changed"):
+        bpe.pieces(r"\S+|\s+")
+
+
 def test_bpe_operator(spark):
     docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate([*ODD, ODD[4]])], "doc_id long, text string, ids int")
     out = bpe.decode(bpe.encode(docs)).orderBy("doc_id").collect()
@@ -220,6 +225,63 @@ def test_toxicity_held_out(spark):
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) >= 0.8 * len(held)
 
 
+def slow_features(model, text, known):
+    """The features word by word, every term compared with every word by the full table of edits. known: what has been found of a word."""
+    low = (text or "").lower()
+    found = list(toxicity.WORD.finditer(low))
+    looked = [(t, w) for t, w in model.terms.items() if len(t) >= toxicity.LEAST_FUZZY] + [(t + "*", w) for t, w in model.stems.items()]
+    hits = []
+    for i, m in enumerate(found):
+        word = m[0]
+        stems = [word[:n] for n in toxicity.STEMS if word[:n] in model.stems]
+        if word in model.terms:
+            hits.append((i, model.terms[word], True, model.trust.get(word, 1.0)))
+        elif stems:
+            hits.append((i, model.stems[stems[0]], True, model.trust.get(stems[0] + "*", 1.0)))
+        elif word not in model.ordinary and len(word) >= toxicity.LEAST_FUZZY - 1:
+            near = known.setdefault(word, [])
+            for t, w in looked if not near else ():
+                most = 2 if len(t) >= 10 else 1
+                body = t.removesuffix("*")
+                if t.endswith("*"):
+                    e = min(edits(body, word[:k]) for k in range(len(word) + 1))
+                else:
+                    e = edits(body, word) if abs(len(body) - len(word)) <= most else 9
+                if e <= most:
+                    near.append((e, -w, t))
+            near = near or [(9, 0.0, "")]
+            known[word] = near
+            e, w, t = min(near)
+            if e < 9:
+                hits.append((i, -w / (1 + e), False, model.trust.get(t, 1.0)))
+    out = np.zeros(toxicity.FEATURES)
+    for i, weight, exact, trust in hits:
+        words = [m[0] for m in found[max(0, i - toxicity.CONTEXT) : i + toxicity.CONTEXT + 1]]
+        reported = any(w in toxicity.REPORTING for w in words)
+        left = low[found[max(0, i - toxicity.CONTEXT)].start() : found[i].start()]
+        right = low[found[i].end() : found[min(len(found) - 1, i + toxicity.CONTEXT)].end() + 1]
+        quoted = any(q in left for q in toxicity.QUOTES) and any(q in right for q in toxicity.QUOTES)
+        near = sum(abs(j - i) <= toxicity.CONTEXT for j, *_ in hits) - 1
+        told = 0.3 if quoted or reported else 1.0
+        out += np.array([0, 1, 0, weight * told, quoted, reported, min(near, 3)]) if exact else trust * np.array([0, 0, told, 0, quoted, reported, min(near, 3)])
+    out[0] = out[1] > 0
+    out[1:] = np.log1p(out[1:])
+    return out
+
+
+@tables
+def test_toxicity_scores_equal_a_slow_version(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels.where(toxicity.fold(4) != 2))
+    assert model.terms
+    some = {r["doc_id"]: r["text"] for r in docs.collect() if r["text"] is None or len(r["text"]) < 500}
+    known: dict = {}
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for i, text in some.items():
+        p = 1 / (1 + np.exp(-np.clip(slow_features(model, text, known) @ model.weights + model.bias, -35, 35)))
+        assert got[i] == pytest.approx(p, abs=1e-9)
+
+
 def test_toxicity_without_labels_and_odd_texts(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "word " * 50000), (3, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
@@ -373,6 +435,15 @@ def test_license_scan(spark):
     assert license.scan(df.where("false")).count() == 0
 
 
+def test_full_licence_texts_are_told_apart():
+    matcher = license.Matcher()
+    for name, body in license.TEMPLATES:
+        if len(body) > 600:
+            words = body.split()
+            text = "my project\nCopyright 2020 Someone\n" + "\n".join(" ".join(words[i : i + 11]) for i in range(0, len(words), 11)) + "\ndef f(): pass\n" * 3
+            assert [matcher.names[i] for i, _ in matcher.scan(text)[1]] == [name]
+
+
 def test_wrapped_and_embedded_notices_are_found():
     m = license.Matcher()
     names = lambda t: sorted(m.names[i] for i, _ in m.scan(t)[1])
