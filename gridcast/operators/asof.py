@@ -7,30 +7,42 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridcast.operators.rolling import filled
 
-def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], values: Sequence[str], ts: str = "ts", right_ts: str = "ts") -> DataFrame:
+
+def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], values: Sequence[str], ts: str = "ts", right_ts: str = "ts", width: int | None = None) -> DataFrame:
     """For each left row the newest right row of the same key at or before its time; none gives nulls.
 
     Both sides are laid in one line per key, a right row ahead of left rows of the same time, and the last right row is
-    carried along: one shuffle and one sort. Of several right rows at one time the largest by its values counts.
+    carried along: one shuffle and one sort. Of several right rows at one time the largest by its values counts. For few keys with long lines,
+    `width` cuts a line into pieces of so many seconds; the last right row of each piece is then carried on in a window with one row for each.
     """
     packed = F.struct(F.col(right_ts).alias("at"), *values)
     names = left.columns
     a = left.select("*", F.lit(None).cast(right.select(packed.alias("p")).schema["p"].dataType).alias("__p"), F.col(ts).alias("__t"), F.lit(1).alias("__side"))
     b = right.select(*(F.col(k) if k in by else F.lit(None).cast(left.schema[k].dataType).alias(k) for k in names), packed.alias("__p"), F.col(right_ts).alias("__t"), F.lit(0).alias("__side"))
-    w = Window.partitionBy(*by).orderBy("__t", "__side", "__p").rowsBetween(Window.unboundedPreceding, 0)
-    out = a.unionByName(b).withColumn("__got", F.last("__p", ignorenulls=True).over(w)).where("__side = 1")
-    return out.select(*names, F.col("__got.at").alias("matched_ts"), *(F.col(f"__got.{v}").alias(v) for v in values))
-
-
-def interpolate_time(df: DataFrame, x: str, keys: Sequence[str], ts: str = "ts", name: str | None = None) -> DataFrame:
-    """Linear in time between the values around a gap; the last value is carried to the end, the beginning stays null."""
-    w = Window.partitionBy(*keys).orderBy(ts)
+    line = a.unionByName(b)
+    if width is None:
+        w = Window.partitionBy(*by).orderBy("__t", "__side", "__p").rowsBetween(Window.unboundedPreceding, 0)
+        out = line.withColumn("__got", F.last("__p", ignorenulls=True).over(w))
+    else:
+        line = line.withColumn("__piece", F.floor(F.unix_timestamp("__t") / width))
+        w = Window.partitionBy(*by, "__piece").orderBy("__t", "__side", "__p").rowsBetween(Window.unboundedPreceding, 0)
+        ends = line.groupBy(*by, "__piece").agg(F.max(F.when(F.col("__side") == 0, F.struct("__t", "__p"))).alias("__end"))
+        before = Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*by, "__piece", F.last("__end", ignorenulls=True).over(before)["__p"].alias("__carry"))
+        out = line.withColumn("__in", F.last("__p", ignorenulls=True).over(w)).join(carried, [*by, "__piece"]).withColumn("__got", F.coalesce("__in", "__carry"))
+    return out.where("__side = 1").select(*names, F.col("__got.at").alias("matched_ts"), *(F.col(f"__got.{v}").alias(v) for v in values))
+
+
+def interpolate_time(df: DataFrame, x: str, keys: Sequence[str], ts: str = "ts", name: str | None = None, step: int = 3600, rows: int = 2880) -> DataFrame:
+    """Linear in time between the values around a gap; the last value is carried to the end, the beginning stays null. The neighbours are found in blocks of `rows` steps."""
     seen = F.when(F.col(x).isNotNull(), F.struct(F.unix_timestamp(ts).alias("t"), F.col(x).alias("x")))
-    out = df.withColumn("__a", F.last(seen, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__b", F.first(seen, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    out = filled(df.withColumn("__seen", seen), "__seen", "__a", step, keys, ts, rows)
+    out = filled(out, "__seen", "__b", step, keys, ts, rows, backward=True).drop("__seen")
     a, b = (lambda f: F.col(f"__a.{f}")), (lambda f: F.col(f"__b.{f}"))
     between = a("x") + (b("x") - a("x")) * (F.unix_timestamp(ts) - a("t")) / F.nullif(b("t") - a("t"), F.lit(0))
-    return out.withColumn(name or x, F.coalesce(F.col(x), between, a("x"))).drop("__a", "__b")
+    return out.withColumn(name or x, F.coalesce(F.col(x), between, a("x"))).select(*df.columns, *([name] if name and name not in df.columns else []))
 
 
 def horizon(run: Column, interval: Column, seconds: int) -> Column:

@@ -6,6 +6,8 @@ of its prediction. Trees grow level by level, and validation stops by tolerance,
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -88,6 +90,12 @@ def registry(spark, models: Sequence[tuple[int, str]], path: str) -> DataFrame:
     return spark.createDataFrame([(h, n, f"{path}/h{h:02d}/{n}") for h, n in models], "h int, model string, path string")
 
 
+def folder(spark) -> str:
+    """A new folder for models under spark.checkpoint.dir, which driver and executors share (a temporary one where that is unset, as on one machine)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gridcast-")
+    return f"{root.rstrip('/')}/models-{uuid.uuid4().hex[:12]}"
+
+
 def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 

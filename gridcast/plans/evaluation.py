@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -281,15 +277,9 @@ _narrow_sql = f"with {staging.SYSTEM} select {TS}, region, {number('price::float
 add("sink_types", _narrow, _narrow_sql)
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gridcast-")
-    return os.path.join(root, f"sink-{uuid.uuid4().hex[:12]}")
-
-
 def _read_back(spark: SparkSession, d: str) -> DataFrame:
     """A full load twice (the second replaces the first) as Parquet and as CSV, read back and laid side by side."""
-    x, path = _narrow(spark, d), _shared(spark)
+    x, path = _narrow(spark, d), models.folder(spark)
     for form in ("parquet", "csv"):
         sinks.write(x.limit(5), f"{path}/{form}", form, ["region"])
         sinks.write(x, f"{path}/{form}", form, ["region"])

@@ -169,7 +169,7 @@ add(
     "asof_backward",
     lambda spark, d: asof_backward(
         staging.hours(spark, d).crossJoin(F.broadcast(staging.regions(spark))),
-        staging.events(spark, d).where("region is not null").groupBy("ts", "region").agg(F.max("value").alias("value")), ["region"], ["value"],
+        staging.events(spark, d).where("region is not null").groupBy("ts", "region").agg(F.max("value").alias("value")), ["region"], ["value"], width=7 * DAY,
     ),
     f"""with {staging.BARS},
     rd as (select ts, region, max(value) as value from ev where region is not null group by all),
@@ -202,26 +202,22 @@ add(
 )
 
 
-def _some_prices(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = staging.bids(spark, d)[1].where("duid % 20 = 1 and day >= '2000-06-01'")
-    return p, p.select("day")
+def _filled_prices(spark: SparkSession, d: str) -> DataFrame:
+    p = staging.bids(spark, d)[1]
+    return ingest.offer_prices(p, p.select("day"))
 
 
+# All units and days are millions of rows: no SQL here (a test has brute force), but for their totals by unit and year.
+add("bid_price_ffill", lambda spark, d: _filled_prices(spark, d).select("day", "duid", F.concat_ws(",", F.col("prices").cast("array<string>")).alias("prices")))
 add(
-    "bid_price_ffill",
-    lambda spark, d: ingest.offer_prices(*_some_prices(spark, d)).select("day", "duid", F.concat_ws(",", F.col("prices").cast("array<string>")).alias("prices")),
+    "bid_price_totals",
+    lambda spark, d: _filled_prices(spark, d).groupBy("duid", F.year("day").alias("year")).agg(F.count("*").alias("n_days"), *(F.sum(F.col("prices")[i].cast("long")).alias(f"sum_{i + 1}") for i in range(10))),
     f"""with {staging.BIDS},
-    p as (select * from day_price where duid % 20 = 1 and day >= date '2000-06-01'),
-    once as (select day, duid, concat_ws(',', {", ".join(f"floor(avg(price{i}))::int" for i in range(1, 11))}) as prices from p group by all),
-    e as (select max(day) as last from p),
-    line as (select duid, unnest(generate_series(min(day), any_value(last), interval 1 day))::date as day from once, e group by duid)
-    select line.day::varchar as day, line.duid, last_value(prices ignore nulls) over (partition by line.duid order by line.day rows between unbounded preceding and current row) as prices from line left join once using (duid, day)""",
-)
-
-# All units and days; bid_price_ffill and its SQL hold a twentieth of the units from June 2000 on. No SQL: a test has brute force.
-add(
-    "bid_price_ffill_all",
-    lambda spark, d: ingest.offer_prices((p := staging.bids(spark, d)[1]), p.select("day")).select("day", "duid", F.concat_ws(",", F.col("prices").cast("array<string>")).alias("prices")),
+    once as (select day, duid, {", ".join(f"floor(avg(price{i}))::int as p{i}" for i in range(1, 11))} from day_price group by all),
+    e as (select max(day) as last from day_price),
+    line as (select duid, unnest(generate_series(min(day), any_value(last), interval 1 day))::date as day from once, e group by duid),
+    f as (select line.day, line.duid, {", ".join(f"last_value(p{i} ignore nulls) over w as p{i}" for i in range(1, 11))} from line left join once using (duid, day) window w as (partition by line.duid order by line.day rows between unbounded preceding and current row))
+    select duid, year(day)::int as year, count(*) as n_days, {", ".join(f"sum(p{i})::bigint as sum_{i}" for i in range(1, 11))} from f group by all""",
 )
 
 
@@ -300,16 +296,18 @@ add(
     lambda spark, d: rolling.filled(rolling.filled(staging.bars(spark, d).withColumn("row", Series().row()), "price", "forward", HOUR, ["region"], rows=96), "price", "backward", HOUR, ["region"], rows=96, backward=True).select("ts", "region", "forward", "backward", "row"),
     f"with {staging.BARS} select {TS}, region, {number('last_value(price ignore nulls) over (partition by region order by ts rows between unbounded preceding and current row)')} as forward, {number('first_value(price ignore nulls) over (partition by region order by ts rows between current row and unbounded following)')} as backward, row_number() over (partition by region order by ts)::int as row from bars",
 )
+def _wide_rolls(spark: SparkSession, d: str) -> DataFrame:
+    by = ["region", "block"]
+    x = grid.blocks(staging.bars(spark, d), HOUR, 2880, 335)
+    for agg in ("mean", "sum"):
+        x = rolling.wide_mean(x, "price", 336, 168, f"{agg}_336", by, agg=agg)
+    x = rolling.wide_extreme(x, "price", 336, 168, "max_336", HOUR, by)
+    x = rolling.wide_extreme(x, "price", 100, 50, "min_100", HOUR, by, agg="min")
+    return x.where("own").drop("price", "own", "block")
+
+
 add(
-    "fill_by_day",
-    lambda spark, d: rolling.rolling_by_day(staging.bars(spark, d).where("region = 'sa'").select("ts", "price"), "price").select("ts", "price_filled"),
-    f"with {staging.BARS} select {TS}, {number('last_value(price ignore nulls) over (order by bars.ts rows between unbounded preceding and current row)')} as price_filled from bars where region = 'sa'",
-)
-add(
-    "wide_rolls",
-    lambda spark, d: rolling.wide_extreme(
-        rolling.wide_extreme(rolling.wide_mean(rolling.wide_mean(staging.bars(spark, d), "price", 336, 168, "mean_336"), "price", 336, 168, "sum_336", agg="sum"), "price", 336, 168, "max_336", HOUR), "price", 100, 50, "min_100", HOUR, agg="min"
-    ).drop("price"),
+    "wide_rolls", _wide_rolls,
     f"with {staging.BARS} {sql.select({'mean_336': sql.roll('mean', 'price', 336, 168), 'sum_336': sql.roll('sum', 'price', 336, 168), 'max_336': sql.roll('max', 'price', 336, 168), 'min_100': sql.roll('min', 'price', 100, 50)}, 'bars')}",
 )
 
@@ -487,11 +485,6 @@ add(
     lambda spark, d: quality.completeness(staging.bars(spark, d).where("price is not null"), HOUR, ["region"]),
     f"with {staging.BARS} select region, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as \"end\", count(distinct ts) as actual, ((epoch(max(ts)) - epoch(min(ts))) / 3600 + 1)::bigint as expected, ((epoch(max(ts)) - epoch(min(ts))) / 3600 + 1)::bigint - count(distinct ts) as missing from bars where price is not null group by region",
 )
-add(
-    "missing_times",
-    lambda spark, d: quality.missing_times(staging.bars(spark, d).where("price is not null and region = 'sa'").select("ts"), HOUR),
-    f"with {staging.BARS}, g as (select ts from bars where price is not null and region = 'sa'), a as (select unnest(generate_series(min(ts), max(ts), interval 1 hour)) as ts from g) select {TS} from a where a.ts not in (select ts from g)",
-)
 
 
 def _by_region(rows: DataFrame, query) -> DataFrame:
@@ -499,14 +492,13 @@ def _by_region(rows: DataFrame, query) -> DataFrame:
     return reduce(DataFrame.unionByName, (query(rows.where(F.col("region") == r)).withColumn("region", F.lit(r)) for r in staging.REGIONS))
 
 
-# All regions; the queries of the same name without _all, and their SQL, hold one.
 add(
-    "missing_times_all",
+    "missing_times",
     lambda spark, d: _by_region(staging.bars(spark, d).where("price is not null"), lambda x: quality.missing_times(x.select("ts"), HOUR)),
     f"with {staging.BARS}, g as (select region, ts from bars where price is not null), a as (select region, unnest(generate_series(min(ts), max(ts), interval 1 hour)) as ts from g group by region) select {TS}, region from a where (region, ts) not in (select (region, ts) from g)",
 )
 add(
-    "fill_by_day_all",
+    "fill_by_day",
     lambda spark, d: _by_region(staging.bars(spark, d), lambda x: rolling.rolling_by_day(x.select("ts", "price"), "price").select("ts", "price_filled")),
     f"with {staging.BARS} select {TS}, region, {number('last_value(price ignore nulls) over (partition by region order by bars.ts rows between unbounded preceding and current row)')} as price_filled from bars",
 )
@@ -516,9 +508,11 @@ CANDIDATES = f"{staging.SYSTEM}, cand as (select ts, region, price, demand, avai
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """Features and targets of the selection queries; means are rounded, so that equal ones tie in ranks."""
-    s = Series()
+    s = Series(("region", "block"))
+    x = grid.blocks(staging.system(spark, d), HOUR, 2880, 47, 6)
     mean = lambda w: F.round(s.roll("mean", "price", w, w // 2) + F.lit(1e-9), 6).alias(f"mean_{w}")
-    return staging.system(spark, d).select("ts", "region", "price", "demand", "avail_gen", *(s.lag("price", k).alias(f"lag_{k}") for k in (1, 2, 24)), mean(24), mean(48), s.lead("price", 1).alias("y1"), s.lead("price", 6).alias("y6"))
+    out = x.select("ts", "region", "own", "price", "demand", "avail_gen", *(s.lag("price", k).alias(f"lag_{k}") for k in (1, 2, 24)), mean(24), mean(48), s.lead("price", 1).alias("y1"), s.lead("price", 6).alias("y6"))
+    return out.where("own").drop("own")
 
 
 _fpairs = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]]
@@ -571,8 +565,9 @@ PREDICTED = f"{staging.BARS}, pr as (select ts, region, price as y, {sql.lag('pr
 
 def predicted(spark: SparkSession, d: str) -> DataFrame:
     """Lags and rolling extremes stand in for models' predictions."""
-    s = Series()
-    x = staging.bars(spark, d).select("ts", "region", F.col("price").alias("y"), s.lag("price", 1).alias("l1"), s.lag("price", 2).alias("l2"), s.roll("max", "price", 24, 12, 1).alias("p90"), s.roll("min", "price", 24, 12, 1).alias("p10"), s.lag("price", 24).alias("naive"))
+    s = Series(("region", "block"))
+    x = grid.blocks(staging.bars(spark, d), HOUR, 2880, 25)
+    x = x.select("ts", "region", "own", F.col("price").alias("y"), s.lag("price", 1).alias("l1"), s.lag("price", 2).alias("l2"), s.roll("max", "price", 24, 12, 1).alias("p90"), s.roll("min", "price", 24, 12, 1).alias("p10"), s.lag("price", 24).alias("naive")).where("own").drop("own")
     return x.withColumn("p", F.when(F.col("l1").isNotNull() & F.col("p90").isNotNull(), F.greatest(F.least(F.col("l1") / F.nullif("p90", F.lit(0.0)), F.lit(1.0)), F.lit(0.0)))).withColumn("base", F.col("l1"))
 
 
@@ -651,14 +646,9 @@ add(
     "metrics_by_h", _by_horizon,
     f"with {TARGETS}, ok as (select ts, region from targets group by all having count(y) = {N_H}), now as (select ts, region, {sql.lag('price', 1)} as yhat, {sql.lag('price', 24)} as naive from bars), m as (select h, y, naive, yhat - y as e from targets join ok using (ts, region) join now using (ts, region) where y is not null and yhat is not null) select h, count(*) as n, {_metric}, {number('h * 30 / 60')} as lead_hours from m group by h",
 )
-add(
-    "valid_rows",
-    lambda spark, d: grid.wide(blend.complete(blend.targets(staging.bars(spark, d), 3), 3, ["ts", "region"]).withColumn("h", F.concat(F.lit("h"), F.col("h").cast("string"))).where("region = 'sa'"), "h", ["h1", "h2", "h3"], ["y"]),
-    f"with {TARGETS} select {TS}, " + ", ".join(f"{number(f'max(y) filter (where h = {k})')} as y_h{k}" for k in (1, 2, 3)) + " from targets where h <= 3 and region = 'sa' group by targets.ts having count(y) = 3",
-)
 _all_h = range(1, N_H + 1)
 add(
-    "valid_rows_all",
+    "valid_rows",
     lambda spark, d: _by_region(
         blend.complete(blend.targets(staging.bars(spark, d), N_H), N_H, ["ts", "region"]).withColumn("h", F.concat(F.lit("h"), F.col("h").cast("string"))),
         lambda x: grid.wide(x, "h", [f"h{k}" for k in _all_h], ["y"]),
@@ -668,32 +658,56 @@ add(
 
 # ---- model fits (rows only) -----------------------------------------------------------------------------------------
 
+FIT = ["price", "lag_1", "lag_24", "mean_24"]
+#: Horizons that are fitted, as rows ahead, and the rounds, depth and rate of all fits (their number is a parameter of the operators).
+FITTED = (1, 6)
+BOOST = {"rounds": 8, "depth": 3, "rate": 0.3}
+
 
-def _training(spark: SparkSession, d: str) -> DataFrame:
-    x = models.chronological(candidates(spark, d)).where("y1 is not null")
-    y = F.col("y1")
+def _training(spark: SparkSession, d: str, h: int = 1) -> DataFrame:
+    """Features, targets, labels and weights of a horizon; is_train for the first 70 % of the times, is_valid for the last part of these."""
+    x = models.chronological(candidates(spark, d)).where(f"y{h} is not null")
+    y = F.col(f"y{h}")
     lab, w = blend.labels(y, 150.0), blend.weights(F.lit(1.0), y)
-    return x.withColumns({"y_asinh": asinh100(y), "y_capped": asinh100(F.least(y, F.lit(400.0))), "is_valid": ~F.col("is_train"), **lab, **w})
+    return x.withColumns({"y": y, "y_asinh": asinh100(y), "y_capped": asinh100(F.least(y, F.lit(400.0))), "is_valid": ~F.col("is_train"), **lab, **w})
 
 
-FIT = ["price", "lag_1", "lag_24", "mean_24"]
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    """Feature sets of the fitted horizons: the best three of FIT by mutual information."""
+    mi = select.mutual_information(candidates(spark, d), FIT, [f"y{h}" for h in FITTED])
+    scores = mi.select("feature", F.substring("target", 2, 9).cast("int").alias("h"), "mi")
+    return select.selected(scores, spark.createDataFrame([(h, 3) for h in FITTED], "h int, n int"))
 
 
 def _fit_models(spark: SparkSession, d: str) -> DataFrame:
-    x = _training(spark, d)
-    specs = [s for s in models.SPECS if s.name in ("l1", "l2", "spike_classifier")]
-    fitted = models.fit_all({1: x.where("is_train")}, specs, {1: FIT}, rounds=5, depth=3)
-    out = x.where("not is_train")
-    for s in specs:
-        out = models.predict(out, s, fitted[1, s.name], FIT)
-    return out.select("ts", "region", "y1", *(s.name for s in specs))
+    """All eight models for each horizon on its own feature set, with early stopping on the later rows; written, listed, read back and applied to the later rows."""
+    chosen, parts, features = _places(spark, d), {}, {}
+    for h in FITTED:
+        parts[h] = _training(spark, d, h).persist()
+        features[h] = models.subset(parts[h], chosen, h)[1]
+    path = models.folder(spark)
+    fitted = models.fit_all(parts, models.SPECS, features, path, validation="is_valid", **BOOST)
+    listed = {(r["h"], r["model"]): r["path"] for r in models.registry(spark, list(fitted), path).collect()}
+    out = None
+    for h in FITTED:
+        scored = parts[h].where("not is_train")
+        for s in models.SPECS:
+            scored = models.predict(scored, s, models.load(listed[h, s.name]), features[h])
+        one = scored.select("ts", "region", F.lit(h).alias("h"), F.lit(",".join(features[h])).alias("features"), "y", *(s.name for s in models.SPECS))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _quantile(spark: SparkSession, d: str) -> DataFrame:
+    """p90 and p10: an absolute-loss model each, and the quantile of its residuals in the prediction's bucket."""
     x = _training(spark, d)
-    spec = models.SPECS[4]
-    scored = models.predict(x, spec, models.fit(x.where("is_train"), spec, FIT, rounds=5, depth=3), FIT).withColumnRenamed("p90", "mid")
-    return models.residual_quantile(scored.where("is_train"), scored.where("not is_train"), "mid", "y_asinh", 0.9, "p90").select("ts", "region", "y_asinh", "mid", "p90")
+    out = x.where("not is_train").select("ts", "region", "y_asinh", *FIT)
+    for spec in (models.SPECS[4], models.SPECS[7]):
+        model = models.fit(x.where("is_train"), spec, FIT, **BOOST)
+        train = models.predict(x.where("is_train"), spec, model, FIT).withColumnRenamed(spec.name, "mid")
+        scored = models.predict(out, spec, model, FIT).withColumnRenamed(spec.name, f"mid_{spec.name}")
+        out = models.residual_quantile(train.withColumnRenamed("mid", f"mid_{spec.name}"), scored, f"mid_{spec.name}", "y_asinh", spec.quantile, spec.name)
+    return out.select("ts", "region", "y_asinh", "mid_p90", "p90", "mid_p10", "p10")
 
 
 def _isotonic(spark: SparkSession, d: str) -> DataFrame:
@@ -701,18 +715,34 @@ def _isotonic(spark: SparkSession, d: str) -> DataFrame:
     return models.calibrate(x.where("is_train"), x.where("not is_train"), "price", "y1", "calibrated").select("ts", "region", "price", "calibrated")
 
 
+add("fit_models", _fit_models)
+add("quantile_substitute", _quantile)
+_TRAIN = f"{CANDIDATES}, cut as (select quantile_cont(epoch(ts), 0.7) as t from cand), tr as (select *, epoch(ts) <= t as is_train from cand, cut where y1 is not null)"
+add(
+    "isotonic", _isotonic,
+    f"""with {_TRAIN}, u as (select price as x, sum(y1) as s, count(*) as n, row_number() over (order by price) as i from tr where is_train and price is not null group by price),
+    big as (select sum(n) >= 500 as fits from u),
+    c as (select *, sum(s) over w as ss, sum(n) over w as nn from u window w as (order by i rows between unbounded preceding and current row)),
+    pair as (select a.i as a, b.i as b, (b.ss - a.ss + a.s) / (b.nn - a.nn + a.n) as m from c a join c b on b.i >= a.i, big where fits),
+    low as (select a, b as i, min(m) over (partition by a order by b rows between current row and unbounded following) as m from pair),
+    fit as (select c.x, f.v from (select i, max(m) as v from low group by i) f join c using (i)),
+    test as (select ts, region, price as x from tr where not is_train and price is not null),
+    lo as (select test.*, fit.x as xa, fit.v as va from test asof left join fit on test.x >= fit.x),
+    ends as (select lo.*, fit.x as xb, fit.v as vb from lo asof left join fit on lo.x < fit.x)
+    select {TS}, region, {number("x")} as price, {number("case when va is null and vb is null then x when va is null then vb when vb is null then va else va + (vb - va) * (x - xa) / (xb - xa) end")} as calibrated from ends""",
+)
+
+
 def _counts(spark: SparkSession, d: str) -> DataFrame:
-    x = select.folds(_training(spark, d), 2)
-    return select.best_count(models.feature_counts(x, 1, FIT, [1, 3], "y1", n_folds=2, rounds=2))
+    """The best number of features of each horizon over three expanding folds."""
+    found = [models.feature_counts(select.folds(_training(spark, d, h), 3).persist(), h, FIT, [1, 2, 4], f"y{h}", n_folds=3, rounds=4) for h in FITTED]
+    return select.best_count(reduce(DataFrame.unionByName, found))
 
 
 def _importance(spark: SparkSession, d: str) -> DataFrame:
-    x = _training(spark, d)
-    return models.importance(models.fit(x, models.SPECS[1], FIT, rounds=3, depth=3), FIT, 1, spark)
+    """Gains of the squared-loss model of each horizon."""
+    return reduce(DataFrame.unionByName, (models.importance(models.fit(_training(spark, d, h), models.SPECS[1], FIT, **BOOST), FIT, h, spark) for h in FITTED))
 
 
-add("fit_models", _fit_models)
-add("quantile_substitute", _quantile)
-add("isotonic", _isotonic)
 add("cv_feature_count", _counts)
 add("importance", _importance)

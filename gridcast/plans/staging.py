@@ -46,8 +46,13 @@ def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hourly(spark, sf_dir).select("ts", "region", "price")
+
+
+def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price and number of events of each hour and region on the dense grid: one grouped pass over events (a region is null for 'signup'), and one for their span."""
     e = events(spark, sf_dir).where("region is not null")
-    found = e.groupBy(grid.bucket("ts", grid.HOUR).alias("ts"), "region").agg((money("value") / F.count("value") - 30.0).alias("price"))
+    found = e.groupBy(grid.bucket("ts", grid.HOUR).alias("ts"), "region").agg((money("value") / F.count("value") - 30.0).alias("price"), (F.count("*") * 10.0).alias("demand"))
     return hours(spark, sf_dir).crossJoin(F.broadcast(regions(spark))).join(found, ["ts", "region"], "left")
 
 
@@ -62,20 +67,20 @@ def fine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def system(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
-    count = e.where("region is not null").groupBy(grid.bucket("ts", grid.HOUR).alias("ts"), "region").agg((F.count("*") * 10.0).alias("demand"))
-    extra = e.where("event_type = 'signup'").groupBy(grid.bucket("ts", grid.HOUR).alias("ts")).agg(F.count("*").alias("extra"))
-    b = bars(spark, sf_dir)
-    following = b.select("ts", F.element_at(F.create_map(*[x for i, r in enumerate(REGIONS) for x in (F.lit(r), F.lit(REGIONS[i - 1]))]), F.col("region")).alias("region"), F.col("price").alias("other"))
-    out = b.join(count, ["ts", "region"], "left").join(extra, "ts", "left").join(following, ["ts", "region"], "left")
-    s = Series()
-    return out.select(
-        "ts", "region", "price", "demand",
+    extra = events(spark, sf_dir).where("event_type = 'signup'").groupBy(grid.bucket("ts", grid.HOUR).alias("ts")).agg(F.count("*").alias("extra"))
+    # the four regions of an hour meet in one row, so the next region's price needs no join of the series with itself
+    row = _hourly(spark, sf_dir).groupBy("ts").agg(F.map_from_entries(F.collect_list(F.struct("region", F.struct("price", "demand")))).alias("all"))
+    following = F.create_map(*[x for i, r in enumerate(REGIONS) for x in (F.lit(REGIONS[i - 1]), F.lit(r))])
+    out = row.join(extra, "ts", "left").select("ts", "extra", "all", F.explode("all").alias("region", "own"))
+    out = out.select("ts", "region", "own.price", "own.demand", "extra", F.element_at("all", following[F.col("region")])["price"].alias("other"))
+    s = Series(("region", "block"))
+    return grid.blocks(out, grid.HOUR, 2880, 1).select(
+        "own", "ts", "region", "price", "demand",
         (F.col("demand") * 1.2 + F.coalesce("extra", F.lit(0))).alias("avail_gen"),
         s.lag("demand", 1).alias("demand_forecast"),
         (F.col("other") - F.col("price")).alias("interchange"),
         (F.col("demand") * 0.9).alias("dispatch_gen"),
-    )
+    ).where("own").drop("own")
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,7 +88,7 @@ def test_registered_offer_prices_cover_all_units_and_days(spark, monkeypatch):
     rows = [(at(k), u, *([None if v is None else float(v * i) for i in range(1, 11)])) for u, days in given.items() for k, v in days.items()]
     price = spark.createDataFrame(rows, "day date, duid long, " + ", ".join(f"price{i} double" for i in range(1, 11)))
     monkeypatch.setattr(registry.staging, "bids", lambda spark, d: (None, price))
-    got = {(r["duid"], str(r["day"])): r["prices"] for r in registry.QUERIES["bid_price_ffill_all"](spark, "").collect()}
+    got = {(r["duid"], str(r["day"])): r["prices"] for r in registry.QUERIES["bid_price_ffill"](spark, "").collect()}
     want = {}
     for u, days in given.items():
         for k in range(min(days), 6):
