@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridcast.llm import decontaminate, neardup, scratch, substring
+from gridcast.llm import components, decontaminate, neardup, scratch, substring
 from gridcast.llm import text as tx
 
 SPACE, ALNUM = re.compile(rb"[^\x20\x09-\x0D]+"), re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -140,6 +140,31 @@ def test_the_filter_lets_all_members_through(spark):
     assert set(range(5000)) <= got and len(got) < 5200
 
 
+@pytest.mark.parametrize("contracts", [True, False])
+def test_components_equal_a_walk(spark, monkeypatch, contracts):
+    """With and without the contraction inside tasks, which does it all on a small table."""
+    if not contracts:
+        monkeypatch.setattr(components, "_contract", lambda batches: batches)
+    rng = random.Random(8)
+    links = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(50), rng.randrange(50)) for _ in range(35)] + [(500, k) for k in range(300, 340)] + [(7, 7)]
+    near: dict = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def reach(i):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        return min(seen)
+
+    got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long").repartition(6)).collect()}
+    assert got == {i: reach(i) for i in near if near[i] != {i}}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_no_documents(spark):
     empty = make(spark, [(1, "x")]).where("false")
     assert neardup.groups(empty).count() == 0
