@@ -2,8 +2,9 @@
 
 Counts. Every word of all training documents is counted (by a 64-bit hash; a hash aggregation with one row for each
 word, task and batch), so what the model gathers grows with the corpus. The most frequent `OUTPUTS` tokens are outputs of the
-network, in classes of about equal size; all other words share one output, `rare`, and within it a word has its share
-(c + 0.1) of the counts, an unseen one the share 0.1. So the model is a distribution over the same events as the unigram base.
+network, in classes of about equal size; all other words fall into `KINDS` kinds by their last two letters, which tell languages and
+word forms apart. A kind is an output too, and within it a word has its share (c + 0.1) of the counts, an unseen one the share
+0.1. So the model is a distribution over the words counted and one unseen word of each kind.
 
 Network. A GRU over token embeddings, trained in numpy by truncated backpropagation through time; output biases start at the
 unigram model. It starts on the driver from a bounded sample (about `SAMPLE_ROWS` training documents in the order of a hash of
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from gridcast.llm import scratch
 from gridcast.llm import text as tx
 
-OUTPUTS, CLASS_SIZE = 1023, 32
+OUTPUTS, KINDS, CLASS_SIZE = 896, 128, 32
 EMBEDDED, HIDDEN = 16, 24
 FREQUENT = 200_000
 SAMPLE_ROWS, SAMPLE_TOKENS = 1200, 500_000
@@ -47,16 +48,31 @@ def fold(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, each text's words and then its end, and where each text begins."""
-    parts, counts = [], []
+def endings(w: tx.Words) -> np.ndarray:
+    """The kind of each word: a hash of its last two letters, one mark at the end left out; digits count as one letter."""
+    data = np.concatenate((np.zeros(2, np.uint8), w.data)).astype(np.uint32)
+    data[(data >= 0x30) & (data <= 0x39)] = 0x30
+    letter = (data >= 0x61) | (data == 0x30)
+    end = w.end + 1  # places in data, two bytes further; the last letter
+    end = end - (~letter[end] & (w.end - w.begin > 1))
+    last, before = data[end], np.where(end > w.begin + 2, data[end - 1], 0)
+    return ((last * np.uint32(0x9E3779B1) + before * np.uint32(0x85EBCA77)) >> np.uint32(25)).astype(np.int64)
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and kinds of all tokens, each text's words and then its end, and where each text begins."""
+    parts, kinds, counts = [], [], []
     for _, _, w in tx.words(texts):
         n = w.counts
-        out = np.full(len(w.begin) + len(n), END, tx.U)
-        out[np.arange(len(w.begin)) + w.doc()] = w.hashes()
+        out, kind = np.full(len(w.begin) + len(n), END, tx.U), np.zeros(len(w.begin) + len(n), np.int64)
+        at = np.arange(len(w.begin)) + w.doc()
+        out[at], kind[at] = w.hashes(), endings(w)
         parts.append(out)
+        kinds.append(kind)
         counts.append(n + 1)
-    return (np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(counts))))) if parts else (np.zeros(0, tx.U), np.zeros(1, np.int64))
+    if not parts:
+        return np.zeros(0, tx.U), np.zeros(0, np.int64), np.zeros(1, np.int64)
+    return np.concatenate(parts), np.concatenate(kinds), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
 
 
 def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
@@ -68,8 +84,9 @@ def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordB
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches, 0):
-        word, n = np.unique(tokens(batch.column(0))[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "c"])
+        ids, kinds, _ = tokens(batch.column(0))
+        word, first, n = np.unique(ids, return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(kinds[first].astype(np.int16)), pa.array(n)], names=["word", "kind", "c"])
 
 
 @dataclass
@@ -78,12 +95,12 @@ class Network:
 
     known: np.ndarray  # sorted hashes of the frequent words
     counts: np.ndarray
-    output: np.ndarray  # for each frequent word its output, or that of rare
+    output: np.ndarray  # for each frequent word its output, or that of its kind
     classes: int
     p: dict[str, np.ndarray]
     total: int
     distinct: int
-    rare: float  # the sum of (c + 0.1) over all words that aren't outputs, and 0.1
+    rare: np.ndarray  # for each kind the sum of (c + 0.1) over its words that aren't outputs, and 0.1; one kind without training documents
     learnt: int = 0  # tokens that the network learnt from in tasks
 
     def base(self, c: np.ndarray) -> np.ndarray:
@@ -224,7 +241,7 @@ def rounds(docs: DataFrame, p: dict[str, np.ndarray], known: np.ndarray, unit: n
             p, known, unit = shipped.value
             own, n = Learner(p, n_outputs, end), 0
             for batch in _slices(batches, 0):
-                flat = _units(tokens(batch.column(0))[0], known, unit, n_outputs - 1)
+                flat = _units(*tokens(batch.column(0))[:2], known, unit, n_outputs)
                 if len(flat):
                     own.run(*_streams(flat, STREAMS), lambda k: rate)
                 n += len(flat)
@@ -251,9 +268,10 @@ def _groups(sorted_keys: np.ndarray, order: np.ndarray) -> tuple[list[int], list
 
 def fit(docs: DataFrame, frequent: int = FREQUENT) -> tuple[Network, DataFrame]:
     """docs: doc_id, text of the training documents. Returns the network and the table of all counts (word, c)."""
-    counts = scratch.keep(docs.select(F.col("text").cast("string")).mapInArrow(_count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
-    r = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    total, distinct = r["n"], r["v"]
+    counts = docs.select(F.col("text").cast("string")).mapInArrow(_count, "word long, kind short, c long").groupBy("word").agg(F.max("kind").alias("kind"), F.sum("c").alias("c"))
+    counts = scratch.keep(counts, "counts")
+    whole = {r["kind"]: (r["n"], r["v"]) for r in counts.groupBy("kind").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    total, distinct = (sum(x[i] for x in whole.values()) for i in (0, 1))
     least, above = None, 0
     for r in counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).toLocalIterator():
         if above + r["n"] > frequent:
@@ -261,28 +279,31 @@ def fit(docs: DataFrame, frequent: int = FREQUENT) -> tuple[Network, DataFrame]:
         above, least = above + r["n"], r["c"]
     top = counts.where(F.col("c") >= least).toPandas() if least is not None else None
     word = top["word"].to_numpy().view(tx.U) if top is not None else np.zeros(0, tx.U)
-    c = top["c"].to_numpy() if top is not None else np.zeros(0, np.int64)
+    c, kind = (top[x].to_numpy().astype(np.int64) if top is not None else np.zeros(0, np.int64) for x in ("c", "kind"))
     order = np.lexsort((word, -c))
     outputs = order[:OUTPUTS]
     if len(word) and END not in word[outputs]:
         outputs = np.append(outputs[: OUTPUTS - 1], np.flatnonzero(word == END))
-    rare = total + 0.1 * (distinct + 1) - float((c[outputs] + 0.1).sum())
-    unit = np.full(len(word), len(outputs))
+    rare = np.full(KINDS if total else 1, 0.1)
+    for k, (n, v) in whole.items():
+        rare[k] += n + 0.1 * v
+    rare = np.maximum(rare - np.bincount(kind[outputs], c[outputs] + 0.1, len(rare)), 0.1)
+    unit = len(outputs) + kind
     unit[outputs] = np.arange(len(outputs))
     by = np.argsort(word)
+    frequency = np.concatenate((c[outputs] + 0.1, rare))
     known, c, unit = word[by], c[by], unit[by]
-    frequency = np.append((c[np.argsort(unit, kind="stable")][: len(outputs)] + 0.1), rare).astype(float)
+    n_outputs = len(frequency)
 
     share = min(1 << 20, int(SAMPLE_ROWS / max(1, docs.select("doc_id").count()) * (1 << 20)) + 1)
     texts, size = [], 0
     chosen = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share) & (F.coalesce(F.length("text"), F.lit(0)) <= 2 * SAMPLE_TOKENS))
     for x in chosen.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text").select("text").toLocalIterator():
-        ids = tokens(pa.array([x["text"]], pa.string()))[0]
+        ids, kinds, _ = tokens(pa.array([x["text"]], pa.string()))
         if size + len(ids) > SAMPLE_TOKENS:
             continue
         size += len(ids)
-        texts.append(_units(ids, known, unit, len(outputs)))
-    n_outputs = len(outputs) + 1
+        texts.append(_units(ids, kinds, known, unit, n_outputs))
     flat = np.concatenate(texts) if texts else np.zeros(0, np.int64)
     n_streams = max(1, min(48, len(flat) // 64))
     flat = flat[: len(flat) // n_streams * n_streams].reshape(n_streams, -1)
@@ -292,12 +313,13 @@ def fit(docs: DataFrame, frequent: int = FREQUENT) -> tuple[Network, DataFrame]:
     return Network(known, c, unit, classes, p, total, distinct, rare, learnt), counts
 
 
-def _units(ids: np.ndarray, known: np.ndarray, unit: np.ndarray, rare: int) -> np.ndarray:
+def _units(ids: np.ndarray, kinds: np.ndarray, known: np.ndarray, unit: np.ndarray, n_outputs: int) -> np.ndarray:
+    """Outputs of tokens: kinds are the last ones (one, if nothing is known)."""
     if not len(known):
-        return np.full(len(ids), rare)
+        return np.full(len(ids), n_outputs - 1) if n_outputs == 1 else n_outputs - KINDS + kinds
     at = np.searchsorted(known, ids)
     at[at == len(known)] = 0
-    return np.where(known[at] == ids, unit[at], rare)
+    return np.where(known[at] == ids, unit[at], n_outputs - KINDS + kinds)
 
 
 def likelihood(net: Network, out: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -341,30 +363,32 @@ def _outputs(net: Network, hs: np.ndarray, target: np.ndarray) -> np.ndarray:
     return got.astype(np.float64)
 
 
-FIRST = "kind int, row long, doc_id long, word long, tf long, n_known long, base double, score double"
+FIRST = "kind int, row long, doc_id long, word long, ending int, tf long, n_known long, base double, score double"
 
 
 def _score(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.RecordBatch]:
     """For each document what the frequent words give (kind 0; tf: tokens), and its other words to be joined (kind 1)."""
     n_outputs = len(net.p["e"]) - 1
     log_base = np.append(net.base(net.counts), 0.0)
-    # a frequent word that isn't an output has its share of rare
-    in_rare = np.append(np.where(net.output == n_outputs - 1, np.log10((net.counts + 0.1) / net.rare), 0.0), 0.0)
-    unit = np.append(net.output, n_outputs - 1)
+    # a frequent word that isn't an output has its share of its kind
+    of = net.output - (n_outputs - len(net.rare))
+    in_kind = np.append(np.where(of >= 0, np.log10((net.counts + 0.1) / net.rare[np.maximum(of, 0)]), 0.0), 0.0)
     for batch in _slices(batches, 2):
-        ids, first = tokens(batch.column(2))
+        ids, kinds, first = tokens(batch.column(2))
+        kinds = kinds if len(net.rare) > 1 else np.zeros_like(kinds)
         n = len(first) - 1
         doc = np.repeat(np.arange(n), np.diff(first))
         at = np.searchsorted(net.known, ids)
         at[at == len(net.known)] = 0
         hit = net.known[at] == ids if len(net.known) else np.zeros(len(ids), bool)
         slot = np.where(hit, at, len(net.known))
+        out = np.where(hit, net.output[at], n_outputs - len(net.rare) + kinds) if len(net.known) else n_outputs - len(net.rare) + kinds
         base = np.bincount(doc, log_base[slot], n)
-        score = np.bincount(doc, in_rare[slot], n) + likelihood(net, unit[slot], first)
+        score = np.bincount(doc, in_kind[slot], n) + likelihood(net, out, first)
         known = np.bincount(doc, hit, n).astype(np.int64)
         rest = np.flatnonzero(~hit)
         order = np.lexsort((ids[rest], doc[rest]))
-        rdoc, rword = doc[rest][order], ids[rest][order]
+        rdoc, rword, rkind = doc[rest][order], ids[rest][order], kinds[rest][order]
         new = np.ones(len(rest), bool)
         new[1:] = (rdoc[1:] != rdoc[:-1]) | (rword[1:] != rword[:-1])
         head = np.flatnonzero(new)
@@ -378,12 +402,13 @@ def _score(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.Recor
                 pa.array(np.concatenate((rows, rows[rdoc[head]]))),
                 pa.concat_arrays([docs, null(pa.int64(), m)]),
                 pa.concat_arrays([null(pa.int64(), n), pa.array(rword[head].view(np.int64))]),
+                pa.concat_arrays([null(pa.int32(), n), pa.array(rkind[head].astype(np.int32))]),
                 pa.array(np.concatenate((np.diff(first), tf)).astype(np.int64)),
                 pa.concat_arrays([pa.array(known), null(pa.int64(), m)]),
                 pa.concat_arrays([pa.array(base), null(pa.float64(), m)]),
                 pa.concat_arrays([pa.array(score), null(pa.float64(), m)]),
             ],
-            names=["kind", "row", "doc_id", "word", "tf", "n_known", "base", "score"],
+            names=["kind", "row", "doc_id", "word", "ending", "tf", "n_known", "base", "score"],
         )
 
 
@@ -396,9 +421,10 @@ def score(docs: DataFrame, net: Network, counts: DataFrame) -> DataFrame:
     numbered.mapInArrow(lambda batches: _score(batches, shipped.value), FIRST).write.partitionBy("kind").parquet(path)
     rows = spark.read.schema(FIRST).parquet(path)
     whole = net.total + 0.1 * (net.distinct + 1)
-    rest = rows.where("kind = 1").select("row", "word", "tf").join(counts, "word", "left")
-    log = lambda of: F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.1)) / F.lit(float(of))) * F.col("tf")
-    rest = rest.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("k"), F.sum(log(whole)).alias("b"), F.sum(log(net.rare)).alias("s"))
+    rest = rows.where("kind = 1").select("row", "word", "ending", "tf").join(counts.select("word", "c"), "word", "left")
+    rare = F.array(*(F.lit(float(x)) for x in net.rare))[F.col("ending")]
+    log = lambda of: F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.1)) / of) * F.col("tf")
+    rest = rest.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("k"), F.sum(log(F.lit(float(whole)))).alias("b"), F.sum(log(rare)).alias("s"))
     full = rows.where("kind = 0").join(rest, "row", "left")
     add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     return full.select("doc_id", F.col("tf").alias("n_tokens"), add("n_known", "k").alias("n_known"), add("base", "b").alias("base_score"), add("score", "s").alias("score"))

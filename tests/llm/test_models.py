@@ -380,6 +380,30 @@ def test_lm_learns_from_all_training_documents(spark, monkeypatch):
     assert got["score"] > 0.85 * got["base_score"]
 
 
+def test_kinds_of_words_are_told_by_their_endings():
+    words = ["running", "singing", "singing,", "x", "x.", ".", "12", "37", "37.", "año", "niño", "", "running gag"]
+    got = [lm.tokens(pa.array([w]))[1].tolist() for w in words]
+    kind = lambda w: got[words.index(w)][0]
+    assert kind("running") == kind("singing") == kind("singing,") != kind("x") == kind("x.") and kind("12") == kind("37") == kind("37.")
+    assert kind("año") == kind("niño") and got[words.index("running gag")][0] == kind("running") and all(0 <= k < lm.KINDS for g in got for k in g)
+
+
+def test_lm_words_of_a_kind_share_its_probability(spark):
+    """Over all words counted and one unseen word of each kind the probabilities of a first token are one."""
+    rows = lm_corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    net, counts = lm.fit(docs, 20)
+    n = len(net.p["e"]) - 1
+    first = 10 ** lm.likelihood(net, np.arange(n), np.arange(n + 1))
+    inside = {r["word"]: r for r in counts.collect()}
+    out = {w: u for w, u in zip(net.known.view(np.int64).tolist(), net.output.tolist(), strict=True)}
+    total = sum(0.1 / net.rare * first[n - lm.KINDS :])
+    for w, r in inside.items():
+        u = out.get(w, n - lm.KINDS + r["kind"])
+        total += first[u] * ((r["c"] + 0.1) / net.rare[r["kind"]] if u >= n - lm.KINDS else 1.0)
+    assert total == pytest.approx(1.0, abs=1e-4)
+
+
 def test_lm_without_training_documents(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     net, counts = lm.fit(docs.where("false"))
