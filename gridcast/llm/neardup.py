@@ -320,28 +320,28 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     if more.limit(1).count():
         label = scratch.keep(components(links.unionByName(more)), "label")
 
-    # a component's smallest document
-    names = classes.select("class", "doc", "copies").join(label.select(F.col("id").alias("class"), "component"), "class", "left")
-    least = names.where("component is not null").groupBy("component").agg(F.min("doc").alias("least"))
-    found = names.join(least, "component", "left").select("class", "copies", F.col("doc").alias("class_id"), F.coalesce("least", "doc").alias("component_id"))
-    return _given(every, found).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "class_id", "mark")
+    # a component's smallest document; a class without links is its own component
+    names = classes.select("class", "doc", "copies").join(label.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    names = scratch.keep(names, "names")
+    least = names.groupBy("component").agg(F.min("doc").alias("component_id"), F.count("*").alias("copies"))
+    found = _met(names, least, "component", "class", ["component_id"]).select("class", "copies", F.col("doc").alias("class_id"), "component_id")
+    full = _met(every.where("n_shingles > 0").drop("bands"), found, "class", "doc_id", ["class_id", "component_id"]).drop("class")
+    empty = every.where("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    return full.unionByName(empty).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "class_id", "mark")
 
 
 def _mark():
     return F.xxhash64("text").alias("mark")
 
 
-def _given(every: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents with their class's class_id and component_id. Classes with many copies are broadcast (fewer than `SHARES`), and their rows are dealt by doc_id."""
+def _met(rows: DataFrame, found: DataFrame, key: str, deal: str, values: list[str]) -> DataFrame:
+    """The rows with the values of their key. found: one row for each key, with `copies`, its number of rows. Keys of many rows are broadcast (fewer than `SHARES`), and their rows are dealt by `deal`."""
     found = scratch.keep(found, "found")
     most = found.agg(F.sum("copies")).first()[0] or 0
-    hot = found.where(F.col("copies") > F.lit(most / SHARES)).select("class", F.col("class_id").alias("hot_class"), F.col("component_id").alias("hot_component"))
-    rows = every.where("n_shingles > 0").drop("bands").join(F.broadcast(hot), "class", "left")
-    rows = rows.withColumn("key", F.when(F.col("hot_class").isNull(), F.col("class")).otherwise(F.xxhash64("doc_id", "class")))
-    rest = found.select(F.col("class").alias("key"), "class_id", "component_id")
-    full = rows.join(rest, "key", "left").select("doc_id", "mark", "n_shingles", F.coalesce("hot_class", "class_id").alias("class_id"), F.coalesce("hot_component", "component_id").alias("component_id"))
-    empty = every.where("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty)
+    hot = found.where(F.col("copies") > F.lit(most / SHARES)).select(key, F.struct(*values).alias("__hot"))
+    x = rows.join(F.broadcast(hot), key, "left").withColumn("__key", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(F.xxhash64(deal, F.lit(5))))
+    met = x.join(found.select(F.col(key).alias("__key"), F.struct(*values).alias("__rest")), "__key", "left").withColumn("__v", F.coalesce("__hot", "__rest"))
+    return met.select(*rows.columns, *(F.col("__v")[v].alias(v) for v in values))
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
