@@ -350,12 +350,14 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     A doc_id with several texts counts as a document for each of them.
     """
     told = groups(docs, k, percent).groupBy("doc_id", "mark").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
-    told = scratch.keep(told.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "kept"), "told")
-    rows = docs.where("doc_id is not null").withColumn("__text", F.xxhash64(F.col("text").cast("string")))
-    met = (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__text") == F.col("__mark"))
-    alone = rows.join(told, met, "left_anti").drop("__text")
-    order = Window.partitionBy("doc_id", "__text").orderBy("text")
-    once = rows.join(told.where("kept"), met, "left_semi").withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row", "__text")
+    told = scratch.keep(told.select("doc_id", "mark", "kept"), "told")
+    text, row = (scratch.fresh(docs, n) for n in ("text_hash", "row"))
+    rows = docs.where("doc_id is not null").withColumn(text, F.xxhash64(F.col("text").cast("string")))
+    met = lambda t: (rows["doc_id"].cast("long") == t["doc_id"]) & (rows[text] == t["mark"])
+    alone = rows.join(told, met(told), "left_anti").drop(text)
+    repeated = told.where("kept")
+    order = Window.partitionBy("doc_id", text).orderBy("text")
+    once = rows.join(repeated, met(repeated), "left_semi").withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).drop(row, text)
     return alone.unionByName(once).unionByName(docs.where("doc_id is null"))
 
 

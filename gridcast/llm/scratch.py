@@ -42,6 +42,13 @@ def scope(spark: SparkSession, name: str):
         remove(spark, _scopes.pop())
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows as Parquet in the shared folder and reads them again, which cuts the lineage."""
     return store(df, folder(df.sparkSession, name))

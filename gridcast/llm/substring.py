@@ -413,10 +413,13 @@ def clean(docs: DataFrame, n_batches: int = BATCHES, window: int = WINDOW) -> Da
     """The documents with repeated passages taken out of text; a text that loses nothing stays as it is, a changed one has its words joined by one space. An integer column n_chars follows the text."""
     schema = docs.schema
     names = schema.names
-    out = docs.where("doc_id is null").withColumn("__places", F.lit(None).cast("array<struct<start:int,n:int>>"))
+    # further columns go under names that can't clash with those of the index
+    inner = [n if n in ("doc_id", "text") else f"c{i}" for i, n in enumerate(names)]
+    docs = docs.select(*(F.col(f"`{n}`").alias(m) for n, m in zip(names, inner, strict=True)))
+    out = docs.where("doc_id is null").withColumn("places", F.lit(None).cast("array<struct<start:int,n:int>>"))
     for part, places in removals(docs, n_batches, window):
-        back = part.join(places.withColumnRenamed("places", "__places"), "doc_id", "left").withColumn("doc_id", F.col("doc_id").cast(schema["doc_id"].dataType))
-        out = out.unionByName(back.select(*(F.col(f"`{n}`") for n in names), "__places"))
+        back = part.join(places, "doc_id", "left").withColumn("doc_id", F.col("doc_id").cast(schema["doc_id"].dataType))
+        out = out.unionByName(back.select(*inner, "places"))
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names and isinstance(schema["n_chars"].dataType, T.LongType) else None
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
