@@ -16,7 +16,7 @@ ALPHAS = tuple(i / 20 for i in range(10))
 THRESHOLDS = (0.03, 0.05, 0.08, 0.10, 0.15, 0.20, 0.25, 0.30, 0.40, 0.50)
 POWERS = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0)
 MOST_WEIGHTS = (0.4, 0.6, 0.8, 1.0, 1.2)
-NAIVE_WEIGHTS = tuple(i / 40 for i in range(41))
+NAIVE_WEIGHTS = tuple(1 - i / 40 for i in range(41))  # shares of the naive forecast, in the order of the search: from all of it to none
 
 
 def targets(df: DataFrame, horizons: int, x: str = "price", step_rows: int = 1, first_offset: int = 0, keys: Sequence[str] = ("region",), ts: str = "ts", step: int = 3600, rows: int = 2880) -> DataFrame:
