@@ -50,6 +50,8 @@ BLOCK, BRIDGES = 400, 40
 BLOCK_SHINGLES, MOST_BITS = 4 << 20, 1 << 28
 #: A class that holds more than one in SHARES of the documents is sent around: fewer than SHARES rows.
 SHARES = 256
+#: Rows with texts or digests that a Python worker gets at once.
+BATCH = 500
 
 _rng = np.random.default_rng(20)
 _FACTOR = _rng.integers(0, 1 << 63, BANDS * MOST_ROWS, np.uint64) * tx.U(2) + tx.U(1)
@@ -278,8 +280,9 @@ def _digests(k: int, shipped):
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id, mark (a hash of the text) for every document. Documents with equal sets have one class_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    rows = band_rows(percent)
-    every = scratch.keep(docs.select("doc_id", _mark(), "text").mapInArrow(_sketches(k, rows), SKETCHED), "sketches")
+    rows, spark = band_rows(percent), docs.sparkSession
+    with scratch.batched(spark, BATCH):
+        every = scratch.keep(docs.select("doc_id", _mark(), "text").mapInArrow(_sketches(k, rows), SKETCHED), "sketches")
     full = every.where("n_shingles > 0")
     # equal sets have equal sizes and bands
     classes = full.groupBy("class").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
@@ -292,17 +295,19 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     placed = grouped.join(classes.select("class", "doc", "size"), "class")
     sizes = placed.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = scratch.keep(placed.join(sizes, "group").select("class", "doc", "group", "blocks"), "placed")
-    shipped = docs.sparkSession.sparkContext.broadcast(bloom(placed, placed.count(), "doc"))
+    shipped = spark.sparkContext.broadcast(bloom(placed, placed.count(), "doc"))
     read = docs.select(F.xxhash64("doc_id").alias("h"), "doc_id", "text").mapInArrow(_digests(k, shipped), "doc_id long, class long, shingles binary")
     met = read.join(placed, (read["class"] == placed["class"]) & (read["doc_id"] == placed["doc"]))
     sets = met.groupBy(placed["class"], "group", "blocks").agg(F.first("shingles").alias("shingles"))
-    sets = scratch.keep(sets.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "sets")
+    with scratch.batched(spark, BATCH):
+        sets = scratch.keep(sets.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "sets")
     # a group's bridges: about BRIDGES classes by hash, in all of its blocks
     bridge = F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks") * F.lit(BLOCK)) < BRIDGES
     everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
     spread = sets.withColumn("at", F.explode(F.when(bridge, everywhere).otherwise(F.array("block"))))
     work = spread.select(F.xxhash64("group", "at").alias("task"), "class", F.col("class").alias("label"), F.lit(True).alias("asks"), "shingles")
-    links = scratch.keep(confirmed(work, percent, rows), "links")
+    with scratch.batched(spark, BATCH):
+        links = scratch.keep(confirmed(work, percent, rows), "links")
     label = scratch.keep(components(links), "label")
 
     large = sets.where("blocks > 1").join(label.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
@@ -316,7 +321,8 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # strays of a chunk meet the classes of a block: those that don't ask are the block's, those that ask the chunk's
     asking = open_.where("stray").withColumn("chunk", chunk).withColumn("at", each("blocks")).select(task, "class", "label", F.lit(True).alias("asks"), "shingles")
     asked = open_.withColumn("at", F.col("block")).withColumn("chunk", each("chunks")).select(task, "class", "label", F.lit(False).alias("asks"), "shingles")
-    more = scratch.keep(confirmed(asking.unionByName(asked), percent, rows), "links")
+    with scratch.batched(spark, BATCH):
+        more = scratch.keep(confirmed(asking.unionByName(asked), percent, rows), "links")
     if more.limit(1).count():
         label = scratch.keep(components(links.unionByName(more)), "label")
 

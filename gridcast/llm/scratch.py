@@ -49,6 +49,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+@contextlib.contextmanager
+def batched(spark: SparkSession, rows: int):
+    """Jobs that run inside hand at most so many rows to a Python worker at once: for rows that may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows as Parquet in the shared folder and reads them again, which cuts the lineage."""
     return store(df, folder(df.sparkSession, name))
