@@ -10,13 +10,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-_scopes: list[str] = []
+#: Rows with texts or digests that a Python worker gets at once.
+BATCH = 500
+_scopes: list[tuple[str, list[str]]] = []
 
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir, which all executors must share; a local master (tests, one machine) may go without the setting."""
     if _scopes:
-        return f"{_scopes[-1]}/{name}-{uuid.uuid4().hex[:12]}"
+        return f"{_scopes[-1][0]}/{name}-{uuid.uuid4().hex[:12]}"
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
@@ -34,12 +36,21 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @contextlib.contextmanager
 def scope(spark: SparkSession, name: str):
-    """What is kept inside lies in one folder, which goes at the end: a result must be written elsewhere before."""
-    _scopes.append(folder(spark, name))
+    """What is kept inside lies in one folder, which goes at the end with the tables named inside: a result must be written elsewhere before. One scope at a time in a driver."""
+    _scopes.append((folder(spark, name), []))
     try:
         yield
     finally:
-        remove(spark, _scopes.pop())
+        path, tables = _scopes.pop()
+        for table in tables:
+            spark.sql(f"drop table if exists {table}")
+        remove(spark, path)
+
+
+def named(table: str) -> None:
+    """A catalog table that goes with the present scope."""
+    if _scopes:
+        _scopes[-1][1].append(table)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -49,16 +60,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-@contextlib.contextmanager
-def batched(spark: SparkSession, rows: int):
-    """Jobs that run inside hand at most so many rows to a Python worker at once: for rows that may be long."""
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session hands at most `BATCH` rows at once to Python workers (fewer, if it is set so): rows may hold long texts.
+
+    It isn't set back: plans that are still to run, also those of other queries of the session, only get smaller batches.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    before = int(spark.conf.get(key))
+    if before <= 0 or before > BATCH:
+        spark.conf.set(key, str(BATCH))
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 A window is 20 consecutive words of one document. Every word that lies in a window whose word sequence starts earlier
 as well is removed. Earlier means: in an earlier batch, or a smaller doc_id, or an earlier place of the same document.
+A doc_id with several texts is a document for each of them (its versions, in the order of the texts' hashes).
 
 Fingerprints. In each window the run of 8 words with the smallest hash is its anchor; neighbouring windows that share an
 anchor are a span. Equal windows have equal anchors, so a window repeats only if its span's anchor repeats. A document of
-n words has about n / 7 spans, each one row: anchor hash and span hash (128 bits together), doc_id, first window, windows.
+n words has about n / 7 spans, each one row: anchor hash and span hash (128 bits together), doc_id, version, first window, windows.
 
 Index. The distinct spans seen so far are kept in immutable runs, each a table bucketed and sorted by anchor hash. A new
 batch is dealt by anchor hash into as many buckets once and then merge-joined with every run; the runs are read as they lie, without
@@ -25,8 +26,8 @@ What one task still meets as a whole are the distinct spans of one anchor: a com
 surroundings gives a row for each document. They are sorted and merged, not held in memory.
 
 Defined cases: null texts have no words; documents of fewer than 20 words keep all of them; equal rows count as one document,
-and each is returned (a doc_id with several texts is not defined, but doesn't fail); null doc_ids keep their text and take no part; ties can't occur (a place in a document is unique); further
-columns are ignored by `digests` and kept by `clean`.
+and each is returned; the texts of one doc_id are documents of their own, each judged by its own windows; null doc_ids keep their text and take no part; ties can't occur (a place in a document is
+unique); further columns are ignored by `digests` and kept by `clean`.
 """
 
 from __future__ import annotations
@@ -51,7 +52,9 @@ from gridcast.llm import text as tx
 WINDOW, ANCHOR = 20, 8
 #: Runs of a level that may stand side by side before they are compacted, and batches of one application.
 FANOUT, BATCHES = 2, 4
-SPANS = "gram long, span long, doc_id long, start int, n int"
+#: Two batches, and another for each so many bytes of text, up to BATCHES.
+BATCH_BYTES = 32 << 20
+SPANS = "gram long, span long, doc_id long, version int, start int, n int"
 
 
 def spans(w: tx.Words, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -95,35 +98,54 @@ def joined(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.n
     return doc[first], start[first], reach[last] - slot[last] * wide - start[first]
 
 
+def slots(ids: np.ndarray, versions: np.ndarray) -> np.ndarray:
+    """A number for each row, equal for equal (doc_id, version) and in their order."""
+    order = np.lexsort((versions, ids))
+    new = np.zeros(len(ids), np.int64)
+    new[1:] = (ids[order][1:] != ids[order][:-1]) | (versions[order][1:] != versions[order][:-1])
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def repeats(row: np.ndarray, slot: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a row, first window, windows) of joined intervals of documents, which equal slots tell."""
+    own, first = np.unique(slot, return_index=True)
+    at, start, n = joined(slot, start, n)
+    return row[first][np.searchsorted(own, at)], start, n
+
+
 def _spans(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """First occurrences within the batch, and what repeats within it as joined intervals of windows (n below 0, random key)."""
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, versions = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             parts = []
             for i, _, w in tx.words(batch.column(1), tx.SPACED, lower=False):
                 gram, span, doc, start, n = spans(w, window)
                 parts.append((gram, span, doc + i, start, n))
             gram, span, row, start, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else spans(tx.split(np.zeros(0, np.uint8), np.zeros(1, np.int64), tx.SPACED, False), window)
-            doc = ids[row]
-            order = np.lexsort((start, doc, span, gram))
-            gram, span, doc, start, n = gram[order], span[order], doc[order], start[order], n[order]
-            again = np.zeros(len(gram), bool)
-            again[1:] = (gram[1:] == gram[:-1]) & (span[1:] == span[:-1])
+            slot = slots(ids, versions)[row]
+            order = np.lexsort((start, slot, span, gram))
+            gram, span, row, slot, start, n = gram[order], span[order], row[order], slot[order], start[order], n[order]
+            equal = np.zeros(len(gram), bool)
+            equal[1:] = (gram[1:] == gram[:-1]) & (span[1:] == span[:-1])
             # an equal row is the same document, not a repeat of it
-            again[1:] &= ~((doc[1:] == doc[:-1]) & (start[1:] == start[:-1]))
-            same = np.zeros(len(gram), bool)
-            same[1:] = (gram[1:] == gram[:-1]) & (span[1:] == span[:-1]) & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
+            same = equal.copy()
+            same[1:] &= (slot[1:] == slot[:-1]) & (start[1:] == start[:-1])
+            again = equal & ~same
             # copies of the first row are first, copies of a later row are repeats: both are left to one row
-            keep, rdoc, rstart, rn = ~again & ~same, *joined(doc[again], start[again], n[again])
+            keep, (rrow, rstart, rn) = ~equal, repeats(row[again], slot[again], start[again], n[again])
+            doc, version, rdoc, rversion = ids[row], versions[row], ids[rrow], versions[rrow]
             columns = (
                 np.concatenate((gram[keep], tx.mix(rdoc.astype(tx.U) * tx.U(31) + rstart.astype(tx.U), 7))).view(np.int64),
                 np.concatenate((span[keep], np.zeros(len(rdoc), tx.U))).view(np.int64),
                 np.concatenate((doc[keep], rdoc)),
+                np.concatenate((version[keep], rversion)),
                 np.concatenate((start[keep], rstart)).astype(np.int32),
                 np.concatenate((n[keep], -rn)).astype(np.int32),
             )
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "span", "doc_id", "start", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "span", "doc_id", "version", "start", "n"])
 
     return run
 
@@ -132,7 +154,7 @@ def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows of uncertain spans: first ones within the batch as rows (n = 1), repeats as joined intervals (n below 0)."""
         for batch in batches:
-            ids, old = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            ids, versions, old = batch.column(0).to_numpy(), batch.column(4).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
             lists, begins, ns = batch.column(3), batch.column(3).flatten().field(0).to_numpy(), batch.column(3).flatten().field(1).to_numpy()
             edge = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths()))))
             parts = []
@@ -146,25 +168,27 @@ def _windows(window: int):
                 at = w.first[row - i] + start
                 parts.append((rolling.of(at, window, 3), rolling.of(at, window, 4), row, start))
             one, two, row, start = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, tx.U), np.zeros(0, tx.U), np.zeros(0, np.int64), np.zeros(0, np.int64))
-            doc, past = ids[row], old[row]
-            order = np.lexsort((start, doc, ~past, two, one))
-            one, two, doc, start, past = one[order], two[order], doc[order], start[order], past[order]
+            slot, past = slots(ids, versions)[row], old[row]
+            order = np.lexsort((start, slot, ~past, two, one))
+            one, two, row, slot, start, past = one[order], two[order], row[order], slot[order], start[order], past[order]
             equal = np.zeros(len(one), bool)
             equal[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
             same = equal.copy()
-            same[1:] &= (doc[1:] == doc[:-1]) & (start[1:] == start[:-1]) & (past[1:] == past[:-1])
+            same[1:] &= (slot[1:] == slot[:-1]) & (start[1:] == start[:-1]) & (past[1:] == past[:-1])
             again = equal & ~same & ~past
-            keep, (rdoc, rstart, rn) = ~equal, joined(doc[again], start[again], np.ones(int(again.sum()), np.int64))
+            keep, (rrow, rstart, rn) = ~equal, repeats(row[again], slot[again], start[again], np.ones(int(again.sum()), np.int64))
+            doc, version, rdoc, rversion = ids[row], versions[row], ids[rrow], versions[rrow]
             none = np.zeros(len(rdoc), np.int64)
             columns = (
                 np.concatenate((one[keep], tx.mix(rdoc.astype(tx.U) * tx.U(31) + rstart.astype(tx.U), 9))).view(np.int64),
                 np.concatenate((two[keep].view(np.int64), none)),
                 np.concatenate((doc[keep], rdoc)),
+                np.concatenate((version[keep], rversion)),
                 np.concatenate((start[keep], rstart)).astype(np.int32),
                 np.concatenate((np.ones(int(keep.sum()), np.int64), -rn)).astype(np.int32),
                 np.concatenate((past[keep], none.astype(bool))),
             )
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["one", "two", "doc_id", "start", "n", "past"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["one", "two", "doc_id", "version", "start", "n", "past"])
 
     return run
 
@@ -221,6 +245,7 @@ class FingerprintIndex:
         """An immutable table: spans bucketed and sorted by anchor hash with one folder for each kind of row, texts bucketed by doc_id."""
         name = f"{kind}_{uuid.uuid4().hex[:12]}"
         run = Run(kind, name, f"{self.path}/{name}", level)
+        scratch.named(name)
         out = rows.write.option("path", run.path)
         if kind == "texts":
             out.bucketBy(self.buckets, "doc_id").partitionBy("__part").saveAsTable(name)
@@ -232,7 +257,7 @@ class FingerprintIndex:
         return self.spark.table(run.table).where(F.col("kind").isin(*kinds))
 
     def _spans_of(self, run: Run) -> DataFrame:
-        return self._read(run, "first", "uncertain").select("gram", "span", "doc_id", "start", "n")
+        return self._read(run, "first", "uncertain").select("gram", "span", "doc_id", "version", "start", "n")
 
     def history(self) -> list[DataFrame]:
         return [self._spans_of(r) for r in self.runs if r.kind == "spans"]
@@ -254,9 +279,10 @@ class FingerprintIndex:
     # ---- a batch ----
 
     def store(self, docs: DataFrame, part=None) -> list[Run]:
-        """Writes documents (all their columns, doc_id as long) bucketed by doc_id, as one batch or as those that the column `part` numbers."""
+        """Writes documents (all their columns, doc_id as long, and their version) bucketed by doc_id, as one batch or as those that the column `part` numbers."""
         parts = [0] if part is None else list(range(part[1]))
-        rows = docs.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("__part", F.lit(0) if part is None else part[0])
+        rows = docs if "__version" in docs.columns else versioned(docs, sizes(docs))
+        rows = rows.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("__part", F.lit(0) if part is None else part[0])
         made = self._write(rows.repartition(self.buckets, "doc_id"), "texts")
         return [made._replace(level=i) for i in parts]
 
@@ -270,21 +296,22 @@ class FingerprintIndex:
         batch: documents, or what `store` made of them. remember=False is for the last batch: its first occurrences aren't written.
         """
         made = batch if isinstance(batch, Run) else self.store(batch)[0]
-        text = lambda run: self.batch(run).select("doc_id", F.col("text").cast("string").alias("text"))
+        text = lambda run: self.batch(run).select("doc_id", F.col("text").cast("string").alias("text"), F.col("__version").alias("version"))
         texts = text(made)
         own = self._settled(texts)
         marked = self._merged(own, remember)
-        asked = _places(self._read(marked, "uncertain")).join(texts, "doc_id").select("doc_id", "text", F.lit(False).alias("past"), "places")
+        asked = self.met(texts, self._read(marked, "uncertain"), "inner").withColumn("past", F.lit(False))
         past = self._old(marked)
         for run in self.runs if past is not None else ():
             if run.kind == "texts":
-                asked = asked.unionByName(_places(past).join(text(run), "doc_id").select("doc_id", "text", F.lit(True).alias("past"), "places"))
-        found = asked.mapInArrow(_windows(self.window), "one long, two long, doc_id long, start int, n int, past boolean")
-        order = Window.partitionBy("one", "two").orderBy(F.desc("past"), "doc_id", "start")
-        first = F.first(F.struct("past", "doc_id", "start")).over(order)
-        later = found.withColumn("f", first).where("n < 0 or (not past and (f.past or f.doc_id <> doc_id or f.start <> start))")
-        repeats = self._read(marked, "repeat").select("doc_id", "start", F.abs("n").alias("n")).unionByName(later.select("doc_id", "start", F.abs("n").alias("n")))
-        repeats = scratch.keep(repeats, "repeats")
+                asked = asked.unionByName(self.met(text(run), past, "inner").withColumn("past", F.lit(True)))
+        asked = asked.select("doc_id", "text", "past", "places", "version")
+        found = asked.mapInArrow(_windows(self.window), "one long, two long, doc_id long, version int, start int, n int, past boolean")
+        order = Window.partitionBy("one", "two").orderBy(F.desc("past"), "doc_id", "version", "start")
+        first = F.first(F.struct("past", "doc_id", "version", "start")).over(order)
+        later = found.withColumn("f", first).where("n < 0 or (not past and (f.past or f.doc_id <> doc_id or f.version <> version or f.start <> start))")
+        place = ["doc_id", "version", "start", F.abs("n").alias("n")]
+        repeats = scratch.keep(self._read(marked, "repeat").select(*place).unionByName(later.select(*place)), "repeats")
         self._drop(own)
         if not remember:
             self._drop(marked)
@@ -297,6 +324,12 @@ class FingerprintIndex:
             level += 1
         return repeats
 
+    def met(self, texts: DataFrame, places: DataFrame, how: str) -> DataFrame:
+        """Stored texts (doc_id, version, ...) with the places of their version. Only doc_id is a join key: the texts are bucketed by it and aren't exchanged."""
+        own = places.repartition(self.buckets, "doc_id").groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "n")).alias("places"))
+        own = own.select(F.col("doc_id").alias("__doc"), F.col("version").alias("__of"), "places")
+        return texts.join(own, (texts["doc_id"] == own["__doc"]) & (texts["version"] - own["__of"] == 0), how).drop("__doc", "__of")
+
     def forget(self) -> None:
         """Drops all runs of spans; the stored documents stay."""
         for run in self.runs:
@@ -307,11 +340,11 @@ class FingerprintIndex:
     def _settled(self, texts: DataFrame) -> Run:
         """The batch's spans, dealt by anchor hash once: first occurrences within the batch, and repeats within it."""
         rows = texts.mapInArrow(_spans(self.window), SPANS).repartition(self.buckets, "gram")
-        inside = Window.partitionBy("gram", "span").orderBy("doc_id", "start")
+        inside = Window.partitionBy("gram", "span").orderBy("doc_id", "version", "start")
         before = lambda c: F.lag(c).over(inside)
-        same = (before("doc_id") == F.col("doc_id")) & (before("start") == F.col("start"))
+        same = (before("doc_id") == F.col("doc_id")) & (before("version") == F.col("version")) & (before("start") == F.col("start"))
         kind = F.when(F.col("n") < 0, "repeat").when(F.row_number().over(inside) == 1, "first").when(same, "gone").otherwise("repeat")
-        return self._write(rows.withColumn("kind", kind).where("kind <> 'gone'").select("gram", "span", "doc_id", "start", "n", "kind"), "spans")
+        return self._write(rows.withColumn("kind", kind).where("kind <> 'gone'").select("gram", "span", "doc_id", "version", "start", "n", "kind"), "spans")
 
     def _merged(self, batch: Run, remember: bool) -> Run:
         """The batch after a merge with all runs: repeats, uncertain and first spans. All sides are bucketed by anchor hash, so none is exchanged."""
@@ -327,7 +360,7 @@ class FingerprintIndex:
         least = F.least(F.col("low0"), F.col("low0"), *(F.col(f"low{i}") for i in numbers))
         most = F.greatest(F.col("high0"), F.col("high0"), *(F.col(f"high{i}") for i in numbers))
         out = out.withColumn("kind", F.when(met, "repeat").when(least < most, "uncertain").otherwise("first"))
-        columns = ["gram", "span", "doc_id", "start", "n", "kind"]
+        columns = ["gram", "span", "doc_id", "version", "start", "n", "kind"]
         wanted = out.select(*columns).unionByName(rows.where("kind = 'repeat'").select(*columns))
         with _cluster_keys(self.spark):
             return self._write(wanted if remember else wanted.where("kind <> 'first'"), "spans")
@@ -339,10 +372,6 @@ class FingerprintIndex:
         return scratch.keep(reduce(DataFrame.unionByName, found), "old") if found else None
 
 
-def _places(spans: DataFrame) -> DataFrame:
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("places"))
-
-
 @contextlib.contextmanager
 def _cluster_keys(spark: SparkSession):
     """Lets tables that are bucketed by one join key meet on two keys as they lie."""
@@ -373,6 +402,25 @@ def keep(text: str, places: list[dict] | None, window: int = WINDOW) -> tuple[in
     return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
 
 
+def sizes(docs: DataFrame) -> DataFrame:
+    """For each doc_id the least and greatest hash of its texts (unequal, if it has several), and its bytes of text."""
+    text = F.col("text").cast("string")
+    per = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    return scratch.keep(per.agg(F.min(F.xxhash64(text)).alias("low"), F.max(F.xxhash64(text)).alias("high"), F.sum(F.coalesce(F.octet_length(text), F.lit(0))).alias("bytes")), "sizes")
+
+
+def versioned(docs: DataFrame, per: DataFrame) -> DataFrame:
+    """The documents with the column __version: 0, and for a doc_id with several texts the rank of the text's hash. per: their `sizes`."""
+    several = per.where("low < high").select(F.col("doc_id").alias("__id"))
+    if not several.limit(1).count():
+        return docs.withColumn("__version", F.lit(0))
+    docs = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
+    own = docs.join(several, F.col("doc_id").cast("long") == F.col("__id")).select("__id", "__hash").distinct()
+    ranks = own.select(F.col("__id"), F.col("__hash").alias("__of"), (F.row_number().over(Window.partitionBy("__id").orderBy("__hash")) - 1).alias("__rank"))
+    met = docs.join(ranks, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__hash") == F.col("__of")), "left")
+    return met.withColumn("__version", F.coalesce("__rank", F.lit(0))).drop("__id", "__hash", "__of", "__rank")
+
+
 def numbered(docs: DataFrame, n: int):
     """(number of a document's batch, batches): n batches of ascending doc_id, about equal in number."""
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)])).first()[0] if n > 1 else []
@@ -380,13 +428,15 @@ def numbered(docs: DataFrame, n: int):
     return sum((F.when(F.col("doc_id") > c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int"), len(cuts) + 1
 
 
-def removals(docs: DataFrame, n_batches: int = BATCHES, window: int = WINDOW) -> list[tuple[DataFrame, DataFrame]]:
-    """(documents of a batch as stored, intervals to remove in them: doc_id, places) for each batch in turn. Null doc_ids are in none."""
-    index = FingerprintIndex(docs.sparkSession, window)
-    out = []
-    runs = index.store(docs, numbered(docs, n_batches))
+def removals(docs: DataFrame, n_batches: int | None = None, window: int = WINDOW) -> list[DataFrame]:
+    """The documents of each batch in turn, as stored, with the column places: the intervals to remove. Null doc_ids are in none. n_batches: None for as many as the bytes of text ask for."""
+    scratch.small_batches(docs.sparkSession)
+    index, out, per = FingerprintIndex(docs.sparkSession, window), [], sizes(docs)
+    n = n_batches or min(BATCHES, 2 + (per.agg(F.sum("bytes")).first()[0] or 0) // BATCH_BYTES)
+    runs = index.store(versioned(docs, per), numbered(per, n))
     for i, run in enumerate(runs):
-        out.append((index.batch(run), _places(index.add(run, remember=i + 1 < len(runs)))))
+        places = index.add(run, remember=i + 1 < len(runs))
+        out.append(index.met(index.batch(run).withColumnRenamed("__version", "version"), places, "left").drop("version"))
     index.forget()
     return out
 
@@ -400,16 +450,16 @@ def _digests(window: int):
     return run
 
 
-def digests(docs: DataFrame, n_batches: int = BATCHES, window: int = WINDOW) -> DataFrame:
+def digests(docs: DataFrame, n_batches: int | None = None, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = docs.where("doc_id is null").withColumn("places", F.lit(None).cast("array<struct<start:int,n:int>>"))
-    for part, places in removals(docs, n_batches, window):
-        out = out.unionByName(part.join(places, "doc_id", "left").select("doc_id", "text", "places"))
+    for part in removals(docs, n_batches, window):
+        out = out.unionByName(part.select("doc_id", "text", "places"))
     return out.mapInArrow(_digests(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def clean(docs: DataFrame, n_batches: int = BATCHES, window: int = WINDOW) -> DataFrame:
+def clean(docs: DataFrame, n_batches: int | None = None, window: int = WINDOW) -> DataFrame:
     """The documents with repeated passages taken out of text; a text that loses nothing stays as it is, a changed one has its words joined by one space. An integer column n_chars follows the text."""
     schema = docs.schema
     names = schema.names
@@ -417,9 +467,8 @@ def clean(docs: DataFrame, n_batches: int = BATCHES, window: int = WINDOW) -> Da
     inner = [n if n in ("doc_id", "text") else f"c{i}" for i, n in enumerate(names)]
     docs = docs.select(*(F.col(f"`{n}`").alias(m) for n, m in zip(names, inner, strict=True)))
     out = docs.where("doc_id is null").withColumn("places", F.lit(None).cast("array<struct<start:int,n:int>>"))
-    for part, places in removals(docs, n_batches, window):
-        back = part.join(places, "doc_id", "left").withColumn("doc_id", F.col("doc_id").cast(schema["doc_id"].dataType))
-        out = out.unionByName(back.select(*inner, "places"))
+    for part in removals(docs, n_batches, window):
+        out = out.unionByName(part.withColumn("doc_id", F.col("doc_id").cast(schema["doc_id"].dataType)).select(*inner, "places"))
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names and isinstance(schema["n_chars"].dataType, T.LongType) else None
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from gridcast.llm import components, decontaminate, neardup, scratch, substring
 from gridcast.llm import text as tx
 
@@ -220,6 +221,40 @@ def test_partial_overlaps_and_periodic_texts(spark):
         assert got == brute_removal(rows)
 
 
+def test_texts_of_one_doc_id_lose_only_what_repeats(spark):
+    """Brute force over (doc_id, text), with overlaps that hit one text of a doc_id only, through digests, clean and the pipeline's stage."""
+    rng = random.Random(14)
+    word = lambda: f"w{rng.randrange(100000)}"
+    passage, own = [" ".join(word() for _ in range(30)) for _ in range(4)], [" ".join(word() for _ in range(40)) for _ in range(9)]
+    rows = [(0, passage[0]), (1, passage[0]), (1, own[0]), (1, own[0]), (2, own[1] + " " + passage[1]), (2, passage[1] + " " + own[2]), (2, own[3])]
+    rows += [(3, passage[2] + " " + own[4]), (4, own[5] + " " + passage[2]), (4, own[6]), (-5, passage[3]), (-5, own[7]), (6, own[7] + " " + passage[3]), (6, None), (6, own[8]), (None, passage[0])]
+    df = make(spark, rows)
+    order = {(r["doc_id"], r["text"]): r["h"] for r in df.selectExpr("doc_id", "text", "xxhash64(text) as h").collect()}
+    seen, want = {}, {}
+    for i, t in sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], order[r])):
+        w = words(t, low=False)
+        gone = [False] * len(w)
+        for s in range(len(w) - 19):
+            if seen.setdefault(tuple(w[s : s + 20]), (i, t, s)) != (i, t, s):
+                gone[s : s + 20] = [True] * 20
+        want[i, t] = (len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g))
+    assert want[1, own[0]][1] == 0 and want[1, passage[0]][1] == 30 and want[4, own[6]][1] == 0
+    for n_batches in (1, 2, 4, None):
+        got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.digests(df, n_batches).where("doc_id is not null").collect())
+        expect = sorted((i, want[i, t][0], want[i, t][1], hashlib.sha256(want[i, t][2]).hexdigest()) for i, t in rows if i is not None)
+        assert got == expect
+    kept = sorted((r["doc_id"], r["text"] or "") for r in corpus_pipeline.cut_repeats(spark, df, "").where("doc_id is not null").collect())
+    assert kept == sorted((i, want[i, t][2].decode() if t and want[i, t][1] else t or "") for i, t in rows if i is not None)
+
+
+def test_tables_of_a_scope_go_with_it(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    with scratch.scope(spark, "work"):
+        assert substring.clean(make(spark, corpus(2))).count() == len(corpus(2))
+        assert {t.name for t in spark.catalog.listTables()} > before
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def removed_words(part, repeats):
     places = {}
     for r in repeats.collect():
