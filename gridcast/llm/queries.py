@@ -1,7 +1,7 @@
 """Queries of the corpus operators and their SQL."""
 
 import corpus_pipeline
-from gridcast.llm import bpe, chat, decontaminate, knn, language, license, lm, neardup, substring, toxicity
+from gridcast.llm import bpe, chat, decontaminate, knn, language, license, lm, neardup, phrases, quality, substring, toxicity, whitening
 
 QUERIES = {
     "op1_near_dedup": neardup.query,
@@ -14,6 +14,9 @@ QUERIES = {
     "op8_language_id": language.query,
     "op9_chat_format": chat.query,
     "op10_license_scan": license.query,
+    "op11_quality": quality.query,
+    "op12_whitening": whitening.query,
+    "op13_phrases": phrases.query,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
@@ -23,6 +26,7 @@ SQL = {
     "op7_substring_dedup": substring.SQL,
     "op9_chat_format": chat.SQL,
     "op10_license_scan": license.SQL,
+    "op13_phrases": phrases.SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
