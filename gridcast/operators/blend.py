@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +80,39 @@ def search(df: DataFrame, per: Sequence[str], grid: DataFrame, prediction: Colum
     return tried.groupBy(*per).agg(*(F.min_by(p, best).alias(p) for p in params), F.min("mae").alias("mae"))
 
 
+def line_search(df: DataFrame, per: Sequence[str], one: str, two: str, shares: Sequence[float], name: str) -> DataFrame:
+    """(per, name, mae): the share s with the least mean absolute error of (1 - s) * one + s * two in each group; the first of equals.
+
+    Tasks add up the errors of all shares; only these sums are shuffled. Rows without y are left out, rows without a prediction have no error.
+    """
+    rows = df.where("y is not null").select(*per, *(F.col(c).cast("double").alias(f"__{c}") for c in ("y", one, two)))
+    k, s = len(per), np.asarray(shares, float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            groups = list(zip(*(batch.column(i).to_pylist() for i in range(k)), strict=True)) if per else [()] * batch.num_rows
+            met = {g: i for i, g in enumerate(dict.fromkeys(groups))}
+            at = np.array([met[g] for g in groups], np.int64)
+            y, a, b = (batch.column(k + i).to_numpy(zero_copy_only=False) for i in range(3))
+            e = np.abs(y[:, None] - ((1 - s) * a[:, None] + s * b[:, None]))
+            there = ~np.isnan(e[:, 0])
+            for g, i in met.items():
+                own = e[there & (at == i)]
+                sums[g] = sums.get(g, 0.0) + np.append(own.sum(0), len(own))
+        heads = [pa.array([g[i] for g in sums for _ in s], batch.schema.field(i).type) for i in range(k)] if sums else []
+        total = np.stack(list(sums.values())) if sums else np.zeros((0, len(s) + 1))
+        body = [pa.array(np.tile(np.arange(len(s), dtype=np.int32), len(sums))), pa.array(total[:, :-1].ravel()), pa.array(np.repeat(total[:, -1], len(s)))]
+        if sums:
+            yield pa.RecordBatch.from_arrays([*heads, *body], names=[*per, "ordinal", "e", "n"])
+
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in per), "ordinal int, e double, n double"])
+    tried = rows.mapInArrow(run, schema).groupBy(*per, "ordinal").agg(F.try_divide(F.sum("e"), F.sum("n")).alias("mae"))
+    best = F.struct(F.round("mae", 9).alias("m"), F.col("ordinal"))
+    share = F.array(*(F.lit(float(x)) for x in shares))[F.col("ordinal")]
+    return tried.groupBy(*per).agg(F.min_by(share, best).alias(name), F.min("mae").alias("mae"))
+
+
 def ramp(p: Column, threshold: Column, power: Column) -> Column:
     return F.pow(clip((p - threshold) / (1 - threshold + 1e-6), 0, 1), power)
 
@@ -96,8 +131,9 @@ def dip_policy(base: Column, p: Column, source: Column, mode: Column, threshold:
 
 def metrics(df: DataFrame, per: Sequence[str] = (), spike: float = 150.0) -> DataFrame:
     """MAE, RMSE, R2, bias, wMAPE, skill against the naive column, and MAE and share of spikes, calm rows and dips. df: y, yhat, naive."""
-    y, e = F.col("y"), F.col("yhat") - F.col("y")
-    rows = df.where("y is not null and yhat is not null")
+    # the generator keeps the prediction's expression from being computed anew for each sum
+    rows = df.withColumn("__e", F.explode(F.array(F.col("yhat") - F.col("y")))).where("__e is not null")
+    y, e = F.col("y"), F.col("__e")
     mae, naive = F.avg(F.abs(e)), F.avg(F.abs(F.col("naive") - y))
     part = lambda c: F.avg(F.when(c, F.abs(e)))
     share = lambda c: F.avg(flag(c)) * 100
@@ -112,3 +148,9 @@ def complete(df: DataFrame, horizons: int, key: Sequence[str]) -> DataFrame:
     """Rows of times all of whose horizons have a value."""
     full = df.groupBy(*key).agg(F.count("y").alias("n")).where(F.col("n") == horizons).select(*key)
     return df.join(full, list(key), "left_semi")
+
+
+def wide_rows(df: DataFrame, horizons: int, key: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """One row for each key with a column <prefix>_h<h> for each value and horizon: one aggregation whose groups are an array by horizon. values: prefix and column."""
+    made = df.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("h", F.struct(*(F.col(c).alias(p) for p, c in values.items()))))).alias("__by"))
+    return made.select(*key, *(F.col("__by")[h][p].alias(f"{p}_h{h}") for h in range(1, horizons + 1) for p in values))

@@ -6,12 +6,12 @@ of its prediction. Trees grow level by level, and validation stops by tolerance,
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -20,7 +20,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.operators import quantiles
+from gridcast.operators import quantiles, shared
 
 
 @dataclass(frozen=True)
@@ -91,9 +91,8 @@ def registry(spark, models: Sequence[tuple[int, str]], path: str) -> DataFrame:
 
 
 def folder(spark) -> str:
-    """A new folder for models under spark.checkpoint.dir, which driver and executors share (a temporary one where that is unset, as on one machine)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gridcast-")
-    return f"{root.rstrip('/')}/models-{uuid.uuid4().hex[:12]}"
+    """A new folder for models under spark.checkpoint.dir, which driver and executors share."""
+    return shared.folder(spark, "models")
 
 
 def load(path: str) -> PipelineModel:
@@ -117,21 +116,48 @@ def calibrate(train: DataFrame, scored: DataFrame, prediction: str, label: str,
     return model.transform(scored)
 
 
-def calibrators(train: DataFrame, horizons: Sequence[int], prediction: str, label: str, least: int = 500, parallel: int = 4) -> DataFrame:
-    """(h, knots): an isotonic calibration for each horizon, a few fits at a time from driver threads; no row for a horizon of fewer than `least` complete rows.
+def _pooled(first: np.ndarray, last: np.ndarray, total: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pools neighbours (in order) until the means don't fall: (first x, last x, sum, count) of the blocks. Blocks of parts pool to the blocks of the whole."""
+    out: list[list[float]] = []
+    for a, b, s, c in zip(first.tolist(), last.tolist(), total.tolist(), n.tolist(), strict=True):
+        out.append([a, b, s, c])
+        while len(out) > 1 and out[-2][2] * out[-1][3] >= out[-1][2] * out[-2][3]:
+            _, b, s, c = out.pop()
+            out[-1][1:] = [b, out[-1][2] + s, out[-1][3] + c]
+    return tuple(np.array(x) for x in zip(*out, strict=True)) if out else (np.zeros(0),) * 4
 
-    A fit's knots are the ends of its constant pieces; between them it is linear.
-    """
-    rows = train.dropna(subset=[prediction, label]).select("h", prediction, label)
-    sizes = {r["h"]: r["n"] for r in rows.groupBy("h").agg(F.count("*").alias("n")).collect()}  # a row for each horizon
 
-    def one(h: int) -> tuple[int, list[tuple[float, float]]]:
-        model = IsotonicRegression(featuresCol=prediction, labelCol=label).fit(rows.where(F.col("h") == h))
-        return h, list(zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist(), strict=True))
+def _pool_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (h, x) as pooled blocks, a batch at a time; what ends a batch may go on in the next, so blocks are pooled again by horizon."""
+    for batch in batches:
+        h = batch.column(0).to_numpy()
+        x, s, n = (batch.column(i).to_numpy().astype(float) for i in (1, 2, 3))
+        edge = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
+        for a, b in zip(edge, edge[1:], strict=False):
+            if b > a:
+                parts = _pooled(x[a:b], x[a:b], s[a:b], n[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts[0]), h[a])), *(pa.array(p) for p in parts)], names=["h", "first", "last", "total", "n"])
 
-    with ThreadPoolExecutor(parallel) as pool:
-        found = list(pool.map(one, [h for h in horizons if sizes.get(h, 0) >= least]))
-    return train.sparkSession.createDataFrame(found, "h int, knots array<struct<x:double,y:double>>")
+
+def _knots(group: pa.Table) -> pa.Table:
+    order = np.argsort(group["first"].to_numpy(), kind="stable")
+    first, last, total, n = _pooled(*(group[c].to_numpy()[order] for c in ("first", "last", "total", "n")))
+    knots = [{"x": x, "y": s / c} for a, b, s, c in zip(first.tolist(), last.tolist(), total.tolist(), n.tolist(), strict=True) for x in ([a, b] if b > a else [a])]
+    return pa.table({"h": group["h"][:1], "knots": pa.array([knots], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))})
+
+
+def calibrators(train: DataFrame, horizons: Sequence[int], prediction: str, label: str, least: int = 500) -> DataFrame:
+    """(h, knots): an isotonic calibration for each horizon; no row for a horizon of fewer than `least` complete rows.
+
+    All horizons in one job: equal predictions are averaged, neighbours are pooled within ranges of (h, prediction), and the pooled blocks by
+    horizon. A fit's knots are the ends of its constant pieces; between them it is linear.
+    """
+    rows = train.where(F.col("h").isin(list(horizons))).dropna(subset=[prediction, label])
+    rows = rows.select("h", F.col(prediction).cast("double").alias("x"), F.col(label).cast("double").alias("y"))
+    big = rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("h")  # a row for each horizon
+    sums = rows.join(F.broadcast(big), "h").groupBy("h", "x").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
+    pooled = sums.repartitionByRange("h", "x").sortWithinPartitions("h", "x").mapInArrow(_pool_runs, f"h {rows.schema['h'].dataType.simpleString()}, first double, last double, total double, n double")
+    return pooled.groupBy("h").applyInArrow(_knots, f"h {rows.schema['h'].dataType.simpleString()}, knots array<struct<x:double,y:double>>")
 
 
 def importance(model: PipelineModel, features: Sequence[str], h: int, spark) -> DataFrame:

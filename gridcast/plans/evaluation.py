@@ -175,14 +175,14 @@ add(
 
 #: Predictions by horizon from lags and rolling extremes; some horizons lack some models.
 LACKS = {"l2": 5, "p_spike": 4, "spike_l1": 6, "p_dip": 3}
-_PRED_H = f"""{registry.PREDICTED}, tg as (select ts, region, y0 as y, h from (select pred.ts, pred.region, b.price as y0, t.h from pred cross join (select unnest(range(1, {N_H + 1}))::int as h) t left join bars b on b.region = pred.region and b.ts = pred.ts + to_hours(t.h - 1))),
+_PRED_H = f"""{registry.PREDICTED}, whole as (select ts, region, last_value(price ignore nulls) over (partition by region order by ts rows between unbounded preceding and current row) as price from bars), tg as (select ts, region, y0 as y, h from (select pred.ts, pred.region, b.price as y0, t.h from pred cross join (select unnest(range(1, {N_H + 1}))::int as h) t left join whole b on b.region = pred.region and b.ts = pred.ts + to_hours(t.h - 1))),
 by_h as (select tg.ts, tg.region, tg.h, tg.y, l1, case when h % {LACKS["l2"]} <> 0 then l2 end as l2, case when h % {LACKS["p_spike"]} <> 0 then p end as p_spike, case when h % {LACKS["spike_l1"]} <> 0 then case when l1 is not null and l2 is not null then greatest(l1, l2) end end as spike_l1, p90 as spike_p90, case when h % {LACKS["p_dip"]} <> 0 then 1 - p end as p_dip, p10 as dip_l1, naive from tg join pred using (ts, region))"""
 
 
 def predicted_by_h(spark: SparkSession, d: str) -> DataFrame:
     now = registry.predicted(spark, d).drop("y")
     has = lambda name, c: F.when(F.col("h") % LACKS[name] != 0, c).alias(name)
-    x = blend.targets(staging.bars(spark, d), N_H).join(now, ["ts", "region"])
+    x = registry.filled_targets(spark, d).join(now, ["ts", "region"])
     both = F.when(F.col("l1").isNotNull() & F.col("l2").isNotNull(), F.greatest("l1", "l2"))
     return x.select("ts", "region", "h", "y", "l1", has("l2", F.col("l2")), has("p_spike", F.col("p")), has("spike_l1", both), F.col("p90").alias("spike_p90"), has("p_dip", 1 - F.col("p")), F.col("p10").alias("dip_l1"), "naive")
 
@@ -230,12 +230,12 @@ _metric = registry._metric
 add("score_metrics_by_h", lambda spark, d: blend.metrics(_scored(spark, d), ["h"]), f"with {SCORED}, m as (select h, y, naive, yhat - y as e from scored where y is not null and yhat is not null) select h, count(*) as n, {_metric} from m group by h")
 add(
     "actual_predicted",
-    lambda spark, d: blend.complete(_scored(spark, d).select("ts", "region", "h", "y", "yhat"), N_H, ["ts", "region"]).groupBy("ts", "region").agg(*(F.max(F.when(F.col("h") == h, F.col(c))).alias(f"{n}_h{h}") for h in range(1, N_H + 1) for n, c in (("actual", "y"), ("predicted", "yhat")))),
-    f"with {SCORED} select {TS}, region, " + ", ".join(f"{number(f'max({c}) filter (where h = {h})')} as {n}_h{h}" for h in range(1, N_H + 1) for n, c in (("actual", "y"), ("predicted", "yhat"))) + f" from scored group by scored.ts, region having count(y) = {N_H}",
+    lambda spark, d: blend.wide_rows(blend.complete(_scored(spark, d).select("ts", "region", "h", "y", "yhat"), N_H, ["ts", "region"]), N_H, ["ts", "region"], {"actual": "y", "predicted": "yhat"}),
+    f"with {SCORED}, w as (select ts, region, list(y order by h) as a, list(yhat order by h) as p from scored group by all having count(y) = {N_H}) select {TS}, region, " + ", ".join(f"{number(f'{c}[{h}]')} as {n}_h{h}" for h in range(1, N_H + 1) for n, c in (("actual", "a"), ("predicted", "p"))) + " from w",
 )
 add("dip_search_by_h", lambda spark, d: policy.dip_search(predicted_by_h(spark, d).select("h", "y", F.col("l1").alias("base"), F.col("p_dip").alias("p"), F.col("dip_l1").alias("dip")), ["h"]), registry._dip_sql(f"with {_PRED_H}, cand as (select h, y, l1 as base, p_dip as p, dip_l1 as dip from by_h)", "h"))
 
-CALIBRATED = 6
+CALIBRATED = 24
 
 
 def _isotonic(spark: SparkSession, d: str) -> DataFrame:

@@ -439,10 +439,18 @@ add(
 
 # ---- targets, weights, labels ---------------------------------------------------------------------------------------
 
-N_H = 12
+N_H = 96
 TARGETS = f"{staging.BARS}, t as (select ts, region, price, unnest(range(1, {N_H + 1}))::int as h from bars), targets as (select t.ts, t.region, h, b.price as y from t left join bars b on b.region = t.region and b.ts = t.ts + to_hours(h - 1))"
 add("targets_multi_h", lambda spark, d: blend.targets(staging.bars(spark, d), N_H), f"with {TARGETS} select {TS}, region, h, {number('y')} as y from targets")
 
+#: Of prices filled forward, so that times with a value for every horizon exist.
+FILLED = TARGETS.replace("t as (", "whole as (select ts, region, last_value(price ignore nulls) over (partition by region order by ts rows between unbounded preceding and current row) as price from bars), t as (", 1).replace("from bars), targets", "from whole), targets").replace("left join bars b", "left join whole b")
+
+
+def filled_targets(spark: SparkSession, d: str) -> DataFrame:
+    bars = rolling.filled(staging.bars(spark, d), "price", "__price", HOUR, ["region"]).select("ts", "region", F.col("__price").alias("price"))
+    return blend.targets(bars, N_H)
+
 
 def _split(spark: SparkSession, d: str) -> DataFrame:
     t = blend.targets(staging.bars(spark, d), N_H)
@@ -499,7 +507,7 @@ add(
 )
 add(
     "fill_by_day",
-    lambda spark, d: _by_region(staging.bars(spark, d), lambda x: rolling.rolling_by_day(x.select("ts", "price"), "price").select("ts", "price_filled")),
+    lambda spark, d: rolling.filled(staging.bars(spark, d), "price", "price_filled", DAY, ["region"], rows=1).select("ts", "region", "price_filled"),
     f"with {staging.BARS} select {TS}, region, {number('last_value(price ignore nulls) over (partition by region order by bars.ts rows between unbounded preceding and current row)')} as price_filled from bars",
 )
 FEATURES = ["price", "lag_1", "lag_2", "lag_24", "mean_24", "mean_48", "demand", "avail_gen"]
@@ -571,17 +579,13 @@ def predicted(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("p", F.when(F.col("l1").isNotNull() & F.col("p90").isNotNull(), F.greatest(F.least(F.col("l1") / F.nullif("p90", F.lit(0.0)), F.lit(1.0)), F.lit(0.0)))).withColumn("base", F.col("l1"))
 
 
-def _grid(spark: SparkSession, name: str, values) -> DataFrame:
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], f"ordinal int, {name} double")
-
-
 def _search_sql(values, prediction: str, name: str) -> str:
     table = ", ".join(f"({i}, {v}::double)" for i, v in enumerate(values))
     return f"with {PREDICTED}, g(ordinal, a) as (values {table}), tried as (select region, ordinal, a, avg(abs(y - ({prediction}))) as mae from pred, g where y is not null group by all) select region, {number('arg_min(a, round(mae, 9) * 1000000 + ordinal * 0.0000001)')} as {name}, {number('min(mae)')} as mae from tried group by region"
 
 
-add("blend_alpha", lambda spark, d: blend.search(predicted(spark, d), ["region"], _grid(spark, "alpha", blend.ALPHAS), blend.blend(F.col("l1"), F.col("l2"), F.col("alpha")), ["alpha"]), _search_sql(blend.ALPHAS, "(1 - a) * l1 + a * l2", "alpha"))
-add("naive_blend", lambda spark, d: blend.search(predicted(spark, d), ["region"], _grid(spark, "weight", blend.NAIVE_WEIGHTS), blend.blend(F.col("base"), F.col("naive"), F.col("weight")), ["weight"]), _search_sql(blend.NAIVE_WEIGHTS, "(1 - a) * base + a * naive", "weight"))
+add("blend_alpha", lambda spark, d: blend.line_search(predicted(spark, d), ["region"], "l1", "l2", blend.ALPHAS, "alpha"), _search_sql(blend.ALPHAS, "(1 - a) * l1 + a * l2", "alpha"))
+add("naive_blend", lambda spark, d: blend.line_search(predicted(spark, d), ["region"], "base", "naive", blend.NAIVE_WEIGHTS, "weight"), _search_sql(blend.NAIVE_WEIGHTS, "(1 - a) * base + a * naive", "weight"))
 
 
 def _policies(spark: SparkSession, d: str) -> DataFrame:
@@ -636,31 +640,27 @@ add("metrics_overall", lambda spark, d: blend.metrics(predicted(spark, d).withCo
 
 
 def _by_horizon(spark: SparkSession, d: str) -> DataFrame:
-    s = Series()
-    now = staging.bars(spark, d).select("ts", "region", s.lag("price", 1).alias("yhat"), s.lag("price", 24).alias("naive"))
-    full = blend.complete(blend.targets(staging.bars(spark, d), N_H), N_H, ["ts", "region"])
+    s = Series(("region", "block"))
+    now = grid.blocks(staging.bars(spark, d), HOUR, 2880, 24).select("ts", "region", "own", s.lag("price", 1).alias("yhat"), s.lag("price", 24).alias("naive")).where("own").drop("own")
+    full = blend.complete(filled_targets(spark, d), N_H, ["ts", "region"])
     return blend.metrics(full.join(now, ["ts", "region"]), ["h"]).withColumn("lead_hours", F.col("h") * 30 / 60)
 
 
 add(
     "metrics_by_h", _by_horizon,
-    f"with {TARGETS}, ok as (select ts, region from targets group by all having count(y) = {N_H}), now as (select ts, region, {sql.lag('price', 1)} as yhat, {sql.lag('price', 24)} as naive from bars), m as (select h, y, naive, yhat - y as e from targets join ok using (ts, region) join now using (ts, region) where y is not null and yhat is not null) select h, count(*) as n, {_metric}, {number('h * 30 / 60')} as lead_hours from m group by h",
+    f"with {FILLED}, ok as (select ts, region from targets group by all having count(y) = {N_H}), now as (select ts, region, {sql.lag('price', 1)} as yhat, {sql.lag('price', 24)} as naive from bars), m as (select h, y, naive, yhat - y as e from targets join ok using (ts, region) join now using (ts, region) where y is not null and yhat is not null) select h, count(*) as n, {_metric}, {number('h * 30 / 60')} as lead_hours from m group by h",
 )
 _all_h = range(1, N_H + 1)
 add(
     "valid_rows",
-    lambda spark, d: _by_region(
-        blend.complete(blend.targets(staging.bars(spark, d), N_H), N_H, ["ts", "region"]).withColumn("h", F.concat(F.lit("h"), F.col("h").cast("string"))),
-        lambda x: grid.wide(x, "h", [f"h{k}" for k in _all_h], ["y"]),
-    ),
-    f"with {TARGETS} select {TS}, region, " + ", ".join(f"{number(f'max(y) filter (where h = {k})')} as y_h{k}" for k in _all_h) + f" from targets group by targets.ts, region having count(y) = {N_H}",
+    lambda spark, d: blend.wide_rows(blend.complete(filled_targets(spark, d), N_H, ["ts", "region"]), N_H, ["ts", "region"], {"y": "y"}),
+    f"with {FILLED}, w as (select ts, region, list(y order by h) as a from targets group by all having count(y) = {N_H}) select {TS}, region, " + ", ".join(f"{number(f'a[{k}]')} as y_h{k}" for k in _all_h) + " from w",
 )
 
 # ---- model fits (rows only) -----------------------------------------------------------------------------------------
 
 FIT = ["price", "lag_1", "lag_24", "mean_24"]
-#: Horizons that are fitted, as rows ahead, and the rounds, depth and rate of all fits (their number is a parameter of the operators).
-FITTED = (1, 6)
+#: Rounds, depth and rate of the substitute's fits.
 BOOST = {"rounds": 8, "depth": 3, "rate": 0.3}
 
 
@@ -672,32 +672,6 @@ def _training(spark: SparkSession, d: str, h: int = 1) -> DataFrame:
     return x.withColumns({"y": y, "y_asinh": asinh100(y), "y_capped": asinh100(F.least(y, F.lit(400.0))), "is_valid": ~F.col("is_train"), **lab, **w})
 
 
-def _places(spark: SparkSession, d: str) -> DataFrame:
-    """Feature sets of the fitted horizons: the best three of FIT by mutual information."""
-    mi = select.mutual_information(candidates(spark, d), FIT, [f"y{h}" for h in FITTED])
-    scores = mi.select("feature", F.substring("target", 2, 9).cast("int").alias("h"), "mi")
-    return select.selected(scores, spark.createDataFrame([(h, 3) for h in FITTED], "h int, n int"))
-
-
-def _fit_models(spark: SparkSession, d: str) -> DataFrame:
-    """All eight models for each horizon on its own feature set, with early stopping on the later rows; written, listed, read back and applied to the later rows."""
-    chosen, parts, features = _places(spark, d), {}, {}
-    for h in FITTED:
-        parts[h] = _training(spark, d, h).persist()
-        features[h] = models.subset(parts[h], chosen, h)[1]
-    path = models.folder(spark)
-    fitted = models.fit_all(parts, models.SPECS, features, path, validation="is_valid", **BOOST)
-    listed = {(r["h"], r["model"]): r["path"] for r in models.registry(spark, list(fitted), path).collect()}
-    out = None
-    for h in FITTED:
-        scored = parts[h].where("not is_train")
-        for s in models.SPECS:
-            scored = models.predict(scored, s, models.load(listed[h, s.name]), features[h])
-        one = scored.select("ts", "region", F.lit(h).alias("h"), F.lit(",".join(features[h])).alias("features"), "y", *(s.name for s in models.SPECS))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def _quantile(spark: SparkSession, d: str) -> DataFrame:
     """p90 and p10: an absolute-loss model each, and the quantile of its residuals in the prediction's bucket."""
     x = _training(spark, d)
@@ -715,7 +689,6 @@ def _isotonic(spark: SparkSession, d: str) -> DataFrame:
     return models.calibrate(x.where("is_train"), x.where("not is_train"), "price", "y1", "calibrated").select("ts", "region", "price", "calibrated")
 
 
-add("fit_models", _fit_models)
 add("quantile_substitute", _quantile)
 _TRAIN = f"{CANDIDATES}, cut as (select quantile_cont(epoch(ts), 0.7) as t from cand), tr as (select *, epoch(ts) <= t as is_train from cand, cut where y1 is not null)"
 add(
@@ -731,18 +704,3 @@ add(
     ends as (select lo.*, fit.x as xb, fit.v as vb from lo asof left join fit on lo.x < fit.x)
     select {TS}, region, {number("x")} as price, {number("case when va is null and vb is null then x when va is null then vb when vb is null then va else va + (vb - va) * (x - xa) / (xb - xa) end")} as calibrated from ends""",
 )
-
-
-def _counts(spark: SparkSession, d: str) -> DataFrame:
-    """The best number of features of each horizon over three expanding folds."""
-    found = [models.feature_counts(select.folds(_training(spark, d, h), 3).persist(), h, FIT, [1, 2, 4], f"y{h}", n_folds=3, rounds=4) for h in FITTED]
-    return select.best_count(reduce(DataFrame.unionByName, found))
-
-
-def _importance(spark: SparkSession, d: str) -> DataFrame:
-    """Gains of the squared-loss model of each horizon."""
-    return reduce(DataFrame.unionByName, (models.importance(models.fit(_training(spark, d, h), models.SPECS[1], FIT, **BOOST), FIT, h, spark) for h in FITTED))
-
-
-add("cv_feature_count", _counts)
-add("importance", _importance)
