@@ -9,8 +9,9 @@ word forms apart. A kind is an output too, and within it a word has its share (c
 Network. A GRU over token embeddings, trained in numpy by truncated backpropagation through time; output biases start at the
 unigram model. It starts on the driver from a bounded sample (about `SAMPLE_ROWS` training documents in the order of a hash of
 doc_id, at most `SAMPLE_TOKENS` tokens of them; longer texts are passed over) and then learns from all training documents in
-`len(RATES)` rounds: each round takes the documents of one hash class, every task learns from its own ones, and the tasks' weights are
-averaged by their tokens. So the last digits of a score depend on how the input is partitioned. Scoring runs documents of similar length in lock-step, `STEPS` tokens at a time, and carries the state
+`len(RATES)` rounds: each round takes the documents of one hash class, deals them to learners by a hash of doc_id, and averages the learners' weights
+by their tokens. What a learner sees, and in which order, depends on the documents only, so a score doesn't depend on how the input is partitioned (but for single-precision
+rounding in batches of other documents). Scoring runs documents of similar length in lock-step, `STEPS` tokens at a time, and carries the state
 from window to window, so the likelihood is that of the complete text.
 
 Lookup. The words with the highest counts (all words of a count or above, at most `FREQUENT` of them) are shipped to the
@@ -39,6 +40,8 @@ FREQUENT = 200_000
 SAMPLE_ROWS, SAMPLE_TOKENS = 1200, 500_000
 STEPS, TOGETHER = 32, 1024
 STREAMS, RATES = 512, (0.002, 0.001)
+#: Tokens of a learner and of a portion that it learns from at once, and pieces in which weights are averaged.
+SHARE, PORTION, PIECES = 2_000_000, 250_000, 16
 SLICE_BYTES = 12 << 20
 END = tx.U(0x1B873593CC9E2D51)  # stands for the end token among the hashes of words
 LOG10 = np.log(10.0)
@@ -231,33 +234,73 @@ def _streams(flat: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return out.reshape(n, length), live.reshape(n, length)
 
 
-def rounds(docs: DataFrame, p: dict[str, np.ndarray], known: np.ndarray, unit: np.ndarray, n_outputs: int, end: int) -> tuple[dict[str, np.ndarray], int]:
-    """The weights after learning from every document once, and the tokens that they learnt from."""
+def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(learner, hashes, kinds) of about `PORTION` tokens at a time; rows come sorted by learner. Portions depend on a learner's own texts only, not on how rows are batched."""
+    learner, parts, size = None, [], 0
+    for batch in _slices(batches, 2):
+        ids, kinds, first = tokens(batch.column(2))
+        for who, x, y in zip(batch.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+            if (who != learner and parts) or size >= PORTION:
+                yield learner, *(np.concatenate(x) for x in zip(*parts, strict=True))
+                parts, size = [], 0
+            learner = who
+            parts.append((ids[x:y], kinds[x:y]))
+            size += y - x
+    if parts:
+        yield learner, *(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _mean(group: pa.Table) -> pa.Table:
+    """The mean of a piece of the weights, by tokens, in a fixed order."""
+    rows = sorted(zip(group["learner"].to_pylist(), group["n"].to_pylist(), group["weights"].to_pylist(), strict=True))
+    n = sum(r[1] for r in rows)
+    whole = sum(np.frombuffer(r[2]) * (r[1] / n) for r in rows)
+    return pa.table([group["piece"][:1], pa.array([rows[0][0]], pa.int64()), pa.array([n], pa.int64()), pa.array([whole.tobytes()], pa.binary())], names=["piece", "learner", "n", "weights"])
+
+
+PIECED = "piece int, learner long, n long, weights binary"
+
+
+def rounds(docs: DataFrame, p: dict[str, np.ndarray], known: np.ndarray, unit: np.ndarray, n_outputs: int, end: int, total: int) -> tuple[dict[str, np.ndarray], int]:
+    """The weights after learning from every document once, and the tokens that they learnt from. total: tokens of all documents.
+
+    Documents are dealt to learners by a hash of doc_id, so many that each has about `SHARE` tokens, and are sorted within. Spark averages the weights piece by piece, in groups of learners first.
+    """
     spark, learnt = docs.sparkSession, 0
+    learners = max(4, -(-total // len(RATES) // SHARE))
+    cut = np.cumsum([v.size for v in p.values()])[:-1]
     for i, rate in enumerate(RATES):
         shipped = spark.sparkContext.broadcast((p, known, unit))
 
         def learn(batches: Iterator[pa.RecordBatch], shipped=shipped, rate=rate) -> Iterator[pa.RecordBatch]:
             p, known, unit = shipped.value
-            own, n = Learner(p, n_outputs, end), 0
-            for batch in _slices(batches, 0):
-                flat = _units(*tokens(batch.column(0))[:2], known, unit, n_outputs)
-                if len(flat):
-                    own.run(*_streams(flat, STREAMS), lambda k: rate)
+            own, now, n = None, None, 0
+
+            def told() -> Iterator[pa.RecordBatch]:
+                if own is not None and n:
+                    flat = np.concatenate([own.p[k].ravel() for k in p]).astype(float)
+                    pieces = [x.tobytes() for x in np.array_split(flat, PIECES)]
+                    yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([now] * PIECES, pa.int64()), pa.array([n] * PIECES, pa.int64()), pa.array(pieces, pa.binary())], names=["piece", "learner", "n", "weights"])
+
+            for learner, ids, kinds in _learnt(batches):
+                if learner != now:
+                    yield from told()
+                    own, now, n = Learner(p, n_outputs, end), learner, 0
+                flat = _units(ids, kinds, known, unit, n_outputs)
+                own.run(*_streams(flat, STREAMS), lambda k: rate)
                 n += len(flat)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([b"".join(own.p[k].astype(np.float32).tobytes() for k in p)], pa.binary())], names=["n", "weights"])
-
-        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(len(RATES))) == i).select(F.col("text").cast("string"))
-        # the driver reads one file after another and keeps a sum
-        total, seen = None, 0
-        for r in scratch.keep(part.mapInArrow(learn, "n long, weights binary"), "weights").toLocalIterator():
-            got = np.frombuffer(r["weights"], np.float32).astype(float) * r["n"]
-            total, seen = got if total is None else total + got, seen + r["n"]
-        if seen:
-            cut = np.cumsum([v.size for v in p.values()])[:-1]
-            p = {k: x.reshape(v.shape).astype(np.float32) for (k, v), x in zip(p.items(), np.split(total / seen, cut), strict=True)}
-        learnt += seen
+            yield from told()
+
+        hashed = F.xxhash64("doc_id", F.lit(i))
+        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(len(RATES))) == i).select(F.pmod(hashed, F.lit(learners)).alias("learner"), F.xxhash64("doc_id", "text", F.lit(7)).alias("place"), F.col("text").cast("string").alias("text"))
+        dealt = part.repartition("learner").sortWithinPartitions("learner", "place", "text")
+        grouped = dealt.mapInArrow(learn, PIECED).groupBy("piece", F.floor(F.col("learner") / 1024)).applyInArrow(_mean, PIECED)
+        rows = sorted(grouped.groupBy("piece").applyInArrow(_mean, PIECED).collect(), key=lambda r: r["piece"])
+        shipped.destroy()
+        if rows:
+            flat = np.concatenate([np.frombuffer(r["weights"]) for r in rows])
+            p = {k: x.reshape(v.shape).astype(np.float32) for (k, v), x in zip(p.items(), np.split(flat, cut), strict=True)}
+            learnt += rows[0]["n"]
     return p, learnt
 
 
@@ -309,7 +352,7 @@ def fit(docs: DataFrame, frequent: int = FREQUENT) -> tuple[Network, DataFrame]:
     flat = flat[: len(flat) // n_streams * n_streams].reshape(n_streams, -1)
     end = int(unit[np.searchsorted(known, END)]) if END in known else n_outputs
     classes, p = train(flat, n_outputs, frequency, end)
-    p, learnt = rounds(docs, p, known, unit, n_outputs, end)
+    p, learnt = rounds(docs, p, known, unit, n_outputs, end, total)
     return Network(known, c, unit, classes, p, total, distinct, rare, learnt), counts
 
 

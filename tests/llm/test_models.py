@@ -380,6 +380,33 @@ def test_lm_learns_from_all_training_documents(spark, monkeypatch):
     assert got["score"] > 0.85 * got["base_score"]
 
 
+def test_lm_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    """Weights are equal to the last bit however rows are partitioned and batched; scores to single precision."""
+    monkeypatch.setattr(lm, "SHARE", 3000)
+    monkeypatch.setattr(lm, "PORTION", 700)
+    rows = [(i, t) for i, (_, t) in enumerate(lm_corpus() * 3)] + [(7, "same id"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    made = []
+    for parts, batch in ((1, "10000"), (8, "3"), (32, "50")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        net, counts = lm.fit(docs.repartition(parts))
+        made.append((net, sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["score"]) for r in lm.score(docs.repartition(parts), net, counts).collect())))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for net, got in made[1:]:
+        assert all((net.p[k] == made[0][0].p[k]).all() for k in net.p)
+        assert [r[:3] for r in got] == [r[:3] for r in made[0][1]] and np.allclose([r[3] for r in got], [r[3] for r in made[0][1]], rtol=1e-6, atol=1e-6)
+
+
+def test_lm_portions_are_a_matter_of_each_learner():
+    table = pa.table({"learner": [0, 0, 0, 1], "place": [0, 1, 2, 3], "text": ["a b", None, "c", "d e f"]})
+    for size in (1, 2, 9):
+        got = [(k, len(ids)) for k, ids, _ in lm._learnt(iter(table.to_batches(max_chunksize=size)))]
+        assert got == [(0, 6), (1, 4)]
+
+
 def test_kinds_of_words_are_told_by_their_endings():
     words = ["running", "singing", "singing,", "x", "x.", ".", "12", "37", "37.", "año", "niño", "", "running gag"]
     got = [lm.tokens(pa.array([w]))[1].tolist() for w in words]
