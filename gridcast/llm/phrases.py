@@ -8,8 +8,8 @@ common first words a part of the second) and merged: a sum of each n-gram within
 
 Passes. A phrase is frequent only if its words and its pairs are, so three passes over the texts suffice:
   * words: those of `LEAST` occurrences or more are frequent, and all words together are n;
-  * pairs of two frequent words;
-  * all phrases of 3 to 5 words within runs of frequent pairs.
+  * pairs of two frequent words, only to tell which may be frequent: a run has 32 bits of the second word, so a count may be too large, never too small;
+  * all phrases of 2 to 5 words within runs of such pairs, counted by their whole ids.
 Frequent words and pairs are told by Bloom filters of at most `MOST_BITS` bits; what one lets through wrongly costs a row and changes nothing.
 
 Scoring. Frequent phrases meet the frequent words' texts, and every cut of a phrase meets the counts of its two parts, in joins; so do the
@@ -37,6 +37,8 @@ from gridcast.llm import text as tx
 LONGEST, LEAST, TOP, PERCENT = 5, 100, 2000, 100
 #: Entries of one container, and of a task's trie (48 bytes each for pairs).
 BURST, MOST_ENTRIES = 1 << 15, 1 << 20
+#: Words of all texts for each part that runs of pairs are merged by; a word of more than one in SHARES of them is common.
+PART_WORDS, SHARES = 4_000_000, 1000
 #: Bytes of text handled at once.
 CHUNK = 2 << 20
 #: Bits of a Bloom filter: some 16 for each entry, 32 MB at most.
@@ -237,46 +239,99 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from map(batch_of, trie.rest())
 
 
-def _counts(n: int):
-    """Rows of words' ids and c of entries of n words."""
+def _counts(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    """Rows of words' ids (null beyond a phrase's last) and c."""
+    columns = [pa.array(tx.signed(r), mask=r == 0) for r in rows[2:]]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(rows[1])], names=[*WORDS, "c"])
+
+
+def encoded(c: np.ndarray, one: np.ndarray, two: np.ndarray) -> bytes:
+    """A sorted run of pairs: each first word once with the number of its rows, then 32 bits of each second word and a byte of each count (255: it stands apart)."""
+    first = np.flatnonzero(np.concatenate(([True], one[1:] != one[:-1]))) if len(one) else np.zeros(0, np.int64)
+    large = np.flatnonzero(c >= 255)
+    parts = (np.array([len(first), len(c), len(large)]), one[first], np.diff(np.append(first, len(c))), c[large], two.astype(np.uint32), np.minimum(c, 255).astype(np.uint8))
+    return b"".join(p.tobytes() for p in parts)
 
-    def batch_of(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        none = pa.nulls(len(rows[0]), pa.int64())
-        columns = [pa.array(tx.signed(r), mask=r == 0) if i < n else none for i, r in enumerate((*rows[2:], *[None] * (LONGEST - n)))]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(rows[1])], names=[*WORDS, "c"])
 
-    return batch_of
+def decoded(run: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(c, first word, 32 bits of the second word) of the rows of a run."""
+    groups, n, large = np.frombuffer(run, np.int64, 3).tolist()
+    one, size, extra = (np.frombuffer(run, t, k, 24 + 8 * at) for t, k, at in ((tx.U, groups, 0), (np.int64, groups, groups), (np.int64, large, 2 * groups)))
+    at = 24 + 8 * (2 * groups + large)
+    two, c = np.frombuffer(run, np.uint32, n, at), np.frombuffer(run, np.uint8, n, at + 4 * n).astype(np.int64)
+    c[c == 255] = extra
+    return c, np.repeat(one, size), two
 
 
-def _pairs(shipped):
+def _pairs(shipped, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of frequent words."""
-        trie, batch_of, words = HatTrie(2), _counts(2), shipped.value
+        """Sorted runs of pairs of frequent words, cut by prefix: by the first word, and for a common one by some of the second."""
+        words, common = shipped.value
+        trie = HatTrie(2)
+
+        def cut(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            _, c, one, two = rows
+            at = np.searchsorted(common, one)
+            at[at == len(common)] = 0
+            often = common[at] == one if len(common) else np.zeros(len(one), bool)
+            part = tx.mix(one ^ np.where(often, (two & tx.U(63)) + tx.U(1), tx.U(0)), 0x35) % tx.U(parts)
+            order = np.argsort(part, kind="stable")
+            part, c, one, two = part[order], c[order], one[order], two[order]
+            edge = [*np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))).tolist(), len(part)]
+            runs = [encoded(c[a:b], one[a:b], two[a:b]) for a, b in zip(edge, edge[1:], strict=False)]
+            return pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]].astype(np.int64)), pa.array(runs, pa.binary())], names=["part", "run"])
+
         for batch in batches:
             for chunk, _ in _chunks(batch):
                 good = holds(words, chunk.ids)
                 at = np.flatnonzero(good[:-1] & good[1:] & (chunk.left[:-1] > 1))
-                yield from map(batch_of, trie.add(chunk.grams(at, 2, 2)))
-        yield from map(batch_of, trie.rest())
+                yield from map(cut, trie.add(chunk.grams(at, 2, 2)))
+        yield from map(cut, trie.rest())
+
+    return run
+
+
+def _often(runs: list[bytes], least: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of one prefix part whose counts over all runs are large enough."""
+    if runs:
+        c, one, two = (np.concatenate(x) for x in zip(*map(decoded, runs), strict=True))
+        order = np.lexsort((two, one))
+        c, one, two = c[order], one[order], two[order]
+        first = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
+        keep = first[np.add.reduceat(c, first) >= least]
+        yield pa.RecordBatch.from_arrays([pa.array(tx.signed(one[keep])), pa.array(two[keep].astype(np.int64))], names=["w1", "w2"])
+
+
+def _merged_runs(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Merges the runs of each part; rows come sorted by part."""
+        now, runs = None, []
+        for batch in batches:
+            for part, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != now:
+                    yield from _often(runs, least)
+                    now, runs = part, []
+                runs.append(own)
+        yield from _often(runs, least)
 
     return run
 
 
 def _long(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Phrases of three words or more whose pairs are all frequent."""
-        trie, batch_of, pairs = HatTrie(LONGEST), _counts(LONGEST), shipped.value
+        """Phrases whose pairs all pass the filter."""
+        trie, pairs = HatTrie(LONGEST), shipped.value
         for batch in batches:
             for chunk, _ in _chunks(batch):
                 at = np.flatnonzero(chunk.left > 1)
                 good = np.zeros(len(chunk.ids) + 1, bool)
-                good[at] = holds(pairs, pair_key(chunk.ids[at], chunk.ids[at + 1]))
-                # frequent pairs in a row from each word on
+                good[at] = holds(pairs, pair_key(chunk.ids[at], chunk.ids[at + 1] & tx.U(0xFFFFFFFF)))
+                # pairs in a row from each word on
                 bad = np.flatnonzero(~good)
                 run_ = bad[np.searchsorted(bad, np.arange(len(chunk.ids)))] - np.arange(len(chunk.ids))
-                parts = [chunk.grams(np.flatnonzero(run_ >= k - 1), k, LONGEST) for k in range(3, LONGEST + 1)]
-                yield from map(batch_of, trie.add(tuple(np.concatenate(x) for x in zip(*parts, strict=True))))
-        yield from map(batch_of, trie.rest())
+                parts = [chunk.grams(np.flatnonzero(run_ >= k - 1), k, LONGEST) for k in range(2, LONGEST + 1)]
+                yield from map(_counts, trie.add(tuple(np.concatenate(x) for x in zip(*parts, strict=True))))
+        yield from map(_counts, trie.rest())
 
     return run
 
@@ -350,14 +405,16 @@ def count(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     every = scratch.keep(every, "words")
     totals = scratch.keep(every.groupBy("lang").agg(F.sum("c").alias("n")), "totals")
     words = scratch.keep(every.where(F.col("c") >= LEAST).withColumn("word", F.col("word").cast("string")), "frequent")
-    shipped = spark.sparkContext.broadcast(bloom(words.select("w"), words.count()))
-    pairs = scratch.keep(_merged(docs.mapInArrow(_pairs(shipped), COUNTED)), "pairs")
+    whole = totals.agg(F.sum("n")).first()[0] or 0
+    common = np.sort(np.array([r["w"] for r in words.where(F.col("c") > whole / SHARES).select("w").collect()], np.int64).view(tx.U))  # fewer than SHARES
+    shipped = spark.sparkContext.broadcast((bloom(words.select("w"), words.count()), common))
+    runs = docs.mapInArrow(_pairs(shipped, max(1, -(-whole // PART_WORDS))), "part long, run binary").repartition("part").sortWithinPartitions("part")
+    pairs = scratch.keep(runs.mapInArrow(_merged_runs(LEAST), "w1 long, w2 long"), "pairs")
     shipped.destroy()
-    shipped = spark.sparkContext.broadcast(bloom(pairs.select("w1", "w2"), pairs.count()))
-    long = scratch.keep(_merged(docs.mapInArrow(_long(shipped), COUNTED)), "phrases")
+    shipped = spark.sparkContext.broadcast(bloom(pairs, pairs.count()))
+    phrases = scratch.keep(_merged(docs.mapInArrow(_long(shipped), COUNTED)), "phrases")
     shipped.destroy()
-    named = _named(pairs.unionByName(long), words)
-    return totals, scratch.keep(words.select("lang", F.array("word").alias("words"), F.col("c").alias("a")).unionByName(named), "named")
+    return totals, scratch.keep(words.select("lang", F.array("word").alias("words"), F.col("c").alias("a")).unionByName(_named(phrases, words)), "named")
 
 
 def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:

@@ -266,6 +266,27 @@ def test_a_trie_counts_bursts_and_spills(monkeypatch):
     assert got == want and spilled > 3
 
 
+def test_runs_of_pairs_are_read_as_written():
+    rng = np.random.default_rng(8)
+    one = np.sort(rng.integers(0, 1 << 63, 40, np.uint64)[rng.integers(0, 40, 300)])
+    two, c = rng.integers(0, 1 << 63, 300, np.uint64), rng.choice([1, 2, 254, 255, 256, 10**12], 300)
+    got = phrases.decoded(phrases.encoded(c, one, two))
+    assert (got[0] == c).all() and (got[1] == one).all() and (got[2] == (two & np.uint64(0xFFFFFFFF))).all()
+    assert [len(x) for x in phrases.decoded(phrases.encoded(*(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64))))] == [0, 0, 0]
+
+
+def test_pairs_taken_for_frequent_change_nothing(spark, monkeypatch):
+    """The pass over pairs may take too many (short ids that meet); counts come from whole ids."""
+    monkeypatch.setattr(phrases, "LEAST", 3)
+    monkeypatch.setattr(phrases, "PART_WORDS", 5)
+    monkeypatch.setattr(phrases, "SHARES", 4)
+    merge = phrases._merged_runs
+    monkeypatch.setattr(phrases, "_merged_runs", lambda least: merge(1))  # takes all pairs for frequent
+    rows = [("en", "a b a c a d b c d e " * 2), ("en", "a b. a c! b d e a"), ("de", "a b a b a b")]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string").repartition(3)
+    assert sorted(map(tuple, phrases.collocations(docs).collect())) == brute_phrases(rows, 3, 100, 2000)
+
+
 def test_a_filter_lets_all_of_its_keys_through(spark):
     ids = spark.range(3000).select(F.xxhash64("id").alias("w1"))
     bits = phrases.bloom(ids, 3000)
