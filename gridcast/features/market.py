@@ -66,9 +66,10 @@ def system(s: Series, dispatched: bool = True) -> Family:
     return out
 
 
-def demand(s: Series, year: int = 17532, long: Sequence[int] = (672, 2016)) -> Family:
+def demand(s: Series, year: int = 17532, long: Sequence[int] = (672, 2016), means: dict[int, Column] | None = None) -> Family:
+    """means: the means of some windows, if they are columns already."""
     out = {f"demand_lag_{k}": s.lag("demand", k) for k in (48, 96, 336, 672)} | {"demand_lag_annual": s.lag("demand", year)}
-    out |= {f"demand_long_rmean_{w}": s.roll("mean", "demand", w, w // 2) for w in long}
+    out |= {f"demand_long_rmean_{w}": (means or {}).get(w, s.roll("mean", "demand", w, w // 2)) for w in long}
     return out | {f"demand_rmean_{w}": s.roll("mean", "demand", w, 1) for w in (4, 24, 48, 96)}
 
 
@@ -91,20 +92,21 @@ def coal(s: Series, most: float, x: str = "coal_mw", drop: float = 600.0) -> Fam
 
 
 def gas(s: Series, x: str = "gas_price", day: int = 48, regime: int = 8640, ranks: Sequence[Column] | None = None) -> Family:
-    """day: rows of a day; the lags and windows are 1, 2, 7 and 30 days. ranks: the week's rank, the month's rank and the regime's quantile, if they are columns already."""
+    """day: rows of a day; the lags and windows are 1, 2, 7 and 30 days. ranks: the week's rank, the month's rank, the regime's quantile and the means of both, if they are columns already."""
     g, week, month = F.col(x), 7 * day, 30 * day
-    one, two, high = ranks or (s.pct_rank(g, week, day // 2), s.pct_rank(g, month, week), s.quantile(g, 0.75, regime, week))
+    one, two, high, *means = ranks or (s.pct_rank(g, week, day // 2), s.pct_rank(g, month, week), s.quantile(g, 0.75, regime, week), s.roll("mean", g, week, 1), s.roll("mean", g, month, 1))
     out = {"gas_srmc": g * 10} | {f"gas_lag_{k}": s.lag(g, k) for k in (day, 2 * day, week, month)}
-    out |= {f"gas_rmean_{w}": s.roll("mean", g, w, 1) for w in (week, month)}
+    out |= {f"gas_rmean_{w}": m for w, m in zip((week, month), means, strict=True)}
     out |= {f"gas_roc_{k}": clip(ratio(s.diff(g, k), s.lag(g, k), 0.01), -2, 2) for k in (week, month)}
-    out |= {"gas_spread": g - s.roll("mean", g, month, 1), f"gas_pct_rank_{week}": one, f"gas_pct_rank_{month}": two}
+    out |= {"gas_spread": g - means[1], f"gas_pct_rank_{week}": one, f"gas_pct_rank_{month}": two}
     return out | {"gas_regime_high": flag(g > high)}
 
 
 def with_ranks(df: DataFrame, step: int, x: str = "gas_price", day: int = 48, regime: int = 8640, keys: Sequence[str] = ("region",)) -> tuple[DataFrame, list[Column]]:
-    """Adds the long ranks and the quantile that `gas` needs, by sorted windows; returns their columns as well."""
+    """Adds the long ranks, the quantile and the means that `gas` needs, all windows of a block at once; returns their columns as well."""
     week, month = 7 * day, 30 * day
     made = [windows.Rolled("__week", x, week, day // 2), windows.Rolled("__month", x, month, week), windows.Rolled("__high", x, regime, week, 0.75)]
+    made += [windows.Rolled(f"__mean_{w}", x, w, 1, None, "mean") for w in (week, month)]
     return windows.rolled(df, made, step, keys), [F.col(m.name) for m in made]
 
 

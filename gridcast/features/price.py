@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.functions.scalar import asinh100, clip, cos_turn, flag, row_min, row_sum, sin_turn
-from gridcast.operators.grid import blocks, wide
-from gridcast.operators.rolling import Series, wide_extreme, wide_mean
+from gridcast.operators import windows
+from gridcast.operators.grid import wide
+from gridcast.operators.rolling import Series
 
 # The lags and windows that define the families.
 ASINH_LAGS = (1, 2, 4, 12, 48, 96, 336, 335, 337)
@@ -53,24 +54,14 @@ def long_range(s: Series, x: str = "price", base: int = YEAR, w: int = 96, least
     return out
 
 
-def rolling(s: Series, x: str = "price", windows: Sequence[int] = WINDOWS) -> Family:
-    return {f"r{agg}_{w}": s.roll(agg, x, w, max(1, w // 2)) for w in windows for agg in ("mean", "std", "max", "min")}
-
-
-def rolling_long(df: DataFrame, step: int, x: str = "price", windows: Sequence[int] = WINDOWS, wide: int = 672, keys: Sequence[str] = ("region",), rows: int = 8640) -> DataFrame:
-    """The rolling family as columns of ts, keys: short windows as sliding frames, those of `wide` rows or more in their linear forms; in blocks with a halo."""
-    cut = blocks(df.select("ts", *keys, x), step, rows, max(windows) - 1)
-    by = [*keys, "block"]
-    s = Series(by)
-    short = [w for w in windows if w < wide]
-    out = cut.select("*", *(c.alias(n) for n, c in rolling(s, x, short).items()))
-    for w in windows:
-        if w >= wide:
-            for agg in ("mean", "std"):
-                out = wide_mean(out, x, w, w // 2, f"r{agg}_{w}", by, agg=agg)
-            for agg in ("max", "min"):
-                out = wide_extreme(out, x, w, w // 2, f"r{agg}_{w}", step, by, agg=agg)
-    return out.where("own").select("ts", *keys, *(f"r{agg}_{w}" for w in windows for agg in ("mean", "std", "max", "min")))
+def rolling(s: Series, x: str = "price", spans: Sequence[int] = WINDOWS) -> Family:
+    return {f"r{agg}_{w}": s.roll(agg, x, w, max(1, w // 2)) for w in spans for agg in ("mean", "std", "max", "min")}
+
+
+def rolling_long(df: DataFrame, step: int, x: str = "price", spans: Sequence[int] = WINDOWS, keys: Sequence[str] = ("region",), rows: int = 8640) -> DataFrame:
+    """The rolling family as columns of ts, keys: all windows of a block at once, from the same running sums and block extremes."""
+    made = [windows.Rolled(f"r{agg}_{w}", x, w, max(1, w // 2), None, agg) for w in spans for agg in ("mean", "std", "max", "min")]
+    return windows.rolled(df.select("ts", *keys, x), made, step, keys, rows=rows).drop(x)
 
 
 def regime(s: Series, x: str = "price", spike: float = 300.0) -> Family:

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridcast.operators import grid
-
 
 def null_profile(df: DataFrame, columns: Sequence[str], ts: str = "ts") -> DataFrame:
     """Missing values of each column, in number and share, by year and in total (year null)."""
@@ -24,6 +22,22 @@ def completeness(df: DataFrame, step: int, keys: Sequence[str] = (), ts: str = "
     return out.withColumn("expected", expected).withColumn("missing", F.col("expected") - F.col("actual"))
 
 
-def missing_times(df: DataFrame, step: int, ts: str = "ts") -> DataFrame:
-    """Grid times between the first and the last that no row has."""
-    return grid.calendar(grid.bounds(df, ts), step, ts).join(df.select(ts).distinct(), ts, "left_anti")
+def gaps(df: DataFrame, step: int, keys: Sequence[str] = (), ts: str = "ts", rows: int = 2880) -> DataFrame:
+    """(keys, begin, steps): runs of grid times between the first and the last of a series that no row has.
+
+    Neighbours within blocks of `rows` steps, and blocks' ends against the next block with rows: the second window has one row for each block.
+    """
+    x = df.select(*keys, F.unix_timestamp(ts).alias("__t")).withColumn("__block", F.floor(F.col("__t") / (step * rows)))
+    x = x.repartition(*keys, "__block").distinct()
+    after = F.lead("__t").over(Window.partitionBy(*keys, "__block").orderBy("__t"))
+    inside = x.withColumn("__next", after).where(F.col("__next") - F.col("__t") > step).select(*keys, "__t", "__next")
+    ends = x.groupBy(*keys, "__block").agg(F.min("__t").alias("__first"), F.max("__t").alias("__t"))
+    between = ends.withColumn("__next", F.lead("__first").over(Window.partitionBy(*keys).orderBy("__block"))).where(F.col("__next") - F.col("__t") > step).select(*keys, "__t", "__next")
+    found = inside.unionByName(between)
+    return found.select(*keys, F.timestamp_seconds(F.col("__t") + step).alias("begin"), F.ceil((F.col("__next") - F.col("__t")) / step - 1).alias("steps"))
+
+
+def missing_times(df: DataFrame, step: int, ts: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
+    """Grid times between the first and the last of each series that no row has: its gaps, written out."""
+    k = F.explode(F.sequence(F.lit(0), F.col("steps").cast("int") - 1)).alias("__k")
+    return gaps(df, step, keys, ts).select(*keys, "begin", k).select(*keys, F.timestamp_seconds(F.unix_timestamp("begin") + F.col("__k") * step).alias(ts))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -389,9 +388,15 @@ stood_query("feat_demand", lambda s: market.demand(s, 500, (48, 672)), 672, fs.d
 stood_query("feat_stress", market.stress, 336, fs.stress())
 stood_query("feat_coal", lambda s: market.coal(s, 2000.0, drop=60.0), 336, fs.coal(2000.0, 60.0))
 stood_query("feat_gas", lambda s: market.gas(s, day=6, regime=400), 400, fs.gas(6, 400))
+def _demand_fine(spark: SparkSession, d: str) -> DataFrame:
+    means = {w: f"__mean_{w}" for w in (672, 2016)}
+    x = windows.rolled(staging.fine(spark, d), [windows.Rolled(n, "demand", w, w // 2, None, "mean") for w, n in means.items()], staging.FINE)
+    return family(x, lambda s: market.demand(s, 4032, means={w: F.col(n) for w, n in means.items()}), 4032, 0, 8640, staging.FINE)
+
+
 add(
     "feat_demand_fine",
-    lambda spark, d: family(staging.fine(spark, d), lambda s: market.demand(s, 4032), 4032, 0, 8640, staging.FINE),
+    _demand_fine,
     f"with {staging.FINE_BARS} {sql.select(fs.demand(4032, (672, 2016)), 'fine')}",
 )
 
@@ -495,14 +500,9 @@ add(
 )
 
 
-def _by_region(rows: DataFrame, query) -> DataFrame:
-    """The rows of a query on one region's rows, for every region in turn."""
-    return reduce(DataFrame.unionByName, (query(rows.where(F.col("region") == r)).withColumn("region", F.lit(r)) for r in staging.REGIONS))
-
-
 add(
     "missing_times",
-    lambda spark, d: _by_region(staging.bars(spark, d).where("price is not null"), lambda x: quality.missing_times(x.select("ts"), HOUR)),
+    lambda spark, d: quality.missing_times(staging.bars(spark, d).where("price is not null"), HOUR, keys=["region"]),
     f"with {staging.BARS}, g as (select region, ts from bars where price is not null), a as (select region, unnest(generate_series(min(ts), max(ts), interval 1 hour)) as ts from g group by region) select {TS}, region from a where (region, ts) not in (select (region, ts) from g)",
 )
 add(

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridcast.operators import models, policy, quantiles, rolling, select, windows
+from gridcast.operators import models, policy, quality, quantiles, rolling, select, windows
 from gridcast.operators.asof import carried_vintage, vintage_columns
 from gridcast.sources import ingest, sinks
 
@@ -160,3 +160,36 @@ def test_feature_sets_of_a_horizon(spark):
 def test_entry_without_the_corpus_operators():
     code = "import sys; sys.modules['gridcast.llm.queries'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q) and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_long_windows_equal_pandas():
+    rng = random.Random(7)
+    for n in (1, 5, 333):
+        x = pd.Series([rng.choice([float("nan"), float(rng.randrange(4)), rng.random() * 1e4]) for _ in range(n)])
+        line = windows.Line(x.to_numpy())
+        for w, least in ((1, 1), (7, 3), (64, 20), (500, 1)):
+            roll = x.rolling(w, min_periods=least)
+            for agg, want in (("mean", roll.mean()), ("sum", roll.sum()), ("std", roll.std()), ("min", roll.min()), ("max", roll.max())):
+                got = pd.Series(line.made(windows.Rolled("", "", w, least, None, agg)))
+                pd.testing.assert_series_equal(got, want, check_names=False, rtol=1e-9, atol=1e-6)
+
+
+def test_order_statistics_of_equal_and_no_values():
+    for x in ([], [float("nan")] * 4, [3.0] * 9, [3.0] * 9 + [float("nan")] + [2.0] * 8):
+        s = pd.Series(x, dtype=float)
+        for q, want in ((None, s.rolling(5, min_periods=2).rank(pct=True)), (0.4, s.rolling(5, min_periods=2).quantile(0.4))):
+            got = pd.Series(list(windows.walk(x, 5, 2, q)), dtype=float)
+            pd.testing.assert_series_equal(got, want, check_names=False)
+
+
+def test_gaps_are_runs_across_blocks(spark):
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    there = {"a": [0, 1, 5, 6, 30], "b": [3], "c": [0, 0, 2]}
+    df = spark.createDataFrame([(k, at(h)) for k, own in there.items() for h in own], "k string, ts timestamp")
+    for rows in (1, 4, 100):
+        found = {(r["k"], r["begin"], r["steps"]) for r in quality.gaps(df, 3600, ["k"], rows=rows).collect()}
+        assert found == {("a", at(2), 3), ("a", at(7), 23), ("c", at(1), 1)}
+    missing = quality.missing_times(df, 3600, keys=["k"])
+    assert sorted((r["k"], r["ts"]) for r in missing.collect()) == sorted([("a", at(h)) for h in (2, 3, 4, *range(7, 30))] + [("c", at(1))])
+    plan = quality.missing_times(df, 3600, keys=["k"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == 3 and "Join" not in plan  # the first one stands twice, and is used again
