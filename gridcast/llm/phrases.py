@@ -50,7 +50,7 @@ _INSIDE[list(b".,;:!?\x0a\x0b\x0c\x0d")] = False
 _WORD = _INSIDE.copy()
 _WORD[list(b" \t")] = False
 WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
-COUNTED = ", ".join(f"{w} long" for w in WORDS) + ", c long"
+RUNS = "part long, run binary"
 
 
 class Container:
@@ -239,48 +239,48 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from map(batch_of, trie.rest())
 
 
-def _counts(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    """Rows of words' ids (null beyond a phrase's last) and c."""
-    columns = [pa.array(tx.signed(r), mask=r == 0) for r in rows[2:]]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(rows[1])], names=[*WORDS, "c"])
-
-
-def encoded(c: np.ndarray, one: np.ndarray, two: np.ndarray) -> bytes:
-    """A sorted run of pairs: each first word once with the number of its rows, then 32 bits of each second word and a byte of each count (255: it stands apart)."""
+def encoded(c: np.ndarray, one: np.ndarray, rest: list[np.ndarray]) -> bytes:
+    """A sorted run: each first word once with the number of its rows, then the further columns and a byte of each count (255: it stands apart)."""
     first = np.flatnonzero(np.concatenate(([True], one[1:] != one[:-1]))) if len(one) else np.zeros(0, np.int64)
     large = np.flatnonzero(c >= 255)
-    parts = (np.array([len(first), len(c), len(large)]), one[first], np.diff(np.append(first, len(c))), c[large], two.astype(np.uint32), np.minimum(c, 255).astype(np.uint8))
+    parts = (np.array([len(first), len(c), len(large)]), one[first], np.diff(np.append(first, len(c))), c[large], *rest, np.minimum(c, 255).astype(np.uint8))
     return b"".join(p.tobytes() for p in parts)
 
 
-def decoded(run: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(c, first word, 32 bits of the second word) of the rows of a run."""
+def decoded(run: bytes, columns: int, kind: type) -> tuple[np.ndarray, ...]:
+    """(c, first word, further columns of that kind) of the rows of a run."""
     groups, n, large = np.frombuffer(run, np.int64, 3).tolist()
     one, size, extra = (np.frombuffer(run, t, k, 24 + 8 * at) for t, k, at in ((tx.U, groups, 0), (np.int64, groups, groups), (np.int64, large, 2 * groups)))
-    at = 24 + 8 * (2 * groups + large)
-    two, c = np.frombuffer(run, np.uint32, n, at), np.frombuffer(run, np.uint8, n, at + 4 * n).astype(np.int64)
+    at, wide = 24 + 8 * (2 * groups + large), np.dtype(kind).itemsize * n
+    rest = [np.frombuffer(run, kind, n, at + i * wide) for i in range(columns)]
+    c = np.frombuffer(run, np.uint8, n, at + columns * wide).astype(np.int64)
     c[c == 255] = extra
-    return c, np.repeat(one, size), two
+    return c, np.repeat(one, size), *rest
+
+
+def _cut(common: np.ndarray, parts: int, kind: type):
+    """Cuts a sorted run by prefix: by the first word, and for a common one by some of the second. kind: of what is kept of the further words."""
+
+    def cut(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        _, c, one, *rest = rows
+        at = np.searchsorted(common, one)
+        at[at == len(common)] = 0
+        often = common[at] == one if len(common) else np.zeros(len(one), bool)
+        part = tx.mix(one ^ np.where(often, (rest[0] & tx.U(63)) + tx.U(1), tx.U(0)), 0x35) % tx.U(parts)
+        order = np.argsort(part, kind="stable")
+        part, c, one, rest = part[order], c[order], one[order], [r[order].astype(kind) for r in rest]
+        edge = [*np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))).tolist(), len(part)]
+        runs = [encoded(c[a:b], one[a:b], [r[a:b] for r in rest]) for a, b in zip(edge, edge[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]].astype(np.int64)), pa.array(runs, pa.binary())], names=["part", "run"])
+
+    return cut
 
 
 def _pairs(shipped, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted runs of pairs of frequent words, cut by prefix: by the first word, and for a common one by some of the second."""
+        """Runs of pairs of frequent words, with 32 bits of the second one."""
         words, common = shipped.value
-        trie = HatTrie(2)
-
-        def cut(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            _, c, one, two = rows
-            at = np.searchsorted(common, one)
-            at[at == len(common)] = 0
-            often = common[at] == one if len(common) else np.zeros(len(one), bool)
-            part = tx.mix(one ^ np.where(often, (two & tx.U(63)) + tx.U(1), tx.U(0)), 0x35) % tx.U(parts)
-            order = np.argsort(part, kind="stable")
-            part, c, one, two = part[order], c[order], one[order], two[order]
-            edge = [*np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))).tolist(), len(part)]
-            runs = [encoded(c[a:b], one[a:b], two[a:b]) for a, b in zip(edge, edge[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]].astype(np.int64)), pa.array(runs, pa.binary())], names=["part", "run"])
-
+        trie, cut = HatTrie(2), _cut(common, parts, np.uint32)
         for batch in batches:
             for chunk, _ in _chunks(batch):
                 good = holds(words, chunk.ids)
@@ -291,36 +291,11 @@ def _pairs(shipped, parts: int):
     return run
 
 
-def _often(runs: list[bytes], least: int) -> Iterator[pa.RecordBatch]:
-    """The pairs of one prefix part whose counts over all runs are large enough."""
-    if runs:
-        c, one, two = (np.concatenate(x) for x in zip(*map(decoded, runs), strict=True))
-        order = np.lexsort((two, one))
-        c, one, two = c[order], one[order], two[order]
-        first = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
-        keep = first[np.add.reduceat(c, first) >= least]
-        yield pa.RecordBatch.from_arrays([pa.array(tx.signed(one[keep])), pa.array(two[keep].astype(np.int64))], names=["w1", "w2"])
-
-
-def _merged_runs(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Merges the runs of each part; rows come sorted by part."""
-        now, runs = None, []
-        for batch in batches:
-            for part, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if part != now:
-                    yield from _often(runs, least)
-                    now, runs = part, []
-                runs.append(own)
-        yield from _often(runs, least)
-
-    return run
-
-
-def _long(shipped):
+def _long(shipped, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Phrases whose pairs all pass the filter."""
-        trie, pairs = HatTrie(LONGEST), shipped.value
+        """Runs of phrases whose pairs all pass the filter."""
+        pairs, common = shipped.value
+        trie, cut = HatTrie(LONGEST), _cut(common, parts, tx.U)
         for batch in batches:
             for chunk, _ in _chunks(batch):
                 at = np.flatnonzero(chunk.left > 1)
@@ -329,13 +304,43 @@ def _long(shipped):
                 # pairs in a row from each word on
                 bad = np.flatnonzero(~good)
                 run_ = bad[np.searchsorted(bad, np.arange(len(chunk.ids)))] - np.arange(len(chunk.ids))
-                parts = [chunk.grams(np.flatnonzero(run_ >= k - 1), k, LONGEST) for k in range(2, LONGEST + 1)]
-                yield from map(_counts, trie.add(tuple(np.concatenate(x) for x in zip(*parts, strict=True))))
-        yield from map(_counts, trie.rest())
+                grams = [chunk.grams(np.flatnonzero(run_ >= k - 1), k, LONGEST) for k in range(2, LONGEST + 1)]
+                yield from map(cut, trie.add(tuple(np.concatenate(x) for x in zip(*grams, strict=True))))
+        yield from map(cut, trie.rest())
 
     return run
 
 
+def _often(runs: list[bytes], least: int, columns: int, kind: type) -> Iterator[pa.RecordBatch]:
+    """The n-grams of one prefix part whose counts over all runs are large enough."""
+    if runs:
+        c, *words = (np.concatenate(x) for x in zip(*(decoded(r, columns, kind) for r in runs), strict=True))
+        order = np.lexsort(words[::-1])
+        c, words = c[order], [w[order].astype(tx.U) for w in words]
+        first = np.flatnonzero(np.concatenate(([True], np.any([w[1:] != w[:-1] for w in words], 0))))
+        total = np.add.reduceat(c, first)
+        keep = first[total >= least]
+        ids = [pa.array(tx.signed(w[keep]), mask=w[keep] == 0) for w in words]
+        yield pa.RecordBatch.from_arrays([*ids, pa.array(total[total >= least])], names=[*WORDS[: columns + 1], "c"])
+
+
+def _merged(runs: DataFrame, columns: int, kind: type) -> DataFrame:
+    """Merges the runs of each part: its n-grams (w1, w2, ..., c) with enough occurrences."""
+    least = LEAST
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, []
+        for batch in batches:
+            for part, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != now:
+                    yield from _often(own, least, columns, kind)
+                    now, own = part, []
+                own.append(one)
+        yield from _often(own, least, columns, kind)
+
+    return runs.repartition("part").sortWithinPartitions("part").mapInArrow(run, ", ".join(f"{w} long" for w in WORDS[: columns + 1]) + ", c long")
+
+
 # ---- filters ----
 
 
@@ -381,12 +386,6 @@ def bloom(rows: DataFrame, n: int) -> np.ndarray:
 # ---- merging and scoring ----
 
 
-def _merged(runs: DataFrame) -> DataFrame:
-    """Sums of the runs of each prefix: the first word, and a sixty-fourth of the second words."""
-    dealt = runs.withColumn("part", F.pmod(F.xxhash64("w2"), F.lit(64))).repartition(F.col("w1"), F.col("part"))
-    return dealt.groupBy("w1", "part", *WORDS[1:]).agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST).drop("part")
-
-
 def _named(phrases: DataFrame, words: DataFrame) -> DataFrame:
     """lang, words (array), a of phrases given by their ids."""
     out = phrases
@@ -407,12 +406,12 @@ def count(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     words = scratch.keep(every.where(F.col("c") >= LEAST).withColumn("word", F.col("word").cast("string")), "frequent")
     whole = totals.agg(F.sum("n")).first()[0] or 0
     common = np.sort(np.array([r["w"] for r in words.where(F.col("c") > whole / SHARES).select("w").collect()], np.int64).view(tx.U))  # fewer than SHARES
+    parts = max(1, -(-whole // PART_WORDS))
     shipped = spark.sparkContext.broadcast((bloom(words.select("w"), words.count()), common))
-    runs = docs.mapInArrow(_pairs(shipped, max(1, -(-whole // PART_WORDS))), "part long, run binary").repartition("part").sortWithinPartitions("part")
-    pairs = scratch.keep(runs.mapInArrow(_merged_runs(LEAST), "w1 long, w2 long"), "pairs")
+    pairs = scratch.keep(_merged(docs.mapInArrow(_pairs(shipped, parts), RUNS), 1, np.uint32), "pairs")
     shipped.destroy()
-    shipped = spark.sparkContext.broadcast(bloom(pairs, pairs.count()))
-    phrases = scratch.keep(_merged(docs.mapInArrow(_long(shipped), COUNTED)), "phrases")
+    shipped = spark.sparkContext.broadcast((bloom(pairs.select("w1", "w2"), pairs.count()), common))
+    phrases = scratch.keep(_merged(docs.mapInArrow(_long(shipped, parts), RUNS), LONGEST - 1, tx.U), "phrases")
     shipped.destroy()
     return totals, scratch.keep(words.select("lang", F.array("word").alias("words"), F.col("c").alias("a")).unionByName(_named(phrases, words)), "named")
 

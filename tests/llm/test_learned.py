@@ -270,9 +270,12 @@ def test_runs_of_pairs_are_read_as_written():
     rng = np.random.default_rng(8)
     one = np.sort(rng.integers(0, 1 << 63, 40, np.uint64)[rng.integers(0, 40, 300)])
     two, c = rng.integers(0, 1 << 63, 300, np.uint64), rng.choice([1, 2, 254, 255, 256, 10**12], 300)
-    got = phrases.decoded(phrases.encoded(c, one, two))
-    assert (got[0] == c).all() and (got[1] == one).all() and (got[2] == (two & np.uint64(0xFFFFFFFF))).all()
-    assert [len(x) for x in phrases.decoded(phrases.encoded(*(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64))))] == [0, 0, 0]
+    for kind in (np.uint32, np.uint64):
+        rest = [two.astype(kind), two[::-1].astype(kind)]
+        got = phrases.decoded(phrases.encoded(c, one, rest), 2, kind)
+        assert all((a == b).all() for a, b in zip(got, (c, one, *rest), strict=True))
+        none = np.zeros(0, np.int64)
+        assert [len(x) for x in phrases.decoded(phrases.encoded(none, none.astype(np.uint64), [none.astype(kind)] * 2), 2, kind)] == [0] * 4
 
 
 def test_pairs_taken_for_frequent_change_nothing(spark, monkeypatch):
@@ -280,8 +283,15 @@ def test_pairs_taken_for_frequent_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(phrases, "LEAST", 3)
     monkeypatch.setattr(phrases, "PART_WORDS", 5)
     monkeypatch.setattr(phrases, "SHARES", 4)
-    merge = phrases._merged_runs
-    monkeypatch.setattr(phrases, "_merged_runs", lambda least: merge(1))  # takes all pairs for frequent
+    merge = phrases._merged
+
+    def taken(runs, columns, kind):
+        with monkeypatch.context() as m:
+            if columns == 1:
+                m.setattr(phrases, "LEAST", 1)  # takes all pairs for frequent
+            return merge(runs, columns, kind)
+
+    monkeypatch.setattr(phrases, "_merged", taken)
     rows = [("en", "a b a c a d b c d e " * 2), ("en", "a b. a c! b d e a"), ("de", "a b a b a b")]
     docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string").repartition(3)
     assert sorted(map(tuple, phrases.collocations(docs).collect())) == brute_phrases(rows, 3, 100, 2000)
