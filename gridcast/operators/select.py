@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridcast.operators import sketches
+
 
 def correlations(df: DataFrame, names: Sequence[str], method: str = "pearson") -> DataFrame:
     """(a, b, r) for each pair of columns in the given order, missing values left out pairwise; undefined ones are 0.
@@ -77,30 +79,37 @@ def _spearman(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 
 def mutual_information(df: DataFrame, features: Sequence[str], targets: Sequence[str], bins: int = 8) -> DataFrame:
-    """(feature, target, mi) in nats from equal-width bins of both, on complete pairs; 0 for a pair without any, or with a constant side. Each task counts its cells; bins * bins rows of each pair are shuffled."""
+    """(feature, target, mi) in nats from equal-frequency bins of both, on complete pairs; 0 for a pair without any, or with a constant side.
+
+    The edges are quantiles of each column from mergeable sketches of all columns in one scan; equal values share a bin, so a monotone transform of a column changes
+    nothing. The estimate is corrected for the number of cells (half of what chance fills, over the rows) and isn't below 0. Each task counts its cells; bins * bins rows of
+    each pair are shuffled.
+    """
     names = [*features, *targets]
     x = df.select(*(F.col(n).cast("double").alias(n) for n in names))
-    edge = x.agg(*(f(c).alias(f"{k}_{c}") for k, f in (("lo", F.min), ("hi", F.max)) for c in names)).first()
-    low, high = (np.array([np.nan if v is None else v for v in part]) for part in (edge[: len(names)], edge[len(names) :]))
-    wide = np.where(high > low, high - low, np.nan)
+    found = sketches.quantiles(x, names, [k / bins for k in range(1, bins)])
+    edges = [np.asarray(found[n]) for n in names]
     nf, nt, cells = len(features), len(targets), bins * bins
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros((nf, nt, cells), np.int64)
         for batch in batches:
-            v = np.minimum(np.floor((_matrix(batch) - low) / wide * bins), bins - 1)
+            v = _matrix(batch)
+            slot = np.stack([np.searchsorted(e, c) for e, c in zip(edges, v.T, strict=True)], 1) if len(v) else np.zeros(v.shape, np.int64)
+            there = ~np.isnan(v)
             for t in range(nt):
                 for f in range(nf):
-                    both = v[:, f] * bins + v[:, nf + t]
-                    count[f, t] += np.bincount(both[~np.isnan(both)].astype(np.int64), minlength=cells)
+                    both = (slot[:, f] * bins + slot[:, nf + t])[there[:, f] & there[:, nf + t]]
+                    count[f, t] += np.bincount(both, minlength=cells)
         f, t, cell = np.nonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (f, t, cell // bins, cell % bins)] + [pa.array(count[f, t, cell])], names=["f", "t", "x", "y", "n"])
 
     joint = x.mapInArrow(run, "f int, t int, x int, y int, n long").groupBy("f", "t", "x", "y").agg(F.sum("n").alias("n"))
     w = lambda *k: F.sum("n").over(Window.partitionBy("f", "t", *k))
-    terms = joint.select("f", "t", (F.col("n") / w() * F.log(F.col("n") * w() / (w("x") * w("y")))).alias("m"))
+    terms = joint.select("f", "t", "x", "y", w().alias("all"), (F.col("n") / w() * F.log(F.col("n") * w() / (w("x") * w("y")))).alias("m"))
+    chance = (F.count("*") - F.count_distinct("x") - F.count_distinct("y") + 1) / (2 * F.max("all"))
     name = lambda of: F.array(*(F.lit(n) for n in of))
-    found = terms.groupBy("f", "t").agg(F.sum("m").alias("mi")).select(name(features)[F.col("f")].alias("feature"), name(targets)[F.col("t")].alias("target"), "mi")
+    found = terms.groupBy("f", "t").agg(F.greatest(F.sum("m") - chance, F.lit(0.0)).alias("mi")).select(name(features)[F.col("f")].alias("feature"), name(targets)[F.col("t")].alias("target"), "mi")
     every = df.sparkSession.createDataFrame([(f, t) for f in features for t in targets], "feature string, target string")
     return every.join(found, ["feature", "target"], "left").select("feature", "target", F.coalesce("mi", F.lit(0.0)).alias("mi"))
 

@@ -113,7 +113,7 @@ def _ranked(spark: SparkSession, d: str) -> DataFrame:
     return select.rank_scores(mi.select("feature", F.when(F.col("target") == "y1", 1).otherwise(6).alias("h"), "mi"))
 
 
-_sampled = registry._MI.replace("cand as (", "cand0 as (", 1).replace(", slots as (", f", cand as (select * from cand0 where ts in (select ts from (select distinct ts from cand0 where ts {_inside}) order by md5(strftime(ts, '%Y-%m-%d %H:%M:%S') || ':42'), ts limit 300)), slots as (", 1)
+_sampled = registry._MI.replace("cand as (", "cand0 as (", 1).replace(", edges as (", f", cand as (select * from cand0 where ts in (select ts from (select distinct ts from cand0 where ts {_inside}) order by md5(strftime(ts, '%Y-%m-%d %H:%M:%S') || ':42'), ts limit 300)), edges as (", 1)
 _RANKED = f"with {_sampled}, m as (select feature, avg(mi) as mean_mi from mi group by 1), o as (select feature, mean_mi, row_number() over (order by round(mean_mi, 9) desc, feature)::int as position from m), ranked as (select mi.feature, case target when 'y1' then 1 else 6 end as h, mi, rank() over (partition by target order by round(mi, 9) desc)::int as rank, mean_mi, position from mi join o on o.feature = mi.feature)"
 add("rank_pipeline", _ranked, f"{_RANKED} select feature, h, {number('mi')} as mi, rank, {number('mean_mi')} as mean_mi, position from ranked")
 

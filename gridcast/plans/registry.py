@@ -531,11 +531,14 @@ add(
     lambda spark, d: select.correlations(candidates(spark, d), FEATURES, "spearman"),
     f"with {CANDIDATES} " + " union all ".join(f"select '{a}' as a, '{b}' as b, {number('coalesce(corr(ra, rb), 0)')} as r from (select {_rank(a)} as ra, {_rank(b)} as rb from cand where {a} is not null and {b} is not null)" for a, b in _fpairs),
 )
-_slot = lambda c: f"case when {c} is not null and max({c}) over () > min({c}) over () then least(7, floor(({c} - min({c}) over ()) / nullif(max({c}) over () - min({c}) over (), 0) * 8)) end"
-_MI = f"{CANDIDATES}, slots as (select " + ", ".join(f"{_slot(c)} as s_{c}" for c in (*FEATURES, "y1", "y6")) + " from cand), mi as (" + " union all ".join(
-    f"select '{f}' as feature, '{t}' as target, coalesce(sum(n / n_all * ln(n * n_all / (n_x * n_y))), 0) as mi from (select n, sum(n) over () as n_all, sum(n) over (partition by x) as n_x, sum(n) over (partition by y) as n_y from (select s_{f} as x, s_{t} as y, count(*)::double as n from slots where s_{f} is not null and s_{t} is not null group by all))"
-    for f in FEATURES for t in ("y1", "y6")
-) + ")"
+_slot = lambda c: f"case when {c} is not null then " + " + ".join(f"({c} > l_{c}[ceil(len(l_{c}) * {k} / 8.0)::int])::int" for k in range(1, 8)) + " end"
+_MI = (
+    f"{CANDIDATES}, edges as (select " + ", ".join(f"list_sort(list({c}) filter (where {c} is not null)) as l_{c}" for c in (*FEATURES, "y1", "y6")) + " from cand), slots as (select " + ", ".join(f"{_slot(c)} as s_{c}" for c in (*FEATURES, "y1", "y6")) + " from cand, edges), mi as ("
+    + " union all ".join(
+        f"select '{f}' as feature, '{t}' as target, coalesce(greatest(sum(n / n_all * ln(n * n_all / (n_x * n_y))) - (count(*) - count(distinct x) - count(distinct y) + 1) / (2 * max(n_all)), 0), 0) as mi from (select x, y, n, sum(n) over () as n_all, sum(n) over (partition by x) as n_x, sum(n) over (partition by y) as n_y from (select s_{f} as x, s_{t} as y, count(*)::double as n from slots where s_{f} is not null and s_{t} is not null group by all))"
+        for f in FEATURES for t in ("y1", "y6")
+    ) + ")"
+)
 
 
 def _mi(spark: SparkSession, d: str) -> DataFrame:

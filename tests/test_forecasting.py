@@ -259,3 +259,25 @@ def test_nodes_of_a_model_are_a_tree():
     forest = boosting.Forest(table, ["b", "a"], ["m", "other"])
     x = np.array([[9.0, 0.5], [9.0, 0.6], [9.0, np.nan]])
     assert forest.predict(x, 1)[0].tolist() == [10.0, 20.0, 10.0] and forest.predict(x, 1)[1] is None and forest.predict(x, 2) == [None, None]
+
+
+def test_scores_are_those_of_equal_frequency_bins(spark):
+    """Against a plain count; a monotone transform changes nothing, and noise scores near 0 although it fills cells."""
+    from gridcast.operators import select
+
+    rng = np.random.default_rng(4)
+    n = 900
+    x = np.where(rng.random(n) < 0.1, np.nan, np.exp(rng.normal(size=n) * 3))
+    y = np.where(rng.random(n) < 0.1, np.nan, np.round(np.log(np.nan_to_num(x, nan=1.0)) + rng.normal(size=n), 1))
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in zip(x, np.log(x), rng.normal(size=n), y, strict=True)]
+    df = spark.createDataFrame([(*r, 1.0, None) for r in rows], "x double, log double, noise double, y double, flat double, none double").repartition(4)
+    got = {(r["feature"], r["target"]): r["mi"] for r in select.mutual_information(df, ["x", "log", "noise", "flat", "none"], ["y"]).collect()}
+    there = ~np.isnan(x) & ~np.isnan(y)
+    slot = lambda v: np.searchsorted(np.sort(v[~np.isnan(v)])[[int(np.ceil((~np.isnan(v)).sum() * k / 8)) - 1 for k in range(1, 8)]], v[there])
+    a, b = slot(x), slot(y)
+    joint = np.histogram2d(a, b, (range(9), range(9)))[0]
+    p = joint / joint.sum()
+    plain = np.nansum(np.where(p > 0, p * np.log(np.where(p > 0, p, 1) / (p.sum(1, keepdims=True) @ p.sum(0, keepdims=True) + 1e-300)), 0))
+    plain -= ((joint > 0).sum() - len(set(a)) - len(set(b)) + 1) / (2 * joint.sum())
+    assert got["x", "y"] == pytest.approx(plain) and got["log", "y"] == pytest.approx(plain)
+    assert got["noise", "y"] < 0.03 < got["x", "y"] and got["flat", "y"] == got["none", "y"] == 0.0
