@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcast.functions.scalar import row_sum
-from gridcast.operators import blend, models, policy, select
+from gridcast.operators import blend, models, policy, select, shared
 from gridcast.operators.asof import carried_vintage, vintage_columns
 from gridcast.plans import registry, sql, staging
 from gridcast.plans.registry import DAY, FEATURES, HOUR, N_H, add
 from gridcast.plans.sql import TS, flag, number
-from gridcast.sources import ingest, sinks
+from gridcast.sources import ingest, loads, sinks
 
 # ---- forecast vintages, tagged rows, offers ----------------------------------------------------------------------------
 
@@ -292,3 +292,21 @@ add(
     "sink_read_back", _read_back,
     _narrow_sql.replace("from system", f", {number('price::float')} as price_csv, {number('demand::float')} as demand_csv, (case when price is not null then case when price > 150 then 1 else 0 end end)::tinyint as spike_csv, (hour(ts) * 60)::smallint as slot_csv from system"),
 )
+
+
+def _committed(spark: SparkSession, d: str) -> DataFrame:
+    """Two loads, the second again and once more broken off before its commit, read back by another session: the rows of the two loads."""
+    x = staging.system(spark, d).select("ts", "region", "price", "demand")
+    table = loads.Table(spark, shared.folder(spark, "loads"))
+    days = lambda a, b: x.where((F.dayofmonth("ts") > a) & (F.dayofmonth("ts") <= b)).withColumn("ts", F.col("ts") + F.make_interval(months=F.when(F.dayofmonth("ts") > 15, 1).otherwise(0)))
+    table.load(days(0, 20), "first")  # two months: the days after the 15th count for the next one
+    table.load(days(15, 31), "second")  # replaces the second month
+    table.load(days(15, 18), "second")  # the id is there already
+    table.stage(days(0, 3), "broken")  # never published
+    return loads.Table(spark.newSession(), table.path).read()
+
+
+add(
+    "loads_committed", _committed,
+    f"with {staging.SYSTEM} select strftime(case when day(ts) > 15 then ts + interval 1 month else ts end, '%Y-%m-%d %H:%M:%S') as ts, region, {number('price')} as price, {number('demand')} as demand from system",
+)

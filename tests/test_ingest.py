@@ -95,3 +95,22 @@ def test_registered_offer_prices_cover_all_units_and_days(spark, monkeypatch):
             last = max(x for x in days if x <= k)
             want[u, str(at(k))] = "" if days[last] is None else ",".join(str(days[last] * i) for i in range(1, 11))
     assert got == want
+
+
+def test_loads_are_whole_or_not_there(spark, tmp_path):
+    from gridcast.sources import loads
+
+    at = lambda m, d: dt.datetime(2024, m, d)
+    make = lambda rows: spark.createDataFrame(rows, "ts timestamp, load string, x int")
+    table, path = loads.Table(spark, f"file://{tmp_path}/t"), f"file://{tmp_path}/t"
+    seen = lambda t=None: sorted((str(r["ts"])[:10], r["x"]) for r in (t or table).read().collect())
+    assert table.read() is None and table.load(make([]), "nothing") == 0 and not table.loaded("a")
+    assert table.load(make([(at(1, 1), "l", 1), (at(1, 2), "l", 2), (at(2, 1), "l", 3), (None, "l", 9)]), "a") == 1
+    before = table.read()
+    staged = table.stage(make([(at(2, 5), "l", 4)]), "b")
+    assert seen() == [("2024-01-01", 1), ("2024-01-02", 2), ("2024-02-01", 3), ("None", 9)]  # broken off before the commit
+    assert table.load(make([(at(2, 6), "l", 5), (at(3, 1), "l", 6)]), "b") == 2
+    assert seen() == [("2024-01-01", 1), ("2024-01-02", 2), ("2024-02-06", 5), ("2024-03-01", 6), ("None", 9)]
+    assert before.count() == 4 and len(table.manifest(1)) == 3  # a reader of the older version still sees it
+    assert table.load(make([(at(3, 1), "l", 7)]), "b") == 2 and seen() == seen(loads.Table(spark.newSession(), path))
+    assert table.tidy() >= 2 and len(seen()) == 5 and staged
