@@ -517,3 +517,34 @@ def test_size_bounds_never_drop_a_match(found):
     want = max(dice) if own and max(dice) >= m.threshold else None
     got = m.match(unit)
     assert (got and got[1]) == want and (want is None or got[0] == dice.index(want))
+
+
+def test_license_windows_equal_a_plain_slide():
+    """All runs of words that begin and end with a bigram of a template: best value, count and overlaps, on random texts."""
+    templates = (("a", "one two three four five"), ("b", "two three six"), ("a", "six one two"), ("c", "x y"))
+    m, rng = license.Matcher(templates, 0.8), random.Random(1)
+    hits = 0
+    for _ in range(400):
+        words = [w.encode() for w in rng.choices("one two three four five six x y z".split(), k=rng.randrange(30))]
+        pairs = list(zip(words, words[1:], strict=False))
+        found = []
+        for i, own in enumerate(m.sets):
+            most = int(len(own) * 1.2 / 0.8 + 1e-9)
+            for a in range(len(pairs)):
+                best = None
+                for j in range(a, min(a + most, len(pairs))):
+                    if pairs[a] in own and pairs[j] in own:
+                        seen = set(pairs[a : j + 1])
+                        dice = 2 * len(seen & own) / (len(own) + len(seen))
+                        if dice >= 0.8 and (best is None or dice > best[1]):
+                            best = (len(seen & own), dice, j)
+                if best:
+                    found.append((-best[0], -best[1], i, a, best[2] + 1))
+        want, taken = [], []
+        for _, dice, i, a, b in sorted(found, key=lambda f: f[:4]):
+            if all(b < c or a > d for c, d in taken):
+                taken.append((a, b))
+                want.append((i, -dice))
+        assert m.windows([(words, False)]) == want
+        hits += len(want)
+    assert hits > 50
