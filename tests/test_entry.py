@@ -13,7 +13,7 @@ from gridcast.plans import registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FITS = {"fit_models", "quantile_substitute", "isotonic", "cv_feature_count", "importance"}
+FITS = {"fit_models", "quantile_substitute", "isotonic", "cv_feature_count", "importance", "selected_features"}
 
 
 @pytest.fixture(scope="module")
