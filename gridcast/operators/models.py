@@ -1,4 +1,4 @@
-"""Boosted trees through MLlib, one fit for each (horizon, model), and what is derived from their predictions.
+"""The models of a horizon, MLlib fits of single ones, calibration of all horizons, and feature sets; `boosting` fits all models at once.
 
 MLlib has no quantile loss: a quantile model is an absolute-loss model plus the quantile of its residuals in each bucket
 of its prediction. Trees grow level by level, and validation stops by tolerance, so compare errors, not values.
@@ -7,7 +7,6 @@ of its prediction. Trees grow level by level, and validation stops by tolerance,
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -71,34 +70,11 @@ def predict(df: DataFrame, spec: Spec, model: PipelineModel, features: Sequence[
     return out.select(*df.columns, value.alias(spec.name))
 
 
-def fit_all(parts: dict[int, DataFrame], specs: Sequence[Spec], features: dict[int, Sequence[str]], path: str | None = None, parallel: int = 4, **options) -> dict[tuple[int, str], PipelineModel]:
-    """One fit for each (horizon, model), a few at a time from driver threads; written to path/h<h>/<name> where a path is given."""
-
-    def one(task: tuple[int, Spec]) -> tuple[tuple[int, str], PipelineModel]:
-        h, spec = task
-        model = fit(parts[h], spec, features[h], **options)
-        if path:
-            model.write().overwrite().save(f"{path}/h{h:02d}/{spec.name}")
-        return (h, spec.name), model
-
-    with ThreadPoolExecutor(parallel) as pool:
-        return dict(pool.map(one, [(h, s) for h in parts for s in specs]))
-
-
-def registry(spark, models: Sequence[tuple[int, str]], path: str) -> DataFrame:
-    """Where the model of each (horizon, name) lies: a row for each fit."""
-    return spark.createDataFrame([(h, n, f"{path}/h{h:02d}/{n}") for h, n in models], "h int, model string, path string")
-
-
 def folder(spark) -> str:
     """A new folder for models under spark.checkpoint.dir, which driver and executors share."""
     return shared.folder(spark, "models")
 
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
-
-
 def residual_quantile(train: DataFrame, scored: DataFrame, prediction: str, label: str, q: float, name: str, buckets: int = 10) -> DataFrame:
     """The prediction plus the q-quantile of training residuals in the prediction's bucket; edges and offsets are a few rows."""
     edges = train.agg(F.percentile_approx(prediction, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(quantiles.ACCURACY)).alias("edges"))
@@ -160,28 +136,6 @@ def calibrators(train: DataFrame, horizons: Sequence[int], prediction: str, labe
     return pooled.groupBy("h").applyInArrow(_knots, f"h {rows.schema['h'].dataType.simpleString()}, knots array<struct<x:double,y:double>>")
 
 
-def importance(model: PipelineModel, features: Sequence[str], h: int, spark) -> DataFrame:
-    gains = model.stages[-1].featureImportances.toArray().tolist()
-    return spark.createDataFrame([(f, h, g) for f, g in zip(features, gains, strict=True)], "feature string, h int, gain double")
-
-
-def feature_counts(df: DataFrame, h: int, ranked: Sequence[str], counts: Sequence[int], label: str = "y", n_folds: int = 3, rounds: int = 5, parallel: int = 4) -> DataFrame:
-    """(h, n, mae): mean validation error over expanding folds for the first n features. df has a column `fold` (0 trains only)."""
-    spec = Spec("cv", "absolute", label)
-
-    def one(task: tuple[int, int]) -> tuple[int, int, float]:
-        fold, n = task
-        use = list(ranked[:n])
-        model = fit(df.where(F.col("fold") < fold), spec, use, rounds=rounds, depth=3)
-        tested = predict(df.where(F.col("fold") == fold).where(F.col(label).isNotNull()), spec, model, use)
-        return fold, n, tested.agg(F.avg(F.abs(F.col("cv") - F.col(label)))).first()[0]
-
-    with ThreadPoolExecutor(parallel) as pool:
-        found = list(pool.map(one, [(f, n) for f in range(1, n_folds + 1) for n in counts]))
-    rows = [(h, n, m) for _, n, m in found if m is not None]
-    return df.sparkSession.createDataFrame(rows, "h int, n int, mae double").groupBy("h", "n").agg(F.avg("mae").alias("mae"))
-
-
 def subset(df: DataFrame, selected: DataFrame, h: int, keys: Sequence[str] = ("ts", "region")) -> tuple[DataFrame, list[str]]:
     """The columns of a horizon's feature set, and their names in the order of the selection. selected: feature, h, place, selected (a row for each feature and horizon)."""
     names = [r["feature"] for r in selected.where((F.col("h") == h) & F.col("selected")).orderBy("place").select("feature").collect()]

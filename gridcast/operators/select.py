@@ -9,17 +9,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridcast.operators import sketches
+from gridcast.operators import shared, sketches
 
 
 def correlations(df: DataFrame, names: Sequence[str], method: str = "pearson") -> DataFrame:
     """(a, b, r) for each pair of columns in the given order, missing values left out pairwise; undefined ones are 0.
 
-    Pearson: each task adds up the products of all pairs as matrices, and only these sums are shuffled. Spearman takes
+    Each task adds up the products of all pairs as matrices, and only these sums are shuffled. Spearman takes
     average ranks within each pair's complete rows first.
     """
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    found = _spearman(df, pairs) if method == "spearman" else _pearson(df, names)
+    found = (_spearman if method == "spearman" else _pearson)(df, names)
     # a pair without complete rows has no sums
     every = df.sparkSession.createDataFrame(pairs, "a string, b string")
     return every.join(found, ["a", "b"], "left").select("a", "b", F.coalesce("r", F.lit(0.0)).alias("r"))
@@ -64,18 +64,104 @@ def pearson(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(x) * F.var_pop(y)))
 
 
-def _spearman(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Ranks within each pair's complete rows, in long form: value counts are aggregated first, so that the running count has one row per distinct value and pair."""
-    sides = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs))
-    long = df.select(F.explode(sides).alias("p")).select("p.*").where("x is not null and y is not null")
+def _melted(edges: list[np.ndarray], patterns: dict[int, bytes]):
+    of = {p: i for i, p in patterns.items()}
 
-    def ranks(v: str) -> DataFrame:
-        n = long.groupBy("a", "b", v).agg(F.count("*").alias("n"))
-        w = Window.partitionBy("a", "b").orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
-        return n.select("a", "b", v, (F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2).alias(f"r{v}"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(c, slice, v, p, row): each value that is there, with its slice of the column's range and its row's pattern of nulls."""
+        for batch in batches:
+            v, row = _matrix(batch.slice(0).select(batch.schema.names[1:])), batch.column(0).to_numpy()
+            there = ~np.isnan(v)
+            p = np.array([of[x.tobytes()] for x in np.packbits(there, axis=1)], np.int32) if len(v) else np.zeros(0, np.int32)
+            at, c = np.nonzero(there)
+            slot = np.concatenate([np.searchsorted(e, v[there[:, k], k]) for k, e in enumerate(edges)]) if len(v) else np.zeros(0, np.int64)
+            order = np.lexsort((at, c))  # by column, as the slots are
+            at, c = at[order], c[order]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(v[at, c]), pa.array(p[at]), pa.array(row[at])], names=["c", "slice", "v", "p", "row"])
+
+    return run
 
-    ranked = long.join(ranks("x"), ["a", "b", "x"]).join(ranks("y"), ["a", "b", "y"])
-    return ranked.groupBy("a", "b").agg(pearson(F.col("rx"), F.col("ry")).alias("r"))
+
+def _spearman(df: DataFrame, names: Sequence[str], slice_rows: int = 200_000) -> DataFrame:
+    """Average ranks of each column by one distributed sort, then rank products as sums of matrices; no row is made for a pair.
+
+    The rank of a value among the rows that have another column too is a sum over those rows' patterns of nulls, so a value is ranked against each pattern: its column is cut into
+    slices of values, each sorted by itself, with the counts of the slices before it added. Ranked values meet again by blocks of rows, where all pairs' ranks follow from the patterns.
+    Equal values lie in one slice. The driver holds the patterns that occur and their counts by column and slice.
+    """
+    spark, k = df.sparkSession, len(names)
+    x = df.select(F.monotonically_increasing_id().alias("row"), *(F.col(f"`{n}`").cast("double").alias(f"c{i}") for i, n in enumerate(names)))
+    x = shared.keep(x.select("row", *(F.when(~F.isnan(f"c{i}"), F.col(f"c{i}")).alias(f"c{i}") for i in range(k))), "rows")
+    bits = F.concat(*(F.when(F.col(f"c{i}").isNotNull(), "1").otherwise("0") for i in range(k)))
+    found = x.groupBy(bits.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()
+    member = np.array([[c == "1" for c in r["p"]] for r in found]).reshape(len(found), k)
+    rows = np.array([r["n"] for r in found], np.int64)
+    patterns = {i: np.packbits(m).tobytes() for i, m in enumerate(member)}
+    slices = max(1, -(-int(rows.sum()) // slice_rows))
+    cuts = sketches.quantiles(x, [f"c{i}" for i in range(k)], [i / slices for i in range(1, slices)]) if slices > 1 else {}
+    edges = [np.unique(cuts.get(f"c{i}", [])) for i in range(k)]
+    melted = shared.keep(x.mapInArrow(_melted(edges, patterns), "c int, slice int, v double, p int, row long"), "melted")
+    counts = np.zeros((k, slices, len(found)), np.int64)
+    for r in melted.groupBy("c", "slice", "p").agg(F.count("*").alias("n")).collect():
+        counts[r["c"], r["slice"], r["p"]] = r["n"]
+    before = spark.sparkContext.broadcast(np.cumsum(counts, 1) - counts)
+
+    def rank(group: pa.Table) -> pa.Table:
+        c, at = group["c"][0].as_py(), group["slice"][0].as_py()
+        v, p = group["v"].to_numpy(), group["p"].to_numpy()
+        order = np.argsort(v, kind="stable")
+        first = np.searchsorted(v[order], v[order], "left")
+        last = np.searchsorted(v[order], v[order], "right")
+        upto = np.zeros((len(v) + 1, before.value.shape[2]), np.int64)
+        upto[np.arange(1, len(v) + 1), p[order]] = 1
+        upto = np.cumsum(upto, 0)
+        # for each pattern the rows below, and half of the equal ones
+        half = 2 * (upto[first] + before.value[c, at]) + upto[last] - upto[first]
+        cell = pa.ListArray.from_arrays(pa.array((np.arange(len(v) + 1) * half.shape[1]).astype(np.int32)), pa.array(half.ravel()))
+        return pa.table({"row": group["row"].to_numpy()[order], "c": pa.array(np.full(len(v), c, np.int32)), "half": cell})
+
+    together = max(16, min(1024, (8 << 20) // (k * k)))
+    ranked = melted.groupBy("c", "slice").applyInArrow(rank, "row long, c int, half array<long>")
+    dealt = ranked.withColumn("block", F.floor(F.col("row") / together)).repartition("block").sortWithinPartitions("block").select("block", "row", "c", "half")
+    shared_rows = member.T.astype(np.int64) @ (rows[:, None] * member)  # rows that have both columns
+
+    def solve(parts: list[tuple[np.ndarray, ...]], sums: np.ndarray) -> None:
+        row, c, half = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, at = np.unique(row, return_inverse=True)
+        n = int(at.max()) + 1
+        ranks, there = np.zeros((k, n, k)), np.zeros((k, n), bool)
+        # twice the rank among the rows that have column j too, less twice its mean
+        ranks[c, at] = half @ member + 1 - (shared_rows[c] + 1)
+        there[c, at] = True
+        ranks *= there[:, :, None] & there.T[None]
+        other = ranks.transpose(2, 1, 0)
+        sums[0] += np.einsum("inj,inj->ij", ranks, ranks)
+        sums[1] += np.einsum("inj,inj->ij", ranks, other)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, now, parts = np.zeros((2, k, k)), None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = batch.column(0).to_numpy()
+            cut = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+            row, c = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            half = batch.column(3).flatten().to_numpy().reshape(len(block), -1)
+            for a, b in zip(cut, cut[1:], strict=False):
+                if block[a] != now and parts:
+                    solve(parts, sums)
+                    parts = []
+                now = block[a]
+                parts.append((row[a:b], c[a:b], half[a:b]))
+        if parts:
+            solve(parts, sums)
+        i, j = np.triu_indices(k, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *(pa.array(v) for v in (sums[0][i, j], sums[0][j, i], sums[1][i, j]))], names=["i", "j", "qx", "qy", "c"])
+
+    total = dealt.mapInArrow(run, "i int, j int, qx double, qy double, c double").groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("qx", "qy", "c")))
+    name = F.array(*(F.lit(n) for n in names))
+    r = F.when((F.col("qx") > 0) & (F.col("qy") > 0), F.col("c") / F.sqrt(F.col("qx") * F.col("qy")))
+    return total.select(name[F.col("i")].alias("a"), name[F.col("j")].alias("b"), r.alias("r"))
 
 
 def mutual_information(df: DataFrame, features: Sequence[str], targets: Sequence[str], bins: int = 8) -> DataFrame:

@@ -193,3 +193,21 @@ def test_gaps_are_runs_across_blocks(spark):
     assert sorted((r["k"], r["ts"]) for r in missing.collect()) == sorted([("a", at(h)) for h in (2, 3, 4, *range(7, 30))] + [("c", at(1))])
     plan = quality.missing_times(df, 3600, keys=["k"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hash") == 3 and "Join" not in plan  # the first one stands twice, and is used again
+
+
+def test_rank_correlations_of_many_slices_equal_pandas(spark):
+    """Slices of few rows, ties across them, patterns of nulls, constant and empty columns; no row is made for a pair."""
+    rng = random.Random(8)
+    x = pd.DataFrame({c: [rng.choice([None, float(rng.randrange(6)), rng.gauss(0, 3)]) for _ in range(300)] for c in "abcd"}, dtype=float)
+    x["b"] = x["a"].fillna(0) ** 3 + x["b"] * 0.2
+    x["flat"], x["none"] = 7.0, float("nan")
+    names = list(x.columns)
+    df = spark.createDataFrame([[None if pd.isna(v) else v for v in r] for r in x.to_numpy().tolist()], ", ".join(f"{n} double" for n in names)).repartition(3)
+    for rows in (37, 10_000):
+        found = select._spearman(df, names, rows)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Window" not in plan
+        got = {(r["a"], r["b"]): r["r"] or 0.0 for r in found.collect()}
+        want = x.corr("spearman").fillna(0)
+        assert all(got[k] == pytest.approx(want.loc[k], abs=1e-9) for k in got) and len(got) == 15
+    assert all(r["r"] == 0.0 for r in select.correlations(df.where("false"), names, "spearman").collect())
