@@ -201,16 +201,16 @@ add(
 )
 
 
-def _filled_prices(spark: SparkSession, d: str) -> DataFrame:
+def _price_spans(spark: SparkSession, d: str) -> DataFrame:
     p = staging.bids(spark, d)[1]
-    return ingest.offer_prices(p, p.select("day"))
+    return ingest.offer_spans(p, p.select("day"))
 
 
-# All units and days are millions of rows: no SQL here (a test has brute force), but for their totals by unit and year.
-add("bid_price_ffill", lambda spark, d: _filled_prices(spark, d).select("day", "duid", F.concat_ws(",", F.col("prices").cast("array<string>")).alias("prices")))
+# All units and days are millions of rows: no SQL here (a test has brute force), but for their totals by unit and year. Prices become text once for each span.
+add("bid_price_ffill", lambda spark, d: ingest.span_days(_price_spans(spark, d).withColumn("prices", F.concat_ws(",", F.col("prices").cast("array<string>")))).select("day", "duid", "prices"))
 add(
     "bid_price_totals",
-    lambda spark, d: _filled_prices(spark, d).groupBy("duid", F.year("day").alias("year")).agg(F.count("*").alias("n_days"), *(F.sum(F.col("prices")[i].cast("long")).alias(f"sum_{i + 1}") for i in range(10))),
+    lambda spark, d: ingest.span_totals(_price_spans(spark, d)),
     f"""with {staging.BIDS},
     once as (select day, duid, {", ".join(f"floor(avg(price{i}))::int as p{i}" for i in range(1, 11))} from day_price group by all),
     e as (select max(day) as last from day_price),

@@ -185,19 +185,36 @@ def dense_offers(found: DataFrame, step: int, bands: int = 10) -> DataFrame:
     return filled.withColumn("packed", F.concat_ws(",", F.col("bands").cast("array<string>")))
 
 
+def offer_spans(raw: DataFrame, days: DataFrame, bands: int = 10) -> DataFrame:
+    """Day prices of each unit, as integers in an array, with the first and the last of the days on which they hold: up to the unit's next prices, or the last of the given days.
+
+    One row for each offer, so nothing of the size of units times days is shuffled.
+    """
+    names = [f"price{i}" for i in range(1, bands + 1)]
+    once = raw.where("day is not null and duid is not null").groupBy("duid", "day").agg(*(F.avg(b).alias(b) for b in names)).select("duid", "day", F.array(*(F.floor(b).cast("int") for b in names)).alias("prices"))
+    following = F.lead("day").over(Window.partitionBy("duid").orderBy("day"))
+    spans = once.select("duid", F.col("day").alias("first"), F.date_sub(following, 1).alias("until"), "prices")
+    end = days.agg(F.max("day").alias("end"))
+    return spans.crossJoin(F.broadcast(end)).select("duid", "first", F.coalesce("until", "end").alias("last"), "prices")
+
+
+def span_days(spans: DataFrame) -> DataFrame:
+    """A row for each day of each span: made where the span lies, without a shuffle."""
+    rest = [c for c in spans.columns if c not in ("first", "last", "duid")]
+    return spans.select("duid", F.explode(F.sequence("first", "last")).alias("day"), *rest)
+
+
 def offer_prices(raw: DataFrame, days: DataFrame, bands: int = 10) -> DataFrame:
     """Day prices of each unit, carried forward over the given days, as integers in an array."""
-    names = [f"price{i}" for i in range(1, bands + 1)]
-    once = raw.groupBy("day", "duid").agg(*(F.avg(b).alias(b) for b in names)).select("day", "duid", F.array(*(F.floor(b).cast("int") for b in names)).alias("prices"))
-    units = once.groupBy("duid").agg(F.min("day").alias("first"))
-    line = _unit_days(units, days)
-    w = Window.partitionBy("duid").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return line.join(once, ["duid", "day"], "left").withColumn("prices", F.last("prices", ignorenulls=True).over(w))
+    return span_days(offer_spans(raw, days, bands))
 
 
-def _unit_days(units: DataFrame, days: DataFrame) -> DataFrame:
-    end = days.agg(F.max("day").alias("last"))
-    return units.crossJoin(F.broadcast(end)).select("duid", F.explode(F.sequence("first", "last")).alias("day"))
+def span_totals(spans: DataFrame, bands: int = 10) -> DataFrame:
+    """Number of days and sums of prices of each unit and year: a span adds its days in a year times its prices, in whole numbers."""
+    years = spans.select("*", F.explode(F.sequence(F.year("first"), F.year("last"))).alias("year"))
+    begin, end = F.greatest("first", F.make_date("year", F.lit(1), F.lit(1))), F.least("last", F.make_date("year", F.lit(12), F.lit(31)))
+    held = years.select("duid", "year", (F.datediff(end, begin) + 1).cast("long").alias("n"), "prices")
+    return held.groupBy("duid", "year").agg(F.sum("n").alias("n_days"), *(F.sum(F.col("prices")[i].cast("long") * F.col("n")).alias(f"sum_{i + 1}") for i in range(bands)))
 
 
 # The price tiers (low, high] of the bid stack.

@@ -97,6 +97,25 @@ def test_registered_offer_prices_cover_all_units_and_days(spark, monkeypatch):
     assert got == want
 
 
+def test_offer_prices_by_day_are_not_shuffled(spark):
+    """Days are made after the last shuffle, and totals by year are those of the days."""
+    at = lambda k: dt.date(1999, 12, 28) + dt.timedelta(k)
+    rows = [(at(k), u, *([None] * 10 if p is None else [float(p * i) for i in range(1, 11)])) for u, k, p in ((1, 0, 5), (1, 3, -7), (1, 3, -8), (2, 399, 4), (3, 2, None), (3, 4, 2), (None, 1, 1))]
+    rows.append((None, 4, *[1.0] * 10))
+    price = spark.createDataFrame(rows, "day date, duid long, " + ", ".join(f"price{i} double" for i in range(1, 11)))
+    found = ingest.offer_prices(price, price.select("day"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert 0 <= plan.index("Generate") < plan.index("Exchange")
+    want: dict = {}
+    for r in found.collect():
+        t = want.setdefault((r["duid"], r["day"].year), [0, [None] * 10])
+        t[0] += 1
+        t[1] = [a if b is None else (a or 0) + b for a, b in zip(t[1], r["prices"], strict=True)]
+    got = ingest.span_totals(ingest.offer_spans(price, price.select("day"))).collect()
+    assert {(r["duid"], r["year"]): [r["n_days"], [r[f"sum_{i}"] for i in range(1, 11)]] for r in got} == want
+    assert want[1, 1999] == [4, [15 * i - -(-15 * i // 2) for i in range(1, 11)]] and {k[0] for k in want} == {1, 2, 3}
+
+
 def test_loads_are_whole_or_not_there(spark, tmp_path):
     from gridcast.sources import loads
 
