@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcast.functions.scalar import row_sum
-from gridcast.operators import blend, models, policy, select, shared
+from gridcast.operators import blend, grid, models, policy, select, shared
 from gridcast.operators.asof import carried_vintage, vintage_columns
 from gridcast.plans import registry, sql, staging
 from gridcast.plans.registry import DAY, FEATURES, HOUR, N_H, add
@@ -61,9 +61,15 @@ add(
     f"""select event_id % 7 as file, (event_id + 10) * 2 + case when event_id % 2 = 1 then 10000000 else 0 end as n, {number("round(value, 2)")} as value, event_type || ', "x"' as region,
     strftime(to_timestamp(floor(epoch(ts::timestamp) / 1800) * 1800)::timestamp, '%Y-%m-%d %H:%M:%S') as run_ts from events where event_id % 13 <> 0 and (event_id % 2 = 1 or (event_id % 5 <> 0 and event_id % 11 <> 0))""",
 )
+def _dense(spark: SparkSession, d: str) -> DataFrame:
+    volume = staging.bids(spark, d)[0]
+    span = grid.bounds(volume).select(*(grid.bucket(c, 28 * DAY).alias(c) for c in ("lo", "hi")))
+    return ingest.dense_offers(ingest.offers(volume, 28 * DAY), 28 * DAY, span=span).select("ts", "duid", "max_avail", "packed")
+
+
 add(
     "bid_arrays_dense",
-    lambda spark, d: ingest.dense_offers(ingest.offers(staging.bids(spark, d)[0], 28 * DAY), 28 * DAY).select("ts", "duid", "max_avail", "packed"),
+    _dense,
     f"""with {staging.BIDS},
     once as (select ts, duid, avg(max_avail) as max_avail, {", ".join(f"avg(band{i}) as band{i}" for i in range(1, 11))} from volume group by all),
     b as (select to_timestamp(floor(epoch(ts) / 2419200) * 2419200)::timestamp as ts, duid, avg(max_avail) as max_avail, arg_max(concat_ws(',', {", ".join(f"trunc(band{i})::int" for i in range(1, 11))}), once.ts) as packed from once group by floor(epoch(ts) / 2419200), duid),

@@ -166,22 +166,31 @@ def run_time(x: Column, step: int = 1800) -> Column:
 
 
 def offers(raw: DataFrame, step: int, bands: int = 10) -> DataFrame:
-    """Offers by bucket and unit: mean of the maximum, the last row's bands as integers in an array, and that array as text."""
+    """Offers by bucket and unit: mean of the maximum, the last row's bands as integers in an array, and that array as text.
+
+    Rows are dealt by unit once: both groupings, and what follows by unit, need no further shuffle.
+    """
     names = [f"band{i}" for i in range(1, bands + 1)]
-    once = raw.groupBy("ts", "duid").agg(F.avg("max_avail").alias("max_avail"), *(F.avg(b).alias(b) for b in names))
-    out = once.groupBy(grid.bucket("ts", step).alias("ts"), "duid").agg(F.coalesce(F.avg("max_avail"), F.lit(0.0)).alias("max_avail"), F.max_by(F.array(*(F.col(b).cast("int") for b in names)), "ts").alias("bands"))
-    return out.withColumn("packed", F.concat_ws(",", F.col("bands").cast("array<string>")))
+    once = raw.select("ts", "duid", "max_avail", *names).repartition("duid").groupBy("duid", "ts").agg(F.avg("max_avail").alias("max_avail"), *(F.avg(b).alias(b) for b in names))
+    out = once.groupBy("duid", grid.bucket("ts", step).alias("ts")).agg(F.coalesce(F.avg("max_avail"), F.lit(0.0)).alias("max_avail"), F.max_by(F.array(*(F.col(b).cast("int") for b in names)), "ts").alias("bands"))
+    return out.select("ts", "duid", "max_avail", "bands", F.concat_ws(",", F.col("bands").cast("array<string>")).alias("packed"))
 
 
-def dense_offers(found: DataFrame, step: int, bands: int = 10) -> DataFrame:
-    """Offers of `offers` on every step of their whole span for each unit; a step without an offer has 0 everywhere."""
-    units = found.select("duid").distinct()
-    span = found.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+def dense_offers(found: DataFrame, step: int, bands: int = 10, span: DataFrame | None = None) -> DataFrame:
+    """Offers of `offers` on every step of their whole span for each unit; a step without an offer has 0 everywhere.
+
+    An offer makes the empty steps up to the unit's next one, the first also those ahead of it, so the grid meets nothing in a join. A row without
+    a time counts for its unit only, a row without a unit for the grid only. span: one row (lo, hi) of the steps, if it is known.
+    """
+    span = grid.bounds(found) if span is None else span
     none = F.array(*[F.lit(0)] * bands)
-    # units grow with the input, so the grid of times is the side that is sent around
-    line = units.crossJoin(F.broadcast(span)).select("duid", F.explode(F.sequence("lo", "hi", F.make_interval(secs=F.lit(step)))).alias("ts"))
-    out = line.join(found.select("ts", "duid", "max_avail", "bands"), ["duid", "ts"], "left")
-    filled = out.select("ts", "duid", F.coalesce("max_avail", F.lit(0.0)).alias("max_avail"), F.coalesce("bands", none).alias("bands"))
+    own = Window.partitionBy("duid").orderBy("ts")
+    width = F.make_interval(secs=F.lit(step))
+    row = found.select("duid", "ts", "max_avail", "bands", F.lead("ts").over(own).alias("__next"), (F.row_number().over(own) == 1).alias("__first")).crossJoin(F.broadcast(span))
+    begin, until = F.when(F.col("__first"), F.col("lo")).otherwise(F.col("ts")), F.coalesce(F.col("__next") - width, F.col("hi"))
+    line = row.select("duid", F.col("ts").alias("__own"), "max_avail", "bands", F.explode(F.when(begin <= until, F.sequence(begin, until, width))).alias("ts"))
+    held = (F.col("ts") == F.col("__own")) & F.col("duid").isNotNull()
+    filled = line.select("ts", "duid", F.coalesce(F.when(held, F.col("max_avail")), F.lit(0.0)).alias("max_avail"), F.coalesce(F.when(held, F.col("bands")), none).alias("bands"))
     return filled.withColumn("packed", F.concat_ws(",", F.col("bands").cast("array<string>")))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridcast.operators import models, policy, quality, quantiles, rolling, select, windows
 from gridcast.operators.asof import carried_vintage, vintage_columns
+from gridcast.plans import evaluation, registry  # noqa: F401 (evaluation adds its queries to the registry)
 from gridcast.sources import ingest, sinks
 
 T0 = dt.datetime(2024, 1, 1)
@@ -115,6 +116,28 @@ def test_offers_are_dense_with_zeros(spark):
     assert len(got) == 6 and got[0, 1] == (5.0, "1,2") and got[1, 1] == got[2, 1] == (0.0, "0,0") and got[2, 2] == (7.0, "3,4")
 
 
+def test_dense_offers_join_and_shuffle_no_grid(spark):
+    at = lambda h: None if h is None else T0 + dt.timedelta(hours=h)
+    rows = [(at(1), 1, 5.0, [1]), (at(3), 1, None, [2]), (None, 2, 9.0, [9]), (at(0), 2, 7.0, None), (None, 3, 1.0, [1]), (at(2), None, 8.0, [8]), (at(4), 4, 6.0, [6])]
+    out = ingest.dense_offers(spark.createDataFrame(rows, "ts timestamp, duid int, max_avail double, bands array<int>"), 3600, 1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert 0 <= plan.index("Generate") < plan.index("Exchange") and "SortMergeJoin" not in plan
+    want = {(h, u): (0.0, "0") for h in range(5) for u in (1, 2, 3, 4, None)} | {(1, 1): (5.0, "1"), (3, 1): (0.0, "2"), (0, 2): (7.0, "0"), (4, 4): (6.0, "6")}
+    got = [((r["ts"].hour, r["duid"]), (r["max_avail"], r["packed"])) for r in out.collect()]
+    assert dict(got) == want and len(got) == len(want)
+
+
+def test_tagged_lines_follow_the_header_above_them(spark, tmp_path):
+    """From five million events on, lines of even events lie behind the second header."""
+    ids = [4_999_989, 4_999_990, 4_999_992, 5_000_000, 5_000_002, 5_000_004, 5_000_006, 5_000_014, 6_000_001, 6_000_012]
+    path = str(tmp_path / "events.parquet")
+    spark.createDataFrame([(i, T0, "click", 2.5) for i in ids], "event_id long, ts timestamp, event_type string, value double").write.parquet(path)
+    got = registry.QUERIES["tagged_runs"](spark, str(tmp_path)).collect()
+    kept = [i for i in ids if i % 13 and (i % 2 or (i % 5 and i % 11))]
+    want = [(i % 7, (i + 10) * 2 + (10_000_000 if i % 2 else 0), 2.5, 'click, "x"', "2024-01-01 00:00:00") for i in kept]
+    assert sorted(tuple(r) for r in got) == sorted(want) and any(i % 2 == 0 for i in kept)
+
+
 def test_missing_horizons_keep_the_last_forecast(spark):
     at = lambda h: T0 + dt.timedelta(hours=h)
     runs = spark.createDataFrame([(at(0), at(1), "A-1", 1.0), (at(0), at(2), "A-1", 2.0), (at(2), at(3), "A-1", 9.0)], "run_ts timestamp, interval_ts timestamp, region string, v double")
