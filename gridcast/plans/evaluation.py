@@ -17,6 +17,7 @@ from gridcast.sources import ingest, loads, sinks
 
 AHEAD, START = 8, "1996-01-01"
 PRIORITIES = ["1", "2", "3", "4", "5"]
+SECOND = 10_000_000
 
 
 def _carried(spark: SparkSession, d: str) -> DataFrame:
@@ -42,16 +43,22 @@ add(
 
 
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of seven files from events: two headers a file with other column orders, quoted fields, interventions, short lines and another table."""
+    """Lines of seven files from events: two headers a file with other column orders, quoted fields, interventions, short lines and another table.
+
+    A line has the columns of the header that it lies behind, whatever its event: from five million events on, even ones lie behind the second header too.
+    """
     e = staging.table(spark, d, "events").withColumn("ts", F.date_format(F.col("ts").cast("timestamp"), "yyyy/MM/dd HH:mm:ss"))
-    n, late = F.col("event_id") + 10, F.col("event_id") % 2 == 1
-    value, why = F.format_string("%.2f", "value"), F.when(F.col("event_id") % 11 == 0, "1").otherwise("0")
+    odd = F.col("event_id") % 2 == 1
+    e = e.withColumn("n", (F.col("event_id") + 10) * 2 + F.when(odd, SECOND).otherwise(0))
+    value, why = F.format_string("%.2f", "value"), F.when(~odd & (F.col("event_id") % 11 == 0), "1").otherwise("0")
     quoted = F.concat(F.lit('"'), F.col("event_type"), F.lit(', "'), F.lit('"x"""'))
-    one = F.concat_ws(",", F.lit("D"), F.when(F.col("event_id") % 5 == 0, "OTHER").otherwise("Runs"), F.lit("T"), F.lit("1"), value, quoted, why, "ts")
-    two = F.concat_ws(",", F.lit("D"), F.lit("RUNS"), F.lit("T"), F.lit("2"), "ts", value, quoted)
-    data = e.select((F.col("event_id") % 7).alias("file"), (n * 2 + F.when(late, 10_000_000).otherwise(0)).alias("n"), F.when(F.col("event_id") % 13 == 0, F.lit("D,RUNS,T")).otherwise(F.when(late, two).otherwise(one)).alias("line"))
+    name = F.when(~odd & (F.col("event_id") % 5 == 0), "OTHER")
+    one = F.concat_ws(",", F.lit("D"), F.coalesce(name, F.lit("Runs")), F.lit("T"), F.lit("1"), value, quoted, why, "ts")
+    # odd events end before the last column, which counts as no intervention
+    two = F.concat_ws(",", F.lit("D"), F.coalesce(name, F.lit("RUNS")), F.lit("T"), F.lit("2"), "ts", value, quoted, F.when(~odd, why))
+    data = e.select((F.col("event_id") % 7).alias("file"), "n", F.when(F.col("event_id") % 13 == 0, F.lit("D,RUNS,T")).otherwise(F.when(F.col("n") > SECOND - 1, two).otherwise(one)).alias("line"))
     files = data.select("file").distinct()
-    heads = F.array(F.struct(F.lit(1).cast("long").alias("n"), F.lit("I,RUNS,T,1,Value,Region,INTERVENTION,LastChanged").alias("line")), F.struct(F.lit(10_000_000).cast("long").alias("n"), F.lit("i,runs,T,2,LASTCHANGED,VALUE,REGION").alias("line")))
+    heads = F.array(F.struct(F.lit(1).cast("long").alias("n"), F.lit("I,RUNS,T,1,Value,Region,INTERVENTION,LastChanged").alias("line")), F.struct(F.lit(SECOND - 1).cast("long").alias("n"), F.lit("i,runs,T,2,LASTCHANGED,VALUE,REGION,Intervention").alias("line")))
     return data.unionByName(files.select("file", F.explode(heads).alias("x")).select("file", "x.n", "x.line"))
 
 

@@ -145,11 +145,13 @@ def tagged_rows(lines: DataFrame, table: str, columns: Sequence[str], skip: int
     holds them.
     """
     fields = F.from_csv(line, ", ".join(f"c{i} string" for i in range(most)), {"mode": "PERMISSIVE", "escape": '"'})
-    all_ = F.array(*(fields[f"c{i}"] for i in range(most)))
-    parts = lines.select(file, number, all_.alias("p"), (F.size(F.split(line, ",")) >= least).alias("ok")).where("ok")
-    parts = parts.where(F.upper(F.col("p")[1]) == table.upper())
-    tag = F.upper(F.col("p")[0])
-    names = F.transform(F.slice("p", skip + 1, most - skip), lambda c: F.upper(c))
+    # named in a lambda, or the optimizer would parse a line once for each field; a line has at most as many fields as commas + 1, and no more are kept
+    all_ = F.transform(F.array(fields), lambda x: F.array(*(x[f"c{i}"] for i in range(most))))[0]
+    n = F.size(F.split(line, ","))
+    parts = lines.where(n >= least).select(file, number, F.slice(all_, 1, F.least(n, F.lit(most))).alias("p"))
+    parts = parts.where(F.upper(F.get("p", F.lit(1))) == table.upper())
+    tag = F.upper(F.get("p", F.lit(0)))
+    names = F.transform(F.slice("p", skip + 1, most), lambda c: F.upper(c))
     heads = parts.where(tag == "I").select(file, F.col(number).alias("__from"), names.alias("__names"))
     heads = heads.withColumn("__to", F.lead("__from").over(Window.partitionBy(file).orderBy("__from")))
     data = parts.where(tag == "D").join(heads, file).where((F.col(number) > F.col("__from")) & (F.col("__to").isNull() | (F.col(number) < F.col("__to"))))
