@@ -11,8 +11,9 @@ unigram model. It starts on the driver from a bounded sample (about `SAMPLE_ROWS
 doc_id, at most `SAMPLE_TOKENS` tokens of them; longer texts are passed over) and then learns from all training documents in
 `len(RATES)` rounds: each round takes the documents of one hash class, deals them to learners by a hash of doc_id, and averages the learners' weights
 by their tokens. What a learner sees, and in which order, depends on the documents only, so a score doesn't depend on how the input is partitioned (but for single-precision
-rounding in batches of other documents). Scoring runs documents of similar length in lock-step, `STEPS` tokens at a time, and carries the state
-from window to window, so the likelihood is that of the complete text.
+rounding in batches of other documents). Scoring runs documents of similar length in lock-step, about `WINDOW` tokens at a time, and carries the state
+from window to window, so the likelihood is that of the complete text. Arrays lie by feature, a token a column, so that gates and softmaxes run
+along whole rows, and tokens are sorted by class for the output layer.
 
 Lookup. The words with the highest counts (all words of a count or above, at most `FREQUENT` of them) are shipped to the
 tasks; only the rest of a document's words meets the count table in a join, and their logarithms are summed for each row.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ OUTPUTS, KINDS, CLASS_SIZE = 896, 128, 32
 EMBEDDED, HIDDEN = 16, 24
 FREQUENT = 200_000
 SAMPLE_ROWS, SAMPLE_TOKENS = 1200, 500_000
-STEPS, TOGETHER = 32, 1024
+STEPS, TOGETHER, WINDOW = 32, 1024, 8000
 STREAMS, RATES = 512, (0.002, 0.001)
 #: Tokens of a learner and of a portion that it learns from at once, and pieces in which weights are averaged.
 SHARE, PORTION, PIECES = 2_000_000, 250_000, 16
@@ -78,6 +80,23 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate(kinds), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
 
 
+class Lookup:
+    """Places of hashes in a sorted array without repetitions. Hashes are spread evenly, so their upper bits tell nearly where to look."""
+
+    def __init__(self, known: np.ndarray, bits: int = 18):
+        self.shift, self.known = tx.U(64 - bits), np.append(known, tx.U(2**64 - 1))
+        self.start = np.searchsorted(known, np.arange(1 << bits, dtype=tx.U) << self.shift)
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        """The number of known hashes stands for one that isn't known."""
+        at = self.start[(ids >> self.shift).view(np.int64)]
+        rest = np.flatnonzero(self.known[at] < ids)
+        while len(rest):
+            at[rest] += 1
+            rest = rest[self.known[at[rest]] < ids[rest]]
+        return np.where(self.known[at] == ids, at, len(self.known) - 1)
+
+
 def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
     """Batches of at most `SLICE_BYTES` of text (or of one row): a token takes some sixty bytes while it is worked on."""
     for batch in batches:
@@ -88,8 +107,10 @@ def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordB
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches, 0):
         ids, kinds, _ = tokens(batch.column(0))
-        word, first, n = np.unique(ids, return_index=True, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(kinds[first].astype(np.int16)), pa.array(n)], names=["word", "kind", "c"])
+        word, n = np.unique(ids, return_counts=True)
+        kind = np.zeros(len(word), np.int16)
+        kind[Lookup(word)(ids)] = kinds
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(kind), pa.array(n)], names=["word", "kind", "c"])
 
 
 @dataclass
@@ -123,22 +144,56 @@ def start(n_outputs: int, frequency: np.ndarray, rng: np.random.Generator) -> tu
     return classes, p
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 def _step(px: np.ndarray, h: np.ndarray, wh: np.ndarray) -> tuple[np.ndarray, ...]:
-    ph = h @ wh
-    gates = _sigmoid(px[:, : 2 * HIDDEN] + ph[:, : 2 * HIDDEN])
-    z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    new = np.tanh(px[:, 2 * HIDDEN :] + r * ph[:, 2 * HIDDEN :])
-    return new + z * (h - new), z, r, new, ph
+    """The next states, and what the backward pass needs. One row for each document, but the arrays lie by feature (as transposed views): so each operation runs over all documents at once."""
+    px, h = px.T, h.T
+    ph = wh.T @ h
+    gates = px[: 2 * HIDDEN] + ph[: 2 * HIDDEN]
+    np.negative(gates, out=gates)
+    np.exp(gates, out=gates)  # may be infinite: the gate is 0 then
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    z, r = gates[:HIDDEN], gates[HIDDEN:]
+    new = r * ph[2 * HIDDEN :]
+    new += px[2 * HIDDEN :]
+    np.tanh(new, out=new)
+    out = h - new
+    out *= z
+    out += new
+    return out.T, z.T, r.T, new.T, ph.T
+
+
+def _inputs(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Embeddings of tokens by feature with a last row of ones, and the matrix that turns them into what gates and candidate get."""
+    ex = np.ones((EMBEDDED + 1, len(x)), np.float32)
+    np.take(np.ascontiguousarray(p["e"].T), x, axis=1, out=ex[:EMBEDDED], mode="clip")
+    return ex, np.vstack((p["wx"], p["b"])).T
+
+
+def _logits(p: dict[str, np.ndarray], hs: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Logits of the classes and of the outputs in the target's class, by feature; tokens are sorted by class.
+
+    Also their order, states with a last row of ones, classes, places in the class and where each class begins.
+    """
+    cls = (target // CLASS_SIZE).astype(np.uint16)  # two bytes: sorted by radix
+    order = np.argsort(cls, kind="stable")
+    cls, unit, m = cls[order], (target % CLASS_SIZE)[order], len(target)
+    at = np.searchsorted(cls, np.arange(len(p["cb"]) + 1)).tolist()
+    h1 = np.ones((HIDDEN + 1, m), np.float32)
+    np.take(hs.T, order, axis=1, out=h1[:HIDDEN], mode="clip")
+    inner = np.empty((CLASS_SIZE, m), np.float32)
+    o1 = np.concatenate((p["o"], p["ob"][:, None]), 1)
+    for k, (i, j) in enumerate(pairwise(at)):
+        if j > i:
+            np.matmul(o1[k].T, h1[:, i:j], out=inner[:, i:j])
+    return np.vstack((p["c"], p["cb"])).T @ h1, inner, order, h1, cls, unit, at
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    np.subtract(x, x.max(1, keepdims=True), out=x)
+    """In place, down the columns."""
+    np.subtract(x, x.max(0), out=x)
     np.exp(x, out=x)
-    return np.divide(x, x.sum(1, keepdims=True), out=x)
+    return np.divide(x, x.sum(0), out=x)
 
 
 def train(streams: np.ndarray, n_outputs: int, frequency: np.ndarray, end: int, epochs: int = 3, rate: float = 0.01) -> tuple[int, dict[str, np.ndarray]]:
@@ -157,6 +212,7 @@ class Learner:
         self.p, self.begin, self.end, self.steps = dict(p), begin, end, 0
         self.first, self.second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
 
+    @np.errstate(over="ignore")
     def run(self, streams: np.ndarray, live: np.ndarray, rate) -> None:
         """One pass; entries that aren't live are padding. rate(k): that of the k-th window."""
         h = np.zeros((len(streams), HIDDEN), np.float32)
@@ -165,64 +221,90 @@ class Learner:
             h, before = self._window(h, before, streams[:, a : a + STEPS // 2], live[:, a : a + STEPS // 2], rate(k))
 
     def _window(self, h: np.ndarray, before: np.ndarray, y: np.ndarray, live: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-        p, begin = self.p, self.begin
-        x = np.concatenate((before[:, None], y[:, :-1]), 1)
+        p, begin, n = self.p, self.begin, len(y)
+        x = np.concatenate((before[:, None], y[:, :-1]), 1).T
         x = np.where(x == self.end, begin, x)
-        table = p["e"] @ p["wx"] + p["b"]
-        kept, hs = [], []
-        for t in range(y.shape[1]):
-            h = h * (x[:, t] != begin)[:, None]
-            new, *rest = _step(table[x[:, t]], h, p["wh"])
-            kept.append((h, *rest))
-            h = new
-            hs.append(h)
-        flat, target, live = np.concatenate(hs), y.T.ravel(), live.T.ravel()
-        m = len(target)
-        grad = {k: np.zeros_like(v) for k, v in p.items()}
-        cls, unit = target // CLASS_SIZE, target % CLASS_SIZE
-        dc = _softmax(flat @ p["c"] + p["cb"])
-        dc[np.arange(m), cls] -= 1
-        dc *= live[:, None]
-        dh = dc @ p["c"].T
-        grad["c"], grad["cb"] = flat.T @ dc, dc.sum(0)
-        order = np.argsort(cls, kind="stable")
-        for k, at in zip(*_groups(cls[order], order), strict=True):
-            d = _softmax(flat[at] @ p["o"][k] + p["ob"][k])
-            d[np.arange(len(at)), unit[at]] -= 1
-            d *= live[at, None]
-            grad["o"][k], grad["ob"][k] = flat[at].T @ d, d.sum(0)
-            dh[at] += d @ p["o"][k].T
-        dh = dh.reshape(y.shape[1], len(y), HIDDEN)
-        carry, inner = np.zeros_like(h), []
-        for t in range(y.shape[1] - 1, -1, -1):
-            h0, z, r, new, ph = kept[t]
-            d = dh[t] + carry
-            dn = d * (1 - z) * (1 - new**2)
-            dz = d * (h0 - new) * z * (1 - z)
-            dr = dn * ph[:, 2 * HIDDEN :] * r * (1 - r)
-            dph = np.concatenate((dz, dr, dn * r), 1)
-            carry = (d * z + dph @ p["wh"].T) * (x[:, t] != begin)[:, None]
-            grad["wh"] += h0.T @ dph
-            inner.append(np.concatenate((dz, dr, dn), 1))
-        dtable, met = np.zeros_like(table), x.T[::-1].ravel()
+        on = (x != begin).astype(np.float32)
+        ex, wx = _inputs(p, x.ravel())
+        h, kept, hs = h.T, [], np.empty((HIDDEN, x.size), np.float32)
+        for t in range(len(x)):
+            h = h * on[t]
+            new, *rest = _step((wx @ ex[:, t * n : t * n + n]).T, h.T, p["wh"])
+            kept.append((h, *(a.T for a in rest)))
+            h = hs[:, t * n : t * n + n] = new.T
+        dh, grad = self._output(hs, y.T.ravel(), live.T.ravel())
+        carry, inner, dph = np.zeros((HIDDEN, n), np.float32), np.empty((3 * HIDDEN, n), np.float32), np.empty((3 * HIDDEN, n), np.float32)
+        dn, (dz, dr, dnr) = inner[2 * HIDDEN :], np.split(dph, 3)
+        dex, dwx, grad["wh"] = np.empty((EMBEDDED, x.size), np.float32), np.zeros((EMBEDDED + 1, 3 * HIDDEN), np.float32), np.zeros_like(p["wh"])
+        for t in range(len(x) - 1, -1, -1):
+            (h0, z, r, new, ph), at = kept[t], slice(t * n, t * n + n)
+            d, less = carry, 1 - z
+            d += dh[:, at]
+            np.multiply(d, less, out=dn)
+            np.subtract(h0, new, out=dz)
+            dz *= dn
+            dz *= z
+            dn *= 1 - new * new
+            np.multiply(dn, r, out=dnr)
+            np.multiply(dnr, ph[2 * HIDDEN :], out=dr)
+            dr *= 1 - r
+            inner[: 2 * HIDDEN] = dph[: 2 * HIDDEN]
+            d *= z
+            carry = p["wh"] @ dph
+            carry += d
+            carry *= on[t]
+            grad["wh"] += (dph @ h0.T).T
+            dwx += (inner @ ex[:, at].T).T
+            dex[:, at] = p["wx"] @ inner
+        grad["wx"], grad["b"] = dwx[:-1], dwx[-1]
+        met = x.ravel().astype(np.uint16) if begin < 1 << 16 else x.ravel()
         order = np.argsort(met, kind="stable")
         keys, at = np.unique(met[order], return_index=True)
-        dtable[keys] = np.add.reduceat(np.concatenate(inner)[order], at, axis=0)
-        grad["e"], grad["wx"], grad["b"] = dtable @ p["wx"].T, p["e"].T @ dtable, dtable.sum(0)
+        grad["e"] = np.zeros_like(p["e"])
+        grad["e"][keys] = np.add.reduceat(np.take(dex, order, axis=1), at, axis=1).T
         self._descend(grad, max(1, int(live.sum())), rate)
-        return h, y[:, -1]
+        return h.T, y[:, -1]
+
+    def _output(self, hs: np.ndarray, target: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Gradients of the states (by feature) and of the weights of the output layer."""
+        p = self.p
+        dc, d, order, h1, cls, unit, at = _logits(p, hs.T, target)
+        m, padding = np.arange(len(target)), np.flatnonzero(~live[order])
+        for x, chosen in ((_softmax(dc), cls), (_softmax(d), unit)):
+            x[chosen, m] -= 1
+            x[:, padding] = 0
+        both, dh = h1 @ dc.T, p["c"] @ dc
+        grad = {"c": both[:-1], "cb": both[-1], "o": np.zeros_like(p["o"]), "ob": np.zeros_like(p["ob"])}
+        inner = np.empty_like(dh)
+        for k, (i, j) in enumerate(pairwise(at)):
+            if j > i:
+                both = h1[:, i:j] @ d[:, i:j].T
+                grad["o"][k], grad["ob"][k] = both[:-1], both[-1]
+                np.matmul(p["o"][k], d[:, i:j], out=inner[:, i:j])
+        dh += inner
+        place = np.empty_like(order)
+        place[order] = m
+        return np.take(dh, place, axis=1), grad
 
     def _descend(self, grad: dict[str, np.ndarray], m: int, rate: float) -> None:
         self.steps += 1
-        rate *= np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
+        rate *= float(np.sqrt(1 - 0.999**self.steps)) / (1 - 0.9**self.steps)
         scale = 1 / m
-        norm = np.sqrt(sum(float((g * scale).ravel() @ (g * scale).ravel()) for g in grad.values()))
+        norm = float(np.sqrt(sum(float((g * scale).ravel() @ (g * scale).ravel()) for g in grad.values())))
         scale *= min(1.0, 1.0 / (norm + 1e-9))
-        for k, g in grad.items():
-            g = g * scale
-            self.first[k] = 0.9 * self.first[k] + 0.1 * g
-            self.second[k] = 0.999 * self.second[k] + 0.001 * g * g
-            self.p[k] = (self.p[k] - rate * self.first[k] / (np.sqrt(self.second[k]) + 1e-8)).astype(np.float32)
+        for k, p in self.p.items():
+            g = grad[k] * scale
+            first, second = self.first[k], self.second[k]
+            first *= 0.9
+            first += 0.1 * g
+            second *= 0.999
+            g *= g
+            second += 0.001 * g
+            np.sqrt(second, out=g)
+            g += 1e-8
+            np.divide(first, g, out=g)
+            g *= rate
+            self.p[k] = p - g
 
 
 def _streams(flat: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -274,7 +356,7 @@ def rounds(docs: DataFrame, p: dict[str, np.ndarray], known: np.ndarray, unit: n
 
         def learn(batches: Iterator[pa.RecordBatch], shipped=shipped, rate=rate) -> Iterator[pa.RecordBatch]:
             p, known, unit = shipped.value
-            own, now, n = None, None, 0
+            own, now, n, find = None, None, 0, Lookup(known)
 
             def told() -> Iterator[pa.RecordBatch]:
                 if own is not None and n:
@@ -286,7 +368,7 @@ def rounds(docs: DataFrame, p: dict[str, np.ndarray], known: np.ndarray, unit: n
                 if learner != now:
                     yield from told()
                     own, now, n = Learner(p, n_outputs, end), learner, 0
-                flat = _units(ids, kinds, known, unit, n_outputs)
+                flat = _units(ids, kinds, find, unit, n_outputs)
                 own.run(*_streams(flat, STREAMS), lambda k: rate)
                 n += len(flat)
             yield from told()
@@ -304,11 +386,6 @@ def rounds(docs: DataFrame, p: dict[str, np.ndarray], known: np.ndarray, unit: n
     return p, learnt
 
 
-def _groups(sorted_keys: np.ndarray, order: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
-    keys, first = np.unique(sorted_keys, return_index=True)
-    return keys.tolist(), np.split(order, first[1:]) if len(keys) else []
-
-
 def fit(docs: DataFrame, frequent: int = FREQUENT) -> tuple[Network, DataFrame]:
     """docs: doc_id, text of the training documents. Returns the network and the table of all counts (word, c)."""
     counts = docs.select(F.col("text").cast("string")).mapInArrow(_count, "word long, kind short, c long").groupBy("word").agg(F.max("kind").alias("kind"), F.sum("c").alias("c"))
@@ -336,7 +413,7 @@ def fit(docs: DataFrame, frequent: int = FREQUENT) -> tuple[Network, DataFrame]:
     by = np.argsort(word)
     frequency = np.concatenate((c[outputs] + 0.1, rare))
     known, c, unit = word[by], c[by], unit[by]
-    n_outputs = len(frequency)
+    n_outputs, find = len(frequency), Lookup(known)
 
     share = min(1 << 20, int(SAMPLE_ROWS / max(1, docs.select("doc_id").count()) * (1 << 20)) + 1)
     texts, size = [], 0
@@ -346,7 +423,7 @@ def fit(docs: DataFrame, frequent: int = FREQUENT) -> tuple[Network, DataFrame]:
         if size + len(ids) > SAMPLE_TOKENS:
             continue
         size += len(ids)
-        texts.append(_units(ids, kinds, known, unit, n_outputs))
+        texts.append(_units(ids, kinds, find, unit, n_outputs))
     flat = np.concatenate(texts) if texts else np.zeros(0, np.int64)
     n_streams = max(1, min(48, len(flat) // 64))
     flat = flat[: len(flat) // n_streams * n_streams].reshape(n_streams, -1)
@@ -356,54 +433,52 @@ def fit(docs: DataFrame, frequent: int = FREQUENT) -> tuple[Network, DataFrame]:
     return Network(known, c, unit, classes, p, total, distinct, rare, learnt), counts
 
 
-def _units(ids: np.ndarray, kinds: np.ndarray, known: np.ndarray, unit: np.ndarray, n_outputs: int) -> np.ndarray:
+def _units(ids: np.ndarray, kinds: np.ndarray, find: Lookup, unit: np.ndarray, n_outputs: int) -> np.ndarray:
     """Outputs of tokens: kinds are the last ones (one, if nothing is known)."""
-    if not len(known):
+    if not len(unit):
         return np.full(len(ids), n_outputs - 1) if n_outputs == 1 else n_outputs - KINDS + kinds
-    at = np.searchsorted(known, ids)
-    at[at == len(known)] = 0
-    return np.where(known[at] == ids, unit[at], n_outputs - KINDS + kinds)
+    at = find(ids)
+    return np.where(at < len(unit), np.append(unit, 0)[at], n_outputs - KINDS + kinds)
 
 
+@np.errstate(over="ignore")
 def likelihood(net: Network, out: np.ndarray, first: np.ndarray) -> np.ndarray:
     """log10 of the probability of each document's outputs; `first` says where a document begins (and the end)."""
-    p = net.p
     length = np.diff(first)
     total = np.zeros(len(length))
-    begin = len(p["e"]) - 1
-    table = p["e"] @ p["wx"] + p["b"]
+    begin = len(net.p["e"]) - 1
     order = np.argsort(-length, kind="stable")
     for a in range(0, len(order), TOGETHER):
         docs = order[a : a + TOGETHER]
         base, n = first[docs], length[docs]
-        h = np.zeros((len(docs), HIDDEN), np.float32)
-        alive = len(docs)
-        for t0 in range(0, int(n[0]), STEPS):
-            hs, at, who = [], [], []
-            for t in range(t0, min(t0 + STEPS, int(n[0]))):
-                while n[alive - 1] <= t:
-                    alive -= 1
-                x = out[base[:alive] + t - 1] if t else np.full(alive, begin)
-                h = _step(table[x], h[:alive], p["wh"])[0]
-                hs.append(h)
-                at.append(base[:alive] + t)
-                who.append(docs[:alive])
-            total += np.bincount(np.concatenate(who), _outputs(net, np.concatenate(hs), out[np.concatenate(at)]), len(total))
+        h = np.zeros((HIDDEN, len(docs)), np.float32)
+        alive = np.searchsorted(-n, -np.arange(int(n[0])))  # documents that have a token at each place
+        upto, t0 = np.concatenate(([0], np.cumsum(alive))), 0
+        while t0 < len(alive):
+            t1 = max(t0 + 1, int(np.searchsorted(upto, upto[t0] + WINDOW, side="right")) - 1)
+            s = upto[t0 : t1 + 1] - upto[t0]
+            t = np.repeat(np.arange(t0, t1), alive[t0:t1])
+            who = np.arange(s[-1]) - np.repeat(s[:-1], alive[t0:t1])
+            at = base[who] + t
+            ex, wx = _inputs(net.p, np.where(t > 0, out[at - 1], begin))
+            hs = np.empty((HIDDEN, len(at)), np.float32)
+            for i, j in pairwise(s.tolist()):
+                h = hs[:, i:j] = _step((wx @ ex[:, i:j]).T, h[:, : j - i].T, net.p["wh"])[0].T
+            total += np.bincount(docs[who], _outputs(net, hs.T, out[at]), len(total))
+            t0 = t1
     return total / LOG10
 
 
 def _outputs(net: Network, hs: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural logarithms of P(class) * P(output in class)."""
-    p, cls, unit = net.p, target // CLASS_SIZE, target % CLASS_SIZE
-    logits = hs @ p["c"] + p["cb"]
-    np.subtract(logits, logits.max(1, keepdims=True), out=logits)
-    got = logits[np.arange(len(cls)), cls] - np.log(np.exp(logits, out=logits).sum(1))
-    order = np.argsort(cls, kind="stable")
-    for k, at in zip(*_groups(cls[order], order), strict=True):
-        inner = hs[at] @ p["o"][k] + p["ob"][k]
-        np.subtract(inner, inner.max(1, keepdims=True), out=inner)
-        got[at] += inner[np.arange(len(at)), unit[at]] - np.log(np.exp(inner, out=inner).sum(1))
-    return got.astype(np.float64)
+    outer, inner, order, _, cls, unit, _ = _logits(net.p, hs, target)
+    got, m = np.empty(len(target)), np.arange(len(target))
+    for x, chosen in ((outer, cls), (inner, unit)):
+        np.subtract(x, x.max(0), out=x)
+        here = x[chosen, m]
+        here -= np.log(np.exp(x, out=x).sum(0))
+        got[order] = here if x is outer else got[order] + here
+    return got
 
 
 FIRST = "kind int, row long, doc_id long, word long, ending int, tf long, n_known long, base double, score double"
@@ -415,17 +490,16 @@ def _score(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.Recor
     log_base = np.append(net.base(net.counts), 0.0)
     # a frequent word that isn't an output has its share of its kind
     of = net.output - (n_outputs - len(net.rare))
+    find, output = Lookup(net.known), np.append(net.output, 0)
     in_kind = np.append(np.where(of >= 0, np.log10((net.counts + 0.1) / net.rare[np.maximum(of, 0)]), 0.0), 0.0)
     for batch in _slices(batches, 2):
         ids, kinds, first = tokens(batch.column(2))
         kinds = kinds if len(net.rare) > 1 else np.zeros_like(kinds)
         n = len(first) - 1
         doc = np.repeat(np.arange(n), np.diff(first))
-        at = np.searchsorted(net.known, ids)
-        at[at == len(net.known)] = 0
-        hit = net.known[at] == ids if len(net.known) else np.zeros(len(ids), bool)
-        slot = np.where(hit, at, len(net.known))
-        out = np.where(hit, net.output[at], n_outputs - len(net.rare) + kinds) if len(net.known) else n_outputs - len(net.rare) + kinds
+        slot = find(ids)
+        hit = slot < len(net.known)
+        out = np.where(hit, output[slot], n_outputs - len(net.rare) + kinds)
         base = np.bincount(doc, log_base[slot], n)
         score = np.bincount(doc, in_kind[slot], n) + likelihood(net, out, first)
         known = np.bincount(doc, hit, n).astype(np.int64)

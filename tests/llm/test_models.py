@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -369,6 +370,123 @@ def test_lm_gradient_is_right():
     assert per_token < 0.1
 
 
+def random_net(n=900, scale=0.3):
+    rng = np.random.default_rng(3)
+    classes, p = lm.start(n, rng.random(n) + 0.01, rng)
+    p = {k: v + rng.normal(0, scale, v.shape).astype(np.float32) for k, v in p.items()}
+    return lm.Network(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, int), classes, p, 0, 0, 1.0)
+
+
+def plain_likelihood(net, out, first):
+    """Lock-step with a row for each document, 32 tokens at a time."""
+    p, length, total, n_h = net.p, np.diff(first), np.zeros(len(first) - 1), lm.HIDDEN
+    table, order = p["e"] @ p["wx"] + p["b"], np.argsort(-length, kind="stable")
+
+    def logs(x, at):
+        np.subtract(x, x.max(1, keepdims=True), out=x)
+        return x[np.arange(len(at)), at] - np.log(np.exp(x, out=x).sum(1))
+
+    base, n = first[order], length[order]
+    h, alive = np.zeros((len(n), n_h), np.float32), len(n)
+    for t0 in range(0, int(n[0]), 32):
+        hs, at, who = [], [], []
+        for t in range(t0, min(t0 + 32, int(n[0]))):
+            while n[alive - 1] <= t:
+                alive -= 1
+            px, h = table[out[base[:alive] + t - 1] if t else np.full(alive, len(p["e"]) - 1)], h[:alive]
+            ph = h @ p["wh"]
+            gates = 0.5 * np.tanh(0.5 * (px[:, : 2 * n_h] + ph[:, : 2 * n_h])) + 0.5
+            new = np.tanh(px[:, 2 * n_h :] + gates[:, n_h:] * ph[:, 2 * n_h :])
+            h = new + gates[:, :n_h] * (h - new)
+            hs.append(h)
+            at.append(base[:alive] + t)
+            who.append(order[:alive])
+        hs, target = np.concatenate(hs), out[np.concatenate(at)]
+        cls, unit = target // lm.CLASS_SIZE, target % lm.CLASS_SIZE
+        got = logs(hs @ p["c"] + p["cb"], cls)
+        by = np.argsort(cls, kind="stable")
+        for of in np.split(by, np.flatnonzero(np.diff(cls[by])) + 1):
+            k = cls[of[0]]
+            got[of] += logs(hs[of] @ p["o"][k] + p["ob"][k], unit[of])
+        total += np.bincount(np.concatenate(who), got, len(total))
+    return total / lm.LOG10
+
+
+@pytest.mark.parametrize("window", [1, 50, 8000])
+def test_lm_windows_carry_the_state_of_all_documents(monkeypatch, window):
+    """Empty, short and long documents, more of them than run together; windows down to one step."""
+    monkeypatch.setattr(lm, "WINDOW", window)
+    monkeypatch.setattr(lm, "TOGETHER", 7)
+    rng, net = np.random.default_rng(0), random_net()
+    length = np.array([1, 200, 1, 33, 32, 31, *rng.integers(1, 60, 20)])
+    first = np.concatenate(([0], np.cumsum(length)))
+    out = rng.integers(0, 900, first[-1])
+    assert lm.likelihood(net, out, first) == pytest.approx(plain_likelihood(net, out, first), rel=1e-5)
+    assert lm.likelihood(net, out[:0], np.zeros(1, int)).tolist() == []
+
+
+def test_lm_gates_saturate_without_a_fault():
+    """Sums far beyond the range of an exponential leave or replace the state."""
+    h, px = np.full((2, lm.HIDDEN), 0.25, np.float32), np.zeros((2, 3 * lm.HIDDEN), np.float32)
+    px[0, : lm.HIDDEN], px[1, : 2 * lm.HIDDEN] = 200, -200
+    with np.errstate(over="ignore"):
+        got = lm._step(px, h, np.zeros((lm.HIDDEN, 3 * lm.HIDDEN), np.float32))[0]
+    assert got[0].tolist() == [0.25] * lm.HIDDEN and got[1].tolist() == [0.0] * lm.HIDDEN
+
+
+def test_lm_gradients_equal_differences(monkeypatch):
+    """Those of all weights, in a window with ends of documents and padding; moments stay in single precision."""
+    net, rng, grads = random_net(70), np.random.default_rng(5), []
+    y = rng.integers(0, 70, (3, 12))
+    y[0, 4] = y[2, 7] = 69
+    live = np.ones(y.shape, bool)
+    live[2, 9:] = False
+    own = lm.Learner(net.p, 70, 69)
+    descend = own._descend
+    monkeypatch.setattr(own, "_descend", lambda grad, m, rate: (grads.append({k: g.copy() for k, g in grad.items()}), descend(grad, m, rate)))
+    own._window(np.zeros((3, lm.HIDDEN), np.float32), np.full(3, 70), y, live, 0.01)
+    assert all(v.dtype == np.float32 for d in (own.p, own.first, own.second) for v in d.values())
+
+    def loss(p):
+        flat, first = [], [0]
+        for row, n in zip(y, live.sum(1), strict=True):
+            for part in np.split(row[:n], np.flatnonzero(row[:n] == 69) + 1):
+                flat.append(part)
+                first += [first[-1] + len(part)] * bool(len(part))
+        return -plain_likelihood(lm.Network(net.known, net.counts, net.output, net.classes, p, 0, 0, 1.0), np.concatenate(flat), np.array(first)).sum() * lm.LOG10
+
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    for k, v in p.items():
+        for at in rng.integers(0, v.size, 8).tolist() + [int(np.abs(grads[0][k]).argmax())]:
+            ends = []
+            for by in (1e-5, -1e-5):
+                moved = v.copy()
+                moved.ravel()[at] += by
+                ends.append(loss(p | {k: moved}))
+            assert grads[0][k].ravel()[at] == pytest.approx((ends[0] - ends[1]) / 2e-5, rel=1e-2, abs=2e-3), (k, at)
+
+
+def test_lm_scoring_takes_less_time_than_by_rows():
+    rng, net = np.random.default_rng(0), random_net()
+    first = np.concatenate(([0], np.cumsum(rng.integers(100, 140, 1000))))
+    out, spent = rng.integers(0, 900, first[-1]), {lm.likelihood: [], plain_likelihood: []}
+    for _ in range(5):
+        for run, took in spent.items():
+            began = time.process_time()
+            run(net, out, first)
+            took.append(time.process_time() - began)
+    assert min(spent[lm.likelihood]) < 0.9 * min(spent[plain_likelihood])
+
+
+def test_lm_lookup_finds_places():
+    rng, last = np.random.default_rng(0), 2**64 - 1
+    spread = np.unique(rng.integers(0, last, 3000, dtype=np.uint64))
+    for known in (spread, np.arange(500, dtype=np.uint64), np.array([0, last], np.uint64), np.zeros(0, np.uint64)):
+        ids = np.concatenate((known[::-1], known + np.uint64(1), np.array([0, 5, last], np.uint64)))
+        at = {int(x): i for i, x in enumerate(known)}
+        assert lm.Lookup(known)(ids).tolist() == [at.get(int(x), len(known)) for x in ids]
+
+
 def test_lm_learns_from_all_training_documents(spark, monkeypatch):
     """What stands only in texts past the driver's sample is learnt too, and a huge first text doesn't end the sample."""
     monkeypatch.setattr(lm, "SAMPLE_TOKENS", 400)
